@@ -7,25 +7,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small
 
-#: Words in a shingle; similarity in per cent; min-hash keys of a set; most tokens held as common ones; part of a
-#: partition's documents from which a token is common there.
-WORDS, PER_CENT, KEYS, COMMON, COMMON_FROM = 5, 80, 6, 1 << 16, 1 / 1000
+#: Words in a shingle; similarity in per cent; min-hash keys of a set, and how many of them a set shares with a pivot; most
+#: tokens held as common ones; part of a partition's documents from which a token is common there; counters for that.
+WORDS, PER_CENT, KEYS, AGREE, COMMON, COMMON_FROM, COUNTERS = 5, 80, 4, 2, 1 << 16, 1 / 2000, 1 << 22
 #: Rows that a broadcast join may hold.
 SMALL = 500_000
 
-_MIX = (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53))
+#: Odd multipliers of 64 bits, from the fractional part of the golden ratio by a fixed rule.
+_ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1) for i in range(64)]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit (the finaliser of MurmurHash3)."""
-    x = (x ^ (x >> np.uint64(33))) * _MIX[0]
-    x = (x ^ (x >> np.uint64(33))) * _MIX[1]
-    return x ^ (x >> np.uint64(33))
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
 
 
 class _Words(dict):
@@ -45,11 +48,15 @@ def shingles(text: bytes, words: _Words, width: int = WORDS) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(words.__getitem__, seq), np.uint64, len(seq))
     k = min(width, len(h))
-    out = np.full(len(h) - k + 1, k, np.uint64)
+    m = len(h) - k + 1
     with np.errstate(over="ignore"):
-        for i in range(k):
-            out = _mixed(out + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+        out = h[:m] + np.uint64(k)
+        for i in range(1, k):
+            out *= _ODD[1]
+            out += h[i : i + m]
+        out = _mixed(out)
+    out.sort()
+    return out[np.append(True, out[1:] != out[:-1])] if m > 1 else out
 
 
 def _texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
@@ -61,34 +68,40 @@ def _common_tokens(docs: DataFrame, width: int, most: int) -> np.ndarray:
     """Tokens of many documents, commonest last: counted over all documents by those partitions in which they are common."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, kept, n = _Words(), [], 0
-        tokens, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        words, n, held, kept = _Words(), 0, 0, []
+        counts, found = np.zeros(COUNTERS, np.uint32), np.zeros(0, np.uint64)
+        mask = np.uint64(COUNTERS - 1)
 
         def fold() -> None:
-            nonlocal tokens, counts, kept
-            t, at = np.unique(np.concatenate([tokens, *kept]), return_inverse=True)
-            c = np.bincount(at, np.concatenate([counts, np.ones(len(at) - len(counts))]), len(t)).astype(np.int64)
-            keep = c > (1 if len(t) < 4_000_000 else max(2, n * COMMON_FROM / 4))
-            tokens, counts, kept = t[keep], c[keep], []
+            nonlocal found, kept, counts
+            t = np.concatenate(kept)
+            at = (t & mask).astype(np.int64)
+            counts += np.bincount(at, minlength=COUNTERS).astype(np.uint32)
+            found, kept = np.union1d(found, t[counts[at] >= max(4, n * COMMON_FROM)]), []
+            found = found[counts[(found & mask).astype(np.int64)] >= max(4, n * COMMON_FROM)]
 
-        held = 0
         for batch in batches:
             for text in _texts(batch):
                 kept.append(shingles(text, words, width))
                 held, n = held + len(kept[-1]), n + 1
-                if held > 1_000_000:
+                if held > 2_000_000:
                     fold()
                     held = 0
-        if n:
+        if kept:
             fold()
-            keep = counts >= max(3, n * COMMON_FROM)
-            yield pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(counts[keep])], names=["token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts[(found & mask).astype(np.int64)], pa.int64())], names=["token", "n"])
 
     found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.col("n").desc(), "token").limit(most).collect()  # bounded by most
     return np.array([r[0] for r in reversed(top)], np.int64).view(np.uint64)
 
 
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    """A column of lists from arrays of 64-bit integers."""
+    offsets = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(parts).view(np.int64) if parts else [], pa.int64()))
+
+
 def _profiles(docs: DataFrame, width: int, per_cent: int, common: np.ndarray) -> DataFrame:
     """One row per document: n_shingles, a 128-bit signature of the set, min-hash keys, and the prefix of the set."""
     shared = docs.sparkSession.sparkContext.broadcast(common)  # COMMON tokens at most
@@ -97,49 +110,51 @@ def _profiles(docs: DataFrame, width: int, per_cent: int, common: np.ndarray) ->
         words, order = _Words(), shared.value
         tokens = np.sort(order)
         rank = np.argsort(order)
+        none = np.zeros(0, np.uint64)
         for batch in batches:
-            n, sig, keys, prefix = [], [], [], []
-            for text in _texts(batch):
-                s = shingles(text, words, width)
-                n.append(len(s))
-                sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                if not len(s):
-                    keys.append([])
-                    prefix.append([])
-                    continue
-                with np.errstate(over="ignore"):
-                    keys.append([int(_mixed(s + np.uint64(0x9E3779B97F4A7C15 * (i + 1) % 2**64)).min().astype(np.int64)) for i in range(KEYS)])
-                # The global order: tokens that are not common by their hash, then the common ones by rank.
-                at = np.searchsorted(tokens, s)
-                at[at == len(tokens)] = 0
-                is_common = tokens[at] == s if len(tokens) else np.zeros(len(s), bool)
-                inside = np.concatenate([s[~is_common], s[is_common][np.argsort(rank[at[is_common]])]])
-                need = -(-per_cent * len(s) // 100)
-                prefix.append(inside[: len(s) - need + 1].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch["__rid"], batch["doc_id"], pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
-                names=["__rid", "doc_id", "n_shingles", "sig", "keys", "prefix"],
-            )
+            for lo in range(0, len(batch), 2000):
+                part = batch.slice(lo, 2000)
+                n, sig, keys, prefix = [], [], [], []
+                for text in _texts(part):
+                    s = shingles(text, words, width)
+                    n.append(len(s))
+                    sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    if not len(s):
+                        keys.append(none)
+                        prefix.append(none)
+                        continue
+                    with np.errstate(over="ignore"):
+                        keys.append(np.array([(s * _ODD[2 + i]).min() for i in range(KEYS)]))
+                    # The global order: tokens that are not common by their hash, then the common ones by rank.
+                    if len(tokens):
+                        at = np.searchsorted(tokens, s)
+                        at[at == len(tokens)] = 0
+                        is_common = tokens[at] == s
+                        if is_common.any():
+                            s = np.concatenate([s[~is_common], s[is_common][np.argsort(rank[at[is_common]])]])
+                    prefix.append(s[: len(s) + 1 + -per_cent * len(s) // 100])
+                yield pa.RecordBatch.from_arrays(
+                    [part["__rid"], part["doc_id"], pa.array(n, pa.int64()), pa.array(sig, pa.binary()), _lists(keys), _lists(prefix)],
+                    names=["__rid", "doc_id", "n_shingles", "sig", "keys", "prefix"],
+                )
 
     return docs.select("__rid", "doc_id", "text").mapInArrow(run, "__rid long, doc_id long, n_shingles long, sig binary, keys array<long>, prefix array<long>")
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """Those of the pairs (a, b) of signatures whose sets are similar enough; sets: (sig, __rid) of one document each."""
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """Those of the pairs (a, b) of row ids whose sets are similar enough."""
     pairs = cut(pairs)
-    ends = pairs.select(F.col("a").alias("sig")).union(pairs.select(F.col("b").alias("sig"))).distinct()
-    wanted = cut(ends.join(sets.select("sig", "__rid"), "sig"))
+    wanted = cut(pairs.select(F.col("a").alias("__rid")).union(pairs.select(F.col("b").alias("__rid"))).distinct())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.slice(lo, 500)
-                yield pa.RecordBatch.from_arrays([part["sig"], pa.array([shingles(t, words, width).view(np.int64) for t in _texts(part)], pa.list_(pa.int64()))], names=["sig", "s"])
+                yield pa.RecordBatch.from_arrays([part["__rid"], _lists([shingles(t, words, width) for t in _texts(part)])], names=["id", "s"])
 
-    texts = docs.select("__rid", "text").join(small(wanted, SMALL), "__rid").select("sig", "text")
-    held = cut(texts.mapInArrow(run, "sig binary, s array<long>"))
-    both = pairs.join(held.select(F.col("sig").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("sig").alias("b"), F.col("s").alias("sb")), "b")
+    held = cut(docs.select("__rid", "text").join(small(wanted, SMALL), "__rid").mapInArrow(run, "id long, s array<long>"))
+    both = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * per_cent).select("a", "b")
 
@@ -169,70 +184,124 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _index_pairs(entries: DataFrame, per_cent: int, buckets: int) -> DataFrame:
-    """Candidate pairs of signatures from inverted lists of prefix tokens; entries: (sig, comp, n, prefix)."""
+    """Candidate pairs (a, b) of sets from inverted lists of prefix tokens; entries: (id, comp, n, last, prefix).
+
+    Each list gives the pairs of different components in it; a pair's lists together tell how many tokens c its prefixes
+    share.  Of two prefixes, all common tokens up to the end of the one that ends first in the global order are among these, so the
+    sets share c plus the rest of that set at most; pairs for which that is too little go.
+    """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Pack a batch's postings by bucket of their tokens."""
+        """Pack a batch's postings by bucket of their tokens: columns one after the other, documents once per bucket."""
         for batch in batches:
             lists = batch["prefix"]
             sizes = lists.value_lengths().to_numpy()
             tokens = lists.flatten().to_numpy().view(np.uint64)
             row = np.repeat(np.arange(len(sizes)), sizes)
-            pos = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            n = batch["n"].to_numpy()[row]
-            sig = np.frombuffer(b"".join(batch["sig"].to_pylist()), np.uint64).reshape(-1, 2)[row]
-            comp = np.frombuffer(b"".join(batch["comp"].to_pylist()), np.uint64).reshape(-1, 2)[row]
+            pos = (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint32)
+            docs = np.column_stack([batch[c].to_numpy().view(np.uint64) for c in ("id", "comp", "n")])
             bucket = (tokens % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            posting = np.column_stack([tokens, n.astype(np.uint64), pos.astype(np.uint64), sig, comp])[order]
             at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            ends = [*at[1:], len(order)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bucket[order][at]), pa.array([posting[a:b].tobytes() for a, b in zip(at, ends, strict=True)], pa.binary())], names=["bucket", "postings"]
-            )
+            blobs = []
+            for a, b in zip(at, [*at[1:], len(order)], strict=True):
+                mine = order[a:b]
+                used, where = np.unique(row[mine], return_inverse=True)
+                head = np.array([len(used), len(mine)], np.uint64)
+                blobs.append(b"".join(x.tobytes() for x in (head, docs[used], tokens[mine], where.astype(np.uint32), pos[mine])))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order][at]), pa.array(blobs, pa.binary())], names=["bucket", "postings"])
+
+    def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+        d, m = (int(x) for x in np.frombuffer(blob, np.uint64, 2))
+        docs = np.frombuffer(blob, np.uint64, 3 * d, 16).reshape(d, 3)
+        at = 16 + 24 * d
+        tokens = np.frombuffer(blob, np.uint64, m, at)
+        where, pos = np.frombuffer(blob, np.uint32, m, at + 8 * m), np.frombuffer(blob, np.uint32, m, at + 12 * m)
+        return tokens, np.column_stack([docs[where], pos.astype(np.uint64)]).view(np.int64)
 
     def lists(table: pa.Table) -> pa.Table:
-        p = np.concatenate([np.frombuffer(x, np.uint64).reshape(-1, 7) for x in table["postings"].to_pylist()])
+        parts = [unpack(x) for x in table["postings"].to_pylist()]
+        token, p = np.concatenate([t for t, _ in parts]), np.concatenate([q for _, q in parts])
+        del parts
         # Lists by token, in them by set size and then position: blocks of one size and position are adjacent.
-        p = p[np.lexsort((p[:, 2], p[:, 1], p[:, 0]))]
-        starts = np.flatnonzero(np.diff(p[:, 0], prepend=p[0, 0] ^ np.uint64(1)))
-        ends = np.append(starts[1:], len(p))
-        out = []
-        for a, b in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-            if (p[a:b, 5:7] == p[a, 5:7]).all():
-                continue  # all members are linked already: their answers are those of their pivot
-            out.append(_list_pairs(p[a:b], per_cent))
-        found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 4), np.uint64)
-        left, right = ([r.tobytes() for r in found[:, c].copy()] for c in (slice(0, 2), slice(2, 4)))
-        return pa.table({"a": pa.array(left, pa.binary()), "b": pa.array(right, pa.binary())})
-
-    dealt = entries.repartition("sig").mapInArrow(deal, "bucket long, postings binary")
-    return dealt.groupBy("bucket").applyInArrow(lists, "a binary, b binary").distinct()
+        order = np.lexsort((p[:, 3], p[:, 2], token))
+        token, p = token[order], p[order]
+        starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        sizes = np.diff(np.append(starts, len(token)))
+        # Lists whose members are linked already give nothing: their answers are those of their pivot.
+        mixed = np.maximum.reduceat(p[:, 1], starts) != np.minimum.reduceat(p[:, 1], starts)
+        short = mixed & (sizes <= SHORT)
+        out = [_short_list_pairs(p, np.repeat(np.cumsum(short) * short, sizes), per_cent)]
+        out += [_list_pairs(p[a : a + k], per_cent) for a, k in zip(starts[mixed & ~short], sizes[mixed & ~short], strict=True)]
+        pairs, counts = np.unique(np.concatenate(out), axis=0, return_counts=True)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "c": pa.array(counts, pa.int64())})
+
+    dealt = entries.select("id", "comp", "n", "prefix").mapInArrow(deal, "bucket long, postings binary")
+    shared = dealt.groupBy("bucket").applyInArrow(lists, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
+    ends = [entries.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("last").alias(f"last{x}"), F.size("prefix").alias(f"p{x}")) for x in "ab"]
+    told = shared.join(ends[0], "a").join(ends[1], "b")
+    rest = F.when(F.col("lasta") < F.col("lastb"), F.col("na") - F.col("pa")).when(F.col("lastb") < F.col("lasta"), F.col("nb") - F.col("pb")).otherwise(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")))
+    return told.filter((F.col("c") + rest) * (100 + per_cent) >= (F.col("na") + F.col("nb")) * per_cent).select("a", "b")
+
+
+#: Lists up to this length are worked on together.
+SHORT = 48
+
+
+def _possible(n: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.ndarray, per_cent: int) -> np.ndarray:
+    """Whether sets that share a token at these positions can overlap enough: in front of it and behind it they share what the shorter stretch allows."""
+    most = np.minimum(pos[x], pos[y]) + 1 + np.minimum(n[x] - pos[x], n[y] - pos[y]) - 1
+    return most * (100 + per_cent) >= (n[x] + n[y]) * per_cent
+
+
+def _ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.column_stack([np.minimum(a, b), np.maximum(a, b)])
+
+
+def _short_list_pairs(p: np.ndarray, number: np.ndarray, per_cent: int) -> np.ndarray:
+    """Pairs of different components within the same short list; number: the list of each posting, 0 for none."""
+    p, number = p[number > 0], number[number > 0]
+    n, pos = p[:, 2], p[:, 3]
+    out = [np.zeros((0, 2), np.int64)]
+    if not len(p):
+        return out[0]
+    reach = np.searchsorted((number << 32) + n, (number << 32) + 100 * n // per_cent, side="right")
+    many = reach - np.arange(len(p)) - 1
+    total = np.cumsum(many)
+    lo = 0
+    while lo < len(p):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 2_000_000, side="right")))
+        k = many[lo:hi]
+        x = np.repeat(np.arange(lo, hi), k)
+        y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
+        keep = (p[x, 1] != p[y, 1]) & _possible(n, pos, x, y, per_cent)
+        out.append(_ordered(p[x[keep], 0], p[y[keep], 0]))
+        lo = hi
+    return np.concatenate(out)
 
 
 def _list_pairs(p: np.ndarray, per_cent: int) -> np.ndarray:
-    """Pairs of different components in one list that sizes and positions leave possible.
+    """Pairs of different components in one long list that sizes and positions leave possible.
 
     The list is in blocks of equal size and position.  For each block the sizes that it can match are one stretch of blocks,
-    and in it a block is skipped whole if its position is too late for the overlap that the sizes ask for.
+    and in it a block is skipped whole if its position leaves too little for the overlap that the sizes ask for.
     """
-    n, pos = p[:, 1].astype(np.int64), p[:, 2].astype(np.int64)
+    n, pos = p[:, 2], p[:, 3]
     heads = np.flatnonzero(np.append(True, (np.diff(n) != 0) | (np.diff(pos) != 0)))
     tails = np.append(heads[1:], len(p))
-    bn, bp, out = n[heads], pos[heads], [np.zeros((0, 4), np.uint64)]
+    bn, bp, out = n[heads], pos[heads], [np.zeros((0, 2), np.int64)]
     last = np.searchsorted(bn, 100 * bn // per_cent, side="right")
     for i in range(len(heads)):
         j = np.arange(i, last[i])
-        overlap = -(-(per_cent * (bn[i] + bn[j])) // (100 + per_cent))
-        j = j[1 + np.minimum(bn[i] - bp[i] - 1, bn[j] - bp[j] - 1) >= overlap]
+        j = j[_possible(bn, bp, np.full(len(j), i), j, per_cent)]
         if not len(j):
             continue
-        other = np.concatenate([np.arange(heads[k], tails[k]) for k in j])
+        k = tails[j] - heads[j]
+        other = np.repeat(heads[j] - (np.cumsum(k) - k), k) + np.arange(k.sum())
         for x in range(heads[i], tails[i]):
-            y = other[other > x]
-            y = y[(p[y, 5] != p[x, 5]) | (p[y, 6] != p[x, 6])]
+            y = other[(other > x) & (p[other, 1] != p[x, 1])]
             if len(y):
-                out.append(np.column_stack([np.broadcast_to(p[x, 3:5], (len(y), 2)), p[y, 3:5]]))
+                out.append(_ordered(np.full(len(y), p[x, 0]), p[y, 0]))
     return np.concatenate(out)
 
 
@@ -258,22 +327,31 @@ def similar_groups(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT
     common = _common_tokens(base, width, most_common)
     rows = cut(_profiles(base, width, per_cent, common))
     full = rows.filter("n_shingles > 0")
-    sets = cut(full.groupBy("sig").agg(F.min("__rid").alias("__rid"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
-
-    keyed = cut(sets.select("sig", "n", F.posexplode("keys").alias("i", "key")))
-    pivots = keyed.groupBy("i", "key").agg(F.min("sig").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-    stars = keyed.join(pivots, ["i", "key"]).filter("sig <> b").select(F.col("sig").alias("a"), "b", "n")
-    stars = stars.join(sets.select(F.col("sig").alias("b"), F.col("n").alias("m")), "b").filter(F.least("n", "m") * 100 >= F.greatest("n", "m") * per_cent)
-    first = cut(_verified(base, sets, stars.select("a", "b").distinct(), width, per_cent))
+    # A set is known by the row id of one of its documents.
+    sets = cut(full.groupBy("sig").agg(F.min("__rid").alias("id"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
+
+    keyed = cut(sets.select("id", "n", F.posexplode("keys").alias("i", "key")))
+    pivots = keyed.groupBy("i", "key").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    stars = keyed.join(pivots, ["i", "key"]).filter((F.col("id") != F.col("p.id")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * per_cent))
+    stars = stars.groupBy(F.col("id").alias("a"), F.col("p.id").alias("b")).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= AGREE)
+    first = cut(_verified(base, stars.select("a", "b"), width, per_cent))
     roots = components(first)
 
-    prefixes = full.select("sig", "__rid", "prefix").join(sets.select("sig", "__rid", "n"), ["sig", "__rid"])
-    entries = prefixes.join(roots, prefixes.sig == roots.node, "left").select("sig", F.coalesce("root", "sig").alias("comp"), "n", "prefix")
+    # The end of a prefix in the global order, as a text that sorts like it.
+    position = spark.createDataFrame([(int(t), i) for i, t in enumerate(common.view(np.int64).tolist())], "t long, place int") if len(common) else None
+    entries = full.select(F.col("__rid").alias("id"), F.col("n_shingles").alias("n"), "prefix").join(sets.select("id"), "id")
+    entries = entries.join(roots, entries.id == roots.node, "left").withColumn("comp", F.coalesce("root", "id")).drop("node", "root")
+    entries = entries.withColumn("t", F.element_at("prefix", -1))
+    entries = entries.join(F.broadcast(position), "t", "left") if position is not None else entries.withColumn("place", F.lit(None).cast("int"))
+    # Hashes count as unsigned; the common tokens (COMMON at most) come last, by place.
+    unsigned = F.col("t").bitwiseXOR(F.lit(-(2**63)))
+    last = F.struct(F.coalesce("place", F.lit(-1)).alias("place"), F.when(F.col("place").isNull(), unsigned).alias("hash"))
+    entries = entries.select("id", "comp", "n", "prefix", last.alias("last"))
     buckets = max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    second = _verified(base, sets, _index_pairs(entries, per_cent, buckets), width, per_cent)
+    second = _verified(base, _index_pairs(entries, per_cent, buckets), width, per_cent)
     roots = components(first.union(second))
 
-    named = sets.select("sig", "doc_id").join(roots, sets.sig == roots.node, "left").select("sig", "doc_id", F.coalesce("root", "sig").alias("root"))
+    named = sets.select("sig", "id", "doc_id").join(roots, sets.id == roots.node, "left").select("sig", "doc_id", F.coalesce("root", "id").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     found = named.join(least, "root").select("sig", "component_id")
     out = full.select("__rid", "sig", "n_shingles").join(found, "sig").select("__rid", "n_shingles", "component_id")
