@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from .common import cut, small
 
 #: Words in a shingle; similarity in per cent; min-hash keys of a set, and how many of them a set shares with a pivot; most
-#: tokens held as common ones; part of a partition's documents from which a token is common there; counters for that.
-WORDS, PER_CENT, KEYS, AGREE, COMMON, COMMON_FROM, COUNTERS = 5, 80, 4, 2, 1 << 16, 1 / 2000, 1 << 22
+#: tokens held as common ones; tokens that a partition counts at a time.
+WORDS, PER_CENT, KEYS, AGREE, COMMON, CHUNK = 5, 80, 4, 2, 1 << 18, 1 << 23
 #: Rows that a broadcast join may hold.
 SMALL = 500_000
 
@@ -64,36 +64,58 @@ def _texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [t or b"" for t in col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()]
 
 
+def _keys(s: np.ndarray) -> np.ndarray:
+    """Min-hash keys of a set that is not empty."""
+    with np.errstate(over="ignore"):
+        return np.array([(s * _ODD[2 + i]).min() for i in range(KEYS)])
+
+
 def _common_tokens(docs: DataFrame, width: int, most: int) -> np.ndarray:
-    """Tokens of many documents, commonest last: counted over all documents by those partitions in which they are common."""
+    """Tokens of many documents, commonest last, counted over all documents.
+
+    A partition reports the tokens that several of its documents hold, where documents that share AGREE min-hash keys with an earlier one
+    are near copies of it and count no more; the most tokens with the largest sums are kept.  They only set the order of tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, n, held, kept = _Words(), 0, 0, []
-        counts, found = np.zeros(COUNTERS, np.uint32), np.zeros(0, np.uint64)
-        mask = np.uint64(COUNTERS - 1)
+        words, held, kept = _Words(), 0, []
+        found, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        seen: list[set[int]] = [set() for _ in range(KEYS)]
 
         def fold() -> None:
-            nonlocal found, kept, counts
+            nonlocal found, counts, kept
             t = np.concatenate(kept)
-            at = (t & mask).astype(np.int64)
-            counts += np.bincount(at, minlength=COUNTERS).astype(np.uint32)
-            found, kept = np.union1d(found, t[counts[at] >= max(4, n * COMMON_FROM)]), []
-            found = found[counts[(found & mask).astype(np.int64)] >= max(4, n * COMMON_FROM)]
+            t.sort()
+            heads = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+            c = np.diff(np.append(heads, len(t)))
+            t, c = t[heads[c > 1]], c[c > 1]
+            merged, at = np.unique(np.concatenate([found, t]), return_inverse=True)
+            counts = np.bincount(at, np.concatenate([counts, c]), len(merged)).astype(np.int64)
+            found, kept = merged, []
 
         for batch in batches:
             for text in _texts(batch):
-                kept.append(shingles(text, words, width))
-                held, n = held + len(kept[-1]), n + 1
-                if held > 2_000_000:
+                s = shingles(text, words, width)
+                if not len(s):
+                    continue
+                keys = _keys(s).tolist()
+                near = sum(k in had for k, had in zip(keys, seen, strict=True)) >= AGREE
+                for k, had in zip(keys, seen, strict=True):
+                    had.add(k)
+                if near:
+                    continue
+                kept.append(s)
+                held += len(s)
+                if held > CHUNK:
                     fold()
                     held = 0
         if kept:
             fold()
-        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts[(found & mask).astype(np.int64)], pa.int64())], names=["token", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts, pa.int64())], names=["token", "n"])
 
     found = docs.select("text").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.col("n").desc(), "token").limit(most).collect()  # bounded by most
-    return np.array([r[0] for r in reversed(top)], np.int64).view(np.uint64)
+    top = found.orderBy(F.col("n").desc(), "token").limit(most).select("token").toArrow()["token"]  # bounded by most
+    return top.to_numpy()[::-1].view(np.uint64)
 
 
 def _lists(parts: list[np.ndarray]) -> pa.ListArray:
@@ -103,7 +125,7 @@ def _lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def _profiles(docs: DataFrame, width: int, per_cent: int, common: np.ndarray) -> DataFrame:
-    """One row per document: n_shingles, a 128-bit signature of the set, min-hash keys, and the prefix of the set."""
+    """One row per document: n_shingles, a 128-bit signature of the set, min-hash keys, the prefix of the set and where in the order it ends."""
     shared = docs.sparkSession.sparkContext.broadcast(common)  # COMMON tokens at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +136,7 @@ def _profiles(docs: DataFrame, width: int, per_cent: int, common: np.ndarray) ->
         for batch in batches:
             for lo in range(0, len(batch), 2000):
                 part = batch.slice(lo, 2000)
-                n, sig, keys, prefix = [], [], [], []
+                n, sig, keys, prefix, place, hashed = [], [], [], [], [], []
                 for text in _texts(part):
                     s = shingles(text, words, width)
                     n.append(len(s))
@@ -122,23 +144,30 @@ def _profiles(docs: DataFrame, width: int, per_cent: int, common: np.ndarray) ->
                     if not len(s):
                         keys.append(none)
                         prefix.append(none)
+                        place.append(-1)
+                        hashed.append(0)
                         continue
-                    with np.errstate(over="ignore"):
-                        keys.append(np.array([(s * _ODD[2 + i]).min() for i in range(KEYS)]))
+                    keys.append(_keys(s))
+                    ranks = none
                     # The global order: tokens that are not common by their hash, then the common ones by rank.
                     if len(tokens):
                         at = np.searchsorted(tokens, s)
                         at[at == len(tokens)] = 0
                         is_common = tokens[at] == s
                         if is_common.any():
-                            s = np.concatenate([s[~is_common], s[is_common][np.argsort(rank[at[is_common]])]])
+                            ranks = rank[at[is_common]]
+                            by = np.argsort(ranks)
+                            s, ranks = np.concatenate([s[~is_common], s[is_common][by]]), ranks[by]
                     prefix.append(s[: len(s) + 1 + -per_cent * len(s) // 100])
+                    beyond = len(prefix[-1]) - 1 - (len(s) - len(ranks))
+                    place.append(int(ranks[beyond]) if beyond >= 0 else -1)
+                    hashed.append(0 if beyond >= 0 else int(prefix[-1][-1]) - 2**63)
                 yield pa.RecordBatch.from_arrays(
-                    [part["__rid"], part["doc_id"], pa.array(n, pa.int64()), pa.array(sig, pa.binary()), _lists(keys), _lists(prefix)],
-                    names=["__rid", "doc_id", "n_shingles", "sig", "keys", "prefix"],
+                    [part["__rid"], part["doc_id"], pa.array(n, pa.int64()), pa.array(sig, pa.binary()), _lists(keys), _lists(prefix), pa.array(place, pa.int32()), pa.array(hashed, pa.int64())],
+                    names=["__rid", "doc_id", "n_shingles", "sig", "keys", "prefix", "place", "hash"],
                 )
 
-    return docs.select("__rid", "doc_id", "text").mapInArrow(run, "__rid long, doc_id long, n_shingles long, sig binary, keys array<long>, prefix array<long>")
+    return docs.select("__rid", "doc_id", "text").mapInArrow(run, "__rid long, doc_id long, n_shingles long, sig binary, keys array<long>, prefix array<long>, place int, hash long")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, per_cent: int) -> DataFrame:
@@ -309,7 +338,7 @@ def similar_groups(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT
     """n_shingles and component_id for each row of docs (other columns stay): groups linked by Jaccard >= per_cent.
 
     1. Equal sets are one node, by a 128-bit signature.
-    2. Set relations: sets that share a min-hash key are compared with one pivot of that key only; those that are
+    2. Set relations: sets that share min-hash keys are compared with two pivots of each key only; those that are
        similar enough join its component.
     3. An inverted index of prefix tokens (rare tokens first) gives the other candidates.  Its lists are in blocks by set size and
        position, which are skipped whole; a member's pairs inside its component are never looked up again: its answers follow
@@ -331,22 +360,15 @@ def similar_groups(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT
     sets = cut(full.groupBy("sig").agg(F.min("__rid").alias("id"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
 
     keyed = cut(sets.select("id", "n", F.posexplode("keys").alias("i", "key")))
-    pivots = keyed.groupBy("i", "key").agg(F.min(F.struct("id", "n")).alias("p"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    stars = keyed.join(pivots, ["i", "key"]).filter((F.col("id") != F.col("p.id")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * per_cent))
-    stars = stars.groupBy(F.col("id").alias("a"), F.col("p.id").alias("b")).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= AGREE)
+    pivots = keyed.groupBy("i", "key").agg(F.min(F.struct("id", "n")).alias("p"), F.max(F.struct("id", "n")).alias("q"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    near = keyed.join(pivots, ["i", "key"]).select("id", "n", F.explode(F.array("p", "q")).alias("p"))
+    near = near.filter((F.col("id") != F.col("p.id")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * per_cent))
+    stars = near.groupBy(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= AGREE)
     first = cut(_verified(base, stars.select("a", "b"), width, per_cent))
     roots = components(first)
 
-    # The end of a prefix in the global order, as a text that sorts like it.
-    position = spark.createDataFrame([(int(t), i) for i, t in enumerate(common.view(np.int64).tolist())], "t long, place int") if len(common) else None
-    entries = full.select(F.col("__rid").alias("id"), F.col("n_shingles").alias("n"), "prefix").join(sets.select("id"), "id")
-    entries = entries.join(roots, entries.id == roots.node, "left").withColumn("comp", F.coalesce("root", "id")).drop("node", "root")
-    entries = entries.withColumn("t", F.element_at("prefix", -1))
-    entries = entries.join(F.broadcast(position), "t", "left") if position is not None else entries.withColumn("place", F.lit(None).cast("int"))
-    # Hashes count as unsigned; the common tokens (COMMON at most) come last, by place.
-    unsigned = F.col("t").bitwiseXOR(F.lit(-(2**63)))
-    last = F.struct(F.coalesce("place", F.lit(-1)).alias("place"), F.when(F.col("place").isNull(), unsigned).alias("hash"))
-    entries = entries.select("id", "comp", "n", "prefix", last.alias("last"))
+    entries = full.select(F.col("__rid").alias("id"), F.col("n_shingles").alias("n"), "prefix", F.struct("place", "hash").alias("last")).join(sets.select("id"), "id")
+    entries = entries.join(roots, entries.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("comp"), "n", "prefix", "last")
     buckets = max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     second = _verified(base, _index_pairs(entries, per_cent, buckets), width, per_cent)
     roots = components(first.union(second))
