@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, small
 
-#: Words in a shingle; similarity in per cent; min-hash keys of a set, and how many of them a set shares with a pivot; most
+#: Words in a shingle; similarity in per cent; min-hashes of a set, and which of them make up each of its keys; most
 #: tokens held as common ones; tokens that a partition counts at a time.
-WORDS, PER_CENT, KEYS, AGREE, COMMON, CHUNK = 5, 80, 4, 2, 1 << 18, 1 << 23
+WORDS, PER_CENT, HASHES, KEYS, COMMON, CHUNK = 5, 80, 8, ((0, 1), (2, 3), (4, 5), (6, 7), (0, 2, 4, 6), (1, 3, 5, 7)), 1 << 18, 1 << 23
 #: Rows that a broadcast join may hold.
 SMALL = 500_000
 
@@ -65,22 +65,27 @@ def _texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
 
 
 def _keys(s: np.ndarray) -> np.ndarray:
-    """Min-hash keys of a set that is not empty."""
+    """Keys of a set that is not empty: each is made of several min-hashes, so sets that share one are likely to be near copies."""
     with np.errstate(over="ignore"):
-        return np.array([(s * _ODD[2 + i]).min() for i in range(KEYS)])
+        least = [(s * _ODD[2 + i]).min() for i in range(HASHES)]
+        out = np.arange(len(KEYS), dtype=np.uint64)
+        for k, places in enumerate(KEYS):
+            for i in places:
+                out[k] = out[k] * _ODD[1] + least[i]
+        return _mixed(out)
 
 
 def _common_tokens(docs: DataFrame, width: int, most: int) -> np.ndarray:
     """Tokens of many documents, commonest last, counted over all documents.
 
-    A partition reports the tokens that several of its documents hold, where documents that share AGREE min-hash keys with an earlier one
+    A partition reports the tokens that several of its documents hold, where documents that share a min-hash key with an earlier one
     are near copies of it and count no more; the most tokens with the largest sums are kept.  They only set the order of tokens.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held, kept = _Words(), 0, []
         found, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        seen: list[set[int]] = [set() for _ in range(KEYS)]
+        seen: list[set[int]] = [set() for _ in KEYS]
 
         def fold() -> None:
             nonlocal found, counts, kept
@@ -99,7 +104,7 @@ def _common_tokens(docs: DataFrame, width: int, most: int) -> np.ndarray:
                 if not len(s):
                     continue
                 keys = _keys(s).tolist()
-                near = sum(k in had for k, had in zip(keys, seen, strict=True)) >= AGREE
+                near = any(k in had for k, had in zip(keys, seen, strict=True))
                 for k, had in zip(keys, seen, strict=True):
                     had.add(k)
                 if near:
@@ -357,14 +362,17 @@ def similar_groups(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT
     rows = cut(_profiles(base, width, per_cent, common))
     full = rows.filter("n_shingles > 0")
     # A set is known by the row id of one of its documents.
-    sets = cut(full.groupBy("sig").agg(F.min("__rid").alias("id"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys")))
+    sets = cut(full.groupBy("sig").agg(F.min("__rid").alias("id"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")))
 
-    keyed = cut(sets.select("id", "n", F.posexplode("keys").alias("i", "key")))
-    pivots = keyed.groupBy("i", "key").agg(F.min(F.struct("id", "n")).alias("p"), F.max(F.struct("id", "n")).alias("q"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    # A key's pivots are its most copied set, from which near copies are likely made, and one that differs from key to key.
+    keyed = sets.select("id", "n", "copies", F.posexplode("keys").alias("i", "key"))
+    pivot = F.struct("id", "n")
+    most, other = (F.max_by(pivot, F.struct(c, "id")) for c in (F.col("copies"), F.xxhash64("i", "id")))
+    pivots = keyed.groupBy("i", "key").agg(most.alias("p"), other.alias("q"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     near = keyed.join(pivots, ["i", "key"]).select("id", "n", F.explode(F.array("p", "q")).alias("p"))
     near = near.filter((F.col("id") != F.col("p.id")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * per_cent))
-    stars = near.groupBy(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= AGREE)
-    first = cut(_verified(base, stars.select("a", "b"), width, per_cent))
+    stars = near.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
+    first = cut(_verified(base, stars, width, per_cent))
     roots = components(first)
 
     entries = full.select(F.col("__rid").alias("id"), F.col("n_shingles").alias("n"), "prefix", F.struct("place", "hash").alias("last")).join(sets.select("id"), "id")
