@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Toxic and clean labelled documents that the model is fitted on at most, and the largest of them in bytes; hashed weights; passes; threshold.
-SAMPLE, SAMPLE_CLEAN, SAMPLE_BYTES, WEIGHTS, PASSES, THRESHOLD = 2500, 7500, 16_384, 1 << 18, 24, 0.7
+#: Toxic and clean labelled documents that the model is fitted on at most, clean and toxic ones that the
+#: chain itself is fitted on, and the largest of them in bytes; hashed weights; passes; threshold.
+SAMPLE, SAMPLE_CLEAN, CHAIN, SAMPLE_BYTES, WEIGHTS, PASSES, THRESHOLD = 1500, 3500, (2400, 800), 8192, 1 << 18, 24, 0.7
 #: Documents scored side by side hold about so many tokens.
 TOKENS = 400_000
 
@@ -85,81 +87,118 @@ def marginals(odds: np.ndarray, lengths: np.ndarray, moves: np.ndarray, pairs: b
     inner[(starts + lengths - 1)[lengths > 0]] = False
     i = np.flatnonzero(inner)
     x = odds[i + 1] * bwd[i + 1]
-    cells = np.stack([np.full(len(i), m[0, 0]), m[0, 1] * x, m[1, 0] * fwd[i], m[1, 1] * fwd[i] * x])
-    return p, (cells / cells.sum(0)).sum(1).reshape(2, 2)
+    f = fwd[i]
+    whole = m[0, 0] + m[0, 1] * x + m[1, 0] * f + m[1, 1] * f * x
+    return p, m * np.array([[(1 / whole).sum(), (x / whole).sum()], [(f / whole).sum(), (f * x / whole).sum()]])
 
 
-def _lexicon(low: list[list[str]], toxic: np.ndarray, chance: float = 0.01) -> tuple[set[str], set[str]]:
-    """Words and beginnings of words that set toxic documents apart from clean ones beyond what chance gives.
+class _Corpus:
+    """Documents as arrays of word numbers; words without case and without signs around them have numbers of their own."""
+
+    def __init__(self, texts: list[str]):
+        vocab: dict[str, int] = {}
+        self.docs = [np.fromiter((vocab.setdefault(w, len(vocab)) for w in t.split()), np.int32) for t in texts]
+        self.words = list(vocab)
+        plain: dict[str, int] = {}
+        self.plain_of = np.fromiter((plain.setdefault(_EDGE.sub("", w.lower()), len(plain)) for w in vocab), np.int32, len(vocab))
+        self.plain = list(plain)
+
+
+def _lexicon(corpus: _Corpus, which: np.ndarray, toxic: np.ndarray, chance: float = 0.01) -> np.ndarray:
+    """For each plain word whether it, or a beginning of it, sets toxic documents apart from clean ones beyond what chance gives.
 
     A word counts once for each document, near copies of a document count as one, and a log-likelihood ratio must exceed
     what the best of so many words would reach by chance.
     """
-    seen: set[tuple[int, int]] = set()
-    counts: dict[str, list[int]] = {}
+    words = corpus.plain
+    begins: dict[str, int] = {}
+    stems = np.full((len(words), 3), -1, np.int32)
+    in_toxic = np.zeros(len(words), bool)
+    for d in which[toxic[which] == 1]:
+        in_toxic[corpus.plain_of[corpus.docs[d]]] = True
+    # Beginnings of words in toxic documents, at first; then the other words that have them.
+    for some in (np.flatnonzero(in_toxic), np.flatnonzero(~in_toxic)):
+        for i in some:
+            w = words[i]
+            for j, k in enumerate((4, 5, 6)):
+                if len(w) > k:
+                    stems[i, j] = begins.setdefault(w[:k], len(begins)) if in_toxic[i] else begins.get(w[:k], -1)
+    mark = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint64, len(words)) * np.uint64(0x9E3779B97F4A7C15)
+    seen: set[tuple[int, int, int]] = set()
     n = [1, 1]
-    for t, y in zip(low, toxic, strict=True):
-        parts = {zlib.crc32(" ".join(t[i : i + 5]).encode()) for i in range(max(1, len(t) - 4))}
-        marks = {(y, k, min(x * f % 4294967291 for x in parts)) for k, f in ((0, 2654435761), (1, 2246822519))}
+    of_word, of_stem = np.zeros((2, len(words))), np.zeros((2, len(begins)))
+    for d in which:
+        y, ids = int(toxic[d]), corpus.plain_of[corpus.docs[d]]
+        h = mark[ids]
+        k = min(5, len(h))
+        if not k:
+            continue
+        with np.errstate(over="ignore"):
+            run = h[: len(h) - k + 1].copy()
+            for i in range(1, k):
+                run = run * np.uint64(0xD6E8FEB86659FD93) + h[i : len(h) - k + 1 + i]
+            marks = {(y, i, int((run * np.uint64(f)).min())) for i, f in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))}
         if marks & seen:
             continue
         seen |= marks
         n[y] += 1
-        words = {w for w in t if w}
-        for w in words | {f"{w[:k]}*" for w in words for k in (4, 5, 6) if len(w) > k}:
-            counts.setdefault(w, [0, 0])[y] += 1
+        own = np.unique(ids)
+        of_word[y, own] += 1
+        begun = np.unique(stems[own])
+        of_stem[y, begun[begun >= 0]] += 1
     share = n[1] / (n[0] + n[1])
-    bar = 2 * math.log(max(2, len(counts)) / chance)
-
-    def stands_out(c0: int, c1: int) -> bool:
-        both = c0 + c1
-        if c1 < 3 or c1 / n[1] < 20 * c0 / n[0]:
-            return False
-        gain = c1 * math.log(c1 / (both * share)) + (c0 * math.log(c0 / (both * (1 - share))) if c0 else 0)
-        return 2 * gain > bar
-
-    found = {w for w, (c0, c1) in counts.items() if stands_out(c0, c1)}
-    # A beginning says more than its words only if several words share it.
-    words_of: dict[str, int] = {}
-    for w, (c0, c1) in counts.items():
-        if w[-1] != "*" and c1 > c0:
-            for k in (4, 5, 6):
-                words_of[w[:k]] = words_of.get(w[:k], 0) + 1
-    return {w for w in found if w[-1] != "*"}, {w[:-1] for w in found if w[-1] == "*" and words_of.get(w[:-1], 0) >= 3}
-
-
-def _token_labels(texts: list[list[str]], toxic: np.ndarray) -> list[np.ndarray]:
-    """Token labels from document labels: in toxic documents, the words that set these apart from clean ones."""
-    low = [[_EDGE.sub("", w.lower()) for w in t] for t in texts]
-    words, starts = _lexicon(low, toxic)
+    bar = 2 * math.log(max(2, len(words) + len(begins)) / chance)
 
-    def marked(w: str) -> bool:
-        return w in words or w[:4] in starts or w[:5] in starts or w[:6] in starts
+    def stands_out(c: np.ndarray) -> np.ndarray:
+        both = np.maximum(c.sum(0), 1e-9)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.where(c[1] > 0, c[1] * np.log(c[1] / (both * share)), 0) + np.where(c[0] > 0, c[0] * np.log(c[0] / (both * (1 - share))), 0)
+        return (c[1] >= 3) & (c[1] / n[1] >= 20 * c[0] / n[0]) & (2 * gain > bar)
 
-    def labels() -> list[np.ndarray]:
-        return [np.array([bool(y) and bool(w) and marked(w) for w in t], np.int64) for t, y in zip(low, toxic, strict=True)]
+    # A beginning says more than its words only if several words of toxic documents share it.
+    held = stems[of_word[1] > of_word[0]].ravel()
+    good = stands_out(of_stem) & (np.bincount(held[held >= 0], minlength=len(begins)) >= 3)
+    out = stands_out(of_word) | ((stems >= 0) & good[stems] if len(begins) else np.zeros((len(words), 3), bool)).any(1)
+    return out & np.fromiter((bool(w) for w in words), bool, len(words))
 
+
+def _token_labels(corpus: _Corpus, toxic: np.ndarray) -> list[np.ndarray]:
+    """Token labels from document labels: in toxic documents, the words that set these apart from clean ones."""
+    marked = _lexicon(corpus, np.arange(len(toxic)), toxic)
+    hit = np.array([bool(marked[corpus.plain_of[d]].any()) for d in corpus.docs])
     # Toxic documents in which nothing stands out are compared with the clean ones once more, by themselves.
-    rest = [i for i, (y, m) in enumerate(zip(toxic, labels(), strict=True)) if not y or not m.any()]
-    for more, had in zip(_lexicon([low[i] for i in rest], toxic[rest], 1.0), (words, starts), strict=True):
-        had |= more
-    return labels()
+    marked = marked | _lexicon(corpus, np.flatnonzero((toxic == 0) | ~hit), toxic, 1.0)
+    return [(marked[corpus.plain_of[d]] & bool(y)).astype(np.int64) for d, y in zip(corpus.docs, toxic, strict=True)]
 
 
 def fit(texts: list[str], toxic: list[int], passes: int = PASSES, seed: int = 0) -> Chain:
-    """Train the chain by gradient ascent on the conditional likelihood of token labels, then calibrate document scores."""
+    """Train the chain by gradient ascent on the conditional likelihood of token labels, then calibrate document scores.
+
+    Token labels come from all texts; the chain is fitted on the first CHAIN of either class.
+    """
     y_doc = np.array(toxic, np.int64)
-    split = [t.split() for t in texts]
-    labels = _token_labels(split, y_doc)
-    lengths = np.array([len(t) for t in split], np.int64)
-    y = np.concatenate(labels) if labels else np.zeros(0, np.int64)
-    vocab: dict[str, int] = {}
-    token = np.fromiter((vocab.setdefault(w, len(vocab)) for t in split for w in t), np.int64, int(lengths.sum()))
-    feats = [_features(w) for w in vocab]
-    of = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
-    flat = np.array([i for f in feats for i in f], np.int64)
+    corpus = _Corpus(texts)
+    told_labels = _token_labels(corpus, y_doc)
+    use_docs = np.sort(np.concatenate([np.flatnonzero(y_doc == c)[: CHAIN[c]] for c in (0, 1)]))
+    y_doc = y_doc[use_docs]
+    none = [np.zeros(0, np.int64)]
+    lengths = np.array([len(corpus.docs[d]) for d in use_docs], np.int64)
+    y = np.concatenate([told_labels[d] for d in use_docs] or none)
+    raw = np.concatenate([corpus.docs[d] for d in use_docs] or none)
+    del told_labels
+    used, token = np.unique(raw, return_inverse=True)
+    token = token.astype(np.int32)
+    del raw
+    ids, many = array("i"), array("i")
+    for i in used:
+        f = _features(corpus.words[i])
+        ids.extend(f)
+        many.append(len(f))
+    del corpus
+    flat, many = np.array(ids, np.int32), np.array(many, np.int32)
+    of = np.repeat(np.arange(len(many), dtype=np.int32), many)
     is_word = np.zeros(len(flat), bool)
-    is_word[np.cumsum([0, *[len(f) for f in feats][:-1]])[: len(feats)]] = True
+    is_word[np.cumsum(many) - many] = True
     model = Chain(np.zeros(WEIGHTS), -4.0, np.zeros((2, 2)), (-5.0, 5.0, 3.0))
     rng = np.random.default_rng(seed)
     squares, b_sq, m_sq = np.full(WEIGHTS, 1e-3), 1e-3, np.full((2, 2), 1e-3)
@@ -169,10 +208,10 @@ def fit(texts: list[str], toxic: list[int], passes: int = PASSES, seed: int = 0)
     told = np.array([[np.sum((y[i] == a) & (y[i + 1] == b)) for b in (0, 1)] for a in (0, 1)], float)
     for _ in range(passes if len(y) else 0):
         # Whole words are left out at random, so that beginnings learn to carry words never seen.
-        use = np.where(is_word, rng.random(len(flat)) < 0.5, rng.random(len(flat)) < 0.8)
-        unary = model.bias + np.bincount(of, model.weights[flat] * use, len(vocab))
+        use = np.where(is_word, rng.random(len(flat)) < 0.6, rng.random(len(flat)) < 0.8)
+        unary = model.bias + np.bincount(of, model.weights[flat] * use, len(used))
         p, pairs = marginals(np.exp(np.clip(unary, -12, 12))[token], lengths, model.moves, pairs=True)
-        rest = np.bincount(token, y - p, len(vocab))
+        rest = np.bincount(token, y - p, len(used))
         g = np.bincount(flat, rest[of] * use, WEIGHTS) - 0.05 * model.weights
         squares += g * g
         model.weights += 0.7 * g / np.sqrt(squares)
@@ -182,12 +221,12 @@ def fit(texts: list[str], toxic: list[int], passes: int = PASSES, seed: int = 0)
         gm = told - pairs - 0.1 * model.moves
         m_sq += gm * gm
         model.moves += 0.2 * gm / np.sqrt(m_sq)
-    unary = model.bias + np.bincount(of, model.weights[flat], len(vocab))
+    unary = model.bias + np.bincount(of, model.weights[flat], len(used)) if len(y) else np.zeros(0)
     p = marginals(np.exp(np.clip(unary, -12, 12))[token], lengths, model.moves) if len(y) else np.zeros(0)
     peak, mass = _gathered(p, lengths)
     x = np.column_stack([np.ones(len(peak)), peak, np.log1p(mass)])
     w = np.array(model.scale)
-    for _ in range(300):
+    for _ in range(100):
         q = 1 / (1 + np.exp(-x @ w))
         h = (x * (q * (1 - q))[:, None]).T @ x + np.eye(3) * 3
         w = w + np.linalg.solve(h, x.T @ (y_doc - q) - 3 * (w - np.array(model.scale)))
@@ -228,8 +267,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_clean
     ids = known.filter("toxic = 1").orderBy(hashed, "doc_id").limit(2 * sample).union(known.filter("toxic = 0").orderBy(hashed, "doc_id").limit(2 * sample_clean))
     found = docs.select("doc_id", "text").filter(F.octet_length("text") <= sample_bytes).join(F.broadcast(ids), "doc_id")
     got = [found.filter(F.col("toxic") == y).orderBy(hashed, "doc_id", "text").limit(most).select("text", "toxic") for y, most in ((0, sample_clean), (1, sample))]
-    rows = got[0].union(got[1]).collect()  # so many texts of sample_bytes at most
-    return fit([r.text for r in rows], [r.toxic for r in rows])
+    rows = got[0].union(got[1]).toArrow()  # so many texts of sample_bytes at most
+    return fit(rows["text"].to_pylist(), rows["toxic"].to_pylist())
 
 
 def score(docs: DataFrame, model: Chain, threshold: float = THRESHOLD) -> DataFrame:
