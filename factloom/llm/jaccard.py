@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small
+from .common import cut, small, stable
 
 #: Words in a shingle; similarity in per cent; min-hashes of a set, and which of them make up each of its keys; most
 #: tokens held as common ones; tokens that a partition counts at a time.
@@ -356,7 +356,7 @@ def similar_groups(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT
     Columns of docs called n_shingles or component_id give way.
     """
     base = docs.select(*[c for c in docs.columns if c not in ("n_shingles", "component_id")], F.monotonically_increasing_id().alias("__rid"))
-    base = _stable(base)
+    base = stable(base)
     spark = docs.sparkSession
     common = _common_tokens(base, width, most_common)
     rows = cut(_profiles(base, width, per_cent, common))
@@ -364,11 +364,15 @@ def similar_groups(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT
     # A set is known by the row id of one of its documents.
     sets = cut(full.groupBy("sig").agg(F.min("__rid").alias("id"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")))
 
-    # A key's pivots are its most copied set, from which near copies are likely made, and one that differs from key to key.
+    # A key's pivots are the set that shares its keys with most documents, the likely origin of near copies, and one that differs
+    # from key to key.
     keyed = sets.select("id", "n", "copies", F.posexplode("keys").alias("i", "key"))
+    crowd = keyed.groupBy("i", "key").agg(F.sum("copies").alias("crowd"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    keyed = cut(keyed.join(crowd, ["i", "key"]).select("id", "n", "i", "key", "crowd"))
+    keyed = keyed.join(keyed.groupBy("id").agg(F.sum("crowd").alias("fame")), "id")
     pivot = F.struct("id", "n")
-    most, other = (F.max_by(pivot, F.struct(c, "id")) for c in (F.col("copies"), F.xxhash64("i", "id")))
-    pivots = keyed.groupBy("i", "key").agg(most.alias("p"), other.alias("q"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    most, other = (F.max_by(pivot, F.struct(c, "id")) for c in (F.col("fame"), F.xxhash64("i", "id")))
+    pivots = keyed.groupBy("i", "key").agg(most.alias("p"), other.alias("q"))
     near = keyed.join(pivots, ["i", "key"]).select("id", "n", F.explode(F.array("p", "q")).alias("p"))
     near = near.filter((F.col("id") != F.col("p.id")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * per_cent))
     stars = near.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
@@ -401,14 +405,3 @@ def keep_one(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT) -> D
     lost = cut(lost.select("doc_id", "__h", "n_shingles").distinct())
     left = docs.withColumn("__h", F.xxhash64("text")).alias("d").join(small(lost, SMALL).alias("l"), F.expr("d.doc_id <=> l.doc_id AND d.__h = l.__h"), "left_anti")
     return left.drop("__h")
-
-
-def _stable(base: DataFrame) -> DataFrame:
-    """Row ids must be the same in every pass: they are for a plain scan of files, anything else is cut as a table first."""
-    plan = base._jdf.queryExecution().optimizedPlan()
-    node = plan
-    while node.children().size() == 1:
-        node = node.children().head()
-    plain = node.children().isEmpty() and node.nodeName().startswith("LogicalRelation") or node.nodeName().startswith("Relation")
-    steps = plan.toString()
-    return base if plain and not any(w in steps for w in ("Sample", "Repartition", "Aggregate", "Sort", "Window", "MapIn", "Limit")) else cut(base)
