@@ -343,7 +343,7 @@ def similar_groups(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT
     """n_shingles and component_id for each row of docs (other columns stay): groups linked by Jaccard >= per_cent.
 
     1. Equal sets are one node, by a 128-bit signature.
-    2. Set relations: sets that share min-hash keys are compared with two pivots of each key only; those that are
+    2. Set relations: sets that share min-hash keys are compared with three pivots of each key only; those that are
        similar enough join its component.
     3. An inverted index of prefix tokens (rare tokens first) gives the other candidates.  Its lists are in blocks by set size and
        position, which are skipped whole; a member's pairs inside its component are never looked up again: its answers follow
@@ -364,16 +364,16 @@ def similar_groups(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT
     # A set is known by the row id of one of its documents.
     sets = cut(full.groupBy("sig").agg(F.min("__rid").alias("id"), F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.count(F.lit(1)).alias("copies")))
 
-    # A key's pivots are the set that shares its keys with most documents, the likely origin of near copies, and one that differs
-    # from key to key.
+    # A key's pivots are its most copied set and the one that shares its keys with most documents, likely origins of near copies, and
+    # one that differs from key to key.
     keyed = sets.select("id", "n", "copies", F.posexplode("keys").alias("i", "key"))
     crowd = keyed.groupBy("i", "key").agg(F.sum("copies").alias("crowd"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    keyed = cut(keyed.join(crowd, ["i", "key"]).select("id", "n", "i", "key", "crowd"))
+    keyed = cut(keyed.join(crowd, ["i", "key"]).select("id", "n", "copies", "i", "key", "crowd"))
     keyed = keyed.join(keyed.groupBy("id").agg(F.sum("crowd").alias("fame")), "id")
     pivot = F.struct("id", "n")
-    most, other = (F.max_by(pivot, F.struct(c, "id")) for c in (F.col("fame"), F.xxhash64("i", "id")))
-    pivots = keyed.groupBy("i", "key").agg(most.alias("p"), other.alias("q"))
-    near = keyed.join(pivots, ["i", "key"]).select("id", "n", F.explode(F.array("p", "q")).alias("p"))
+    orders = (F.col("copies"), F.col("fame"), F.xxhash64("i", "id"))
+    pivots = keyed.groupBy("i", "key").agg(F.array(*[F.max_by(pivot, F.struct(c, "id")) for c in orders]).alias("p"))
+    near = keyed.join(pivots, ["i", "key"]).select("id", "n", F.explode(F.array_distinct("p")).alias("p"))
     near = near.filter((F.col("id") != F.col("p.id")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * per_cent))
     stars = near.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
     first = cut(_verified(base, stars, width, per_cent))
