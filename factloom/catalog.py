@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from .operators import evidence
+from .plans import relational
+from .streaming import jobs
 
-def oracle_sql() -> dict:
-    return {}
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return relational.queries() | evidence.queries() | jobs.queries()
+
+
+def oracle_sql() -> dict[str, str]:
+    return relational.oracle_sql() | evidence.oracle_sql() | jobs.oracle_sql()
