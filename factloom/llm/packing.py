@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .common import cut, running_totals
 
 #: Sequence capacity in tokens; id that ends a document; part of the capacity from which a piece is large; groups of large pieces.
-CAPACITY, END_ID, LARGE_FROM, GROUPS = 2048, 0, 1 / 8, 64
+CAPACITY, END_ID, LARGE_FROM, GROUPS = 2048, 0, 1 / 8, 512
 
 _ENCODERS: dict[str, object] = {}
 

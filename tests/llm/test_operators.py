@@ -145,7 +145,8 @@ def test_marginals_match_enumeration():
 
 
 def test_toxicity_scores(docs, spark):
-    texts = [f"you are {w} plain words number{i}" for i in range(40) for w in ("awfulzz", "nice")]
+    # Texts must not be near copies of each other: those count as one.
+    texts = [f"first{i}{w} {w} second{i * 7}{w} third{i * 11}{w} fourth{i * 13}{w}" for i in range(40) for w in ("awfulzz", "nice")]
     model = toxicity.fit(texts, [1, 0] * 40)
     got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame([(1, "such an awfulzz thing"), (2, None), (3, "a fine thing")], "doc_id long, text string"), model).collect()}
     assert got[1].predicted == 1 and got[2].predicted == 0 and got[3].predicted == 0
