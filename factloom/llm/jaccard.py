@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small, stable
@@ -175,8 +175,13 @@ def _profiles(docs: DataFrame, width: int, per_cent: int, common: np.ndarray) ->
     return docs.select("__rid", "doc_id", "text").mapInArrow(run, "__rid long, doc_id long, n_shingles long, sig binary, keys array<long>, prefix array<long>, place int, hash long")
 
 
+def _ends(x: str, y: str) -> list[Column]:
+    """A pair of ids as columns a and b, the smaller one first."""
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """Those of the pairs (a, b) of row ids whose sets are similar enough."""
+    """Those of the pairs (a, b) of row ids whose sets are similar enough, with their similarity."""
     pairs = cut(pairs)
     wanted = cut(pairs.select(F.col("a").alias("__rid")).union(pairs.select(F.col("b").alias("__rid"))).distinct())
 
@@ -190,7 +195,8 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, per_cent: int) -> D
     held = cut(docs.select("__rid", "text").join(small(wanted, SMALL), "__rid").mapInArrow(run, "id long, s array<long>"))
     both = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(common * 100 >= (F.size("sa") + F.size("sb") - common) * per_cent).select("a", "b")
+    union = F.size("sa") + F.size("sb") - common
+    return both.filter(common * 100 >= union * per_cent).select("a", "b", (common / union).alias("sim"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -343,8 +349,8 @@ def similar_groups(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT
     """n_shingles and component_id for each row of docs (other columns stay): groups linked by Jaccard >= per_cent.
 
     1. Equal sets are one node, by a 128-bit signature.
-    2. Set relations: sets that share min-hash keys are compared with three pivots of each key only; those that are
-       similar enough join its component.
+    2. Set relations: sets that share min-hash keys are compared with three pivots of each key only, then with the one that is
+       most similar to the pivots; those that are similar enough join its component.
     3. An inverted index of prefix tokens (rare tokens first) gives the other candidates.  Its lists are in blocks by set size and
        position, which are skipped whole; a member's pairs inside its component are never looked up again: its answers follow
        from its pivot's.  Candidates between components are verified on the whole sets, and the links joined.
@@ -375,14 +381,25 @@ def similar_groups(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT
     pivots = keyed.groupBy("i", "key").agg(F.array(*[F.max_by(pivot, F.struct(c, "id")) for c in orders]).alias("p"))
     near = keyed.join(pivots, ["i", "key"]).select("id", "n", F.explode(F.array_distinct("p")).alias("p"))
     near = near.filter((F.col("id") != F.col("p.id")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * per_cent))
-    stars = near.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct()
-    first = cut(_verified(base, stars, width, per_cent))
+    stars = cut(near.select("id", F.col("p.id").alias("to")).distinct())
+    first = cut(_verified(base, stars.select(*_ends("id", "to")).distinct(), width, per_cent))
+    roots = cut(components(first.select("a", "b")))
+
+    # The set that is most similar to the pivots in all is likely the origin of its near copies: a second pivot for those that are not
+    # yet in its component.
+    told = stars.select("id", "to", *_ends("id", "to")).join(first, ["a", "b"])
+    total = told.select("id", "sim").union(told.select(F.col("to").alias("id"), F.lit(1.0)).distinct()).groupBy("id").agg(F.sum("sim").alias("total"))
+    grouped = cut(keyed.select("id", "n", "i", "key").join(total, "id", "left").join(roots, F.col("id") == roots.node, "left").select("id", "n", "i", "key", "total", F.coalesce("root", "id").alias("root")))
+    middles = grouped.filter("total IS NOT NULL").groupBy("i", "key").agg(F.max_by(F.struct("id", "n", "root"), F.struct("total", "id")).alias("p"))
+    near = grouped.join(middles, ["i", "key"]).filter((F.col("root") != F.col("p.root")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * per_cent))
+    again = near.select(*_ends("id", "p.id")).distinct().join(first, ["a", "b"], "left_anti")
+    first = first.select("a", "b").union(cut(_verified(base, again, width, per_cent)).select("a", "b"))
     roots = components(first)
 
     entries = full.select(F.col("__rid").alias("id"), F.col("n_shingles").alias("n"), "prefix", F.struct("place", "hash").alias("last")).join(sets.select("id"), "id")
     entries = entries.join(roots, entries.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("comp"), "n", "prefix", "last")
     buckets = max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    second = _verified(base, _index_pairs(entries, per_cent, buckets), width, per_cent)
+    second = _verified(base, _index_pairs(entries, per_cent, buckets), width, per_cent).select("a", "b")
     roots = components(first.union(second))
 
     named = sets.select("sig", "id", "doc_id").join(roots, sets.id == roots.node, "left").select("sig", "doc_id", F.coalesce("root", "id").alias("root"))
