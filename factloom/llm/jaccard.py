@@ -17,6 +17,8 @@ from .common import cut, small, stable
 WORDS, PER_CENT, HASHES, KEYS, COMMON, CHUNK = 5, 80, 8, ((0, 1), (2, 3), (4, 5), (6, 7), (0, 2, 4, 6), (1, 3, 5, 7)), 1 << 18, 1 << 23
 #: Rows that a broadcast join may hold.
 SMALL = 500_000
+#: Sets from which on a crowd around one set is a cluster; per cent of similarity to that set that its members have at least.
+CROWD, LOOSE = 64, 50
 
 #: Odd multipliers of 64 bits, from the fractional part of the golden ratio by a fixed rule.
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1) for i in range(64)]
@@ -180,8 +182,8 @@ def _ends(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, per_cent: int) -> DataFrame:
-    """Those of the pairs (a, b) of row ids whose sets are similar enough, with their similarity."""
+def _compared(docs: DataFrame, pairs: DataFrame, width: int, *more: Column) -> DataFrame:
+    """The pairs (a, b) of row ids with na and nb, the sizes of their sets, and how many tokens are in both; more: of the sets sa and sb."""
     pairs = cut(pairs)
     wanted = cut(pairs.select(F.col("a").alias("__rid")).union(pairs.select(F.col("b").alias("__rid"))).distinct())
 
@@ -194,9 +196,32 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, per_cent: int) -> D
 
     held = cut(docs.select("__rid", "text").join(small(wanted, SMALL), "__rid").mapInArrow(run, "id long, s array<long>"))
     both = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    union = F.size("sa") + F.size("sb") - common
-    return both.filter(common * 100 >= union * per_cent).select("a", "b", (common / union).alias("sim"))
+    return both.select("a", "b", F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("both"), *more)
+
+
+def _similar(compared: DataFrame, per_cent: int) -> DataFrame:
+    """Those of compared pairs whose sets are similar enough, with their similarity."""
+    union = F.col("na") + F.col("nb") - F.col("both")
+    return compared.filter(F.col("both") * 100 >= union * per_cent).select("a", "b", (F.col("both") / union).alias("sim"))
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, width: int, per_cent: int) -> DataFrame:
+    """Those of the pairs (a, b) of row ids whose sets are similar enough, with their similarity."""
+    return _similar(_compared(docs, pairs, width), per_cent)
+
+
+def _clusters(docs: DataFrame, compared: DataFrame, width: int, crowd: int, loose: int) -> DataFrame:
+    """(id, cluster, q, rest): the set that stands for the crowd around it, how many of its tokens id has, and id's other tokens.
+
+    Of the sets that it was compared with, a set takes the one with the largest crowd, if that is large; others are not returned.
+    """
+    near = compared.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * loose)
+    told = near.select(F.col("a").alias("id"), F.col("b").alias("cluster")).union(near.select(F.col("b").alias("id"), F.col("a").alias("cluster"))).distinct()
+    large = cut(told.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= crowd))
+    choice = told.join(large, "cluster").union(large.select("cluster", F.col("cluster").alias("id"), "size"))
+    choice = choice.groupBy("id").agg(F.max_by("cluster", F.struct("size", "cluster")).alias("cluster"))
+    pairs = choice.select(F.col("id").alias("a"), F.col("cluster").alias("b"))
+    return _compared(docs, pairs, width, F.array_except("sa", "sb").alias("rest")).select(F.col("a").alias("id"), F.col("b").alias("cluster"), F.col("both").alias("q"), "rest")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -223,12 +248,15 @@ def components(edges: DataFrame) -> DataFrame:
         now, seen = after, mark
 
 
-def _index_pairs(entries: DataFrame, per_cent: int, buckets: int) -> DataFrame:
-    """Candidate pairs (a, b) of sets from inverted lists of prefix tokens; entries: (id, comp, n, last, prefix).
+def _index_pairs(entries: DataFrame, per_cent: int, buckets: int, residual: bool = False) -> DataFrame:
+    """Candidate pairs (a, b) of sets from inverted lists of prefix tokens; entries: (id, comp, n, cluster, q, last, prefix).
 
     Each list gives the pairs of different components in it; a pair's lists together tell how many tokens c its prefixes
     share.  Of two prefixes, all common tokens up to the end of the one that ends first in the global order are among these, so the
     sets share c plus the rest of that set at most; pairs for which that is too little go.
+
+    Two sets of a cluster share at most what either has of the set that stands for it (q) and tokens that this one lacks.  If q is too
+    little for one of them, the pair comes from lists of such tokens only (residual: prefix has all of these) and not from the others.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -239,7 +267,11 @@ def _index_pairs(entries: DataFrame, per_cent: int, buckets: int) -> DataFrame:
             tokens = lists.flatten().to_numpy().view(np.uint64)
             row = np.repeat(np.arange(len(sizes)), sizes)
             pos = (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint32)
-            docs = np.column_stack([batch[c].to_numpy().view(np.uint64) for c in ("id", "comp", "n")])
+            docs = np.column_stack([batch[c].to_numpy().view(np.uint64) for c in ("id", "comp", "n", "cluster", "q")])
+            if residual:  # a list for each cluster and token; places among the other tokens say nothing about the whole sets
+                pos[:] = 0
+                with np.errstate(over="ignore"):
+                    tokens = _mixed(tokens + docs[row, 3] * _ODD[1])
             bucket = (tokens % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
@@ -253,8 +285,8 @@ def _index_pairs(entries: DataFrame, per_cent: int, buckets: int) -> DataFrame:
 
     def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
         d, m = (int(x) for x in np.frombuffer(blob, np.uint64, 2))
-        docs = np.frombuffer(blob, np.uint64, 3 * d, 16).reshape(d, 3)
-        at = 16 + 24 * d
+        docs = np.frombuffer(blob, np.uint64, 5 * d, 16).reshape(d, 5)
+        at = 16 + 40 * d
         tokens = np.frombuffer(blob, np.uint64, m, at)
         where, pos = np.frombuffer(blob, np.uint32, m, at + 8 * m), np.frombuffer(blob, np.uint32, m, at + 12 * m)
         return tokens, np.column_stack([docs[where], pos.astype(np.uint64)]).view(np.int64)
@@ -264,28 +296,36 @@ def _index_pairs(entries: DataFrame, per_cent: int, buckets: int) -> DataFrame:
         token, p = np.concatenate([t for t, _ in parts]), np.concatenate([q for _, q in parts])
         del parts
         # Lists by token, in them by set size and then position: blocks of one size and position are adjacent.
-        order = np.lexsort((p[:, 3], p[:, 2], token))
+        order = np.lexsort((p[:, POS], p[:, 2], token))
         token, p = token[order], p[order]
         starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         sizes = np.diff(np.append(starts, len(token)))
         # Lists whose members are linked already give nothing: their answers are those of their pivot.
         mixed = np.maximum.reduceat(p[:, 1], starts) != np.minimum.reduceat(p[:, 1], starts)
+        if not residual:
+            # Nor do those of one cluster, if all members that have enough of its set are linked.
+            far = 100 * p[:, 4] < per_cent * p[:, 2]
+            top, low = np.where(far, np.iinfo(np.int64).min, p[:, 1]), np.where(far, np.iinfo(np.int64).max, p[:, 1])
+            linked = np.maximum.reduceat(top, starts) <= np.minimum.reduceat(low, starts)
+            mixed &= ~(linked & (np.maximum.reduceat(p[:, 3], starts) == np.minimum.reduceat(p[:, 3], starts)))
         short = mixed & (sizes <= SHORT)
-        out = [_short_list_pairs(p, np.repeat(np.cumsum(short) * short, sizes), per_cent)]
-        out += [_list_pairs(p[a : a + k], per_cent) for a, k in zip(starts[mixed & ~short], sizes[mixed & ~short], strict=True)]
+        out = [_short_list_pairs(p, np.repeat(np.cumsum(short) * short, sizes), per_cent, residual)]
+        out += [_list_pairs(p[a : a + k], per_cent, residual) for a, k in zip(starts[mixed & ~short], sizes[mixed & ~short], strict=True)]
         pairs, counts = np.unique(np.concatenate(out), axis=0, return_counts=True)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "c": pa.array(counts, pa.int64())})
 
-    dealt = entries.select("id", "comp", "n", "prefix").mapInArrow(deal, "bucket long, postings binary")
+    dealt = entries.select("id", "comp", "n", "cluster", "q", "prefix").mapInArrow(deal, "bucket long, postings binary")
     shared = dealt.groupBy("bucket").applyInArrow(lists, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    ends = [entries.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("last").alias(f"last{x}"), F.size("prefix").alias(f"p{x}")) for x in "ab"]
+    ends = [entries.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("q").alias(f"q{x}"), F.col("last").alias(f"last{x}"), F.size("prefix").alias(f"p{x}")) for x in "ab"]
     told = shared.join(ends[0], "a").join(ends[1], "b")
+    if residual:
+        return told.filter((F.col("c") + F.least("qa", "qb")) * (100 + per_cent) >= (F.col("na") + F.col("nb")) * per_cent).select("a", "b")
     rest = F.when(F.col("lasta") < F.col("lastb"), F.col("na") - F.col("pa")).when(F.col("lastb") < F.col("lasta"), F.col("nb") - F.col("pb")).otherwise(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")))
     return told.filter((F.col("c") + rest) * (100 + per_cent) >= (F.col("na") + F.col("nb")) * per_cent).select("a", "b")
 
 
-#: Lists up to this length are worked on together.
-SHORT = 48
+#: Lists up to this length are worked on together; the column of positions behind id, component, size, cluster and q.
+SHORT, POS = 48, 5
 
 
 def _possible(n: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.ndarray, per_cent: int) -> np.ndarray:
@@ -294,14 +334,20 @@ def _possible(n: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.ndarray, per_
     return most * (100 + per_cent) >= (n[x] + n[y]) * per_cent
 
 
+def _asked(p: np.ndarray, x: np.ndarray, y: np.ndarray, per_cent: int, residual: bool) -> np.ndarray:
+    """Whether a pair is of two components and of these lists: of residual ones if the cluster's set alone can't give the overlap."""
+    little = (p[x, 3] == p[y, 3]) & (np.minimum(p[x, 4], p[y, 4]) * (100 + per_cent) < (p[x, 2] + p[y, 2]) * per_cent)
+    return (p[x, 1] != p[y, 1]) & (little == residual)
+
+
 def _ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.column_stack([np.minimum(a, b), np.maximum(a, b)])
 
 
-def _short_list_pairs(p: np.ndarray, number: np.ndarray, per_cent: int) -> np.ndarray:
+def _short_list_pairs(p: np.ndarray, number: np.ndarray, per_cent: int, residual: bool) -> np.ndarray:
     """Pairs of different components within the same short list; number: the list of each posting, 0 for none."""
     p, number = p[number > 0], number[number > 0]
-    n, pos = p[:, 2], p[:, 3]
+    n, pos = p[:, 2], p[:, POS]
     out = [np.zeros((0, 2), np.int64)]
     if not len(p):
         return out[0]
@@ -314,19 +360,19 @@ def _short_list_pairs(p: np.ndarray, number: np.ndarray, per_cent: int) -> np.nd
         k = many[lo:hi]
         x = np.repeat(np.arange(lo, hi), k)
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
-        keep = (p[x, 1] != p[y, 1]) & _possible(n, pos, x, y, per_cent)
+        keep = _asked(p, x, y, per_cent, residual) & _possible(n, pos, x, y, per_cent)
         out.append(_ordered(p[x[keep], 0], p[y[keep], 0]))
         lo = hi
     return np.concatenate(out)
 
 
-def _list_pairs(p: np.ndarray, per_cent: int) -> np.ndarray:
+def _list_pairs(p: np.ndarray, per_cent: int, residual: bool) -> np.ndarray:
     """Pairs of different components in one long list that sizes and positions leave possible.
 
     The list is in blocks of equal size and position.  For each block the sizes that it can match are one stretch of blocks,
     and in it a block is skipped whole if its position leaves too little for the overlap that the sizes ask for.
     """
-    n, pos = p[:, 2], p[:, 3]
+    n, pos = p[:, 2], p[:, POS]
     heads = np.flatnonzero(np.append(True, (np.diff(n) != 0) | (np.diff(pos) != 0)))
     tails = np.append(heads[1:], len(p))
     bn, bp, out = n[heads], pos[heads], [np.zeros((0, 2), np.int64)]
@@ -339,19 +385,23 @@ def _list_pairs(p: np.ndarray, per_cent: int) -> np.ndarray:
         k = tails[j] - heads[j]
         other = np.repeat(heads[j] - (np.cumsum(k) - k), k) + np.arange(k.sum())
         for x in range(heads[i], tails[i]):
-            y = other[(other > x) & (p[other, 1] != p[x, 1])]
+            y = other[other > x]
+            y = y[_asked(p, np.full(len(y), x), y, per_cent, residual)]
             if len(y):
                 out.append(_ordered(np.full(len(y), p[x, 0]), p[y, 0]))
     return np.concatenate(out)
 
 
-def similar_groups(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT, most_common: int = COMMON) -> DataFrame:
+def similar_groups(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT, most_common: int = COMMON, crowd: int = CROWD, loose: int = LOOSE) -> DataFrame:
     """n_shingles and component_id for each row of docs (other columns stay): groups linked by Jaccard >= per_cent.
 
     1. Equal sets are one node, by a 128-bit signature.
     2. Set relations: sets that share min-hash keys are compared with three pivots of each key only, then with the one that is
        most similar to the pivots; those that are similar enough join its component.
-    3. An inverted index of prefix tokens (rare tokens first) gives the other candidates.  Its lists are in blocks by set size and
+    3. Texts around one origin that are not similar enough to it would meet all its copies: such a set can only be similar to one of
+       them by tokens that the origin lacks, so these pairs come from an index of those tokens alone.  crowd and loose say from which
+       size and similarity on this is done; results do not depend on them.
+    4. An inverted index of prefix tokens (rare tokens first) gives the other candidates.  Its lists are in blocks by set size and
        position, which are skipped whole; a member's pairs inside its component are never looked up again: its answers follow
        from its pivot's.  Candidates between components are verified on the whole sets, and the links joined.
     So every pair of different components that could be similar is verified, and components are exact (up to collisions of
@@ -373,8 +423,8 @@ def similar_groups(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT
     # A key's pivots are its most copied set and the one that shares its keys with most documents, likely origins of near copies, and
     # one that differs from key to key.
     keyed = sets.select("id", "n", "copies", F.posexplode("keys").alias("i", "key"))
-    crowd = keyed.groupBy("i", "key").agg(F.sum("copies").alias("crowd"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    keyed = cut(keyed.join(crowd, ["i", "key"]).select("id", "n", "copies", "i", "key", "crowd"))
+    crowds = keyed.groupBy("i", "key").agg(F.sum("copies").alias("crowd"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    keyed = cut(keyed.join(crowds, ["i", "key"]).select("id", "n", "copies", "i", "key", "crowd", "k"))
     keyed = keyed.join(keyed.groupBy("id").agg(F.sum("crowd").alias("fame")), "id")
     pivot = F.struct("id", "n")
     orders = (F.col("copies"), F.col("fame"), F.xxhash64("i", "id"))
@@ -382,24 +432,29 @@ def similar_groups(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT
     near = keyed.join(pivots, ["i", "key"]).select("id", "n", F.explode(F.array_distinct("p")).alias("p"))
     near = near.filter((F.col("id") != F.col("p.id")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * per_cent))
     stars = cut(near.select("id", F.col("p.id").alias("to")).distinct())
-    first = cut(_verified(base, stars.select(*_ends("id", "to")).distinct(), width, per_cent))
+    compared = cut(_compared(base, stars.select(*_ends("id", "to")).distinct(), width))
+    first = _similar(compared, per_cent)
     roots = cut(components(first.select("a", "b")))
 
     # The set that is most similar to the pivots in all is likely the origin of its near copies: a second pivot for those that are not
-    # yet in its component.
+    # yet in its component, and in large crowds for all.
     told = stars.select("id", "to", *_ends("id", "to")).join(first, ["a", "b"])
     total = told.select("id", "sim").union(told.select(F.col("to").alias("id"), F.lit(1.0)).distinct()).groupBy("id").agg(F.sum("sim").alias("total"))
-    grouped = cut(keyed.select("id", "n", "i", "key").join(total, "id", "left").join(roots, F.col("id") == roots.node, "left").select("id", "n", "i", "key", "total", F.coalesce("root", "id").alias("root")))
+    grouped = cut(keyed.select("id", "n", "i", "key", "k").join(total, "id", "left").join(roots, F.col("id") == roots.node, "left").select("id", "n", "i", "key", "k", "total", F.coalesce("root", "id").alias("root")))
     middles = grouped.filter("total IS NOT NULL").groupBy("i", "key").agg(F.max_by(F.struct("id", "n", "root"), F.struct("total", "id")).alias("p"))
-    near = grouped.join(middles, ["i", "key"]).filter((F.col("root") != F.col("p.root")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * per_cent))
-    again = near.select(*_ends("id", "p.id")).distinct().join(first, ["a", "b"], "left_anti")
-    first = first.select("a", "b").union(cut(_verified(base, again, width, per_cent)).select("a", "b"))
-    roots = components(first)
+    near = grouped.join(middles, ["i", "key"]).filter(((F.col("root") != F.col("p.root")) | (F.col("k") >= crowd)) & (F.col("id") != F.col("p.id")) & (F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * per_cent))
+    again = near.select(*_ends("id", "p.id")).distinct().join(compared, ["a", "b"], "left_anti")
+    compared = compared.union(cut(_compared(base, again, width)))
+    first = _similar(compared, per_cent).select("a", "b")
+    roots = cut(components(first))
+    clusters = cut(_clusters(base, compared, width, crowd, loose))
 
     entries = full.select(F.col("__rid").alias("id"), F.col("n_shingles").alias("n"), "prefix", F.struct("place", "hash").alias("last")).join(sets.select("id"), "id")
-    entries = entries.join(roots, entries.id == roots.node, "left").select("id", F.coalesce("root", "id").alias("comp"), "n", "prefix", "last")
+    entries = entries.join(roots, entries.id == roots.node, "left").join(clusters, "id", "left")
+    entries = entries.select("id", F.coalesce("root", "id").alias("comp"), "n", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("q", "n").alias("q"), "prefix", "last", "rest")
     buckets = max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    second = _verified(base, _index_pairs(entries, per_cent, buckets), width, per_cent).select("a", "b")
+    within = _index_pairs(entries.filter("size(rest) > 0").withColumn("prefix", F.col("rest")), per_cent, buckets, residual=True)
+    second = _verified(base, _index_pairs(entries, per_cent, buckets).union(within), width, per_cent).select("a", "b")
     roots = components(first.union(second))
 
     named = sets.select("sig", "id", "doc_id").join(roots, sets.id == roots.node, "left").select("sig", "doc_id", F.coalesce("root", "id").alias("root"))

@@ -59,6 +59,33 @@ def test_similar_groups(docs):
     assert jaccard.similar_groups(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("crowd", [3, 1000])
+def test_similar_groups_around_origins(spark, crowd):
+    """Groups of copies with more or fewer changes, some of them the same ones, against all pairs."""
+    rng, texts = np.random.default_rng(7), []
+    for _ in range(3):
+        origin = [f"w{x}" for x in rng.integers(0, 5000, 90)]
+        edits = [(int(at), f"e{at}") for at in rng.integers(0, 90, 8)]
+        for many in [0, *rng.integers(0, 7, 50)]:
+            text = list(origin)
+            for k in rng.integers(0, 8, many):
+                if rng.random() < 0.5:
+                    text[edits[k][0]] = edits[k][1]
+                else:
+                    text[rng.integers(0, 90)] = f"x{rng.integers(0, 9999)}"
+            texts.append(" ".join(text[rng.integers(0, 4) :]))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    least = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]) and least[i] != least[j]:
+                a, b = sorted((least[i], least[j]))
+                least = [a if x == b else x for x in least]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(set(least)) > 6
+    assert {r.doc_id: r.component_id for r in jaccard.similar_groups(df, crowd=crowd).collect()} == dict(enumerate(least))
+
+
 def test_mix(docs):
     got = mixing.mix(docs).collect()
     assert len(got) == len(ROWS)
