@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Words that carry no content of their own.
-STOP_WORDS = "the a an of for to in on and or is are be by with from at as per any all not".split()
+STOP_WORDS = "the a an of and or for to in on by with is are be at as from any this that who which per".split()
 
 
 def norm(text: Column) -> Column:
