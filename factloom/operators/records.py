@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy
 from ..functions import rules as R
 from ..functions import text as T
-from .evidence import PROFILE, classify
+from .evidence import _HOST as _PAGE_HOST
+from .evidence import _KIND, PROFILE, classify
 
 #: Keywords, limits and dates that fit the synthetic tables.
 KEYWORDS, CONTEXT_CHARS, PER_PAGE, AS_OF = "(?i)the|and", 2000, 25, "1998-06-30"
@@ -229,5 +230,6 @@ def oracle_sql() -> dict[str, str]:
         "ground_field": "SELECT o_orderkey, o_orderstatus <> 'F' AS grounded, CASE WHEN o_orderstatus <> 'F' THEN 'ships by ' || o_orderpriority END AS value FROM orders",
         "order_by_field_list": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY list_position(['P', 'O', 'F'], o_orderstatus), o_orderkey) AS place FROM orders",
         "freshness": f"SELECT o_orderkey, CAST(CASE WHEN CAST(o_orderdate AS DATE) BETWEEN DATE '{AS_OF}' - 360 AND DATE '{AS_OF}' + 540 THEN 10 ELSE 0 END AS BIGINT) AS points FROM orders",
+        "source_kinds_by_host": f"SELECT h AS host, min(kind) AS kind, count(*) AS n FROM (SELECT h, {_KIND} AS kind FROM (SELECT url, {_PAGE_HOST} AS h FROM pages) t) u GROUP BY h",
         "json_guard": "SELECT event_id, coalesce(CASE WHEN event_id % 2 = 0 THEN json_extract_string(props, '$.k') END, 'unreadable') AS k FROM events",
     }
