@@ -38,6 +38,18 @@ def encoder(path: str):
     return _ENCODERS[path]
 
 
+def token_ids(path: str, text: str) -> list[int]:
+    """The ids of a text.  Texts on which tiktoken's regex gives up, as on a million white-space characters in a row, go to the tokenizers library."""
+    try:
+        return encoder(path).encode(text, allowed_special="all")
+    except ValueError:
+        from tokenizers import Tokenizer
+
+        if (key := f"library:{path}") not in _ENCODERS:
+            _ENCODERS[key] = Tokenizer.from_file(path)
+        return _ENCODERS[key].encode(text, add_special_tokens=False).ids
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Tokenize whole texts and cut them: (__rid, doc_id, piece, start, length, ids_crc32 and, if asked for, ids).
 
@@ -47,11 +59,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     schema = "__rid long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
         for batch in batches:
             out: list[list] = [[] for _ in range(7 if with_ids else 6)]
             for rid, doc, text in zip(batch["__rid"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = np.array([*enc.encode(text.as_py() or "", allowed_special="all"), end_id], dtype="<u4")
+                ids = np.array([*token_ids(tokenizer, text.as_py() or ""), end_id], dtype="<u4")
                 first = len(ids) % capacity or capacity
                 cuts = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):

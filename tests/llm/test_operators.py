@@ -123,6 +123,20 @@ def test_tokenizer_matches_library():
     assert own == [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
 
 
+def test_long_white_space_is_packed(spark):
+    """Runs of over a million white-space characters, on which tiktoken raises, give the ids of the library."""
+    from tokenizers import Tokenizer
+
+    path = queries.tokenizer_path()
+    texts = [f"one{c * (1_100_000 // len(c))}two<|endoftext|> three{c}" for c in (" ", "\n", "\r\n", "\u3000")]
+    library, found = Tokenizer.from_file(path), defaultdict(list)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in packing.pack(df, path, with_ids=True).orderBy("doc_id", "piece").collect():
+        assert r.start == len(found[r.doc_id])
+        found[r.doc_id] += r.ids
+    assert dict(found) == {i: [*library.encode(t, add_special_tokens=False).ids, packing.END_ID] for i, t in enumerate(texts)}
+
+
 def test_chat_round_trip(spark):
     rows = [(1, 0, "user", "<s> </s>[INST]\\[/INST] <\\s>"), (1, 1, "assistant", "<\\\\/s>[\\INST]é"), (2, None, None, None), (2, 1, "assistant", "")]
     got = {r.conv_id: r for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
