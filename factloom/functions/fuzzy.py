@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
@@ -31,21 +34,60 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * _lcs(_masks(a), len(a), b) / (len(a) + len(b)) if a or b else 100.0
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """Best ratio of the shorter text with a stretch of the longer one that is as long, or shorter at either end."""
+def partial_ratio(a: str, b: str, floor: float = 0.0) -> float:
+    """Best ratio of the shorter text with a stretch of the longer one that is as long, or shorter at either end; 0 if it is below floor.
+
+    A step to the next stretch adds one at most to the common subsequence, so stretches that can't reach the floor or the best ratio so far are skipped.
+    """
     if not a or not b:
         return 100.0 if a == b else 0.0
     best = 0.0
     for short, long in {(a, b), (b, a)} if len(a) == len(b) else {min((a, b), (b, a), key=lambda p: len(p[0]))}:
-        m, masks = len(short), _masks(short)
+        m, n, masks = len(short), len(long), _masks(short)
         if short in long:
             return 100.0
-        for end in range(1, len(long) + m):
+        end = 1
+        while end < n + m:
             part = long[max(0, end - m) : end]
-            # The stretch's last (or, at the end of the text, first) character must match, or a neighbour is no worse.
-            if (part[-1] if end <= len(long) else part[0]) in masks:
-                best = max(best, 200.0 * _lcs(masks, m, part) / (m + len(part)))
-    return best
+            common = _lcs(masks, m, part)
+            best = max(best, 200.0 * common / (m + len(part)))
+            lacking = max(best, floor) * (m + len(part)) / 200 - common
+            end += max(1, math.ceil(lacking - 1e-9))
+    return best if best >= floor else 0.0
+
+
+def _trigrams(text: str) -> np.ndarray:
+    c = np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+
+
+def quotes_found(quotes: list[str], text: str, floor: float) -> list[tuple[int, float]]:
+    """(position, partial ratio) of those quotes that reach floor in a text; a quote that is not there literally has 600 characters at most.
+
+    A stretch at or above floor keeps a number of the quote's trigrams: each character that the quote lacks or the stretch has
+    in addition destroys three and two at most.  Quotes of which no stretch has that many are left out unaligned.
+    """
+    out, kinds, at = [], None, None
+    for i, q in enumerate(quotes):
+        m = len(q)
+        if m < 4 or m > 600 and q not in text:
+            continue
+        part = floor / 100
+        need = (5 * part - 4) * m / (2 - part) - 2
+        if 0 < need and m < len(text) and q not in text:
+            if kinds is None:
+                kinds, at = np.unique(_trigrams(text), return_inverse=True)
+            grams = _trigrams(q)
+            spot = np.minimum(np.searchsorted(kinds, grams), len(kinds) - 1)
+            known = np.zeros(len(kinds), dtype=bool)
+            known[spot[kinds[spot] == grams]] = True
+            sums = np.concatenate(([0], np.cumsum(known[at])))
+            if (sums[m - 2 :] - sums[: 2 - m]).max() < need - 1e-6:
+                continue
+        score = partial_ratio(q, text, floor)
+        if score >= floor:
+            out.append((i, score))
+    return out
 
 
 def token_set_ratio(a: str, b: str) -> float:
@@ -70,3 +112,12 @@ def _batched(fn: Callable[[str, str], float]):
 
 partial = _batched(partial_ratio)
 token_set = _batched(token_set_ratio)
+
+
+def found(quotes: Column, text: Column, floor: float) -> Column:
+    """quotes_found as a column: an array of (i, score), i counted from 0."""
+
+    def run(many: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([[{"i": i, "score": s} for i, s in quotes_found(list(q), t, floor)] for q, t in zip(many, texts, strict=True)], dtype=object)
+
+    return pandas_udf(run, "array<struct<i: int, score: double>>")(quotes, text)

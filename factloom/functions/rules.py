@@ -92,6 +92,15 @@ def quote_in_page(quote: Column, page: Column) -> Column:
     return F.when(F.length(q) < 4, 0.0).when(literal, 100.0).when(residue, fuzzy_score).otherwise(0.0)
 
 
+def quote_still_there(parts: list[Column], page: Column) -> Column:
+    """Whether every part of a quote reaches the floor on a page; false without parts."""
+    ok = F.lit(bool(parts))
+    for part in parts:
+        hits = fuzzy.found(F.array(T.norm(part)), T.norm(page), QUOTE_FLOOR)
+        ok = ok & (F.size(hits) > 0)
+    return ok
+
+
 def overlap(value: Column, quote: Column) -> Column:
     """Share of the value's content words that the quote has; null without content words."""
     v = T.content_words(value)

@@ -15,6 +15,8 @@ from .evidence import _KIND, PROFILE, classify
 
 #: Keywords, limits and dates that fit the synthetic tables.
 KEYWORDS, CONTEXT_CHARS, PER_PAGE, AS_OF = "(?i)the|and", 2000, 25, "1998-06-30"
+#: Quotes that are looked up together in one reading of a text.
+QUOTE_GROUP = 256
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -127,19 +129,34 @@ def numbers_supported(spark, sf_dir):
     return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", T.numbers_supported(value, quote).alias("supported"))
 
 
+def quotes_in_texts(quotes: DataFrame, docs: DataFrame, floor: float = R.QUOTE_FLOOR) -> DataFrame:
+    """item_id, doc_id and score for all of quotes (item_id, text) and docs (doc_id, text) whose quote reaches floor somewhere in the whole text.
+
+    Quotes go in groups of QUOTE_GROUP, so that each text is read once for a group.
+    """
+    groups = max(1, -(-quotes.count() // QUOTE_GROUP))
+    asked = quotes.select(F.struct("item_id", T.norm(F.col("text")).alias("q")).alias("ask"), (F.monotonically_increasing_id() % groups).alias("group"))
+    asked = asked.groupBy("group").agg(F.collect_list("ask").alias("asks"))
+    spread = docs.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)  # aligning costs far more than reading
+    pairs = spread.select("doc_id", T.norm(F.col("text")).alias("t")).filter("t <> ''").crossJoin(asked)
+    hits = pairs.select("doc_id", "asks", F.explode(fuzzy.found(F.transform("asks", lambda x: x.q), F.col("t"), floor)).alias("hit"))
+    return hits.select(F.get("asks", F.col("hit.i")).item_id.alias("item_id"), "doc_id", F.col("hit.score").alias("score"))
+
+
 def quote_still_present(spark, sf_dir):
-    """Two stretches of each text, joined as a quote, looked up in the text without its line ends."""
+    """Three stretches of each text, from its start, middle and end, joined as a quote and looked up in the text without its line ends and every eleventh word."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    quote = F.concat(F.substring("text", 10, 60), F.lit(R.QUOTE_JOIN), F.substring("text", 100, 60))
-    parts = F.split(quote, R.QUOTE_JOIN)
-    ok = (R.quote_in_page(F.get(parts, 0), F.col("text")) >= 90) & (R.quote_in_page(F.get(parts, 1), F.col("text")) >= 90)
-    return docs.select("doc_id", ok.alias("present"))
+    size = F.length("text")
+    stretches = [F.substring("text", F.greatest(at, F.lit(1)), F.lit(120)) for at in (F.lit(1), (size / 2).cast("int") - 60, size - 119)]
+    today = F.regexp_replace(F.replace("text", F.lit("\n"), F.lit("")), r"((?:\S+ +){10})\S+ +", "$1")
+    return docs.select("doc_id", R.quote_still_there(stretches, today).alias("present"))
 
 
 def quote_fuzzy(spark, sf_dir):
-    """Titles of pages against slightly different titles."""
-    title = T.html_title(F.col("html"))
-    return _t(spark, sf_dir, "pages").select("page_id", F.round(R.quote_in_page(F.concat(F.substring(title, 1, 40), F.lit(" zq")), title), 6).alias("score"))
+    """Passages of benchmark with every twentieth word changed and line ends for the spaces after full stops, looked up in the whole texts of all documents."""
+    changed = F.regexp_replace(F.regexp_replace("text", r"((?:\S+\s+){19})\S+", "$1zq"), r"\. ", ".\n")
+    quotes = _t(spark, sf_dir, "benchmark").select("item_id", changed.alias("text"))
+    return quotes_in_texts(quotes, _t(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
 def ground_field(spark, sf_dir):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import fuzzy
 from factloom.functions import rules as R
+from factloom.operators import records
 
 
 def lcs(a, b):
@@ -67,3 +68,52 @@ def test_links(spark):
     html = '<a href="/p#q">One  <b>x</b></a><a href="mailto:a@b">m</a><a class="c" href="https://z.org/k/">z</a>'
     got = one(spark, R.link_parts(F.lit(html), F.lit("http://h.org/d/e?f")))
     assert [tuple(r) for r in got] == [(1, "http://h.org/p", "One x"), (2, "https://z.org/k", "z")]
+
+
+def plain_partial(a, b):
+    """Best ratio of the shorter text with every stretch of the longer one."""
+    best = 0
+    for short, long in [(a, b)] * (len(a) <= len(b)) + [(b, a)] * (len(b) <= len(a)):
+        for end in range(1, len(long) + len(short)):
+            best = max(best, plain(short, long[max(0, end - len(short)) : end]))
+    return best
+
+
+def reworded(rng, text, edits):
+    out = list(text)
+    for _ in range(edits):
+        at = rng.randrange(len(out))
+        out[at : at + 1] = rng.choice(["", "x", out[at] + "y"])
+    return "".join(out)
+
+
+def test_quotes_against_plain_programming(spark):
+    """Altered quotes in whole texts: the same pairs and scores as plain programming over all stretches."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("aeionrst") for _ in range(rng.randint(2, 7)))
+    texts = ["\n".join(" ".join(word() for _ in range(12)) for _ in range(4)) for _ in range(6)] + [None, "", "abcd"]
+    quotes = ["abc", "abxd", ""]
+    for edits in range(0, 9):
+        t = rng.choice(texts[:6])
+        at = rng.choice([0, len(t) - 40, rng.randrange(len(t) - 40)])
+        quotes.append(reworded(rng, t[at : at + 40], edits))
+    low = lambda x: " ".join((x or "").split())
+    want = {}
+    for i, q in enumerate(map(low, quotes)):
+        for j, t in enumerate(map(low, texts)):
+            score = (100 if q in t else plain_partial(q, t)) if len(q) >= 4 and t else 0
+            if score >= 90:
+                want[i, j] = pytest.approx(score)
+    asked = spark.createDataFrame(list(enumerate(quotes)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.item_id, r.doc_id): r.score for r in records.quotes_in_texts(asked, docs).collect()}
+    assert got == want and sum(v != 100 for v in got.values()) > 2
+
+
+def test_registered_quotes_reach_the_fuzzy_ratio(spark):
+    sf = "/root/testdata/sf0.001"
+    got = records.quote_fuzzy(spark, sf).collect()
+    assert got and all(90 <= r.score for r in got) and any(r.score < 100 for r in got)
+    assert {"item_id", "doc_id", "score"} == set(got[0].asDict())
+    there = [r.present for r in records.quote_still_present(spark, sf).collect()]
+    assert len(there) == 200 and True in there and False in there
