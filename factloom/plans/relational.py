@@ -87,6 +87,21 @@ QUERIES = {
             CAST(CASE WHEN max(CAST(l.l_shipdate AS DATE)) >= DATE '1997-07-05' THEN 10 ELSE 0 END AS DECIMAL(10, 4)) AS fresh, CAST(CASE WHEN o.o_orderstatus = 'P' THEN 30 ELSE 0 END AS DECIMAL(10, 4)) AS penalty
           FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_discount > 0.02 GROUP BY o.o_orderkey, o.o_orderstatus) t""",
 }
+#: The same with two sides that together hold every row: a predicate and its complement, and an overlap whose values differ.
+_SIDE_A, _SIDE_B = "l_suppkey % 3 IS DISTINCT FROM 0", "l_suppkey % 3 IS NOT DISTINCT FROM 0 OR l_suppkey % 2 = 0"
+QUERIES |= {
+    "set_union_urls_all": "SELECT url FROM pages WHERE page_id % 2 IS NOT DISTINCT FROM 0 UNION SELECT url FROM pages WHERE page_id % 2 IS DISTINCT FROM 0 OR page_id % 3 = 0",
+    "merge_missing_all": f"""
+        SELECT coalesce(a.l_orderkey, b.l_orderkey) AS record, coalesce(a.l_linenumber, b.l_linenumber) AS field, coalesce(a.price, b.price) AS price, a.here IS NULL AS filled
+        FROM (SELECT l_orderkey, l_linenumber, l_extendedprice AS price, 1 AS here FROM lineitem WHERE {_SIDE_A}) a
+        FULL OUTER JOIN (SELECT l_orderkey, l_linenumber, l_extendedprice + 1 AS price FROM lineitem WHERE {_SIDE_B}) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber""",
+    "field_changes_all": f"""
+        SELECT coalesce(a.l_orderkey, b.l_orderkey) AS record, coalesce(a.l_linenumber, b.l_linenumber) AS field,
+          CASE WHEN a.here IS NULL THEN 'newly stated' WHEN b.here IS NULL THEN 'no longer stated' ELSE 'value changed' END AS note
+        FROM (SELECT l_orderkey, l_linenumber, l_quantity AS v, 1 AS here FROM lineitem WHERE {_SIDE_A}) a
+        FULL OUTER JOIN (SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0.05 THEN l_quantity + 1 ELSE l_quantity END AS v, 1 AS here FROM lineitem WHERE {_SIDE_B}) b
+          ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.here IS NULL OR b.here IS NULL OR a.v IS DISTINCT FROM b.v""",
+}
 #: Spellings that differ in the oracle.
 _ORACLE = {"sha2(text, 256)": "sha256(text)"}
 _SPARK = {"datediff('day', CAST(o_orderdate AS DATE), DATE '1998-06-30')": "datediff(DATE '1998-06-30', CAST(o_orderdate AS DATE))"}
