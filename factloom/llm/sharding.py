@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, running_totals, text_or_empty
@@ -36,16 +36,21 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, overhead: int = 16) -> D
     total = rows.agg(F.sum("size")).first()[0] or 0
     target = -(-total // n_shards) or 1
     groups = cut(groups.withColumn("__whole", (F.col("__rows") == 1) | (F.col("__bytes") <= target)))
+    # Rows of a split group are equal texts, so each holds the group's bytes / rows.
+    groups = groups.withColumn("__apart", ~F.col("__whole") & (F.col("__bytes") * LARGE > F.col("__rows") * target))
     # At most LARGE * n_shards units can each hold more than target / LARGE bytes.
-    large = groups.filter(F.col("__whole") & (F.col("__bytes") * LARGE > target)).orderBy(F.col("__bytes").desc(), *key).select(*key, "__bytes").collect()
+    many = F.when(F.col("__apart"), F.col("__rows")).otherwise(1)
+    each = F.when(F.col("__apart"), F.floor(F.col("__bytes") / F.col("__rows"))).otherwise(F.col("__bytes")).cast("long")
+    large = groups.filter(F.col("__apart") | F.col("__whole") & (F.col("__bytes") * LARGE > target)).select(*key, each.alias("__each"), many.alias("__many")).orderBy(F.col("__each").desc(), *key).collect()
     load = [(0, s) for s in range(n_shards)]
     placed = []
-    for h, crc, size in large:
-        had, s = heapq.heappop(load)
-        heapq.heappush(load, (had + size, s))
-        placed.append((h, crc, s))
+    for h, crc, size, count in large:
+        for n in range(1, count + 1):
+            had, s = heapq.heappop(load)
+            heapq.heappush(load, (had + size, s))
+            placed.append((h, crc, n, s))
     spark = docs.sparkSession
-    at = F.broadcast(spark.createDataFrame(placed, "__h long, text_crc32 long, __at int"))
+    at = F.broadcast(spark.createDataFrame(placed, "__h long, text_crc32 long, __n int, __at int"))
     taken = dict((s, had) for had, s in load)
     # The small units fill what the large ones leave: a level is sought up to which all shards are filled.
     rest = total - sum(taken.values())
@@ -54,7 +59,10 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 40, overhead: int = 16) -> D
     for s in range(n_shards - 1):
         free += max(0, level - taken[s])
         bounds.append(int(free))
-    units = rows.join(groups, key).join(at, key, "left")
+    units = rows.join(groups, key)
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id"))  # LARGE * n_shards rows at most
+    numbered = units.filter("__apart").withColumn("__n", number).unionByName(units.filter("not __apart").withColumn("__n", F.lit(1)))
+    units = numbered.join(at, [*key, "__n"], "left").drop("__n")
     rest_rows = cut(running_totals(units.filter(F.col("__at").isNull()), ["__h", "text_crc32", "doc_id"], {"__before": "size"}))
     starts = rest_rows.filter("__whole").groupBy(*key).agg(F.min("__before").alias("__start"))
     middle = F.when(F.col("__whole"), F.col("__start") * 2 + F.col("__bytes")).otherwise(F.col("__before") * 2 + F.col("size"))

@@ -51,6 +51,21 @@ def test_shards(docs):
     assert sharding.shard_by_bytes(docs.limit(0)).count() == 0
 
 
+def test_shards_of_repeated_long_texts(spark):
+    """Five rows of 0.4 targets each among small texts: their rows are placed first, so sizes are near equal."""
+    rows = [(i, "long " * 1600) for i in range(5)] + [(10 + i, f"small text {i} " * 4) for i in range(1000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = {i: len(t) + 16 for i, t in rows}
+    n = round(sum(sizes.values()) / (sizes[0] / 0.4))
+    got = sharding.shard_by_bytes(df, n).collect()
+    assert sorted(r.doc_id for r in got) == sorted(sizes)
+    load = [0] * n
+    for r in got:
+        load[r.shard] += r.size
+        assert r.size == sizes[r.doc_id]
+    assert max(load) - min(load) <= 2 * max(sizes[i] for i in sizes if i >= 10)
+
+
 def test_similar_groups(docs):
     got = {(r.doc_id, (r.text or "")[:5]): r for r in jaccard.similar_groups(docs).collect()}
     assert got[2, "a b c"].component_id == 1 and got[1, "a b c"].n_shingles == 6
