@@ -51,7 +51,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The trained stage has no SQL form; the tests hold the pipeline against a brute-force version.
+#: The trained stage has no SQL form; no test holds the whole pipeline against a brute-force version yet.
 ORACLE_SQL = None
 
 
