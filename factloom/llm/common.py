@@ -2,19 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_TABLES: list[str] = []
+#: Tables that the scopes now open have made, the innermost scope last.
+_SCOPES: list[list[str]] = []
+
+#: Plan nodes under which a row's place is the same in every pass.
+_STILL = ("Project", "Filter", "LogicalRelation", "Relation")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; one under /tmp only where that setting is absent (local tests)."""
+    """The folder named in spark.checkpoint.dir.  Only a local session, whose tasks share the driver's disk, may do without that setting."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    return (named or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}").rstrip("/")
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
@@ -26,27 +37,36 @@ def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    _TABLES.append(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables that cut() has made so far; results not yet written out are lost with them."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _TABLES:
-        path = jvm.org.apache.hadoop.fs.Path(_TABLES.pop())
-        path.getFileSystem(conf).delete(path, True)
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that cut() makes inside are deleted at the end; write what they give before that.  Tables made outside a scope stay."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in _SCOPES.pop():
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+
 
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """rows with a row id that is the same in every pass.
 
-def stable(base: DataFrame) -> DataFrame:
-    """Row ids must be the same in every pass: they are for a plain scan of files, anything else is cut as a table first."""
-    plan = base._jdf.queryExecution().optimizedPlan()
-    node = plan
-    while node.children().size() == 1:
+    Selections from a scan of files keep every row in its place if all their expressions are deterministic; anything else is cut as a table.
+    """
+    node = rows._jdf.queryExecution().optimizedPlan()
+    still = node.deterministic()
+    while still and node.nodeName().split(" ")[0] in _STILL and node.children().size() == 1:
         node = node.children().head()
-    plain = node.children().isEmpty() and node.nodeName().startswith("LogicalRelation") or node.nodeName().startswith("Relation")
-    steps = plan.toString()
-    return base if plain and not any(w in steps for w in ("Sample", "Repartition", "Aggregate", "Sort", "Window", "MapIn", "Limit")) else cut(base)
+    still = still and node.nodeName().split(" ")[0] in _STILL and node.children().isEmpty()
+    given = F.monotonically_increasing_id().alias(name)
+    return rows.select("*", given) if still else cut(rows.select("*", given))
 
 
 def small(table: DataFrame, max_rows: int) -> DataFrame:

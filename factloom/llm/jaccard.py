@@ -10,15 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, stable
+from .common import cut, numbered, small
 
 #: Words in a shingle; similarity in per cent; min-hashes of a set, and which of them make up each of its keys; most
-#: tokens held as common ones; tokens that a partition counts at a time.
-WORDS, PER_CENT, HASHES, KEYS, COMMON, CHUNK = 5, 80, 8, ((0, 1), (2, 3), (4, 5), (6, 7), (0, 2, 4, 6), (1, 3, 5, 7)), 1 << 18, 1 << 23
+#: tokens held as common ones; tokens that a partition counts at a time; postings of an index bucket; words whose hashes are kept.
+WORDS, PER_CENT, HASHES, KEYS, COMMON, CHUNK, POSTINGS, KEPT = 5, 80, 8, ((0, 1), (2, 3), (4, 5), (6, 7), (0, 2, 4, 6), (1, 3, 5, 7)), 1 << 18, 1 << 21, 300_000, 150_000
 #: Rows that a broadcast join may hold.
 SMALL = 500_000
-#: Sets from which on a crowd around one set is a cluster; per cent of similarity to that set that its members have at least.
-CROWD, LOOSE = 64, 50
+#: Sets from which on a crowd is a cluster; per cent of similarity that its links have at least; members that meet one copy of its core.
+CROWD, LOOSE, MEMBERS = 64, 50, 1024
 
 #: Odd multipliers of 64 bits, from the fractional part of the golden ratio by a fixed rule.
 _ODD = [np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % 2**64 | 1) for i in range(64)]
@@ -37,7 +37,7 @@ class _Words(dict):
     """word -> 64-bit hash, kept while there is room."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
+        if len(self) >= KEPT:
             self.clear()
         h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return h
@@ -182,10 +182,8 @@ def _ends(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _compared(docs: DataFrame, pairs: DataFrame, width: int, *more: Column) -> DataFrame:
-    """The pairs (a, b) of row ids with na and nb, the sizes of their sets, and how many tokens are in both; more: of the sets sa and sb."""
-    pairs = cut(pairs)
-    wanted = cut(pairs.select(F.col("a").alias("__rid")).union(pairs.select(F.col("b").alias("__rid"))).distinct())
+def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(id, s): the sets of those rows of docs whose __rid is in wanted, cut as a table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
@@ -194,9 +192,15 @@ def _compared(docs: DataFrame, pairs: DataFrame, width: int, *more: Column) -> D
                 part = batch.slice(lo, 500)
                 yield pa.RecordBatch.from_arrays([part["__rid"], _lists([shingles(t, words, width) for t in _texts(part)])], names=["id", "s"])
 
-    held = cut(docs.select("__rid", "text").join(small(wanted, SMALL), "__rid").mapInArrow(run, "id long, s array<long>"))
+    return cut(docs.select("__rid", "text").join(small(wanted, SMALL), "__rid").mapInArrow(run, "id long, s array<long>"))
+
+
+def _compared(docs: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) of row ids with na and nb, the sizes of their sets, and how many tokens are in both."""
+    pairs = cut(pairs)
+    held = _sets(docs, cut(pairs.select(F.col("a").alias("__rid")).union(pairs.select(F.col("b").alias("__rid"))).distinct()), width)
     both = pairs.join(held.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(held.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-    return both.select("a", "b", F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("both"), *more)
+    return both.select("a", "b", F.size("sa").cast("long").alias("na"), F.size("sb").cast("long").alias("nb"), F.size(F.array_intersect("sa", "sb")).cast("long").alias("both"))
 
 
 def _similar(compared: DataFrame, per_cent: int) -> DataFrame:
@@ -211,17 +215,25 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, per_cent: int) -> D
 
 
 def _clusters(docs: DataFrame, compared: DataFrame, width: int, crowd: int, loose: int) -> DataFrame:
-    """(id, cluster, q, rest): the set that stands for the crowd around it, how many of its tokens id has, and id's other tokens.
+    """(id, cluster, q, rest): how many tokens of id's set are in the core of its cluster, and id's other tokens.
 
-    Of the sets that it was compared with, a set takes the one with the largest crowd, if that is large; others are not returned.
+    A cluster is a connected component of loosely similar sets, of those compared, if it is a crowd; sets in no cluster are not returned.
+    Its core has the tokens that more than half of its members hold: what an origin that the members were copied from would hold, whether
+    or not it is among them.
     """
     near = compared.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * loose)
-    told = near.select(F.col("a").alias("id"), F.col("b").alias("cluster")).union(near.select(F.col("b").alias("id"), F.col("a").alias("cluster"))).distinct()
-    large = cut(told.groupBy("cluster").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= crowd))
-    choice = told.join(large, "cluster").union(large.select("cluster", F.col("cluster").alias("id"), "size"))
-    choice = choice.groupBy("id").agg(F.max_by("cluster", F.struct("size", "cluster")).alias("cluster"))
-    pairs = choice.select(F.col("id").alias("a"), F.col("cluster").alias("b"))
-    return _compared(docs, pairs, width, F.array_except("sa", "sb").alias("rest")).select(F.col("a").alias("id"), F.col("b").alias("cluster"), F.col("both").alias("q"), "rest")
+    roots = cut(components(near.select("a", "b")))
+    large = cut(roots.groupBy("root").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") >= crowd))
+    members = cut(roots.join(small(large, SMALL), "root").select(F.col("node").alias("id"), F.col("root").alias("cluster"), "size"))
+    held = members.join(_sets(docs, members.select(F.col("id").alias("__rid")), width), "id")
+    tokens = held.select("cluster", "size", F.explode("s").alias("token")).groupBy("cluster", "size", "token").agg(F.count(F.lit(1)).alias("k"))
+    cores = tokens.filter("2 * k > size").groupBy("cluster", "size").agg(F.collect_list("token").alias("core"))  # twice a mean set at most
+    # A core has a copy for every MEMBERS members, so no key of the join has more rows than that.
+    copies = F.ceil(F.col("size") / MEMBERS).cast("int")
+    cores = cores.select("cluster", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), "core")
+    met = held.withColumn("copy", F.pmod(F.xxhash64("id"), copies).cast("int")).join(cores, ["cluster", "copy"], "left")
+    core = F.coalesce("core", F.array().cast("array<bigint>"))
+    return met.select("id", "cluster", F.size(F.array_intersect("s", core)).cast("long").alias("q"), F.array_except("s", core).alias("rest"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -255,7 +267,7 @@ def _index_pairs(entries: DataFrame, per_cent: int, buckets: int, residual: bool
     share.  Of two prefixes, all common tokens up to the end of the one that ends first in the global order are among these, so the
     sets share c plus the rest of that set at most; pairs for which that is too little go.
 
-    Two sets of a cluster share at most what either has of the set that stands for it (q) and tokens that this one lacks.  If q is too
+    Two sets of a cluster share at most what either has of its core (q) and tokens that the core lacks.  If q is too
     little for one of them, the pair comes from lists of such tokens only (residual: prefix has all of these) and not from the others.
     """
 
@@ -303,7 +315,7 @@ def _index_pairs(entries: DataFrame, per_cent: int, buckets: int, residual: bool
         # Lists whose members are linked already give nothing: their answers are those of their pivot.
         mixed = np.maximum.reduceat(p[:, 1], starts) != np.minimum.reduceat(p[:, 1], starts)
         if not residual:
-            # Nor do those of one cluster, if all members that have enough of its set are linked.
+            # Nor do those of one cluster, if all members that have enough of its core are linked.
             far = 100 * p[:, 4] < per_cent * p[:, 2]
             top, low = np.where(far, np.iinfo(np.int64).min, p[:, 1]), np.where(far, np.iinfo(np.int64).max, p[:, 1])
             linked = np.maximum.reduceat(top, starts) <= np.minimum.reduceat(low, starts)
@@ -335,7 +347,7 @@ def _possible(n: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.ndarray, per_
 
 
 def _asked(p: np.ndarray, x: np.ndarray, y: np.ndarray, per_cent: int, residual: bool) -> np.ndarray:
-    """Whether a pair is of two components and of these lists: of residual ones if the cluster's set alone can't give the overlap."""
+    """Whether a pair is of two components and of these lists: of residual ones if the cluster's core alone can't give the overlap."""
     little = (p[x, 3] == p[y, 3]) & (np.minimum(p[x, 4], p[y, 4]) * (100 + per_cent) < (p[x, 2] + p[y, 2]) * per_cent)
     return (p[x, 1] != p[y, 1]) & (little == residual)
 
@@ -369,23 +381,30 @@ def _short_list_pairs(p: np.ndarray, number: np.ndarray, per_cent: int, residual
 def _list_pairs(p: np.ndarray, per_cent: int, residual: bool) -> np.ndarray:
     """Pairs of different components in one long list that sizes and positions leave possible.
 
+    The members of the list's largest component have the same answers here and ask nothing: only the others look for partners.
     The list is in blocks of equal size and position.  For each block the sizes that it can match are one stretch of blocks,
     and in it a block is skipped whole if its position leaves too little for the overlap that the sizes ask for.
     """
-    n, pos = p[:, 2], p[:, POS]
+    n, pos, out = p[:, 2], p[:, POS], [np.zeros((0, 2), np.int64)]
+    comps, counts = np.unique(p[:, 1], return_counts=True)
+    most = p[:, 1] == comps[np.argmax(counts)]
+    asks = ~most
+    if not residual and (p[:, 3] == p[0, 3]).all():  # pairs with a set that has too little of the one core are residual
+        asks &= 100 * p[:, 4] >= per_cent * n
     heads = np.flatnonzero(np.append(True, (np.diff(n) != 0) | (np.diff(pos) != 0)))
     tails = np.append(heads[1:], len(p))
-    bn, bp, out = n[heads], pos[heads], [np.zeros((0, 2), np.int64)]
-    last = np.searchsorted(bn, 100 * bn // per_cent, side="right")
+    bn, bp = n[heads], pos[heads]
+    first, last = np.searchsorted(bn, -(-per_cent * bn // 100), side="left"), np.searchsorted(bn, 100 * bn // per_cent, side="right")
     for i in range(len(heads)):
-        j = np.arange(i, last[i])
-        j = j[_possible(bn, bp, np.full(len(j), i), j, per_cent)]
-        if not len(j):
+        mine = heads[i] + np.flatnonzero(asks[heads[i] : tails[i]])
+        if not len(mine):
             continue
+        j = np.arange(first[i], last[i])
+        j = j[_possible(bn, bp, np.full(len(j), i), j, per_cent)]
         k = tails[j] - heads[j]
         other = np.repeat(heads[j] - (np.cumsum(k) - k), k) + np.arange(k.sum())
-        for x in range(heads[i], tails[i]):
-            y = other[other > x]
+        for x in mine:
+            y = other[~asks[other] | (other > x)]
             y = y[_asked(p, np.full(len(y), x), y, per_cent, residual)]
             if len(y):
                 out.append(_ordered(np.full(len(y), p[x, 0]), p[y, 0]))
@@ -398,9 +417,9 @@ def similar_groups(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT
     1. Equal sets are one node, by a 128-bit signature.
     2. Set relations: sets that share min-hash keys are compared with three pivots of each key only, then with the one that is
        most similar to the pivots; those that are similar enough join its component.
-    3. Texts around one origin that are not similar enough to it would meet all its copies: such a set can only be similar to one of
-       them by tokens that the origin lacks, so these pairs come from an index of those tokens alone.  crowd and loose say from which
-       size and similarity on this is done; results do not depend on them.
+    3. Copies of one origin that are too far from it for a link would meet all its other copies: such a set can only be similar to one
+       of them by tokens beyond the core that they all share, so these pairs come from an index of those tokens alone.  crowd and
+       loose say from which size and similarity on this is done; results do not depend on them.
     4. An inverted index of prefix tokens (rare tokens first) gives the other candidates.  Its lists are in blocks by set size and
        position, which are skipped whole; a member's pairs inside its component are never looked up again: its answers follow
        from its pivot's.  Candidates between components are verified on the whole sets, and the links joined.
@@ -411,8 +430,7 @@ def similar_groups(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT
     take part as rows and are ignored in that minimum (null if there is no other).  Repeated rows are rows of the same group.
     Columns of docs called n_shingles or component_id give way.
     """
-    base = docs.select(*[c for c in docs.columns if c not in ("n_shingles", "component_id")], F.monotonically_increasing_id().alias("__rid"))
-    base = stable(base)
+    base = numbered(docs.select(*[c for c in docs.columns if c not in ("n_shingles", "component_id")]), "__rid")
     spark = docs.sparkSession
     common = _common_tokens(base, width, most_common)
     rows = cut(_profiles(base, width, per_cent, common))
@@ -452,7 +470,8 @@ def similar_groups(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT
     entries = full.select(F.col("__rid").alias("id"), F.col("n_shingles").alias("n"), "prefix", F.struct("place", "hash").alias("last")).join(sets.select("id"), "id")
     entries = entries.join(roots, entries.id == roots.node, "left").join(clusters, "id", "left")
     entries = entries.select("id", F.coalesce("root", "id").alias("comp"), "n", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("q", "n").alias("q"), "prefix", "last", "rest")
-    buckets = max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    postings = full.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-postings // POSTINGS))
     within = _index_pairs(entries.filter("size(rest) > 0").withColumn("prefix", F.col("rest")), per_cent, buckets, residual=True)
     second = _verified(base, _index_pairs(entries, per_cent, buckets).union(within), width, per_cent).select("a", "b")
     roots = components(first.union(second))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, running_totals, stable
+from .common import cut, numbered, running_totals
 
 #: A document's size: maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -51,9 +51,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, tilt:
     are separate documents.  An empty table gives an empty result; columns of docs with names of added columns give way.
     """
     added = ("size", "source_size", "target", "taken", "copies", "positions")
-    rows = docs.select(*[c for c in docs.columns if c not in added], F.monotonically_increasing_id().alias("__rid"))
+    rows = numbered(docs.select(*[c for c in docs.columns if c not in added]), "__rid")
     key = F.md5(F.encode(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))), "UTF-8"))
-    rows = stable(rows).withColumns({"size": n_words(F.col("text")), "__null": F.col("source").isNull().cast("int"), "__source": F.coalesce("source", F.lit("")), "__key": key})
+    rows = rows.withColumns({"size": n_words(F.col("text")), "__null": F.col("source").isNull().cast("int"), "__source": F.coalesce("source", F.lit("")), "__key": key})
     lean = cut(rows.select("__rid", "size", "__null", "__source", "__key"))
     targets = source_targets(lean, weights, cap)
     group = ["__null", "__source"]
