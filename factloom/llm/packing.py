@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 import json
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -17,37 +20,53 @@ from .common import cut, running_totals
 #: Sequence capacity in tokens; id that ends a document; part of the capacity from which a piece is large; groups of large pieces.
 CAPACITY, END_ID, LARGE_FROM, GROUPS = 2048, 0, 1 / 8, 512
 
-_ENCODERS: dict[str, object] = {}
+#: Characters of texts that are encoded together; words whose ids are kept, and the longest of them.
+TOGETHER, KEPT, LONGEST = 1 << 21, 1 << 17, 64
 
+_TOKENIZERS: dict[str, tuple[object, bool]] = {}
+_WORDS = re.compile(r"(?= \S)")
 
-def encoder(path: str):
-    """The byte-level BPE of a tokenizers JSON file, run by tiktoken (the same ids, at four times the speed)."""
-    if path not in _ENCODERS:
-        import tiktoken
 
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        # The printable stand-ins of byte-level BPE: bytes that print stand for themselves, the others for 256 and on.
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in plain]
-        back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
-        pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        _ENCODERS[path] = tiktoken.Encoding("byte_level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return _ENCODERS[path]
+def _tokenizer(path: str) -> tuple[object, bool]:
+    """The tokenizer of a tokenizers JSON file, and whether a text's ids are those of its words one after the other.
 
-
-def token_ids(path: str, text: str) -> list[int]:
-    """The ids of a text.  Texts on which tiktoken's regex gives up, as on a million white-space characters in a row, go to the tokenizers library."""
-    try:
-        return encoder(path).encode(text, allowed_special="all")
-    except ValueError:
+    They are where byte-level pre-tokenizing by its usual rule is all that comes before the model: that rule always starts a new piece
+    at a space that a character other than white space follows.
+    """
+    if path not in _TOKENIZERS:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs as many tasks as there are cores
         from tokenizers import Tokenizer
 
-        if (key := f"library:{path}") not in _ENCODERS:
-            _ENCODERS[key] = Tokenizer.from_file(path)
-        return _ENCODERS[key].encode(text, add_special_tokens=False).ids
+        library = Tokenizer.from_file(path)
+        spec = json.loads(library.to_str())
+        pre = spec["pre_tokenizer"] or {}
+        plain = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        whole = all(" " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec["added_tokens"])
+        _TOKENIZERS[path] = library, bool(plain and whole)
+    return _TOKENIZERS[path]
+
+
+class Encoder:
+    """Ids of texts by the tokenizers library, without special tokens around them; distinct words are encoded once, together."""
+
+    def __init__(self, path: str):
+        self.library, self.by_words = _tokenizer(path)
+        self.kept: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [_WORDS.split(t) for t in texts] if self.by_words else [[t] for t in texts]
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        known = self.kept
+        new = list(set(itertools.chain.from_iterable(parts)) - known.keys())
+        raw = (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False))
+        found = dict(zip(new, raw, strict=True))
+        known.update(found)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4") for p in parts]
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
+        return out
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
@@ -58,20 +77,31 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     """
     schema = "__rid long, doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
 
+    names = ["__rid", "doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * with_ids]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(tokenizer)
         for batch in batches:
-            out: list[list] = [[] for _ in range(7 if with_ids else 6)]
-            for rid, doc, text in zip(batch["__rid"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                ids = np.array([*token_ids(tokenizer, text.as_py() or ""), end_id], dtype="<u4")
-                first = len(ids) % capacity or capacity
-                cuts = [0, *range(first, len(ids) + 1, capacity)]
-                for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    row = (rid, doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes()))
-                    for column, value in zip(out, (*row, ids[a:b].tolist()) if with_ids else row, strict=True):
-                        column.append(value)
-            names = ["__rid", "doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * with_ids]
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * with_ids]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
+            size = np.cumsum([len(x) if (x := t.as_py()) else 0 for t in batch["text"]])
+            lo = 0
+            while lo < len(batch):
+                hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + TOGETHER, side="right")))
+                yield _cut_up(batch.slice(lo, hi - lo), encoder)
+                lo = hi
+
+    def _cut_up(part: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
+        out: list[list] = [[] for _ in names]
+        texts = [t.as_py() or "" for t in part["text"]]
+        for rid, doc, told in zip(part["__rid"].to_pylist(), part["doc_id"].to_pylist(), encoder.encode(texts), strict=True):
+            ids = np.append(told, np.uint32(end_id)).astype("<u4")
+            first = len(ids) % capacity or capacity
+            cuts = [0, *range(first, len(ids) + 1, capacity)]
+            for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+                row = (rid, doc, k, a, b - a, zlib.crc32(ids[a:b].tobytes()))
+                for column, value in zip(out, (*row, ids[a:b].tolist()) if with_ids else row, strict=True):
+                    column.append(value)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
     rows = docs.select(F.monotonically_increasing_id().alias("__rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, schema)

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 #: Toxic and clean labelled documents that the model is fitted on at most, clean and toxic ones that the
 #: chain itself is fitted on, and the largest of them in bytes; hashed weights; passes; threshold.
 SAMPLE, SAMPLE_CLEAN, CHAIN, SAMPLE_BYTES, WEIGHTS, PASSES, THRESHOLD = 1500, 3500, (2400, 800), 8192, 1 << 18, 24, 0.7
-#: Documents scored side by side hold about so many tokens.
-TOKENS = 400_000
+#: Documents scored side by side hold about so many tokens; words whose odds are kept.
+TOKENS, KEPT = 200_000, 150_000
 
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
@@ -174,10 +174,14 @@ def _token_labels(corpus: _Corpus, toxic: np.ndarray) -> list[np.ndarray]:
 def fit(texts: list[str], toxic: list[int], passes: int = PASSES, seed: int = 0) -> Chain:
     """Train the chain by gradient ascent on the conditional likelihood of token labels, then calibrate document scores.
 
-    Token labels come from all texts; the chain is fitted on the first CHAIN of either class.
+    Token labels come from all texts; the chain is fitted on the first CHAIN of either class.  Without texts, or without words in
+    them, the weights stay as they start: such a model finds no word toxic and scores every document as one without evidence.
     """
     y_doc = np.array(toxic, np.int64)
     corpus = _Corpus(texts)
+    model = Chain(np.zeros(WEIGHTS), -4.0, np.zeros((2, 2)), (-5.0, 5.0, 3.0))
+    if not corpus.plain:
+        return model
     told_labels = _token_labels(corpus, y_doc)
     use_docs = np.sort(np.concatenate([np.flatnonzero(y_doc == c)[: CHAIN[c]] for c in (0, 1)]))
     y_doc = y_doc[use_docs]
@@ -199,14 +203,13 @@ def fit(texts: list[str], toxic: list[int], passes: int = PASSES, seed: int = 0)
     of = np.repeat(np.arange(len(many), dtype=np.int32), many)
     is_word = np.zeros(len(flat), bool)
     is_word[np.cumsum(many) - many] = True
-    model = Chain(np.zeros(WEIGHTS), -4.0, np.zeros((2, 2)), (-5.0, 5.0, 3.0))
     rng = np.random.default_rng(seed)
     squares, b_sq, m_sq = np.full(WEIGHTS, 1e-3), 1e-3, np.full((2, 2), 1e-3)
     inner = np.ones(len(y), bool)
     inner[(np.cumsum(lengths) - 1)[lengths > 0]] = False
     i = np.flatnonzero(inner)
     told = np.array([[np.sum((y[i] == a) & (y[i + 1] == b)) for b in (0, 1)] for a in (0, 1)], float)
-    for _ in range(passes if len(y) else 0):
+    for _ in range(passes):
         # Whole words are left out at random, so that beginnings learn to carry words never seen.
         use = np.where(is_word, rng.random(len(flat)) < 0.6, rng.random(len(flat)) < 0.8)
         unary = model.bias + np.bincount(of, model.weights[flat] * use, len(used))
@@ -221,8 +224,8 @@ def fit(texts: list[str], toxic: list[int], passes: int = PASSES, seed: int = 0)
         gm = told - pairs - 0.1 * model.moves
         m_sq += gm * gm
         model.moves += 0.2 * gm / np.sqrt(m_sq)
-    unary = model.bias + np.bincount(of, model.weights[flat], len(used)) if len(y) else np.zeros(0)
-    p = marginals(np.exp(np.clip(unary, -12, 12))[token], lengths, model.moves) if len(y) else np.zeros(0)
+    unary = model.bias + np.bincount(of, model.weights[flat], len(used))
+    p = marginals(np.exp(np.clip(unary, -12, 12))[token], lengths, model.moves)
     peak, mass = _gathered(p, lengths)
     x = np.column_stack([np.ones(len(peak)), peak, np.log1p(mass)])
     w = np.array(model.scale)
@@ -251,7 +254,7 @@ class _Odds(dict):
         self.model = model
 
     def __missing__(self, word: str) -> float:
-        if len(self) >= 400_000:
+        if len(self) >= KEPT:
             self.clear()
         v = self[word] = self.model.odds(word)
         return v
@@ -259,7 +262,12 @@ class _Odds(dict):
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_clean: int = SAMPLE_CLEAN, sample_bytes: int = SAMPLE_BYTES) -> Chain:
     """Fit on labelled documents whose crc32(doc_id as text) mod 3 is not 1: the sample toxic and sample_clean clean ones of least
-    id hash, among texts of sample_bytes bytes at most (these bounds hold for fitting alone)."""
+    id hash, among texts of sample_bytes bytes at most (these bounds hold for fitting alone).
+
+    A document that labels calls both toxic and clean is toxic.  Labels other than 0 and 1, null ids, and labels of no document are left
+    out; repeated labels count once, repeated documents each time.  Other columns of docs and labels are not read.  Without any labelled
+    document the model is that of fit() without texts.
+    """
     fold = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & (fold != 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     hashed = F.xxhash64("doc_id")
@@ -288,7 +296,7 @@ def score(docs: DataFrame, model: Chain, threshold: float = THRESHOLD) -> DataFr
         m = shared.value
         odds = _Odds(m)
         for batch in batches:
-            size = np.array([0, *np.cumsum([len(t) // 6 + 1 if (t := x.as_py()) else 1 for x in batch["text"]])]) if len(batch) > 200 else np.arange(len(batch) + 1)
+            size = np.array([0, *np.cumsum([len(t) // 6 + 1 if (t := x.as_py()) else 1 for x in batch["text"]])])
             lo = 0
             while lo < len(batch):
                 hi = max(lo + 1, int(np.searchsorted(size, size[lo] + TOKENS, side="right")) - 1)
