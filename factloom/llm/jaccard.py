@@ -14,7 +14,7 @@ from .common import cut, numbered, small
 
 #: Words in a shingle; similarity in per cent; min-hashes of a set, and which of them make up each of its keys; most
 #: tokens held as common ones; tokens that a partition counts at a time; postings of an index bucket; words whose hashes are kept.
-WORDS, PER_CENT, HASHES, KEYS, COMMON, CHUNK, POSTINGS, KEPT = 5, 80, 8, ((0, 1), (2, 3), (4, 5), (6, 7), (0, 2, 4, 6), (1, 3, 5, 7)), 1 << 18, 1 << 21, 300_000, 150_000
+WORDS, PER_CENT, HASHES, KEYS, COMMON, CHUNK, POSTINGS, KEPT = 5, 80, 8, ((0, 1), (2, 3), (4, 5), (6, 7), (0, 2, 4, 6), (1, 3, 5, 7)), 1 << 18, 1 << 19, 300_000, 60_000
 #: Rows that a broadcast join may hold.
 SMALL = 500_000
 #: Sets from which on a crowd is a cluster; per cent of similarity that its links have at least; members that meet one copy of its core.
@@ -100,22 +100,21 @@ def _common_tokens(docs: DataFrame, width: int, most: int) -> np.ndarray:
             counts = np.bincount(at, np.concatenate([counts, c]), len(merged)).astype(np.int64)
             found, kept = merged, []
 
-        for batch in batches:
-            for text in _texts(batch):
-                s = shingles(text, words, width)
-                if not len(s):
-                    continue
-                keys = _keys(s).tolist()
-                near = any(k in had for k, had in zip(keys, seen, strict=True))
-                for k, had in zip(keys, seen, strict=True):
-                    had.add(k)
-                if near:
-                    continue
-                kept.append(s)
-                held += len(s)
-                if held > CHUNK:
-                    fold()
-                    held = 0
+        for text in (t for batch in batches for lo in range(0, len(batch), 500) for t in _texts(batch.slice(lo, 500))):
+            s = shingles(text, words, width)
+            if not len(s):
+                continue
+            keys = _keys(s).tolist()
+            near = any(k in had for k, had in zip(keys, seen, strict=True))
+            for k, had in zip(keys, seen, strict=True):
+                had.add(k)
+            if near:
+                continue
+            kept.append(s)
+            held += len(s)
+            if held > CHUNK:
+                fold()
+                held = 0
         if kept:
             fold()
         yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(counts, pa.int64())], names=["token", "n"])
@@ -141,8 +140,8 @@ def _profiles(docs: DataFrame, width: int, per_cent: int, common: np.ndarray) ->
         rank = np.argsort(order)
         none = np.zeros(0, np.uint64)
         for batch in batches:
-            for lo in range(0, len(batch), 2000):
-                part = batch.slice(lo, 2000)
+            for lo in range(0, len(batch), 500):
+                part = batch.slice(lo, 500)
                 n, sig, keys, prefix, place, hashed = [], [], [], [], [], []
                 for text in _texts(part):
                     s = shingles(text, words, width)
@@ -214,12 +213,14 @@ def _verified(docs: DataFrame, pairs: DataFrame, width: int, per_cent: int) -> D
     return _similar(_compared(docs, pairs, width), per_cent)
 
 
-def _clusters(docs: DataFrame, compared: DataFrame, width: int, crowd: int, loose: int) -> DataFrame:
-    """(id, cluster, q, rest): how many tokens of id's set are in the core of its cluster, and id's other tokens.
+def _clusters(docs: DataFrame, compared: DataFrame, width: int, per_cent: int, crowd: int, loose: int) -> DataFrame:
+    """(id, cluster, apart, weight, room): how a set differs from the core of its cluster.
 
     A cluster is a connected component of loosely similar sets, of those compared, if it is a crowd; sets in no cluster are not returned.
     Its core has the tokens that more than half of its members hold: what an origin that the members were copied from would hold, whether
-    or not it is among them.
+    or not it is among them.  apart has id's tokens that the core lacks, in order, then the core's that id lacks.  Two members share
+    |core| - lacking - lacking' + |apart & apart'| tokens, so they are similar enough iff
+    (100 + per_cent) * |apart & apart'| >= weight + weight' - room.
     """
     near = compared.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * loose)
     roots = cut(components(near.select("a", "b")))
@@ -232,8 +233,38 @@ def _clusters(docs: DataFrame, compared: DataFrame, width: int, crowd: int, loos
     copies = F.ceil(F.col("size") / MEMBERS).cast("int")
     cores = cores.select("cluster", F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"), "core")
     met = held.withColumn("copy", F.pmod(F.xxhash64("id"), copies).cast("int")).join(cores, ["cluster", "copy"], "left")
-    core = F.coalesce("core", F.array().cast("array<bigint>"))
-    return met.select("id", "cluster", F.size(F.array_intersect("s", core)).cast("long").alias("q"), F.array_except("s", core).alias("rest"))
+    met = met.select("id", "cluster", "s", F.coalesce("core", F.array().cast("array<bigint>")).alias("core"))
+    lacking = F.array_except("core", "s")
+    weight = per_cent * F.size("s").cast("long") + (100 + per_cent) * F.size(lacking)
+    return met.select("id", "cluster", F.concat(F.array_sort(F.array_except("s", "core")), F.array_sort(lacking)).alias("apart"), weight.alias("weight"), ((100 + per_cent) * F.size("core").cast("long")).alias("room"))
+
+
+def _surely(members: DataFrame) -> DataFrame:
+    """(a, b): links of cluster members to the member that differs least from the core, where the counts alone are enough for a link."""
+    least = members.groupBy("cluster").agg(F.min(F.struct("weight", "id")).alias("least"))
+    return members.join(small(cut(least), SMALL), "cluster").filter((F.col("weight") + F.col("least.weight") <= F.col("room")) & (F.col("id") != F.col("least.id"))).select(*_ends("id", "least.id"))
+
+
+def _within(members: DataFrame, per_cent: int) -> DataFrame:
+    """(a, b): the links inside clusters between sets of different components; members: as _clusters gives them, and comp.
+
+    A pair that counts alone don't link must share tokens of apart, the first of them where enough of either list is left.  So only the
+    beginnings of these lists meet, and members of a cluster's largest component ask nothing.
+    """
+    sizes = members.groupBy("cluster", "comp").agg(F.count(F.lit(1)).alias("k"), F.min("weight").alias("lightest"))
+    most = sizes.groupBy("cluster").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), F.min("lightest").alias("lightest"))
+    told = cut(members.join(small(cut(most), SMALL), "cluster"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("weight") + F.col("lightest") - F.col("room")) / (100 + per_cent))).cast("int")
+    begun = F.slice("apart", F.lit(1), F.greatest(F.lit(0), F.size("apart") - need + 1))
+    posted = told.select("cluster", "room", "id", "comp", "weight", (F.col("comp") == F.col("most")).alias("quiet"), F.size("apart").alias("size"), F.posexplode(begun).alias("pos", "token"))
+    asks = posted.filter("not quiet").select("cluster", "token", "room", *[F.col(c).alias(f"{c}_a") for c in ("id", "comp", "weight", "size", "pos")])
+    met = asks.join(posted.select("cluster", "token", "quiet", *[F.col(c).alias(f"{c}_b") for c in ("id", "comp", "weight", "size", "pos")]), ["cluster", "token"])
+    enough = (100 + per_cent) * F.least(F.col("size_a") - F.col("pos_a"), F.col("size_b") - F.col("pos_b")) >= F.col("weight_a") + F.col("weight_b") - F.col("room")
+    met = met.filter((F.col("comp_a") != F.col("comp_b")) & (F.col("quiet") | (F.col("id_a") < F.col("id_b"))) & enough)
+    pairs = cut(met.select(*_ends("id_a", "id_b")).distinct())
+    ends = [told.select(F.col("id").alias(x), F.col("apart").alias(f"apart_{x}"), F.col("weight").alias(f"weight_{x}"), *["room"] * (x == "a")) for x in "ab"]
+    both = pairs.join(ends[0], "a").join(ends[1], "b")
+    return both.filter((100 + per_cent) * F.size(F.array_intersect("apart_a", "apart_b")) >= F.col("weight_a") + F.col("weight_b") - F.col("room")).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -260,15 +291,12 @@ def components(edges: DataFrame) -> DataFrame:
         now, seen = after, mark
 
 
-def _index_pairs(entries: DataFrame, per_cent: int, buckets: int, residual: bool = False) -> DataFrame:
-    """Candidate pairs (a, b) of sets from inverted lists of prefix tokens; entries: (id, comp, n, cluster, q, last, prefix).
+def _index_pairs(entries: DataFrame, per_cent: int, buckets: int) -> DataFrame:
+    """Candidate pairs (a, b) of sets from inverted lists of prefix tokens; entries: (id, comp, n, cluster, last, prefix).
 
-    Each list gives the pairs of different components in it; a pair's lists together tell how many tokens c its prefixes
+    Each list gives the pairs of different components and clusters in it; a pair's lists together tell how many tokens c its prefixes
     share.  Of two prefixes, all common tokens up to the end of the one that ends first in the global order are among these, so the
     sets share c plus the rest of that set at most; pairs for which that is too little go.
-
-    Two sets of a cluster share at most what either has of its core (q) and tokens that the core lacks.  If q is too
-    little for one of them, the pair comes from lists of such tokens only (residual: prefix has all of these) and not from the others.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,11 +307,7 @@ def _index_pairs(entries: DataFrame, per_cent: int, buckets: int, residual: bool
             tokens = lists.flatten().to_numpy().view(np.uint64)
             row = np.repeat(np.arange(len(sizes)), sizes)
             pos = (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.uint32)
-            docs = np.column_stack([batch[c].to_numpy().view(np.uint64) for c in ("id", "comp", "n", "cluster", "q")])
-            if residual:  # a list for each cluster and token; places among the other tokens say nothing about the whole sets
-                pos[:] = 0
-                with np.errstate(over="ignore"):
-                    tokens = _mixed(tokens + docs[row, 3] * _ODD[1])
+            docs = np.column_stack([batch[c].to_numpy().view(np.uint64) for c in ("id", "comp", "n", "cluster")])
             bucket = (tokens % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             at = np.flatnonzero(np.diff(bucket[order], prepend=-1))
@@ -297,8 +321,8 @@ def _index_pairs(entries: DataFrame, per_cent: int, buckets: int, residual: bool
 
     def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
         d, m = (int(x) for x in np.frombuffer(blob, np.uint64, 2))
-        docs = np.frombuffer(blob, np.uint64, 5 * d, 16).reshape(d, 5)
-        at = 16 + 40 * d
+        docs = np.frombuffer(blob, np.uint64, 4 * d, 16).reshape(d, 4)
+        at = 16 + 32 * d
         tokens = np.frombuffer(blob, np.uint64, m, at)
         where, pos = np.frombuffer(blob, np.uint32, m, at + 8 * m), np.frombuffer(blob, np.uint32, m, at + 12 * m)
         return tokens, np.column_stack([docs[where], pos.astype(np.uint64)]).view(np.int64)
@@ -312,32 +336,24 @@ def _index_pairs(entries: DataFrame, per_cent: int, buckets: int, residual: bool
         token, p = token[order], p[order]
         starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
         sizes = np.diff(np.append(starts, len(token)))
-        # Lists whose members are linked already give nothing: their answers are those of their pivot.
-        mixed = np.maximum.reduceat(p[:, 1], starts) != np.minimum.reduceat(p[:, 1], starts)
-        if not residual:
-            # Nor do those of one cluster, if all members that have enough of its core are linked.
-            far = 100 * p[:, 4] < per_cent * p[:, 2]
-            top, low = np.where(far, np.iinfo(np.int64).min, p[:, 1]), np.where(far, np.iinfo(np.int64).max, p[:, 1])
-            linked = np.maximum.reduceat(top, starts) <= np.minimum.reduceat(low, starts)
-            mixed &= ~(linked & (np.maximum.reduceat(p[:, 3], starts) == np.minimum.reduceat(p[:, 3], starts)))
+        # Lists whose members are linked already, or of one cluster, give nothing: their answers are those of their pivot or core.
+        mixed = np.logical_and(*(np.maximum.reduceat(p[:, c], starts) != np.minimum.reduceat(p[:, c], starts) for c in (1, 3)))
         short = mixed & (sizes <= SHORT)
-        out = [_short_list_pairs(p, np.repeat(np.cumsum(short) * short, sizes), per_cent, residual)]
-        out += [_list_pairs(p[a : a + k], per_cent, residual) for a, k in zip(starts[mixed & ~short], sizes[mixed & ~short], strict=True)]
+        out = [_short_list_pairs(p, np.repeat(np.cumsum(short) * short, sizes), per_cent)]
+        out += [_list_pairs(p[a : a + k], per_cent) for a, k in zip(starts[mixed & ~short], sizes[mixed & ~short], strict=True)]
         pairs, counts = np.unique(np.concatenate(out), axis=0, return_counts=True)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "c": pa.array(counts, pa.int64())})
 
-    dealt = entries.select("id", "comp", "n", "cluster", "q", "prefix").mapInArrow(deal, "bucket long, postings binary")
+    dealt = entries.select("id", "comp", "n", "cluster", "prefix").mapInArrow(deal, "bucket long, postings binary")
     shared = dealt.groupBy("bucket").applyInArrow(lists, "a long, b long, c long").groupBy("a", "b").agg(F.sum("c").alias("c"))
-    ends = [entries.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("q").alias(f"q{x}"), F.col("last").alias(f"last{x}"), F.size("prefix").alias(f"p{x}")) for x in "ab"]
+    ends = [entries.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("last").alias(f"last{x}"), F.size("prefix").alias(f"p{x}")) for x in "ab"]
     told = shared.join(ends[0], "a").join(ends[1], "b")
-    if residual:
-        return told.filter((F.col("c") + F.least("qa", "qb")) * (100 + per_cent) >= (F.col("na") + F.col("nb")) * per_cent).select("a", "b")
     rest = F.when(F.col("lasta") < F.col("lastb"), F.col("na") - F.col("pa")).when(F.col("lastb") < F.col("lasta"), F.col("nb") - F.col("pb")).otherwise(F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")))
     return told.filter((F.col("c") + rest) * (100 + per_cent) >= (F.col("na") + F.col("nb")) * per_cent).select("a", "b")
 
 
-#: Lists up to this length are worked on together; the column of positions behind id, component, size, cluster and q.
-SHORT, POS = 48, 5
+#: Lists up to this length are worked on together; the column of positions behind id, component, size and cluster.
+SHORT, POS = 48, 4
 
 
 def _possible(n: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.ndarray, per_cent: int) -> np.ndarray:
@@ -346,17 +362,16 @@ def _possible(n: np.ndarray, pos: np.ndarray, x: np.ndarray, y: np.ndarray, per_
     return most * (100 + per_cent) >= (n[x] + n[y]) * per_cent
 
 
-def _asked(p: np.ndarray, x: np.ndarray, y: np.ndarray, per_cent: int, residual: bool) -> np.ndarray:
-    """Whether a pair is of two components and of these lists: of residual ones if the cluster's core alone can't give the overlap."""
-    little = (p[x, 3] == p[y, 3]) & (np.minimum(p[x, 4], p[y, 4]) * (100 + per_cent) < (p[x, 2] + p[y, 2]) * per_cent)
-    return (p[x, 1] != p[y, 1]) & (little == residual)
+def _asked(p: np.ndarray, x: np.ndarray | int, y: np.ndarray) -> np.ndarray:
+    """Whether a pair is of two components and of two clusters."""
+    return (p[x, 1] != p[y, 1]) & (p[x, 3] != p[y, 3])
 
 
 def _ordered(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.column_stack([np.minimum(a, b), np.maximum(a, b)])
 
 
-def _short_list_pairs(p: np.ndarray, number: np.ndarray, per_cent: int, residual: bool) -> np.ndarray:
+def _short_list_pairs(p: np.ndarray, number: np.ndarray, per_cent: int) -> np.ndarray:
     """Pairs of different components within the same short list; number: the list of each posting, 0 for none."""
     p, number = p[number > 0], number[number > 0]
     n, pos = p[:, 2], p[:, POS]
@@ -372,25 +387,22 @@ def _short_list_pairs(p: np.ndarray, number: np.ndarray, per_cent: int, residual
         k = many[lo:hi]
         x = np.repeat(np.arange(lo, hi), k)
         y = x + 1 + np.arange(len(x)) - np.repeat(np.cumsum(k) - k, k)
-        keep = _asked(p, x, y, per_cent, residual) & _possible(n, pos, x, y, per_cent)
+        keep = _asked(p, x, y) & _possible(n, pos, x, y, per_cent)
         out.append(_ordered(p[x[keep], 0], p[y[keep], 0]))
         lo = hi
     return np.concatenate(out)
 
 
-def _list_pairs(p: np.ndarray, per_cent: int, residual: bool) -> np.ndarray:
-    """Pairs of different components in one long list that sizes and positions leave possible.
+def _list_pairs(p: np.ndarray, per_cent: int) -> np.ndarray:
+    """Pairs of different components and clusters in one long list that sizes and positions leave possible.
 
-    The members of the list's largest component have the same answers here and ask nothing: only the others look for partners.
+    The members of the list's largest cluster have no answers among each other and ask nothing: only the others look for partners.
     The list is in blocks of equal size and position.  For each block the sizes that it can match are one stretch of blocks,
     and in it a block is skipped whole if its position leaves too little for the overlap that the sizes ask for.
     """
     n, pos, out = p[:, 2], p[:, POS], [np.zeros((0, 2), np.int64)]
-    comps, counts = np.unique(p[:, 1], return_counts=True)
-    most = p[:, 1] == comps[np.argmax(counts)]
-    asks = ~most
-    if not residual and (p[:, 3] == p[0, 3]).all():  # pairs with a set that has too little of the one core are residual
-        asks &= 100 * p[:, 4] >= per_cent * n
+    groups, counts = np.unique(p[:, 3], return_counts=True)
+    asks = p[:, 3] != groups[np.argmax(counts)]
     heads = np.flatnonzero(np.append(True, (np.diff(n) != 0) | (np.diff(pos) != 0)))
     tails = np.append(heads[1:], len(p))
     bn, bp = n[heads], pos[heads]
@@ -405,7 +417,7 @@ def _list_pairs(p: np.ndarray, per_cent: int, residual: bool) -> np.ndarray:
         other = np.repeat(heads[j] - (np.cumsum(k) - k), k) + np.arange(k.sum())
         for x in mine:
             y = other[~asks[other] | (other > x)]
-            y = y[_asked(p, np.full(len(y), x), y, per_cent, residual)]
+            y = y[_asked(p, x, y)]
             if len(y):
                 out.append(_ordered(np.full(len(y), p[x, 0]), p[y, 0]))
     return np.concatenate(out)
@@ -417,9 +429,10 @@ def similar_groups(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT
     1. Equal sets are one node, by a 128-bit signature.
     2. Set relations: sets that share min-hash keys are compared with three pivots of each key only, then with the one that is
        most similar to the pivots; those that are similar enough join its component.
-    3. Copies of one origin that are too far from it for a link would meet all its other copies: such a set can only be similar to one
-       of them by tokens beyond the core that they all share, so these pairs come from an index of those tokens alone.  crowd and
-       loose say from which size and similarity on this is done; results do not depend on them.
+    3. Copies of one origin that are too far from it for a link would meet all its other copies.  In such a cluster answers are derived
+       from the core that all share: many links follow from the counts of differing tokens, and the others need differences in
+       common, so they come from an index of these alone.  crowd and loose say from which size and similarity on this is done;
+       results do not depend on them.
     4. An inverted index of prefix tokens (rare tokens first) gives the other candidates.  Its lists are in blocks by set size and
        position, which are skipped whole; a member's pairs inside its component are never looked up again: its answers follow
        from its pivot's.  Candidates between components are verified on the whole sets, and the links joined.
@@ -464,17 +477,18 @@ def similar_groups(docs: DataFrame, width: int = WORDS, per_cent: int = PER_CENT
     again = near.select(*_ends("id", "p.id")).distinct().join(compared, ["a", "b"], "left_anti")
     compared = compared.union(cut(_compared(base, again, width)))
     first = _similar(compared, per_cent).select("a", "b")
+    clusters = cut(_clusters(base, compared, width, per_cent, crowd, loose))
+    first = first.union(cut(_surely(clusters)))
     roots = cut(components(first))
-    clusters = cut(_clusters(base, compared, width, crowd, loose))
 
     entries = full.select(F.col("__rid").alias("id"), F.col("n_shingles").alias("n"), "prefix", F.struct("place", "hash").alias("last")).join(sets.select("id"), "id")
-    entries = entries.join(roots, entries.id == roots.node, "left").join(clusters, "id", "left")
-    entries = entries.select("id", F.coalesce("root", "id").alias("comp"), "n", F.coalesce("cluster", "id").alias("cluster"), F.coalesce("q", "n").alias("q"), "prefix", "last", "rest")
+    entries = entries.join(roots, entries.id == roots.node, "left").join(clusters.select("id", "cluster"), "id", "left")
+    entries = entries.select("id", F.coalesce("root", "id").alias("comp"), "n", F.coalesce("cluster", "root", "id").alias("cluster"), "prefix", "last")
     postings = full.agg(F.sum(F.size("prefix"))).first()[0] or 0
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-postings // POSTINGS))
-    within = _index_pairs(entries.filter("size(rest) > 0").withColumn("prefix", F.col("rest")), per_cent, buckets, residual=True)
-    second = _verified(base, _index_pairs(entries, per_cent, buckets).union(within), width, per_cent).select("a", "b")
-    roots = components(first.union(second))
+    second = _verified(base, _index_pairs(entries, per_cent, buckets), width, per_cent).select("a", "b")
+    members = clusters.join(roots, clusters.id == roots.node, "left").select(*clusters.columns, F.coalesce("root", "id").alias("comp"))
+    roots = components(first.union(second).union(_within(cut(members), per_cent)))
 
     named = sets.select("sig", "id", "doc_id").join(roots, sets.id == roots.node, "left").select("sig", "doc_id", F.coalesce("root", "id").alias("root"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

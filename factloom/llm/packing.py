@@ -21,7 +21,7 @@ from .common import cut, running_totals
 CAPACITY, END_ID, LARGE_FROM, GROUPS = 2048, 0, 1 / 8, 512
 
 #: Characters of texts that are encoded together; words whose ids are kept, and the longest of them.
-TOGETHER, KEPT, LONGEST = 1 << 21, 1 << 17, 64
+TOGETHER, KEPT, LONGEST = 1 << 20, 1 << 16, 64
 
 _TOKENIZERS: dict[str, tuple[object, bool]] = {}
 _WORDS = re.compile(r"(?= \S)")
