@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small, text_or_empty
+from .common import cut, numbered, small, text_or_empty
 
 #: Characters in a block.
 BLOCK = 4096
+#: Rows that a broadcast join may hold.
+SMALL = 500_000
 
 
 def name_texts(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -60,19 +62,31 @@ def _named(df: DataFrame, key: list[str]) -> DataFrame:
     return cut(left.join(right, same).select("l.__rid", "l.__i", "r.__name"))
 
 
-def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def exact_duplicates(docs: DataFrame, block: int = BLOCK, keep_text: bool = True) -> DataFrame:
     """All columns of docs plus keep_id, group_size, kept and text_sha256; one row per row of docs.
 
     Null texts count as empty.  Texts are equal when identical.  Of equal texts the row with the largest doc_id
     stays (null doc_ids are smallest; among rows with the same doc_id the one with the largest row number, so exactly one
-    row of each group has kept = true).  An empty table gives an empty result; columns of docs with the names of added columns give way.
+    row of each group has kept = true).  Without keep_text the text goes before anything is joined.  An empty table gives an empty result; columns of docs with the names of added columns give way.
     """
     added = ("keep_id", "group_size", "kept", "text_sha256")
-    base = docs.select(*[c for c in docs.columns if c not in added], F.monotonically_increasing_id().alias("__rid"))
-    base = cut(base)
     text = text_or_empty()
+    base = docs.select(*[c for c in docs.columns if c not in added])
+    if keep_text:
+        base = numbered(base, "__rid")
+        digest = base.select("__rid", "doc_id", F.sha2(F.encode(text, "UTF-8"), 256).alias("text_sha256"))
+    else:
+        base = numbered(base.withColumn("text_sha256", F.sha2(F.encode(text, "UTF-8"), 256)), "__rid")
+        digest = base.select("__rid", "doc_id")
     ids = name_texts(base.select("__rid", text.alias("text")), block)
-    rows = cut(base.select("__rid", "doc_id").join(ids, "__rid"))
-    groups = rows.groupBy("__level", "__name").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "__rid")).alias("__keep"))
-    verdict = rows.join(groups, ["__level", "__name"]).select("__rid", F.col("__keep.doc_id").alias("keep_id"), "group_size", (F.col("__keep.__rid") == F.col("__rid")).alias("kept"))
-    return base.join(verdict, "__rid").withColumn("text_sha256", F.sha2(F.encode(text, "UTF-8"), 256)).drop("__rid")
+    rows = cut(digest.join(ids, "__rid"))
+    # Copies are counted for each part of the rows first, so a group of any size is spread over tasks.
+    named = rows.select("__rid", "__level", "__name", F.struct("doc_id", "__rid").alias("__last"))
+    groups = cut(named.groupBy("__level", "__name").agg(F.count(F.lit(1)).alias("group_size"), F.max("__last").alias("__keep")))
+    several = small(groups.filter("group_size > 1"), SMALL)
+    alone = F.col("group_size").isNull()
+    verdict = rows.join(several, ["__level", "__name"], "left").select(
+        "__rid", *["text_sha256"] * keep_text, F.when(alone, F.col("doc_id")).otherwise(F.col("__keep.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), (alone | (F.col("__keep.__rid") == F.col("__rid"))).alias("kept")
+    )
+    out = (base if keep_text else base.drop("text")).join(verdict, "__rid")
+    return out.select(*[c for c in docs.columns if c not in added and (keep_text or c != "text")], *added)

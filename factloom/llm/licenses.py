@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, numbered
 
 #: A word of lower-cased text: ASCII letters and digits, and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -76,8 +76,21 @@ _SINGLE = [
     ("public-domain", "public domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain"),
     ("public-domain", "public domain", "public domain"),
     ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", "the software is provided as is", "the software is provided as is without warranty of any kind express or implied"),
     ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
+    ("isc", "the software is provided as is and the author", "the software is provided as is and the author disclaims all warranties"),
     ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions of source code", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "redistributions in binary form", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", "endorse or promote products", "neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products"),
+    ("apache", "you may not use this file except in compliance", "you may not use this file except in compliance with the license"),
+    ("apache", "apache org licenses", "you may obtain a copy of the license at https? www apache org licenses license 2 0"),
+    ("mpl", "source code form is subject", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("lgpl", "lesser general public", "under the terms of the gnu lesser general public license as published by the free software foundation"),
+    ("agpl", "affero", "under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("cc-by", "creative commons", "this work is licensed under a creative commons attribution"),
+    ("unlicense", "free and unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("boost", "boost", "distributed under the boost software license version 1 0"),
     ("zlib", "provided as is without any", "this software is provided as is without any express or implied warranty"),
     ("gpl", "free software foundation", "under the terms of the gnu general public license as published by the free software foundation"),
     ("proprietary", "proprietary", "proprietary and confidential"),
@@ -116,66 +129,73 @@ def _words(text: Column) -> Column:
     return F.regexp_replace(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " ")
 
 
-def _count(text: Column, pattern: str) -> Column:
-    return F.regexp_count(text, F.lit(pattern)).cast("long")
-
-
 def scan(docs: DataFrame, table: list[tuple[int, str, str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, detections): documents has the result columns of licensed(); detections those that stand: __rid, label, priority, start, stop (in words text).
 
-    A union of all keywords selects texts; each rule runs only on texts that hold its keyword.  A detection inside another one is
-    suppressed, of equal ones the rule of better priority stays; of those left that overlap, one with worse
-    priority than a neighbour that it overlaps goes.
+    A union of all keywords selects texts; each rule runs only on texts that hold its keyword.  Rules are tried in order of
+    priority: a detection stands unless it overlaps, contains or is contained in one that stands already; of the same rule the one that
+    starts first does.  So one that falls to a better detection suppresses nothing itself.
     """
     table = rules() if table is None else table
     spark = docs.sparkSession
     keywords = sorted({r[2] for r in table} | set(BASE))
-    words = F.concat(F.lit(" "), F.trim(_words(F.col("text"))), F.lit(" "))
     extra = [c for c in docs.columns if c not in ("text", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")]
-    rows = docs.select(*extra, F.monotonically_increasing_id().alias("__rid"), _count(F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER), WORD).alias("n_words"), words.alias("w"))
-    gate = "|".join(sorted((k.replace(" ", r"\x20") for k in keywords), key=len))
-    rows = rows.withColumn("w", F.when(F.col("w").rlike(gate), F.col("w")))
-    rows = cut(rows)  # texts without a keyword are not in it
-    held = rows.filter(F.col("w").isNotNull())
+    kept = [F.col(c).alias(f"__x{i}") for i, c in enumerate(extra)]  # names of docs cannot meet the names used here
+    rows = numbered(docs.select(*kept, F.coalesce("text", F.lit("")).alias("__t")), "__rid")
+    # Words joined by single spaces; a text has as many words as it has spaces then, less one.
+    rows = rows.withColumn("__w", F.concat(F.lit(" "), F.trim(_words(F.col("__t"))), F.lit(" "))).drop("__t")
+    n_words = F.when(F.col("__w") == "  ", 0).otherwise(F.length("__w") - F.length(F.replace("__w", F.lit(" "))) - 1).cast("long")
+    gate = F.lit(False)
+    for k in keywords:
+        gate = gate | F.contains("__w", F.lit(k))
+    rows = cut(rows.withColumn("__n", n_words).withColumn("__w", F.when(gate, F.col("__w"))))  # texts without a keyword are not in it
+    held = rows.filter(F.col("__w").isNotNull()).select("__rid", "__w")
 
     # Base places: each phrase's starts in words.  A place starts after a space, so overlaps with the next one are found too.
     def places(phrase: str) -> Column:
-        parts = F.split(F.col("w"), f"(?<=\\x20)(?={phrase.replace(' ', chr(92) + 'x20')}\\x20)", -1)
-        lengths = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: (F.regexp_count(p, F.lit(WORD))).cast("long"))
-        return F.aggregate(lengths, F.array().cast("array<bigint>"), lambda acc, n: F.array_append(acc, n + F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0))))
+        parts = F.split(F.col("__w"), f"(?<=\\x20)(?={phrase.replace(' ', chr(92) + 'x20')}\\x20)", -1)
+        words = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda p: F.length(p) - F.length(F.replace(p, F.lit(" "))))
+        return words
 
-    found = {label: F.when(F.col("w").contains(f" {phrase} "), places(phrase)).otherwise(F.array().cast("array<bigint>")) for phrase, label in BASE.items()}
-    starts = F.concat(*[F.col(f"__{i}") for i in range(len(BASE))])
-    base = held.select("__rid", *[c.alias(f"__{i}") for i, c in enumerate(found.values())])
-    names = F.array_sort(F.array_compact(F.array(*[F.when(F.size(f"__{i}") > 0, F.lit(label)) for i, label in enumerate(found)])))
-    base = base.select("__rid", F.size(starts).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), names.alias("__base"))
+    found = {label: F.when(F.contains("__w", F.lit(f" {phrase} ")), places(phrase)) for phrase, label in BASE.items()}
+    base = held.select("__rid", F.explode(F.array(*[F.struct(F.lit(label).alias("label"), c.alias("steps")) for label, c in found.items()])).alias("b")).filter("b.steps IS NOT NULL")
+    base = base.select("__rid", "b.label", F.posexplode("b.steps").alias("i", "step"))
+    along = Window.partitionBy("__rid", "label").orderBy("i")
+    base = base.select("__rid", "label", (F.sum("step").over(along) - 1).cast("long").alias("at"))
+    base = base.groupBy("__rid").agg(F.count(F.lit(1)).alias("n_base"), F.min("at").alias("first_word"), F.max("at").alias("last_word"), F.array_sort(F.collect_set("label")).alias("__base"))
 
     rule = F.broadcast(spark.createDataFrame(table, "priority int, label string, keyword string, pattern string"))  # a fixed list
-    asked = F.filter(F.array(*[F.lit(k) for k in sorted({r[2] for r in table})]), lambda k: F.contains(F.col("w"), k))
-    tried = held.select("__rid", "w", F.explode(asked).alias("keyword")).join(rule, "keyword")
-    hits = tried.filter(F.expr("regexp_like(w, concat('(?<=\\\\x20)', pattern, '(?=\\\\x20)'))"))
-    hits = hits.select("__rid", "label", "priority", F.expr("regexp_extract_all(w, concat('(?<=\\\\x20)', pattern, '(?=\\\\x20)'), 0)").alias("m"), F.expr("split(w, concat('(?<=\\\\x20)', pattern, '(?=\\\\x20)'), -1)").alias("p"), F.length("w").alias("of"))
-    step = F.transform(F.sequence(F.lit(0), F.size("m") - 1), lambda i: F.struct(F.length(F.get("p", i)).alias("gap"), F.length(F.get("m", i)).alias("len")))
-    ends = F.aggregate(
-        step,
-        F.array().cast("array<struct<start:int,stop:int>>"),
-        lambda acc, s: F.array_append(acc, F.struct((F.coalesce(F.try_element_at(acc, F.lit(-1))["stop"], F.lit(0)) + s["gap"]).alias("start"), (F.coalesce(F.try_element_at(acc, F.lit(-1))["stop"], F.lit(0)) + s["gap"] + s["len"]).alias("stop"))),
-    )
-    spans = hits.select("__rid", "label", "priority", "of", F.explode(ends).alias("s")).select("__rid", "label", "priority", "of", "s.start", "s.stop")
-    by_place = Window.partitionBy("__rid").orderBy("start", F.col("stop").desc(), "priority")
-    inside = F.max("stop").over(by_place.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("stop")
-    outer = spans.withColumn("__in", F.coalesce(inside, F.lit(False))).filter(~F.col("__in"))
-    line = Window.partitionBy("__rid").orderBy("start")
-    worse = ((F.lag("stop").over(line) > F.col("start")) & (F.lag("priority").over(line) < F.col("priority"))) | ((F.lead("start").over(line) < F.col("stop")) & (F.lead("priority").over(line) < F.col("priority")))
-    detections = cut(outer.withColumn("__worse", F.coalesce(worse, F.lit(False))).filter(~F.col("__worse")).drop("__in", "__worse"))
+    asked = F.filter(F.array(*[F.lit(k) for k in sorted({r[2] for r in table})]), lambda k: F.contains(F.col("__w"), k))
+    tried = held.select("__rid", "__w", F.explode(asked).alias("keyword")).join(rule, "keyword")
+    whole = "concat('(?<=\\\\x20)', pattern, '(?=\\\\x20)')"
+    hits = tried.withColumn("m", F.expr(f"regexp_extract_all(__w, {whole}, 0)")).filter(F.size("m") > 0)
+    hits = hits.select("__rid", "label", "priority", F.length("__w").alias("of"), F.posexplode(F.arrays_zip("m", F.expr(f"split(__w, {whole}, -1)").alias("p"))).alias("i", "s")).filter("s.m IS NOT NULL")
+    # Where a match ends: what lies in front of it and all matches up to it.
+    ends = F.sum(F.length("s.p") + F.length("s.m")).over(Window.partitionBy("__rid", "priority").orderBy("i"))
+    spans = hits.select("__rid", "label", "priority", "of", (ends - F.length("s.m")).cast("int").alias("start"), ends.cast("int").alias("stop"))
+
+    # Overlapping detections form islands; each is settled by itself, in order of priority.
+    before = F.max("stop").over(Window.partitionBy("__rid").orderBy("start", "stop", "priority").rowsBetween(Window.unboundedPreceding, -1))
+    order = Window.partitionBy("__rid").orderBy("start", "stop", "priority")
+    spans = spans.withColumn("new", F.coalesce(before <= F.col("start"), F.lit(True)).cast("int")).withColumn("island", F.sum("new").over(order))
+    spot = F.struct("priority", "start", "stop", "label")
+    islands = spans.groupBy("__rid", "island").agg(F.first("of").alias("of"), F.array_sort(F.collect_set(spot)).alias("all"))
+    none = F.array().cast("array<struct<priority:int,start:int,stop:int,label:string>>")
+
+    def settle(stand: Column, x: Column) -> Column:
+        free = ~F.exists(stand, lambda y: (y["start"] < x["stop"]) & (x["start"] < y["stop"]))
+        return F.when(free, F.array_append(stand, x)).otherwise(stand)
+
+    stand = islands.select("__rid", "of", F.explode(F.aggregate("all", none, settle)).alias("s"))
+    detections = cut(stand.select("__rid", "of", "s.label", "s.priority", "s.start", "s.stop"))
     summed = detections.groupBy("__rid").agg(F.collect_set("label").alias("__found"), F.sum(F.col("stop") - F.col("start")).alias("__covered"), F.first("of").alias("__of"))
     empty = F.array().cast("array<string>")
-    joined = rows.drop("w").join(base, "__rid", "left").join(summed, "__rid", "left")
+    joined = rows.drop("__w").join(base, "__rid", "left").join(summed, "__rid", "left")
     labels = F.array_sort(F.array_union(F.coalesce("__base", empty), F.coalesce("__found", empty)))
     # One half for any detection, the other half for the part of the text that detections cover.
     value = F.when(F.size(labels) > 0, F.lit(0.5) + F.lit(0.5) * F.least(F.lit(1.0), F.coalesce(F.col("__covered") / F.col("__of"), F.lit(0.0)))).otherwise(F.lit(0.0))
     out = joined.select(
-        *extra, "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
+        *[F.col(f"__x{i}").alias(c) for i, c in enumerate(extra)], F.col("__n").alias("n_words"), F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         F.array_join(F.coalesce("__base", empty), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), value.alias("score"),
     )
     return out, detections

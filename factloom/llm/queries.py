@@ -34,7 +34,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return exact_dedup.exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.exact_duplicates(docs, keep_text=False).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,87 +2,45 @@
 
 from __future__ import annotations
 
-import heapq
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, running_totals, text_or_empty
+from .common import cut, numbered, running_totals, small, text_or_empty
 
-#: A unit is large if it holds more than this part of a shard's target; so there are at most LARGE * n_shards of them.
-LARGE = 64
+#: Rows that a broadcast join may hold.
+SMALL = 500_000
 
 
 def shard_by_bytes(docs: DataFrame, n_shards: int = 40, overhead: int = 16) -> DataFrame:
-    """Deal all documents into n_shards shards whose byte sizes are near equal (law ``bytes``).
+    """Deal all documents into n_shards contiguous shards whose byte sizes are near equal (law ``bytes``).
 
-    A document weighs its UTF-8 bytes (null text: none) plus overhead.  Rows are ordered by a hash of the
-    text and doc_id, so equal texts are neighbours, and a group of equal texts moves as one unit unless it is
-    larger than a whole shard; then its rows are units.  Units are cut at equal targets of the
-    global prefix sum of bytes.  The few units that are larger than 1/LARGE of a target (at most
-    LARGE * n_shards, by their size) are placed first, largest on the emptiest shard; the cuts of the
-    prefix sum are moved by the bytes that these have taken.
+    A document weighs its UTF-8 bytes (null text: none) plus overhead.  Rows are in the order of a digest of the text, so equal texts
+    are neighbours, and then of doc_id.  A group of equal texts moves as one unit unless it is larger than a whole shard: sizes could not
+    be near equal then, so its rows are units.  A unit goes to the shard in which the middle of its stretch of the global prefix
+    sum of bytes lies, where shards are equal parts of the whole.  So shards are contiguous cuts of one order, and each cut is
+    off its target by half of the unit across it at most.
 
     Adds size, text_crc32, law, shard, slot (gapless from 0 in the order of a shard) and grown_shard (null).
-    Null or repeated doc_ids are ordinary rows; an empty table gives an empty result; other columns are kept
+    Null or repeated doc_ids are ordinary rows; an empty table gives an empty result; other columns but text are kept
     except those that have one of the added names.
     """
     text = text_or_empty()
     extra = [c for c in docs.columns if c not in ("size", "text_crc32", "law", "shard", "slot", "grown_shard", "text", "doc_id")]
-    base = docs.select("doc_id", *[F.col(c) for c in extra], (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"), F.xxhash64(text).alias("__h"))
-    rows = cut(base)
-    key = ["__h", "text_crc32"]
-    groups = rows.groupBy(*key).agg(F.sum("size").alias("__bytes"), F.count(F.lit(1)).alias("__rows"))
+    rows = numbered(docs.select("doc_id", *extra, "text"), "__rid")
+    # Texts are equal iff they have the same digest of 256 bits.
+    digest = F.sha2(F.encode(text, "UTF-8"), 256)
+    rows = cut(rows.select("__rid", "doc_id", *extra, (F.octet_length(text) + F.lit(overhead)).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).cast("long").alias("text_crc32"), digest.alias("__text")))
     total = rows.agg(F.sum("size")).first()[0] or 0
-    target = -(-total // n_shards) or 1
-    groups = cut(groups.withColumn("__whole", (F.col("__rows") == 1) | (F.col("__bytes") <= target)))
-    # Rows of a split group are equal texts, so each holds the group's bytes / rows.
-    groups = groups.withColumn("__apart", ~F.col("__whole") & (F.col("__bytes") * LARGE > F.col("__rows") * target))
-    # At most LARGE * n_shards units can each hold more than target / LARGE bytes.
-    many = F.when(F.col("__apart"), F.col("__rows")).otherwise(1)
-    each = F.when(F.col("__apart"), F.floor(F.col("__bytes") / F.col("__rows"))).otherwise(F.col("__bytes")).cast("long")
-    large = groups.filter(F.col("__apart") | F.col("__whole") & (F.col("__bytes") * LARGE > target)).select(*key, each.alias("__each"), many.alias("__many")).orderBy(F.col("__each").desc(), *key).collect()
-    load = [(0, s) for s in range(n_shards)]
-    placed = []
-    for h, crc, size, count in large:
-        for n in range(1, count + 1):
-            had, s = heapq.heappop(load)
-            heapq.heappush(load, (had + size, s))
-            placed.append((h, crc, n, s))
-    spark = docs.sparkSession
-    at = F.broadcast(spark.createDataFrame(placed, "__h long, text_crc32 long, __n int, __at int"))
-    taken = dict((s, had) for had, s in load)
-    # The small units fill what the large ones leave: a level is sought up to which all shards are filled.
-    rest = total - sum(taken.values())
-    level = _level(sorted(taken.values()), rest)
-    free, bounds = 0, []
-    for s in range(n_shards - 1):
-        free += max(0, level - taken[s])
-        bounds.append(int(free))
-    units = rows.join(groups, key)
-    number = F.row_number().over(Window.partitionBy(*key).orderBy("doc_id"))  # LARGE * n_shards rows at most
-    numbered = units.filter("__apart").withColumn("__n", number).unionByName(units.filter("not __apart").withColumn("__n", F.lit(1)))
-    units = numbered.join(at, [*key, "__n"], "left").drop("__n")
-    rest_rows = cut(running_totals(units.filter(F.col("__at").isNull()), ["__h", "text_crc32", "doc_id"], {"__before": "size"}))
-    starts = rest_rows.filter("__whole").groupBy(*key).agg(F.min("__before").alias("__start"))
-    middle = F.when(F.col("__whole"), F.col("__start") * 2 + F.col("__bytes")).otherwise(F.col("__before") * 2 + F.col("size"))
-    shard = F.lit(0)
-    for b in bounds:
-        shard = shard + F.when(F.col("__mid") >= 2 * b, 1).otherwise(0)
-    small_units = rest_rows.join(starts, key, "left").withColumn("__mid", middle).withColumn("shard", shard.cast("int"))
-    keep = ["doc_id", *extra, "size", "text_crc32", "__h", "shard"]
-    dealt = small_units.select(*keep).unionByName(units.filter(F.col("__at").isNotNull()).withColumn("shard", F.col("__at")).select(*keep))
-    out = running_totals(dealt, ["__h", "text_crc32", "doc_id"], {}, group=["shard"], index="slot")
+    several = cut(rows.groupBy("__text").agg(F.sum("size").alias("__bytes"), F.count(F.lit(1)).alias("__rows")).filter("__rows > 1").select("__text", "__bytes"))
+    rows = rows.join(small(several, SMALL), "__text", "left").withColumn("__whole", F.coalesce(F.col("__bytes") * n_shards <= total, F.lit(False)))
+    groups = several.filter(F.col("__bytes") * n_shards <= total)
+    # Rows that are units, and one row for each group that is one.
+    single = rows.filter("not __whole").withColumn("__bytes", F.col("size")).drop("__whole")
+    units = cut(running_totals(single.unionByName(groups, allowMissingColumns=True), ["__text", "doc_id", "__rid"], {"__before": "__bytes"}))
+    # The shard is floor(n_shards * middle / total), in whole numbers.
+    shard = F.expr(f"cast(least({n_shards} - 1, cast(__before * 2 + __bytes as decimal(38, 0)) * {n_shards} div {max(1, 2 * total)}) as int)")
+    units = units.withColumn("shard", shard).drop("__bytes", "__before")
+    copies = rows.filter("__whole").drop("__whole", "__bytes").join(small(units.filter("__rid is null").select("__text", "shard"), SMALL), "__text")
+    dealt = units.filter("__rid is not null").unionByName(copies)
+    out = running_totals(dealt, ["__text", "doc_id", "__rid"], {}, group=["shard"], index="slot")
     return out.select("doc_id", *extra, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
-
-
-def _level(loads: list[int], rest: int) -> float:
-    """The height to which rest fills vessels that already hold loads (ascending)."""
-    filled = 0
-    for i, top in enumerate(loads):
-        after = loads[i + 1] if i + 1 < len(loads) else None
-        filled += top
-        level = (rest + filled) / (i + 1)
-        if after is None or level <= after:
-            return level
-    return 0.0

@@ -51,19 +51,35 @@ def test_shards(docs):
     assert sharding.shard_by_bytes(docs.limit(0)).count() == 0
 
 
-def test_shards_of_repeated_long_texts(spark):
-    """Five rows of 0.4 targets each among small texts: their rows are placed first, so sizes are near equal."""
-    rows = [(i, "long " * 1600) for i in range(5)] + [(10 + i, f"small text {i} " * 4) for i in range(1000)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    sizes = {i: len(t) + 16 for i, t in rows}
-    n = round(sum(sizes.values()) / (sizes[0] / 0.4))
+def test_shards_are_contiguous_and_balanced(spark):
+    """Cuts of one order: groups of copies stay whole unless larger than a shard, and no cut is off by more than half a unit."""
+    rng = np.random.default_rng(5)
+    rows = [(i, f"small text {i} " * int(rng.integers(1, 9))) for i in range(800)]
+    rows += [(1000 + i, f"copied {i % 40}") for i in range(400)] + [(2000 + i, "many copies " * 5) for i in range(3000)] + [(None, None), (None, None), (5, rows[5][1])]
+    df = spark.createDataFrame([(i, t, "x", 7, 8) for i, t in rows], "doc_id long, text string, shard string, w int, __n int")
+    n = 7
     got = sharding.shard_by_bytes(df, n).collect()
-    assert sorted(r.doc_id for r in got) == sorted(sizes)
-    load = [0] * n
-    for r in got:
-        load[r.shard] += r.size
-        assert r.size == sizes[r.doc_id]
-    assert max(load) - min(load) <= 2 * max(sizes[i] for i in sizes if i >= 10)
+    key = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    size = lambda t: len((t or "").encode()) + 16
+    total = sum(size(t) for _, t in rows)
+    groups, want, before = defaultdict(list), defaultdict(list), 0
+    for i, t in rows:
+        groups[key(t)].append((i is not None, i or 0, size(t)))
+    for k in sorted(groups):
+        parts = sorted(groups[k])
+        whole = sum(p[2] for p in parts) * n <= total
+        for unit in [parts] if whole else [[p] for p in parts]:
+            many = sum(p[2] for p in unit)
+            at = min(n - 1, (2 * before + many) * n // (2 * total))
+            want[at] += [(p[1] if p[0] else None, p[2]) for p in unit]
+            before += many
+    found = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.shard, r.slot)):
+        assert r.slot == len(found[r.shard]) and r.w == 7
+        found[r.shard].append((r.doc_id, r.size))
+    assert found == want
+    load = [sum(s for _, s in found[k]) for k in range(n)]
+    assert max(load) - min(load) <= 2 * max(sum(p[2] for p in g) for g in groups.values() if sum(p[2] for p in g) * n <= total)
 
 
 def test_similar_groups(docs):
@@ -210,3 +226,18 @@ def test_toxicity_scores(docs, spark):
     got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame([(1, "such an awfulzz thing"), (2, None), (3, "a fine thing")], "doc_id long, text string"), model).collect()}
     assert got[1].predicted == 1 and got[2].predicted == 0 and got[3].predicted == 0
     assert got[1].spans[0].start == 8 and got[1].spans[0].end == 15
+
+
+def test_licenses_settle_in_order_of_priority(spark):
+    """Clashing names are no trouble; what a better detection suppresses suppresses nothing; base places as a scan of the words."""
+    table = [(0, "a", "one", "one two three"), (1, "b", "three", "three four five"), (2, "c", "five", "five six"), (3, "d", "two", "two")]
+    rows = [(1, "One two, three-four five six", 5), (2, None, None), (3, "", 1), (4, "x cc by cc by all rights reserved cc by-cc by!", 2), (4, "x cc by cc by all rights reserved cc by-cc by!", 2), (5, "ünï cc bY", 0)]
+    df = spark.createDataFrame([(i, t, x, "q", "z") for i, t, x in rows], "doc_id long, text string, w int, m string, __rid string")
+    out, found = licenses.scan(df, table)
+    assert sorted((r.label, r.start) for r in found.collect()) == [("a", 1), ("c", 20)]
+    got = sorted(out.collect(), key=lambda r: r.doc_id)
+    assert [r.labels for r in got] == ["a,c", "", "", "cc-by,reserved", "cc-by,reserved", "cc-by"] and [r.w for r in got][0] == 5
+    for r, (_, t, _) in zip(got, rows, strict=True):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        at = [i for p in licenses.BASE for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(at), min(at, default=None), max(at, default=None))
