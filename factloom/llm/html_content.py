@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import html as entities
 import math
 import random
@@ -24,9 +25,9 @@ _NAME = re.compile(r"[a-z]+|[0-9]+")
 _SPACE = re.compile(r"\s+")
 # Fixed values of HTML: elements without content, with raw text, without visible text, inline ones, and those that an opening tag ends.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes template svg math select option button object canvas audio video".split())
+_RAW = frozenset("template select optgroup option datalist button annotation".split())
 _RAW_TEXT = frozenset("script style textarea title iframe xmp noembed noframes".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br img object canvas audio video select optgroup option datalist button math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot mover munder munderover mstyle mspace mpadded mphantom mtable mtr mtd semantics annotation svg g text tspan path".split())
 _BLOCK_CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 _SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
@@ -48,6 +49,7 @@ def parse(source: str) -> list[Node]:
     nodes = [Node("#page", -1)]
     # open elements: (tag, node of the enclosing block, text depth inside links, hidden)
     stack: list[tuple[str, int]] = [("#page", 0)]
+    places: dict[str, list[int]] = {}  # where in the stack elements of a tag are
     run = -1  # the text run that takes more text, if any
     links = 0
     hidden = 0
@@ -67,18 +69,24 @@ def parse(source: str) -> list[Node]:
             nodes[run].linked += len(text.strip())
 
     def close(tag: str, scope: set[str] | frozenset[str] = frozenset()) -> None:
+        """End the innermost element of a tag and all in it, unless one of the tags of scope is open inside it."""
         nonlocal run, links, hidden
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] == tag:
-                for t, _ in stack[k:]:
-                    links -= t == "a"
-                    hidden -= t in _RAW
-                    if t not in _INLINE:
-                        run = -1
-                del stack[k:]
-                return
-            if stack[k][0] in scope:
-                return
+        if not places.get(tag):
+            return
+        k = places[tag][-1]
+        if any(places[s][-1] > k for s in scope if places.get(s)):
+            return
+        for t, _ in stack[k:]:
+            places[t].pop()
+            links -= t == "a"
+            hidden -= t in _RAW
+            if t not in _INLINE:
+                run = -1
+        del stack[k:]
+
+    def enter(tag: str, node: int) -> None:
+        places.setdefault(tag, []).append(len(stack))
+        stack.append((tag, node))
 
     while at < end:
         m = _TOKEN.search(source, at)
@@ -110,9 +118,8 @@ def parse(source: str) -> list[Node]:
             continue
         if tag in _RAW_TEXT:
             stop = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(source, at)
-            if not (attrs or "").rstrip().endswith("/"):
-                closing = source.find(">", stop.start()) if stop else -1
-                at = (closing + 1 or end) if stop else end
+            closing = source.find(">", stop.start()) if stop else -1
+            at = (closing + 1 or end) if stop else end
             if tag not in ("script", "style"):
                 run = -1
             continue
@@ -125,8 +132,9 @@ def parse(source: str) -> list[Node]:
             run = -1
             continue
         if tag in _INLINE:
-            stack.append((tag, stack[-1][1]))
+            enter(tag, stack[-1][1])
             links += tag == "a"
+            hidden += tag in _RAW
             continue
         run = -1
         if tag in ("html", "body", "head"):  # they say nothing: what they hold belongs to the page
@@ -141,7 +149,7 @@ def parse(source: str) -> list[Node]:
                 elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     names.append("#hidden")
         nodes.append(Node(tag, stack[-1][1], tuple(names)))
-        stack.append((tag, len(nodes) - 1))
+        enter(tag, len(nodes) - 1)
         hidden += tag in _RAW
     return nodes
 
@@ -360,6 +368,12 @@ def train(pages: list[tuple[list[Node], list[int]]] | None = None, passes: int =
     return model
 
 
+@functools.cache
+def default_model() -> TreeModel:
+    """The model of the made-up pages, fitted once in a driver's life."""
+    return train()
+
+
 def main_text(source: str, model: TreeModel, cache: dict[str, float] | None = None) -> tuple[str, float]:
     """The content blocks of a page joined by newlines, and the mean marginal of its text runs that were kept."""
     nodes = parse(source)
@@ -392,7 +406,7 @@ def extract(pages: DataFrame, model: TreeModel | None = None) -> DataFrame:
     Null and empty html give an empty text.  Pages are independent: repeated rows, ties and nulls in other columns change nothing; an empty
     table gives an empty result; columns of pages with names of added columns give way.
     """
-    model = train() if model is None else model
+    model = default_model() if model is None else model
     shared = pages.sparkSession.sparkContext.broadcast(model)
     rows = pages.drop("text", "n_chars", "sureness")
     kept = [f for f in rows.schema if f.name != "html"]

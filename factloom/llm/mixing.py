@@ -7,10 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, numbered, running_totals
+from .common import cut, numbered, running_totals, small
 
 #: A document's size: maximal runs without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Sources that a broadcast join may hold.
+SMALL = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -53,17 +55,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, tilt:
     added = ("size", "source_size", "target", "taken", "copies", "positions")
     rows = numbered(docs.select(*[c for c in docs.columns if c not in added]), "__rid")
     key = F.md5(F.encode(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))), "UTF-8"))
-    rows = rows.withColumns({"size": n_words(F.col("text")), "__null": F.col("source").isNull().cast("int"), "__source": F.coalesce("source", F.lit("")), "__key": key})
-    lean = cut(rows.select("__rid", "size", "__null", "__source", "__key"))
+    lean = cut(rows.select("__rid", n_words(F.col("text")).alias("size"), F.col("source").isNull().cast("int").alias("__null"), F.coalesce("source", F.lit("")).alias("__source"), key.alias("__key")))
     targets = source_targets(lean, weights, cap)
     group = ["__null", "__source"]
-    placed = running_totals(lean, ["__key", "__rid"], {"__before": "size"}, group=group).join(targets, group)
+    placed = running_totals(lean, ["__key", "__rid"], {"__before": "size"}, group=group).join(small(targets, SMALL), group)
     # Occurrence number e starts at e * source_size + before; it is in if it ends within the target.
     all_starts = F.transform(F.sequence(F.lit(0), F.lit(cap - 1)), lambda e: e * F.col("source_size") + F.col("__before"))
     placed = cut(placed.withColumn("__starts", F.filter(all_starts, lambda c: (F.col("size") > 0) & (c + F.col("size") <= F.col("target")))))
     # What the first document too many leaves open goes to documents that fit in it.
-    lacking = placed.groupBy(*group).agg((F.first("target") - F.sum(F.size("__starts") * F.col("size"))).alias("__open"))
-    more = placed.join(lacking, group).filter((F.col("size") > 0) & (F.size("__starts") < cap) & (F.col("size") <= F.col("__open"))).select("__rid", *group, "size", "__key", "__open", "target")
+    lacking = cut(placed.groupBy(*group).agg((F.first("target") - F.sum(F.size("__starts") * F.col("size"))).alias("__open")))
+    more = placed.join(small(lacking, SMALL), group).filter((F.col("size") > 0) & (F.size("__starts") < cap) & (F.col("size") <= F.col("__open"))).select("__rid", *group, "size", "__key", "__open", "target")
     more = running_totals(more, ["__key", "__rid"], {"__later": "size"}, group=group).filter(F.col("__later") * 2 + F.col("size") <= F.col("__open") * 2)
     more = more.select("__rid", (F.col("target") - F.col("__open") + F.col("__later")).alias("__extra"))
     placed = placed.join(more, "__rid", "left").withColumn("__starts", F.array_compact(F.array_append(F.col("__starts").cast("array<double>"), F.col("__extra"))))
@@ -75,9 +76,9 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), cap: int = 3, tilt:
         return F.when(slope == 0, share).otherwise((F.sqrt(back * back + slope * share * 4) - back) / (slope * 2))
 
     plan = cut(
-        placed.select("__rid", "source_size", "target", F.size("__starts").cast("int").alias("copies"), F.transform("__starts", position).alias("positions"))
+        placed.select("__rid", "size", "source_size", "target", F.size("__starts").cast("int").alias("copies"), F.transform("__starts", position).alias("positions"))
     )
-    return rows.join(plan, "__rid").withColumn("taken", F.col("copies") * F.col("size")).drop("__rid", "__null", "__source", "__key")
+    return rows.join(plan, "__rid").withColumn("taken", F.col("copies") * F.col("size")).drop("__rid")
 
 
 def training_order(mixed: DataFrame) -> DataFrame:

@@ -52,9 +52,9 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    first = F.try_element_at("positions", F.lit(1)).alias("first_position")
+    first = F.round(F.try_element_at("positions", F.lit(1)), 6).alias("first_position")
     digest = mixed.select("doc_id", "size", "source_size", "target", "taken", first)
-    return digest.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id").drop("first_position")
+    return digest.repartitionByRange("first_position", "doc_id").sortWithinPartitions("first_position", "doc_id")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,19 +115,24 @@ steps AS (
     / CAST((SELECT sum(weight) FROM weighed) - coalesce(sum(weight) OVER w, 0) AS DOUBLE) AS level
   FROM weighed WINDOW w AS (ORDER BY fill, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), targets AS (
-  SELECT source, source_size, least(CAST(source_size * 3 AS DOUBLE), weight * (SELECT arg_min(level, fill) FROM steps WHERE level <= fill)) AS target FROM weighed
+  SELECT source, place, source_size, least(CAST(source_size * 3 AS DOUBLE), weight * (SELECT arg_min(level, fill) FROM steps WHERE level <= fill)) AS target FROM weighed
 ), placed AS (
-  SELECT d.*, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  SELECT d.*, t.place, t.source_size, t.target, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY d.key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
   FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
 ), once AS (
   SELECT *, CASE WHEN size = 0 THEN 0 ELSE CAST(before + size <= target AS INT) + CAST(source_size + before + size <= target AS INT) + CAST(2 * source_size + before + size <= target AS INT) END AS copies FROM placed
 ), lacking AS (SELECT *, target - sum(copies * size) OVER (PARTITION BY source) AS room FROM once),
 more AS (
-  SELECT doc_id, key, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 2 + size <= room * 2 AS extra
-  FROM lacking WHERE size > 0 AND copies < 3 AND size <= room
+  SELECT doc_id, key, later, later * 2 + size <= room * 2 AS extra FROM (
+    SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS later FROM lacking WHERE size > 0 AND copies < 3 AND size <= room) m
+), done AS (
+  SELECT l.*, (place % 3 - 1) * 0.5::DOUBLE AS slope, CAST(CASE WHEN m.extra THEN 1 ELSE 0 END AS BIGINT) AS extra,
+    CASE WHEN copies > 0 OR m.extra THEN least(1.0::DOUBLE, CAST(CASE WHEN copies > 0 THEN before ELSE target - room + later END AS DOUBLE) / target) END AS share
+  FROM lacking l LEFT JOIN more m ON m.doc_id = l.doc_id AND m.key = l.key
 )
-SELECT l.doc_id, l.size, l.source_size, l.target, CAST((l.copies + CASE WHEN m.extra THEN 1 ELSE 0 END) * l.size AS BIGINT) AS taken
-FROM lacking l LEFT JOIN more m ON m.doc_id = l.doc_id AND m.key = l.key
+SELECT doc_id, size, source_size, target, CAST((copies + extra) * size AS BIGINT) AS taken,
+  round(CASE WHEN slope = 0 THEN share ELSE (sqrt((1 - slope) * (1 - slope) + slope * share * 4) - (1 - slope)) / (slope * 2) END, 6) + 0.0 AS first_position
+FROM done
 """
 
 _OP9 = r"""

@@ -241,3 +241,23 @@ def test_licenses_settle_in_order_of_priority(spark):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
         at = [i for p in licenses.BASE for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(at), min(at, default=None), max(at, default=None))
+
+
+def test_html_keeps_inline_content_in_its_line_and_parses_deep_pages():
+    import time
+
+    model = html_content.default_model()
+    page = "<article><h1>On numbers and their names</h1><p>Let <math><mi>x</mi></math> be a number, and <svg><text>y</text></svg> another one <button>Go</button>of them.<p>It has <audio>sound</audio> too, as all <noscript>numbers</noscript> have.</article><script src=a />var hidden = 1;</script>"
+    text = html_content.main_text(page, model)[0]
+    assert "Let x be a number, and y another one of them." in text and "hidden" not in text and "Go" not in text
+    began = time.time()
+    assert len(html_content.parse("<div>" * 20000 + "</p>" * 20000 + "<i><div>" + "<span>" * 5000 + "</i>" * 5000)) == 20002
+    assert time.time() - began < 5
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", None, "c1"), (1, "u", None, "c1"), (2, None, "", "c"), (None, "v", "<p>One whole sentence, which is all there is.</p", "c")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted(((r.page_id or 0, r.text, r.n_chars) for r in html_content.extract(df).collect()))
+    assert got[1:] == [(1, "", 0), (1, "", 0), (2, "", 0)] and got[0][2] == len(got[0][1]) > 0
+    assert html_content.extract(df.limit(0)).count() == 0
