@@ -110,6 +110,7 @@ def _batched(fn: Callable[[str, str], float]):
     return pandas_udf(run, DoubleType())
 
 
+plain = _batched(ratio)
 partial = _batched(partial_ratio)
 token_set = _batched(token_set_ratio)
 

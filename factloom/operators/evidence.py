@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fuzzy
 from ..functions import text as T
 
 
@@ -47,7 +48,7 @@ def twins(names: DataFrame, floor: float = 90.0) -> DataFrame:
     b = keys.select(F.col("key").alias("b"), F.explode(F.array(bucket, bucket + 1)).alias("b_len"))
     near = (F.length("a") >= F.length("b") * least) & (F.length("b") >= F.length("a") * least)
     pairs = a.join(b, "b_len").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    return pairs.withColumn("score", T.lcs_ratio(F.col("a"), F.col("b"))).filter(F.col("score") >= floor)
+    return pairs.withColumn("score", fuzzy.plain(F.col("a"), F.col("b"))).filter(F.col("score") >= floor)
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,7 +117,7 @@ def keyword_counts(spark, sf_dir):
 
 def fuzzy_twins(spark, sf_dir):
     names = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), T.name_key(F.col("p_name")).alias("key"))
-    return twins(names, 80.0).select("a", "b", F.round("score", 6).alias("score"))
+    return twins(names).select("a", "b", F.round("score", 6).alias("score"))
 
 
 def parse_iso(spark, sf_dir):
@@ -124,10 +125,7 @@ def parse_iso(spark, sf_dir):
 
 
 def academic_years(spark, sf_dir):
-    d = F.col("o_orderdate")
-    start = F.when(F.month(d) >= 4, F.year(d)).otherwise(F.year(d) - 1)
-    spelled = F.array_join(F.transform(F.sequence(start - 1, start + 1), lambda y: F.concat(y.cast("string"), F.lit("-"), F.substring((y + 1).cast("string"), 3, 2))), ",")
-    return _t(spark, sf_dir, "orders").select("o_orderkey", spelled.alias("years"))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.array_join(T.academic_years(F.col("o_orderdate")), ",").alias("years"))
 
 
 def json_field(spark, sf_dir):
@@ -153,9 +151,16 @@ _KIND = """CASE WHEN h IN ('spam-farm.example.com', 'cheap-pills.example.com') O
 _NORM = r"""trim(regexp_replace(regexp_replace(lower(replace(translate(coalesce({0}, ''), '‘’“”–—−' || chr(160) || '|', '''''""---  '), '₹', ' rs ')), '(^|[^a-z0-9_])rs\s*\.', '\1rs ', 'g'), '\s+', ' ', 'g'))"""
 
 
+# A line stays if it is not empty and not equal to the line before it.
+_CLEAN = r"""SELECT doc_id, sha256(coalesce(array_to_string(list_transform(list_filter(list_zip(ls, list_concat([NULL], ls[:-2])), lambda x: x[1] <> '' AND x[1] IS DISTINCT FROM x[2]), lambda x: x[1]), chr(10)), '')) AS sha
+  FROM (SELECT doc_id, list_transform(string_split(regexp_replace(replace(replace(replace(replace(replace(coalesce(text, ''), chr(160), ' '), chr(8203), ''), chr(8204), ''), chr(8205), ''), chr(65279), ''), '\r\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))) AS ls FROM documents) t"""
+
+
 def oracle_sql() -> dict[str, str]:
     norm = _NORM.format("text")
     return {
+        "clean_text": _CLEAN,
+        "content_words": f"""SELECT doc_id, CAST(len(list_distinct(list_filter(regexp_extract_all({norm}, '[a-z0-9]+'), lambda w: length(w) > 1 AND NOT list_contains([{", ".join(f"'{w}'" for w in T.STOP_WORDS)}], w)))) AS BIGINT) AS n FROM documents""",
         "html_title": r"SELECT page_id, substr(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), 1, 300) AS title FROM pages",
         "url_functions": f"""SELECT page_id, h AS host, CASE WHEN regexp_matches(u, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/[^?#]') THEN regexp_replace(u, '/+$', '') ELSE u END AS url,
             array_to_string(list_slice(string_split(h, '.'), -2, -1), '.') AS root FROM (SELECT page_id, {_HOST} AS h, regexp_replace(trim(url), '#.*$', '') AS u FROM pages) t""",
@@ -167,7 +172,7 @@ def oracle_sql() -> dict[str, str]:
         "prose_lines": r"SELECT doc_id, CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: len(list_filter(string_split(x, ' '), lambda w: w <> '')) >= 6)) AS BIGINT) AS n FROM documents",
         "keyword_counts": "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), 'license|token|the')) AS BIGINT) AS hits, CAST(len(list_distinct(regexp_extract_all(lower(text), 'license|token|the'))) AS BIGINT) AS kinds FROM documents",
         "parse_iso": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders",
-        "academic_years": """SELECT o_orderkey, array_to_string(list_transform([s - 1, s, s + 1], lambda y: concat(y, '-', substr(CAST(y + 1 AS VARCHAR), 3, 2))), ',') AS years
+        "academic_years": """SELECT o_orderkey, array_to_string(list_transform([s - 1, s, s + 1], lambda y: concat(y, '-', substr(CAST(y + 1 AS VARCHAR), 3, 2), ',', y, '-', y + 1, ',', y, '–', substr(CAST(y + 1 AS VARCHAR), 3, 2))), ',') AS years
             FROM (SELECT o_orderkey, CASE WHEN month(o_orderdate) >= 4 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END AS s FROM orders) t""",
         "json_field": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
         "export_nested": "SELECT l_orderkey, string_agg(concat(l_linenumber, ':', l_returnflag), ',' ORDER BY concat(l_linenumber, ':', l_returnflag)) AS evidence FROM lineitem GROUP BY l_orderkey",
