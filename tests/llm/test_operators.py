@@ -256,7 +256,7 @@ def test_html_keeps_inline_content_in_its_line_and_parses_deep_pages():
 
 
 def test_html_rows(spark):
-    rows = [(1, "u", None, "c1"), (1, "u", None, "c1"), (2, None, "", "c"), (None, "v", "<p>One whole sentence, which is all there is.</p", "c")]
+    rows = [(1, "u", None, "c1"), (1, "u", None, "c1"), (2, None, "", "c"), (None, "v", "<article><p>One whole sentence, which is all there is.<p>And another one, which comes after it.</article", "c")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
     got = sorted(((r.page_id or 0, r.text, r.n_chars) for r in html_content.extract(df).collect()))
     assert got[1:] == [(1, "", 0), (1, "", 0), (2, "", 0)] and got[0][2] == len(got[0][1]) > 0
