@@ -159,11 +159,6 @@ def quote_fuzzy(spark, sf_dir):
     return quotes_in_texts(quotes, _t(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
-def ground_field(spark, sf_dir):
-    told = R.ground(F.concat(F.lit("ships by "), F.col("o_orderpriority")), F.array(F.concat(F.lit("ships by "), F.col("o_orderpriority"))), F.concat_ws(" ", F.lit("Order"), F.col("o_orderkey").cast("string"), F.lit("ships by"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).otherwise(F.lit("no one at any time"))))
-    return _t(spark, sf_dir, "orders").select("o_orderkey", told["grounded"].alias("grounded"), told["value"].alias("value"))
-
-
 def ground_url(spark, sf_dir):
     pages = _t(spark, sf_dir, "pages")
     hrefs = F.transform(R.link_parts(F.col("html"), F.col("url")), lambda x: x.href)
@@ -200,7 +195,7 @@ def source_kinds_by_host(spark, sf_dir):
     return _t(spark, sf_dir, "pages").groupBy(T.domain(F.col("url")).alias("host")).agg(F.min(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
 
 
-_FUNCTIONS = (html_links, link_filter, frontier_step, context_window, relevance_gate, extract_names, distinctive_tokens, dedup_key, provider_type, name_filter, numbers_supported, quote_still_present, quote_fuzzy, ground_field, ground_url, fuzzy_best_match, order_by_field_list, freshness, json_guard, source_kinds_by_host)
+_FUNCTIONS = (html_links, link_filter, frontier_step, context_window, relevance_gate, extract_names, distinctive_tokens, dedup_key, provider_type, name_filter, numbers_supported, quote_still_present, quote_fuzzy, ground_url, fuzzy_best_match, order_by_field_list, freshness, json_guard, source_kinds_by_host)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -244,7 +239,6 @@ def oracle_sql() -> dict[str, str]:
         "provider_type": "SELECT s_suppkey, ['foundation_trust', 'government', 'university', 'government', 'corporate_csr', NULL][CAST(s_suppkey % 6 + 1 AS INT)] AS kind FROM supplier",
         "name_filter": "SELECT p_partkey, p_partkey % 3 = 0 OR p_partkey % 3 = 1 AND p_partkey % 2 = 0 AS funding FROM part",
         "numbers_supported": "SELECT l_orderkey, l_linenumber, l_linenumber IN (3, 5) AS supported FROM lineitem",
-        "ground_field": "SELECT o_orderkey, o_orderstatus <> 'F' AS grounded, CASE WHEN o_orderstatus <> 'F' THEN 'ships by ' || o_orderpriority END AS value FROM orders",
         "order_by_field_list": "SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY list_position(['P', 'O', 'F'], o_orderstatus), o_orderkey) AS place FROM orders",
         "freshness": f"SELECT o_orderkey, CAST(CASE WHEN CAST(o_orderdate AS DATE) BETWEEN DATE '{AS_OF}' - 360 AND DATE '{AS_OF}' + 540 THEN 10 ELSE 0 END AS BIGINT) AS points FROM orders",
         "source_kinds_by_host": f"SELECT h AS host, min(kind) AS kind, count(*) AS n FROM (SELECT h, {_KIND} AS kind FROM (SELECT url, {_PAGE_HOST} AS h FROM pages) t) u GROUP BY h",

@@ -47,10 +47,6 @@ QUERIES = {
     "closest_version": """
         SELECT o_custkey, o_orderkey, gap FROM (SELECT o_custkey, o_orderkey, abs(age - 365) AS gap, row_number() OVER (PARTITION BY o_custkey ORDER BY abs(age - 365), o_orderkey) AS r
         FROM (SELECT o_custkey, o_orderkey, datediff('day', CAST(o_orderdate AS DATE), DATE '1998-06-30') AS age FROM orders) a WHERE age BETWEEN 60 AND 1000) t WHERE r = 1""",
-    "lifecycle_status": """
-        SELECT o.o_orderkey, CASE WHEN coalesce(e.fails, 0) >= 2 THEN 'NO_LONGER_VERIFIABLE' WHEN CAST(o.o_orderdate AS DATE) < DATE '1998-06-30' THEN 'EXPIRED' WHEN o.o_orderstatus <> 'F' THEN 'REVIEW_REQUIRED'
-          WHEN CAST(o.o_orderdate AS DATE) <= DATE '1998-07-15' THEN 'EXPIRING_SOON' ELSE 'ACTIVE' END AS status
-        FROM orders o LEFT JOIN (SELECT l_orderkey, count(*) AS fails FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40 GROUP BY l_orderkey) e ON e.l_orderkey = o.o_orderkey""",
     "status_transitions": """
         SELECT o_orderkey, o_orderstatus AS old_status, status AS new_status FROM (SELECT o_orderkey, o_orderstatus, CASE WHEN CAST(o_orderdate AS DATE) < DATE '1998-06-30' THEN 'F' ELSE 'O' END AS status FROM orders) t
         WHERE o_orderstatus IS NOT NULL AND o_orderstatus <> status""",
@@ -58,12 +54,6 @@ QUERIES = {
     "merge_missing": """
         SELECT coalesce(a.l_orderkey, b.l_orderkey) AS record, coalesce(a.l_linenumber, b.l_linenumber) AS field, coalesce(a.l_extendedprice, b.l_extendedprice) AS price, a.l_orderkey IS NULL AS filled
         FROM (SELECT * FROM lineitem WHERE l_suppkey % 3 <> 0) a FULL OUTER JOIN (SELECT * FROM lineitem WHERE l_suppkey % 2 = 0) b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber""",
-    "field_changes": """
-        SELECT coalesce(a.l_orderkey, b.l_orderkey) AS record, coalesce(a.l_linenumber, b.l_linenumber) AS field,
-          CASE WHEN a.l_orderkey IS NULL THEN 'newly stated' WHEN b.l_orderkey IS NULL THEN 'no longer stated' ELSE 'value changed' END AS note
-        FROM (SELECT l_orderkey, l_linenumber, l_quantity AS v FROM lineitem WHERE l_suppkey % 3 <> 0) a
-        FULL OUTER JOIN (SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0.05 THEN l_quantity + 1 ELSE l_quantity END AS v FROM lineitem WHERE l_suppkey % 5 <> 0) b
-          ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber WHERE a.v IS NULL OR b.v IS NULL OR a.v <> b.v""",
     "upsert_last_wins": """
         SELECT k, v FROM (SELECT k, v, row_number() OVER (PARTITION BY k ORDER BY version DESC, tie DESC, v DESC) AS r FROM (
           SELECT l_orderkey AS k, l_extendedprice AS v, 0 AS version, l_linenumber AS tie FROM lineitem WHERE l_linenumber = 1
@@ -74,18 +64,10 @@ QUERIES = {
     "conditional_update": "SELECT o.o_orderkey, CASE WHEN p.k IS NOT NULL THEN DATE '1998-06-30' ELSE CAST(o.o_orderdate AS DATE) END AS last_verified FROM orders o LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 48) p ON p.k = o.o_orderkey",
     "rejected_claims": "SELECT l_orderkey, l_linenumber, l_extendedprice AS raw_value FROM lineitem WHERE l_discount = 0 AND l_extendedprice IS NOT NULL",
     "needs_enrichment": "SELECT l_orderkey, 7 - count(DISTINCT l_linenumber) AS lacking FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linenumber) < 3",
-    "twin_agreement": """
-        SELECT a.p_partkey AS a, b.p_partkey AS b, a.p_size = b.p_size AS same FROM part a JOIN part b ON a.p_name = b.p_name AND a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey""",
     "incremental_skip": "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM (SELECT text, doc_id FROM documents WHERE doc_id % 2 = 0) s WHERE s.text = d.text AND s.doc_id <> d.doc_id)",
     "quote_exact": "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "export_flat": "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders ORDER BY o_totalprice DESC, o_orderkey",
     "present_table": "SELECT o_orderkey, coalesce(CASE o_orderstatus WHEN 'F' THEN 'Finished' WHEN 'O' THEN 'Open' END, 'Not specified') AS label FROM orders",
-    "verification_counts": "SELECT count(*) FILTER (WHERE o_totalprice >= 150000) AS verified, count(*) FILTER (WHERE o_totalprice < 150000) AS review_required FROM orders",
-    "confidence_score": """
-        SELECT o_orderkey, CAST(round(greatest(CAST(0 AS DECIMAL(10, 4)), least(CAST(100 AS DECIMAL(10, 4)), owned + least(n, 3) * CAST(5 AS DECIMAL(10, 4)) + fresh - penalty)), 1) AS DOUBLE) AS score FROM (
-          SELECT o.o_orderkey, CAST(CASE WHEN o.o_orderstatus = 'F' THEN 25 ELSE 0 END AS DECIMAL(10, 4)) AS owned, count(l.l_orderkey) AS n,
-            CAST(CASE WHEN max(CAST(l.l_shipdate AS DATE)) >= DATE '1997-07-05' THEN 10 ELSE 0 END AS DECIMAL(10, 4)) AS fresh, CAST(CASE WHEN o.o_orderstatus = 'P' THEN 30 ELSE 0 END AS DECIMAL(10, 4)) AS penalty
-          FROM orders o LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_discount > 0.02 GROUP BY o.o_orderkey, o.o_orderstatus) t""",
 }
 #: The same with two sides that together hold every row: a predicate and its complement, and an overlap whose values differ.
 _SIDE_A, _SIDE_B = "l_suppkey % 3 IS DISTINCT FROM 0", "l_suppkey % 3 IS NOT DISTINCT FROM 0 OR l_suppkey % 2 = 0"
