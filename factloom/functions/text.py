@@ -185,7 +185,7 @@ def has_word(token: Column, text: Column) -> Column:
 
 
 def cycle_year(*texts: Column) -> Column:
-    """The latest year 20yy that texts name, where 2025-26 names 2026 as well; 0 without one."""
+    """The latest year 20yy that texts name; 0 without one.  20yy-zz names 20zz as well, in a date just as in 2025-26."""
     whole = F.concat_ws(" ", *texts)
     plain = F.transform(F.regexp_extract_all(whole, F.lit(r"\b(20[0-9]{2})\b"), F.lit(1)), lambda x: x.cast("int"))
     ends = F.transform(F.regexp_extract_all(whole, F.lit(r"\b20[0-9]{2}\s*[-–]\s*([0-9]{2})\b"), F.lit(1)), lambda x: x.cast("int") + 2000)

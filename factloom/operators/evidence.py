@@ -132,13 +132,7 @@ def json_field(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-def export_nested(spark, sf_dir):
-    """Per record its evidence as one ordered array."""
-    lines = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.concat_ws(":", F.col("l_linenumber").cast("string"), "l_returnflag"))).alias("e"))
-    return lines.select("l_orderkey", F.array_join("e", ",").alias("evidence"))
-
-
-_FUNCTIONS = (clean_text, html_title, url_functions, classify_source, source_report, norm_text, content_words, numbers_in, find_dates, name_key, prose_lines, keyword_counts, fuzzy_twins, parse_iso, academic_years, json_field, export_nested)
+_FUNCTIONS = (clean_text, html_title, url_functions, classify_source, source_report, norm_text, content_words, numbers_in, find_dates, name_key, prose_lines, keyword_counts, fuzzy_twins, parse_iso, academic_years, json_field)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -175,5 +169,4 @@ def oracle_sql() -> dict[str, str]:
         "academic_years": """SELECT o_orderkey, array_to_string(list_transform([s - 1, s, s + 1], lambda y: concat(y, '-', substr(CAST(y + 1 AS VARCHAR), 3, 2), ',', y, '-', y + 1, ',', y, '–', substr(CAST(y + 1 AS VARCHAR), 3, 2))), ',') AS years
             FROM (SELECT o_orderkey, CASE WHEN month(o_orderdate) >= 4 THEN year(o_orderdate) ELSE year(o_orderdate) - 1 END AS s FROM orders) t""",
         "json_field": "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events",
-        "export_nested": "SELECT l_orderkey, string_agg(concat(l_linenumber, ':', l_returnflag), ',' ORDER BY concat(l_linenumber, ':', l_returnflag)) AS evidence FROM lineitem GROUP BY l_orderkey",
     }

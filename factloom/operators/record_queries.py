@@ -26,7 +26,7 @@ RECORDS = f"""SELECT p_partkey AS id, concat(p_name, ' ', p_brand) AS topic, con
     CASE WHEN p_partkey % 4 = 0 THEN 'REVIEW_REQUIRED' ELSE 'VERIFIED' END AS verification_status, CASE WHEN p_partkey % 4 = 0 THEN 40.0 ELSE 95.0 END AS confidence, CASE p_partkey % 13 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 0 END AS missing_runs FROM part"""
 TEXTS = f"""SELECT {_URL} AS url, CASE p_partkey % 3 WHEN 0 THEN 'The Loom and Weave houses take applications on a rolling basis' WHEN 1 THEN 'Last date 31.10.2026' ELSE 'No more is said' END AS text, CASE WHEN p_partkey % 4 >= 2 THEN 2 ELSE 1 END AS runs FROM part"""
 SOURCES = f"""SELECT {_URL} AS url, CASE WHEN p_partkey % 17 = 0 THEN 404 WHEN p_partkey % 17 = 1 THEN 410 ELSE 200 END AS http_status, CASE p_partkey % 9 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS fail_count FROM part WHERE p_partkey % 23 <> 0"""
-EVIDENCE = f"""SELECT id, field, value, concat('It says ', value) AS quote, official_url AS source_url, (id * 7 + k * 3) % 5 <> 0 AND (id + k) % 11 <> 0 AND value IS NOT NULL AS grounded, CASE WHEN (id + k) % 11 <> 0 THEN value END AS raw_value
+EVIDENCE = f"""SELECT id, field, value, CASE WHEN value IS NOT NULL THEN concat('It says ', value) END AS quote, official_url AS source_url, (id * 7 + k * 3) % 5 <> 0 AND (id + k) % 11 <> 0 AND value IS NOT NULL AS grounded, CASE WHEN (id + k) % 11 <> 0 THEN value END AS raw_value
     FROM (SELECT id, field, k, official_url, CASE field WHEN 'name' THEN name WHEN 'provider' THEN CASE id % 5 WHEN 0 THEN 'Ministry of Colour' WHEN 1 THEN 'Blue Trust' WHEN 2 THEN 'State University' WHEN 3 THEN 'Lace University' END
         WHEN 'application_url' THEN CASE id % 4 WHEN 0 THEN 'https://www.colour.gov.in/apply' WHEN 1 THEN 'apply.portal.example.com/x' WHEN 2 THEN 'https://elsewhere.org/a' ELSE concat(official_url, '/apply') END
         WHEN 'amount' THEN concat('Rs. ', CAST(1000 * (id % 3 + 1) AS VARCHAR(20))) WHEN 'close_date' THEN concat('2026-11-1', CAST(id % 2 AS VARCHAR(20))) WHEN 'income_limit' THEN concat(CAST(id % 2 + 2 AS VARCHAR(20)), '.5 lakh')

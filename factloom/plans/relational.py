@@ -15,7 +15,6 @@ QUERIES = {
     "filter_in_status": "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('O', 'P')",
     "filter_notlike_null": "SELECT d.doc_id, d.source, l.quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id WHERE NOT d.source ILIKE 'SRC1%' OR d.source IS NULL",
     "text_search": "SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', coalesce(text, ''), coalesce(source, ''))), 'license')",
-    "param_sql": "SELECT c_custkey, c_acctbal FROM customer WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 1000",
     "distinct_sources": "SELECT DISTINCT source, lang FROM documents",
     "join_left_source": "SELECT o.o_orderkey, c.c_name, c.c_acctbal FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey AND c.c_acctbal > 0",
     "join_inner_changes": "SELECT l.l_orderkey, l.l_linenumber, o.o_orderstatus FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey WHERE l.l_returnflag = 'R'",
@@ -43,7 +42,6 @@ QUERIES = {
         FROM (SELECT *, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events) t""",
     "recently_changed": "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) > DATE '1998-06-23' AND CAST(o_orderdate AS DATE) <= DATE '1998-06-30'",
     "content_dedup": "SELECT doc_id, first_value(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS duplicate_of FROM documents",
-    "newest_cycle": "SELECT o_custkey, o_orderkey, cycle FROM (SELECT o_custkey, o_orderkey, year(o_orderdate) AS cycle, row_number() OVER (PARTITION BY o_custkey ORDER BY year(o_orderdate) DESC, o_orderkey) AS r FROM orders) t WHERE r = 1",
     "closest_version": """
         SELECT o_custkey, o_orderkey, gap FROM (SELECT o_custkey, o_orderkey, abs(age - 365) AS gap, row_number() OVER (PARTITION BY o_custkey ORDER BY abs(age - 365), o_orderkey) AS r
         FROM (SELECT o_custkey, o_orderkey, datediff('day', CAST(o_orderdate AS DATE), DATE '1998-06-30') AS age FROM orders) a WHERE age BETWEEN 60 AND 1000) t WHERE r = 1""",
@@ -63,7 +61,6 @@ QUERIES = {
         UNION ALL SELECT DISTINCT o_custkey, 'new' FROM orders n WHERE o_orderkey % 2 = 1 AND NOT EXISTS (SELECT 1 FROM orders x WHERE x.o_orderkey % 2 = 0 AND x.o_custkey = n.o_custkey)""",
     "conditional_update": "SELECT o.o_orderkey, CASE WHEN p.k IS NOT NULL THEN DATE '1998-06-30' ELSE CAST(o.o_orderdate AS DATE) END AS last_verified FROM orders o LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_quantity > 48) p ON p.k = o.o_orderkey",
     "rejected_claims": "SELECT l_orderkey, l_linenumber, l_extendedprice AS raw_value FROM lineitem WHERE l_discount = 0 AND l_extendedprice IS NOT NULL",
-    "needs_enrichment": "SELECT l_orderkey, 7 - count(DISTINCT l_linenumber) AS lacking FROM lineitem GROUP BY l_orderkey HAVING count(DISTINCT l_linenumber) < 3",
     "incremental_skip": "SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM (SELECT text, doc_id FROM documents WHERE doc_id % 2 = 0) s WHERE s.text = d.text AND s.doc_id <> d.doc_id)",
     "quote_exact": "SELECT b.item_id, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)",
     "export_flat": "SELECT o_orderkey, o_custkey, o_orderstatus, CAST(o_orderdate AS DATE) AS o_orderdate FROM orders ORDER BY o_totalprice DESC, o_orderkey",

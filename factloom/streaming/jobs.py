@@ -5,8 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 
 def _sink(stream: DataFrame, mode: str) -> DataFrame:
@@ -31,9 +33,31 @@ def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sink(days, "complete")
 
 
+def _count_failures(key, batches, state):
+    """Consecutive failures of a key: rows of each batch in order of time; a success ends the run."""
+    failures = state.get[0] if state.exists else 0
+    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
+    for failed in rows["failed"]:
+        failures = failures + 1 if failed else 0
+    state.update((failures,))
+    yield pd.DataFrame({"user_id": [key[0]], "version": [int(rows["event_id"].max())], "failures": [failures]})
+
+
+def stream_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures in a row at the end of each user's events, kept as state from batch to batch; the latest count of each user."""
+    events = _stream(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"))
+    told = events.groupBy("user_id").applyInPandasWithState(_count_failures, "user_id long, version long, failures long", "failures long", "append", GroupStateTimeout.NoTimeout)
+    return _sink(told, "append").groupBy("user_id").agg(F.max_by("failures", "version").alias("failures"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"stream_dedup": stream_dedup, "stream_daily_counts": stream_daily_counts}
+    return {"stream_dedup": stream_dedup, "stream_daily_counts": stream_daily_counts, "stream_failures": stream_failures}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"stream_dedup": "SELECT DISTINCT user_id, event_type FROM events", "stream_daily_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2"}
+    return {
+        "stream_dedup": "SELECT DISTINCT user_id, event_type FROM events",
+        "stream_daily_counts": "SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+        "stream_failures": """SELECT user_id, count(*) FILTER (event_type = 'error' AND NOT later) AS failures FROM (
+            SELECT user_id, event_type, coalesce(bool_or(event_type <> 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS later FROM events) t GROUP BY user_id""",
+    }
