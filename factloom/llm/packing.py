@@ -21,7 +21,7 @@ from .common import cut, running_totals
 CAPACITY, END_ID, LARGE_FROM, GROUPS = 2048, 0, 1 / 8, 512
 
 #: Characters of texts that are encoded together; words whose ids are kept, and the longest of them.
-TOGETHER, KEPT, LONGEST = 1 << 20, 1 << 16, 64
+TOGETHER, KEPT, LONGEST = 1 << 20, 300_000, 64
 
 _TOKENIZERS: dict[str, tuple[object, bool]] = {}
 _WORDS = re.compile(r"(?= \S)")
@@ -59,9 +59,10 @@ class Encoder:
             self.kept.clear()
         known = self.kept
         new = list(set(itertools.chain.from_iterable(parts)) - known.keys())
-        raw = (np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(new, add_special_tokens=False))
-        found = dict(zip(new, raw, strict=True))
-        known.update(found)
+        told = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
+        flat = np.fromiter(itertools.chain.from_iterable(told), "<u4").tobytes()
+        ends = list(itertools.accumulate(map(len, told), initial=0))
+        known.update(zip(new, (flat[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
         out = [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4") for p in parts]
         for w in new:
             if len(w) > LONGEST:

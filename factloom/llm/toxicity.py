@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 #: chain itself is fitted on, and the largest of them in bytes; hashed weights; passes; threshold.
 SAMPLE, SAMPLE_CLEAN, CHAIN, SAMPLE_BYTES, WEIGHTS, PASSES, THRESHOLD = 1500, 3500, (2400, 800), 8192, 1 << 18, 24, 0.7
 #: Documents scored side by side hold about so many tokens; words whose odds are kept.
-TOKENS, KEPT = 100_000, 60_000
+TOKENS, KEPT = 100_000, 250_000
 
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from factloom.llm import ann, chat, exact_dedup, html_content, jaccard, licenses, mixing, packing, queries, sharding, toxicity
 from tests.compare import connect, differences
@@ -261,3 +262,33 @@ def test_html_rows(spark):
     got = sorted(((r.page_id or 0, r.text, r.n_chars) for r in html_content.extract(df).collect()))
     assert got[1:] == [(1, "", 0), (1, "", 0), (2, "", 0)] and got[0][2] == len(got[0][1]) > 0
     assert html_content.extract(df.limit(0)).count() == 0
+
+
+def test_operators_on_empty_tables_and_clashing_names(spark, docs):
+    """Empty tables give empty results; columns of docs with names used inside or added give way or stay."""
+    none = docs.limit(0)
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    model = toxicity.train(none, labels)
+    assert toxicity.score(none, model).count() == 0
+    scored = toxicity.score(docs.withColumn("score", F.lit("x")).withColumn("w", F.lit(1)), model).collect()
+    assert len(scored) == len(ROWS) and {r.predicted for r in scored} == {0} and {r.w for r in scored} == {1}
+    assert packing.pack(none, queries.tokenizer_path()).count() == 0
+    twice = packing.pack(docs.withColumn("ids", F.lit(1)), queries.tokenizer_path()).collect()
+    assert sum(r.doc_id == 9 for r in twice) == 2 and sum(r.length for r in twice if r.doc_id in (3, 4)) == 2
+    turns = spark.createDataFrame([(1, 0, "user", "a"), (1, 0, "user", "a"), (1, 0, None, None)], "conv_id long, turn long, role string, text string")
+    assert chat.format_chat(turns.limit(0)).count() == 0 and chat.format_chat(turns).first().n_turns == 3
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.5, 0.0]), (4, [1.0])], "vec_id long, embedding array<double>")
+    assert ann.nearest(vectors.limit(0)).count() == 0
+    got = sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(vectors).collect() if r.query_id == 20)
+    assert got == [(20, 1, 0), (20, 2, 0), (20, 3, 3)]
+
+
+def test_keep_one_and_training_order(spark):
+    """Of each near group the least id stays, and a mix's rows come in the order of their positions."""
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(5, long, "a"), (3, long + " end", "b"), (7, "other words that stand alone here", "b"), (8, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in jaccard.keep_one(df).collect()) == [3, 7, 8]
+    mixed = mixing.mix(df)
+    order = mixing.training_order(mixed).select("position").collect()
+    assert [r.position for r in order] == sorted(r.position for r in order) and len(order) == sum(r.copies for r in mixed.collect())
