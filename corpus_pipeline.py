@@ -18,28 +18,31 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below the threshold stay; the model is fitted on those of docs that labels knows."""
+    """Documents scored below the threshold stay; the model is fitted on those of docs that labels knows.
+
+    Null and empty texts, null ids and repeated rows stay; an empty table stays empty.
+    """
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.score(docs.select(*COLUMNS), model).filter("predicted = 0").select(*COLUMNS)
 
 
 def drop_exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id stays."""
+    """Of equal texts the row with the largest doc_id stays; null counts as empty, and of equal ids one row stays."""
     return exact_dedup.exact_duplicates(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked texts the row with the least doc_id stays."""
+    """Of each group of linked texts the row with the least doc_id stays; texts without words are linked with nothing and stay."""
     return jaccard.keep_one(docs.select(*COLUMNS))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order, each as often as the mix takes it."""
+    """Documents in training order, each as often as the mix takes it; texts without words are taken no time."""
     return mixing.training_order(mixing.mix(docs.select(*COLUMNS))).select(*COLUMNS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents and their places in sequences."""
+    """Pieces of the documents and their places in sequences; repeated rows are packed each."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -51,7 +54,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The trained stage has no SQL form; no test holds the whole pipeline against a brute-force version yet.
+#: The trained stage has no SQL form; tests/llm/test_pipeline.py holds run() against plain Python on a small corpus.
 ORACLE_SQL = None
 
 
