@@ -20,15 +20,15 @@ from .common import cut, running_totals
 #: Sequence capacity in tokens; id that ends a document; part of the capacity from which a piece is large; groups of large pieces.
 CAPACITY, END_ID, LARGE_FROM, GROUPS = 2048, 0, 1 / 8, 512
 
-#: Characters of texts that are encoded together; words whose ids are kept, and the longest of them.
-TOGETHER, KEPT, LONGEST = 1 << 20, 300_000, 64
+#: Characters of texts that are encoded together; words whose ids are kept, and the longest of them; new words that are encoded as one text.
+TOGETHER, KEPT, LONGEST, JOINED = 1 << 20, 300_000, 64, 256
 
-_TOKENIZERS: dict[str, tuple[object, bool]] = {}
+_TOKENIZERS: dict[str, tuple[object, bool, np.ndarray]] = {}
 _WORDS = re.compile(r"(?= \S)")
 
 
-def _tokenizer(path: str) -> tuple[object, bool]:
-    """The tokenizer of a tokenizers JSON file, and whether a text's ids are those of its words one after the other.
+def _tokenizer(path: str) -> tuple[object, bool, np.ndarray]:
+    """The tokenizer of a tokenizers JSON file, whether a text's ids are those of its words one after the other, and how many bytes each id stands for.
 
     They are where byte-level pre-tokenizing by its usual rule is all that comes before the model: that rule always starts a new piece
     at a space that a character other than white space follows.
@@ -42,7 +42,10 @@ def _tokenizer(path: str) -> tuple[object, bool]:
         pre = spec["pre_tokenizer"] or {}
         plain = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         whole = all(" " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec["added_tokens"])
-        _TOKENIZERS[path] = library, bool(plain and whole)
+        sizes = {i: len(t) for t, i in library.get_vocab().items()} | {t["id"]: len(t["content"].encode()) for t in spec["added_tokens"]}
+        n_bytes = np.zeros(max(sizes, default=0) + 1, np.int64)
+        n_bytes[list(sizes)] = list(sizes.values())  # a byte is one character of the alphabet that byte-level tokens are written in
+        _TOKENIZERS[path] = library, bool(plain and whole), n_bytes
     return _TOKENIZERS[path]
 
 
@@ -50,25 +53,47 @@ class Encoder:
     """Ids of texts by the tokenizers library, without special tokens around them; distinct words are encoded once, together."""
 
     def __init__(self, path: str):
-        self.library, self.by_words = _tokenizer(path)
+        self.library, self.by_words, self.n_bytes = _tokenizer(path)
         self.kept: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [_WORDS.split(t) for t in texts] if self.by_words else [[t] for t in texts]
+        if not self.by_words:
+            return self._ids(texts)
+        parts = [_WORDS.split(t) for t in texts]
+        used = set(itertools.chain.from_iterable(parts))
         if len(self.kept) > KEPT:
-            self.kept.clear()
+            self.kept = {w: self.kept[w] for w in used & self.kept.keys()}
         known = self.kept
-        new = list(set(itertools.chain.from_iterable(parts)) - known.keys())
-        told = [e.ids for e in self.library.encode_batch_fast(new, add_special_tokens=False)]
-        flat = np.fromiter(itertools.chain.from_iterable(told), "<u4").tobytes()
-        ends = list(itertools.accumulate(map(len, told), initial=0))
-        known.update(zip(new, (flat[4 * a : 4 * b] for a, b in zip(ends, ends[1:], strict=False)), strict=True))
+        new = list(used - known.keys())
+        known.update(zip(new, self._words(new), strict=True))
         out = [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4") for p in parts]
         for w in new:
             if len(w) > LONGEST:
                 del known[w]
         return out
 
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word.  Those that start at a space before a character go to the library many as one text, whose ids are told apart by the bytes they stand for."""
+        out = dict.fromkeys(words, b"")
+        spaced, singly = [], []
+        for w in words:
+            (spaced if _WORDS.match(w) else singly).append(w)
+        runs = [spaced[lo : lo + JOINED] for lo in range(0, len(spaced), JOINED)]
+        for run, ids in zip(runs, self._ids(["".join(run) for run in runs]), strict=True):
+            ends = np.cumsum(self.n_bytes[ids])
+            want = np.cumsum([len(w.encode()) for w in run])
+            last = np.searchsorted(ends, want)
+            if ends[-1] != want[-1] or (ends[last] != want).any():
+                singly += run
+                continue
+            flat, stops = ids.tobytes(), (4 * (last + 1)).tolist()
+            out.update(zip(run, (flat[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
+        out.update(zip(singly, (x.tobytes() for x in self._ids(singly)), strict=True))
+        return list(out.values())
+
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Tokenize whole texts and cut them: (__rid, doc_id, piece, start, length, ids_crc32 and, if asked for, ids).
