@@ -201,6 +201,51 @@ def test_nearest_recall(spark):
     assert len(got) == 30 and found / (20 * len(got)) >= 0.9
 
 
+def test_nearest_by_cells(spark):
+    """Many cells, a third of all rows equal, repeated ids and vectors of another length: every score is exact and the nearest are found."""
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((40, 16)) * 3
+    x = centres[rng.integers(0, 40, 2400)] + 0.1 * rng.standard_normal((2400, 16))
+    x[::3] = x[0]
+    ids = np.arange(2400)
+    ids[2399] = 40
+    rows = [(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)] + [(5000, [1.0, 2.0]), (5001, [3.0, 1.0]), (5020, [0.5, 0.5])]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5), cell=64, queries=16).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    assert got[5000] == [(5001, 5.0), (5020, 1.5)] and got[5020] == [(5001, 2.0), (5000, 1.5)]
+    assert len(got[40]) == 40  # two rows, each a query of its own
+    hit = total = 0
+    for q in range(0, 2400, 20):
+        if q == 40:
+            continue
+        s = x @ x[q]
+        s[q] = -np.inf
+        want = [int(ids[i]) for i in np.lexsort((ids, -np.round(s, 10)))[:20]]
+        hit, total = hit + len(set(want) & {i for i, _ in got[q]}), total + 20
+        assert len(got[q]) == 20 and all(any(abs(x[q] @ x[j] - v) < 1e-9 for j in np.flatnonzero(ids == i)) for i, v in got[q])
+    assert hit / total >= 0.9
+
+
+def test_nearest_stops_early():
+    """On clustered vectors the stopping test leaves most leaves unvisited; on a tree with equal points every point has its cell."""
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((300, 32)) * 4
+    x = centres[rng.integers(0, 300, 20_000)] + 0.05 * rng.standard_normal((20_000, 32))
+    longest = float(np.sqrt((x * x).sum(1).max()))
+    px, at = ann.projected(x, longest), np.arange(len(x))
+    q = np.arange(0, 20_000, 400)
+    _, where, seen = ann.search_block(x, px, at, at, x[q], q, np.full(len(q), -np.inf), 20, longest)
+    want = [set(np.argsort(np.where(at == i, np.inf, -(x @ x[i])))[:20]) for i in q]
+    assert np.mean([len(w & set(g)) / 20 for w, g in zip(want, where.tolist(), strict=True)]) >= 0.9
+    assert seen.mean() < 0.6 * len(ann._kd_leaves(px, ann.LEAF))
+    px[::2] = px[0]
+    nodes = ann.cell_tree(px, 37)
+    cells = ann.route(px, nodes)
+    assert len(set(cells[::2])) == 1 and set(cells) == set(range(int((nodes[:, 0] < 0).sum()))) and len(set(cells)) <= 37
+    assert (ann.route(px, ann.cell_tree(px[:0], 5)) == 0).all()
+
+
 def test_html():
     model = html_content.train()
     page = "<html><body><nav><ul><li><a href=/>Home</a></ul></nav><article><h1>A  title</h1><p>First &amp; text, of some length.<p>Second <b>text</b>\n here, it goes on.</article><footer>&copy; me</footer></body></html>"
