@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -17,6 +18,8 @@ from .evidence import _KIND, PROFILE, classify
 KEYWORDS, CONTEXT_CHARS, PER_PAGE, AS_OF = "(?i)the|and", 2000, 25, "1998-06-30"
 #: Quotes that are looked up together in one reading of a text.
 QUOTE_GROUP = 256
+#: Letters by which a quote of few words is looked up; bytes of quotes up to which they are broadcast.
+RUN_LETTERS, LIGHT = 6, 32 << 20
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -143,6 +146,46 @@ def quotes_in_texts(quotes: DataFrame, docs: DataFrame, floor: float = R.QUOTE_F
     return hits.select(F.get("asks", F.col("hit.i")).item_id.alias("item_id"), "doc_id", F.col("hit.score").alias("score"))
 
 
+def _runs(units: Column, width: int) -> Column:
+    """Hashes of all stretches of width neighbours in an array, by the place of the first; null where the array ends."""
+
+    def joined(w: Column) -> Column:
+        out = w
+        for i in range(1, width):
+            out = F.zip_with(out, F.slice(w, F.lit(i + 1), F.size(w)), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+        return out
+
+    return F.get(F.transform(F.array(F.transform(units, lambda u: F.xxhash64(u))), joined), 0)
+
+
+def quotes_verbatim(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """item_id and doc_id for all of quotes (item_id, text) and docs (doc_id, text) whose quote stands in the whole text, letter for letter.
+
+    The words between spaces inside a quote are whole words of every text that it stands in, so three of them meet the texts' own
+    threes in a join on equal keys; a quote of fewer than five words meets them by its first RUN_LETTERS letters.  Pairs that
+    meet are looked up in the whole text.  Null texts are in nothing; an empty quote stands in every text; repeated rows count each.
+    """
+    asked = quotes.filter("text IS NOT NULL").select(F.col("text").alias("q")).distinct()
+    texts = docs.filter("text IS NOT NULL").select("doc_id", "text")
+    words, letters = F.split("q", " "), F.split("q", "")
+    kind = F.when(F.col("q") == "", 0).when(F.size(words) >= 5, -1).otherwise(F.least(F.size(letters), F.lit(RUN_LETTERS)))
+    light = (asked.agg(F.sum(F.octet_length("q") + 64)).first()[0] or 0) <= LIGHT
+    met = []
+    for k in sorted(r[0] for r in asked.select(kind).distinct().collect()):  # RUN_LETTERS + 2 at most
+        mine = asked.filter(kind == k)
+        if not k:
+            met.append(texts.select("doc_id", F.lit("").alias("q")).distinct())
+            continue
+        at = F.get(_runs(words, 3), F.floor((F.size(words) - 3) / 2).cast("int")) if k < 0 else F.get(_runs(letters, k), 0)
+        keys = mine.select("q", at.alias("run"))
+        held = _runs(F.split("text", " "), 3) if k < 0 else _runs(F.split("text", ""), k)
+        runs = texts.select("doc_id", F.explode(F.array_distinct(held)).alias("run"))
+        met.append(runs.join(F.broadcast(keys) if light else keys, "run").select("doc_id", "q").distinct())
+    near = functools.reduce(DataFrame.union, met, texts.select("doc_id", F.col("text").alias("q")).limit(0)).withColumnRenamed("doc_id", "id")
+    there = texts.join(near, F.col("doc_id").eqNullSafe(F.col("id"))).filter(F.contains("text", "q")).select("doc_id", "q")
+    return there.join(quotes.select("item_id", F.col("text").alias("q")), "q").select("item_id", "doc_id")
+
+
 def quote_still_present(spark, sf_dir):
     """Three stretches of each text, from its start, middle and end, joined as a quote and looked up in the text without its line ends and every eleventh word."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -152,6 +195,10 @@ def quote_still_present(spark, sf_dir):
     return docs.select("doc_id", R.quote_still_there(stretches, today).alias("present"))
 
 
+def quote_exact(spark, sf_dir):
+    return quotes_verbatim(_t(spark, sf_dir, "benchmark"), _t(spark, sf_dir, "documents"))
+
+
 def quote_fuzzy(spark, sf_dir):
     """Passages of benchmark with every twentieth word changed and line ends for the spaces after full stops, looked up in the whole texts of all documents."""
     changed = F.regexp_replace(F.regexp_replace("text", r"((?:\S+\s+){19})\S+", "$1zq"), r"\. ", ".\n")
@@ -195,7 +242,7 @@ def source_kinds_by_host(spark, sf_dir):
     return _t(spark, sf_dir, "pages").groupBy(T.domain(F.col("url")).alias("host")).agg(F.min(kind).alias("kind"), F.count(F.lit(1)).alias("n"))
 
 
-_FUNCTIONS = (html_links, link_filter, frontier_step, context_window, relevance_gate, extract_names, distinctive_tokens, dedup_key, provider_type, name_filter, numbers_supported, quote_still_present, quote_fuzzy, ground_url, fuzzy_best_match, order_by_field_list, freshness, json_guard, source_kinds_by_host)
+_FUNCTIONS = (html_links, link_filter, frontier_step, context_window, relevance_gate, extract_names, distinctive_tokens, dedup_key, provider_type, name_filter, numbers_supported, quote_still_present, quote_exact, quote_fuzzy, ground_url, fuzzy_best_match, order_by_field_list, freshness, json_guard, source_kinds_by_host)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

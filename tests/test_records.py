@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import text as T
 from factloom.operators import discovery as D
+from factloom.operators import records as O
 from factloom.operators import verification as V
 from factloom.sources import web
 
@@ -41,6 +42,17 @@ def test_candidate_links(spark):
     assert got == [(1, "https://portal.weave.gov.in/x"), (2, "https://weave.gov.in/pragati-guideline"), (3, "https://weave.gov.in/pragati")]
 
 
+def test_quotes_verbatim(spark):
+    """Quotes of many, few and no words, repeated and null ones, in null, empty, long and repeated texts, against a search letter by letter."""
+    long = " ".join(f"w{i % 97}" for i in range(4000))
+    quotes = [(1, "b c d e f"), (2, "ne two three four fi"), (3, "c d"), (4, "e"), (5, ""), (6, None), (7, "b c d e f"), (8, "w95 w96 w0 w1 w2 w3"), (9, "not  there at all here"), (10, "a\u00e9\U0001f600z"), (11, " x  y  z "), (None, "c d")]
+    texts = [(1, "a b c d e f g"), (2, "one two three four five"), (3, "abc d"), (4, None), (5, ""), (6, long), (6, long), (None, "a b c d e f g"), (8, "q a\u00e9\U0001f600z"), (9, "u x  y  z v"), (10, "\n c\td  ")]
+    want = sorted(((i, d) for i, q in quotes for d, t in texts if q is not None and t is not None and q in t), key=repr)
+    asked, docs = spark.createDataFrame(quotes, "item_id long, text string"), spark.createDataFrame(texts, "doc_id long, text string")
+    assert sorted(map(tuple, O.quotes_verbatim(asked, docs).collect()), key=repr) == want
+    assert O.quotes_verbatim(asked.limit(0), docs).count() == 0 and O.quotes_verbatim(asked, docs.limit(0)).count() == 0
+
+
 def test_words_and_cycles(spark):
     row = spark.range(1).select(T.has_word(F.lit("adf"), F.lit("see adf2 now")).alias("a"), T.has_word(F.lit("adf"), F.lit("see adfx now")).alias("b"), T.cycle_year(F.lit("Aid 2025-26"), F.lit("x")).alias("c"), T.cycle_year(F.lit("no year")).alias("d")).first()
     assert (row.a, row.b, row.c, row.d) == (True, False, 2026, 0)
