@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,15 +59,27 @@ def scope(spark: SparkSession) -> Iterator[None]:
 def numbered(rows: DataFrame, name: str) -> DataFrame:
     """rows with a row id that is the same in every pass.
 
-    Selections from a scan of files keep every row in its place if all their expressions are deterministic; anything else is cut as a table.
+    Where rows are selected from Parquet files, the id is made of the file's number (files by path) and the row's index in it, which do not depend on how
+    files are split into tasks; anything else is cut as a table.
     """
     node = rows._jdf.queryExecution().optimizedPlan()
     still = node.deterministic()
     while still and node.nodeName().split(" ")[0] in _STILL and node.children().size() == 1:
         node = node.children().head()
-    still = still and node.nodeName().split(" ")[0] in _STILL and node.children().isEmpty()
-    given = F.monotonically_increasing_id().alias(name)
-    return rows.select("*", given) if still else cut(rows.select("*", given))
+    still = still and node.nodeName().split(" ")[0] in _STILL and node.children().isEmpty() and node.nodeName() != "LocalRelation"
+    if still:
+        try:
+            place = rows.metadataColumn("_metadata")
+            placed = rows.select("*", place["file_path"].alias("__file"), place["row_index"].alias("__index"))
+        except AnalysisException:  # not files, or files without row indexes
+            still = False
+    if not still:
+        return cut(rows.select("*", F.monotonically_increasing_id().alias(name)))
+    files = cut(placed.select("__file").distinct())
+    if files.count() == 1:
+        return placed.withColumn(name, F.col("__index")).drop("__file", "__index")
+    files = files.withColumn("__number", F.row_number().over(Window.orderBy("__file")).cast("long"))
+    return placed.join(F.broadcast(files), "__file").withColumn(name, F.shiftleft("__number", 40) + F.col("__index")).drop("__file", "__index", "__number")
 
 
 def small(table: DataFrame, max_rows: int) -> DataFrame:

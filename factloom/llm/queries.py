@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, exact_dedup, html_content, jaccard, licenses, mixing, packing, sharding, toxicity
+from . import ann, chat, exact_dedup, html_content, jaccard, licenses, mixing, packing, phrases, repair, repeats, sharding, toxicity
 from .common import table
 
 
@@ -68,13 +68,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.without_repeats(docs, with_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.digest(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_toxicity, op2_nearest_neighbours, op3_license_scan, op4_exact_dedup, op5_sharding, op6_html_extraction, op7_jaccard_join, op8_mixing, op9_chat_format, op10_packing)
+    found = (op1_toxicity, op2_nearest_neighbours, op3_license_scan, op4_exact_dedup, op5_sharding, op6_html_extraction, op7_jaccard_join, op8_mixing, op9_chat_format, op10_packing, op11_suffix_dedup, op12_conversation_repair, op13_collocations)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": _OP4, "op7_jaccard_join": _OP7, "op8_mixing": _OP8, "op9_chat_format": _OP9}
+    return {"op4_exact_dedup": _OP4, "op7_jaccard_join": _OP7, "op8_mixing": _OP8, "op9_chat_format": _OP9, "op11_suffix_dedup": _OP11, "op12_conversation_repair": _OP12, "op13_collocations": _OP13}
 
 
 _OP4 = """
@@ -148,3 +161,87 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(chars) + count(*) * 17 + 3 AS BIGINT) AS formatted_chars
 FROM sized GROUP BY conv_id
 """
+
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_OP11 = """
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents),
+places AS (SELECT row, h, n_bytes, unnest(range(n_bytes)) AS i FROM docs),
+windows AS (SELECT row, i, CASE WHEN i + 400 <= n_bytes THEN md5_number(substr(h, 2 * i + 1, 800)) END AS w, substr(h, 2 * i + 1, 2) AS byte FROM places),
+twice AS (SELECT w FROM windows WHERE w IS NOT NULL GROUP BY w HAVING count(*) > 1),
+hit AS (SELECT v.row, v.i, v.byte, CASE WHEN t.w IS NOT NULL THEN v.i END AS start FROM windows v LEFT JOIN twice t ON t.w = v.w),
+covered AS (SELECT row, i, byte, max(start) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM hit),
+edges AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY row ORDER BY i), false) AS opens FROM covered),
+summed AS (
+  SELECT row, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM edges GROUP BY row
+)
+SELECT d.doc_id, d.n_bytes, coalesce(s.n_removed, 0) AS n_removed, coalesce(s.n_spans, 0) AS n_spans, sha256(unhex(coalesce(s.kept, ''))) AS kept_sha256
+FROM docs d LEFT JOIN summed s ON s.row = d.row
+"""
+
+_OP13 = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i+k-1], ' ') AS phrase
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM words, range(1, 6) t(k) WHERE len(w) >= k)
+), counts AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+cuts AS (
+  SELECT c.lang, c.phrase, c.f AS a, c.w, unnest(range(1, c.k)) AS cut FROM (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE k > 1) c
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, h.f AS l, t.f AS r, o.n, CAST(1000::HUGEINT * c.a * o.n // (h.f::HUGEINT * t.f) AS BIGINT) AS score
+  FROM cuts c JOIN totals o ON o.lang = c.lang
+  JOIN counts h ON h.lang = c.lang AND h.phrase = array_to_string(c.w[1:c.cut], ' ')
+  JOIN counts t ON t.lang = c.lang AND t.phrase = array_to_string(c.w[c.cut+1:], ' ')
+), lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (
+  SELECT * FROM lowest p WHERE NOT EXISTS (
+    SELECT 1 FROM counts q WHERE q.lang = p.lang AND q.f >= p.a AND q.k > len(string_split(p.phrase, ' ')) AND contains(' ' || q.phrase || ' ', ' ' || p.phrase || ' '))
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept QUALIFY rank <= 2000
+"""
+
+_OP12 = r"""
+WITH RECURSIVE coded AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')), ''),
+      lambda c: [ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295::BIGINT) % 20 AS kind
+  FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM coded
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) AS last, left(role, 1) AS c FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN last = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN last IN ('.', '!', '?') THEN '-' ELSE 't' END AS fault,
+    lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM placed
+), counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS rows FROM judged GROUP BY conv_id
+), layers AS (
+  SELECT conv_id, 0 AS i, {'c': 0, 'a': '', 't': ''} AS q0, NULL::STRUCT(c INTEGER, a VARCHAR, t VARCHAR) AS q1, {'c': 5, 'a': 'I', 't': chr(10) || 'user:'} AS q2, {'c': 10, 'a': 'II', 't': chr(10) || 'user:' || chr(10) || 'assistant:'} AS q3 FROM counted
+  UNION ALL
+  SELECT conv_id, i, q0, q1, q2, least(q3, {'c': q2.c + 5, 'a': q2.a || 'I', 't': q2.t || chr(10) || 'assistant:'}) AS q3 FROM (
+    SELECT conv_id, i, q0, q1, q3, least(q2, {'c': q0.c + 5, 'a': q0.a || 'I', 't': q0.t || chr(10) || 'user:'}, CASE WHEN q1 IS NOT NULL THEN {'c': q1.c + 5, 'a': q1.a || 'I', 't': q1.t || chr(10) || 'user:'} END,
+      CASE WHEN q3 IS NOT NULL THEN {'c': q3.c + 5, 'a': q3.a || 'I', 't': q3.t || chr(10) || 'user:'} END) AS q2 FROM (
+      SELECT l.conv_id, j.i, {'c': q0.c + 2, 'a': q0.a || 'D', 't': q0.t} AS q0,
+        least(CASE WHEN q1 IS NOT NULL THEN {'c': q1.c + 2, 'a': q1.a || 'D', 't': q1.t} END, CASE WHEN ok AND j.c = 's' THEN {'c': q0.c + more, 'a': q0.a || 'K', 't': q0.t || said} END) AS q1,
+        least({'c': q2.c + 2, 'a': q2.a || 'D', 't': q2.t}, CASE WHEN ok AND j.c = 'u' THEN {'c': q0.c + more, 'a': q0.a || 'K', 't': q0.t || said} END,
+          CASE WHEN ok AND j.c = 'u' AND q1 IS NOT NULL THEN {'c': q1.c + more, 'a': q1.a || 'K', 't': q1.t || said} END, CASE WHEN ok AND j.c = 'u' THEN {'c': q3.c + more, 'a': q3.a || 'K', 't': q3.t || said} END,
+          CASE WHEN ok THEN {'c': q0.c + more + 1, 'a': q0.a || 'R', 't': q0.t || chr(10) || 'user:' || text} END, CASE WHEN ok AND q1 IS NOT NULL THEN {'c': q1.c + more + 1, 'a': q1.a || 'R', 't': q1.t || chr(10) || 'user:' || text} END,
+          CASE WHEN ok THEN {'c': q3.c + more + 1, 'a': q3.a || 'R', 't': q3.t || chr(10) || 'user:' || text} END) AS q2,
+        least({'c': q3.c + 2, 'a': q3.a || 'D', 't': q3.t}, CASE WHEN ok AND j.c = 'a' THEN {'c': q2.c + more, 'a': q2.a || 'K', 't': q2.t || said} END,
+          CASE WHEN ok THEN {'c': q2.c + more + 1, 'a': q2.a || 'R', 't': q2.t || chr(10) || 'assistant:' || text} END) AS q3
+      FROM layers l JOIN (SELECT *, fault NOT IN ('b', 'd') AS ok, CASE fault WHEN 't' THEN 5 ELSE 0 END AS more, chr(10) || role || ':' || text AS said FROM judged) j
+        ON j.conv_id IS NOT DISTINCT FROM l.conv_id AND j.i = l.i + 1))
+), ended AS (
+  SELECT l.conv_id, least(q0, q3) AS best FROM layers l JOIN counted k ON k.conv_id IS NOT DISTINCT FROM l.conv_id AND k.rows = l.i
+)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(substr(best.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counted k ON k.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
