@@ -154,7 +154,7 @@ class Cutter:
             yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(np.minimum(many, 2).astype(np.int64))], names=["bucket", "many"])
 
     def pieces(self, batches: Iterator[pa.RecordBatch], with_bytes: bool) -> Iterator[pa.RecordBatch]:
-        """(rid, at, low, high, core, own) or with left and right for own: windows start low to high bytes before at, where the core starts."""
+        """(rid, at, low, high, core, own), own of all bytes, or with left and right for own: windows start low to high bytes before at, where the core starts."""
         block, core = self.block, self.width - self.block + 1
         wanted = self.anchors.value
         cores = self.cores.value if self.cores is not None else None
@@ -358,8 +358,8 @@ def passages(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, block: int =
     kinds = "rid long, at long, low short, high short, core binary"
     rows = cut(docs.mapInArrow(lambda b: first.pieces(b, False), f"{kinds}, own binary"))
     kept = cut(rows.groupBy("core", "own").agg(F.count(F.lit(1)).alias("n")))
-    several = kept.filter("n > 1").select("core", "own")
-    copies = rows.join(small(several, 200_000), ["core", "own"], "left_semi")
+    several = kept.filter("n > 1").select("own")  # own is of the core, too
+    copies = rows.join(small(several, 200_000), "own", "left_semi")
     marks = copies.select("rid", (F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + width).alias("stop"))
     mixed = kept.groupBy("core").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
     cores = bitmap(_core_buckets(mixed, bits), 1, bits)
