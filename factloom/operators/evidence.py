@@ -7,8 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fuzzy
 from ..functions import text as T
+from .similarity import similar_keys
 
 
 def classify(host: Column, path: Column, profile: dict[str, Sequence[str]]) -> Column:
@@ -35,20 +35,8 @@ PROFILE = {"aggregator": ("spam-farm.example.com", "cheap-pills.example.com"), "
 
 
 def twins(names: DataFrame, floor: float = 90.0) -> DataFrame:
-    """Pairs (a, b, score) of keys of names (id, key) whose sorted tokens are alike to floor per cent.
-
-    Only distinct keys are compared, and only those whose lengths let them reach floor (shorter / longer >= floor / (200 - floor)):
-    keys meet in buckets of lengths, each key in its own and the next, so no pair is lost and none is made twice.
-    """
-    keys = names.select(F.array_join(F.array_sort(F.split("key", " ")), " ").alias("key")).filter("key <> ''").distinct()
-    least = floor / (200 - floor)
-    step = F.lit(1 / least)
-    bucket = F.floor(F.log(F.length("key")) / F.log(step)).cast("int")
-    a = keys.select(F.col("key").alias("a"), F.explode(F.array(bucket, bucket + 1)).alias("b_len"))
-    b = keys.select(F.col("key").alias("b"), F.explode(F.array(bucket, bucket + 1)).alias("b_len"))
-    near = (F.length("a") >= F.length("b") * least) & (F.length("b") >= F.length("a") * least)
-    pairs = a.join(b, "b_len").filter((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
-    return pairs.withColumn("score", fuzzy.plain(F.col("a"), F.col("b"))).filter(F.col("score") >= floor)
+    """Pairs (a, b, score) of keys of names (key) whose sorted tokens are alike to floor per cent: see similarity.similar_keys."""
+    return similar_keys(names.select(F.array_join(F.array_sort(F.split("key", " ")), " ").alias("key")), floor)
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -150,6 +138,20 @@ _CLEAN = r"""SELECT doc_id, sha256(coalesce(array_to_string(list_transform(list_
   FROM (SELECT doc_id, list_transform(string_split(regexp_replace(replace(replace(replace(replace(replace(coalesce(text, ''), chr(160), ' '), chr(8203), ''), chr(8204), ''), chr(8205), ''), chr(65279), ''), '\r\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))) AS ls FROM documents) t"""
 
 
+def alike_sql(keys: str, floor: int) -> str:
+    """CTEs that end in alike (a, b, score): pairs of the distinct key of keys whose longest common subsequence, by bits of sums in HUGEINT, reaches floor; keys of up to 120 characters."""
+    return f"""ks AS MATERIALIZED (SELECT DISTINCT key, length(key) AS n FROM ({keys}) k0 WHERE key <> ''),
+  letters AS MATERIALIZED (SELECT key, n, i, substr(key, i, 1) AS ch FROM (SELECT key, n, unnest(range(1, n + 1)) AS i FROM ks) u),
+  masks AS MATERIALIZED (SELECT key, ch, bit_or(1::HUGEINT << (i - 1)::INTEGER) AS mask, count(*) AS k FROM letters GROUP BY key, ch),
+  able AS MATERIALIZED (SELECT a.key AS a, b.key AS b, any_value(p.n) AS m, any_value(q.n) AS n FROM masks a JOIN masks b ON a.ch = b.ch AND a.key < b.key JOIN ks p ON p.key = a.key JOIN ks q ON q.key = b.key
+    GROUP BY a.key, b.key HAVING 200 * sum(least(a.k, b.k)) >= {floor} * (any_value(p.n) + any_value(q.n))),
+  steps AS (
+    SELECT a, b, m, n, 0 AS i, (1::HUGEINT << m::INTEGER) - 1 AS v FROM able
+    UNION ALL SELECT s.a, s.b, s.m, s.n, s.i + 1, ((s.v + (s.v & coalesce(k.mask, 0::HUGEINT))) | (s.v - (s.v & coalesce(k.mask, 0::HUGEINT)))) & ((1::HUGEINT << s.m::INTEGER) - 1)
+    FROM steps s JOIN letters l ON l.key = s.b AND l.i = s.i + 1 LEFT JOIN masks k ON k.key = s.a AND k.ch = l.ch
+  ), alike AS MATERIALIZED (SELECT a, b, 200.0::DOUBLE * (m - bit_count(v)) / (m + n) AS score FROM steps WHERE i = n AND 200 * (m - bit_count(v)) >= {floor} * (m + n))"""
+
+
 def oracle_sql() -> dict[str, str]:
     norm = _NORM.format("text")
     return {
@@ -163,6 +165,7 @@ def oracle_sql() -> dict[str, str]:
         "numbers_in": "SELECT o_orderkey, list_sort(list_distinct([CAST(floor(o_totalprice) AS BIGINT), CAST(o_orderkey % 9 + 1 AS BIGINT), CAST((o_orderkey % 9 + 1.5) * 100000 AS BIGINT)])) AS found FROM orders",
         "find_dates": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS due, CAST(1 AS BIGINT) AS n FROM orders",
         "name_key": r"SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key FROM part",
+        "fuzzy_twins": f"""WITH RECURSIVE {alike_sql("SELECT array_to_string(list_sort(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ')), ' ') AS key FROM part", 90)} SELECT a, b, round(score, 6) AS score FROM alike""",
         "prose_lines": r"SELECT doc_id, CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: len(list_filter(string_split(x, ' '), lambda w: w <> '')) >= 6)) AS BIGINT) AS n FROM documents",
         "keyword_counts": "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), 'license|token|the')) AS BIGINT) AS hits, CAST(len(list_distinct(regexp_extract_all(lower(text), 'license|token|the'))) AS BIGINT) AS kinds FROM documents",
         "parse_iso": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders",

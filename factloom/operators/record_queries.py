@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..plans.relational import run
 from . import verification as V
+from .evidence import alike_sql
 
 AS_OF = "2026-10-02"
 PROFILE = V.Profile(third_party=("listing.example.com",), government=(".gov.in", ".gov"), university=(".ac.in", ".edu"), known={"bluetrust.org": "foundation_trust"}, portals=("portal.example.com",))
@@ -53,6 +54,11 @@ def _records(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
     return records, evidence, told, texts
 
 
+def _known(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records, evidence, sources, _ = _records(spark, sf_dir)
+    return V.facts(records, evidence, sources)
+
+
 def classify_records(spark, sf_dir):
     """Kind of each record's page, all six rules."""
     told = run(spark, sf_dir, TEXTS).select("url", V.classify(F.col("url"), F.col("text"), PROFILE).alias("c"))
@@ -71,10 +77,17 @@ def twin_agreement(spark, sf_dir):
     return told.select("id", "other", "agrees", F.array_join("clash", ",").alias("clash"), "conflict")
 
 
+def twin_groups(spark, sf_dir):
+    """Twins by alike names, as groups of equal values: the first records of each pair of groups and how many the other one has."""
+    members, pairs = V.twin_groups(_known(spark, sf_dir))
+    first = members.groupBy("gid").agg(F.min("id").alias("id"))
+    return pairs.join(first, "gid").select("id", F.col("first").alias("other"), "n", "agrees", F.array_join("clash", ",").alias("clash"), "conflict")
+
+
 def confidence_score(spark, sf_dir):
     """All eleven checks of every record."""
     records, evidence, sources, texts = _records(spark, sf_dir)
-    told = V.score(records, evidence, sources, texts, run(spark, sf_dir, PAIRS), PROFILE, F.lit(AS_OF).cast("date"))
+    told = V.score(records, evidence, sources, texts, PROFILE, F.lit(AS_OF).cast("date"))
     points = F.array_join(F.transform("checks", lambda c: F.concat(c["check"], F.lit("="), c["points"].cast("string"))), ";")
     return told.select("id", "confidence", "verification_status", "owns_source", "official_twin", points.alias("points"))
 
@@ -113,7 +126,7 @@ def lifecycle_status(spark, sf_dir):
     return told.select("id", "s.status", "s.reason")
 
 
-_FUNCTIONS = (classify_records, provider_owns, twin_agreement, confidence_score, verification_counts, ground_field, field_changes, lifecycle_status)
+_FUNCTIONS = (classify_records, provider_owns, twin_agreement, twin_groups, confidence_score, verification_counts, ground_field, field_changes, lifecycle_status)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -134,7 +147,16 @@ _SAME = """CASE WHEN a.close_date IS NULL OR b.close_date IS NULL THEN NULL ELSE
     CASE WHEN a.amount IS NULL OR b.amount IS NULL THEN NULL ELSE a.amount = b.amount END AS s2, CASE WHEN a.income_limit IS NULL OR b.income_limit IS NULL THEN NULL ELSE a.income_limit = b.income_limit END AS s3"""
 _TWINS = f"""{_FACTS}, pairs AS ({PAIRS}), p AS (SELECT pairs.id, pairs.other, a.owns AS owns_a, b.owns AS owns_b, {_SAME} FROM pairs JOIN own a ON a.id = pairs.id JOIN own b ON b.id = pairs.other),
   tw AS (SELECT *, concat_ws(',', CASE WHEN NOT s1 THEN 'close_date' END, CASE WHEN NOT s2 THEN 'amount' END, CASE WHEN NOT s3 THEN 'income_limit' END) AS clash FROM p)"""
-_SCORE = f"""{_TWINS}, t AS (SELECT id, count(*) FILTER (clash = '') AS agree, count(*) FILTER (clash <> '' AND owns_a AND owns_b) AS conflicts, min(other) FILTER (owns_b) AS official_twin FROM tw GROUP BY id),
+_KEY = """array_to_string(list_sort(string_split(trim(regexp_replace(regexp_replace(lower(name), '(^|[^a-z0-9_])(19|20)[0-9]{2}(\\s*-\\s*[0-9]{2,4})?($|[^a-z0-9_])', '\\1 \\4', 'g'), '[^a-z0-9]+', ' ', 'g')), ' ')), ' ')"""
+_CLASH = "concat_ws(',', CASE WHEN a.close_date <> b.close_date THEN 'close_date' END, CASE WHEN a.amount <> b.amount THEN 'amount' END, CASE WHEN a.income_limit <> b.income_limit THEN 'income_limit' END)"
+# Groups of equal values and keys, and pairs of groups; every group is paired with itself.
+_GROUPS = f"""{_FACTS.replace("WITH r AS", "WITH RECURSIVE r AS", 1)}, keyed AS MATERIALIZED (SELECT id, {_KEY} AS key, close_date, amount, income_limit, coalesce(owns, false) AS owns FROM own), {alike_sql("SELECT key FROM keyed", 90)},
+  near AS (SELECT a, b FROM alike UNION ALL SELECT b, a FROM alike UNION ALL SELECT key, key FROM ks),
+  gs AS MATERIALIZED (SELECT key, close_date, amount, income_limit, owns, count(*) AS n, min(id) AS id, list_sort(list(id))[2] AS second FROM keyed GROUP BY key, close_date, amount, income_limit, owns),
+  gp AS MATERIALIZED (SELECT a.id, b.id AS other, b.n, b.second, b.owns AS owns_other, a.owns AS owns_id, {_CLASH} AS clash FROM gs a JOIN near ON near.a = a.key JOIN gs b ON b.key = near.b)"""
+_SCORE = f"""{_GROUPS}, gt AS (SELECT id AS g, sum(n - CASE WHEN id = other THEN 1 ELSE 0 END) FILTER (clash = '') AS agree, coalesce(sum(n) FILTER (clash <> '' AND owns_id AND owns_other), 0) AS conflicts, min(other) FILTER (owns_other AND other <> id) AS official FROM gp GROUP BY id),
+  t AS (SELECT k.id, gt.agree, gt.conflicts, least(gt.official, CASE WHEN gs.owns THEN CASE WHEN gs.id = k.id THEN gs.second ELSE gs.id END END) AS official_twin
+    FROM keyed k JOIN gs ON gs.key = k.key AND gs.close_date IS NOT DISTINCT FROM k.close_date AND gs.amount IS NOT DISTINCT FROM k.amount AND gs.income_limit IS NOT DISTINCT FROM k.income_limit AND gs.owns = k.owns JOIN gt ON gt.g = gs.id),
   c AS (SELECT own.*, coalesce(t.agree, 0) AS agree, coalesce(t.conflicts, 0) AS conflicts, t.official_twin FROM own LEFT JOIN t USING (id)),
   pts AS (SELECT *, CASE WHEN owns THEN 25.0 ELSE 0.0 END AS p1, CASE WHEN gname IS NOT NULL AND id % 23 <> 0 AND id % 9 NOT IN (0, 1) THEN 15.0 ELSE 0.0 END AS p2,
       CASE WHEN app IS NULL THEN 0.0 WHEN id % 8 = 0 OR id % 4 IN (1, 3) THEN 10.0 ELSE 5.0 END AS p3, 5.0 * least(eligible, 3) AS p4, CASE WHEN close_date IS NOT NULL OR id % 3 = 0 THEN 10.0 ELSE 0.0 END AS p5,
@@ -156,6 +178,7 @@ def oracle_sql() -> dict[str, str]:
             WHEN 5 THEN concat('provider ''', said, ''' (', coalesce(ptype, 'government'), ') runs the ', kind, ' site ', host) ELSE concat('provider ''', said, ''' (', coalesce(ptype, 'government'), ') does not own ', host, ' (', kind, ') - third-party page') END AS reason
             FROM (SELECT *, coalesce(provider, '(inferred from scheme name) government') AS said FROM own) z""",
         "twin_agreement": f"{_TWINS} SELECT id, other, clash = '' AS agrees, clash, owns_a AND owns_b AND clash <> '' AS conflict FROM tw",
+        "twin_groups": f"{_GROUPS} SELECT id, other, n, clash = '' AS agrees, clash, owns_id AND owns_other AND clash <> '' AS conflict FROM gp",
         "confidence_score": f"{_SCORE} SELECT id, confidence, CASE WHEN confidence >= 95 THEN 'VERIFIED' ELSE 'REVIEW_REQUIRED' END AS verification_status, owns AS owns_source, official_twin, {_POINTS} AS points FROM f",
         "verification_counts": f"{_SCORE} SELECT CASE WHEN confidence >= 95 THEN 'VERIFIED' ELSE 'REVIEW_REQUIRED' END AS verification_status, count(*) AS n FROM f GROUP BY 1",
         "ground_field": f"""SELECT id, CASE WHEN ok THEN value END AS value, ok AS grounded, CASE id % 12 WHEN 0 THEN 'date found in quote' WHEN 1 THEN 'quote found but date not present in quote' WHEN 2 THEN '100% of value words in quote' WHEN 3 THEN 'quote found but value contains a number not in the quote' WHEN 4 THEN 'quote not found on page (match 54)'

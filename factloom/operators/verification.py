@@ -275,17 +275,66 @@ def twin_agreement(known: DataFrame, pairs: DataFrame) -> DataFrame:
     return both.select("id", "other", agrees.alias("agrees"), clash.alias("clash"), F.col("owns_other"), (F.col("owns_id") & F.col("owns_other") & (F.size(clash) > 0)).alias("conflict"))
 
 
-def score(records: DataFrame, evidence: DataFrame, sources: DataFrame, texts: DataFrame, pairs: DataFrame, profile: Profile, as_of: Column) -> DataFrame:
+def twin_key(name: Column) -> Column:
+    """The tokens of a name key in order, by which records of one scheme are found."""
+    return F.array_join(F.array_sort(F.split(T.name_key(F.coalesce(name, F.lit(""))), " ")), " ")
+
+
+def twin_groups(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(members, pairs): records by name key and the values by which twins agree, and pairs of such groups whose keys are equal or alike.
+
+    members: id, gid, group (a struct of key, close_date, amounts, incomes, owns); pairs, both ways and of each group with itself: group, other, agrees, clash, conflict and of the
+    other group n, first and second (its smallest ids).  Work goes with the different values stated for a scheme, not with the square of its records.
+    """
+    from .similarity import similar_keys
+
+    g = F.col("g")
+    numbers = lambda f: F.array_sort(F.array_distinct(T.numbers_in(g[f])))
+    group = F.struct(twin_key(F.col("name")).alias("key"), g["close_date"].alias("close_date"), numbers("amount").alias("amount"), numbers("income_limit").alias("income_limit"), F.col("own.owns").alias("owns"))
+    members = known.select("id", group.alias("group")).withColumn("gid", F.md5(F.to_json("group")))
+    rank = F.row_number().over(Window.partitionBy("gid").orderBy("id"))
+    least = members.select("gid", "id").withColumn("r", rank).filter("r <= 2").groupBy("gid").agg(F.min("id").alias("first"), F.max(F.when(F.col("r") == 2, F.col("id"))).alias("second"))
+    groups = members.groupBy("gid").agg(F.first("group").alias("group"), F.count(F.lit(1)).alias("n")).join(least, "gid")
+    keys = groups.select(F.col("group.key").alias("key")).filter("key <> ''").distinct()
+    near = similar_keys(keys, TWIN_FLOOR).select("a", "b")
+    links = near.union(near.select("b", "a")).union(keys.select("key", "key").toDF("a", "b"))
+    one = groups.select(F.col("group.key").alias("a"), "gid", F.col("group").alias("g1"))
+    two = groups.select(F.col("group.key").alias("b"), F.col("gid").alias("other"), F.col("group").alias("g2"), "n", "first", "second")
+    both = one.join(links, "a").join(two, "b")
+    x, y = F.col("g1"), F.col("g2")
+    sized = lambda f: (F.size(x[f]) > 0) & (F.size(y[f]) > 0)
+    told = [x["close_date"] == y["close_date"], *[F.when(sized(f), F.arrays_overlap(x[f], y[f])) for f in ("amount", "income_limit")]]
+    clash = F.array_compact(F.array(*[F.when(~t, F.lit(f)) for f, t in zip(COMPARED, told, strict=True)]))
+    pairs = both.select("gid", "other", "n", "first", "second", (F.size(clash) == 0).alias("agrees"), clash.alias("clash"), y["owns"].alias("owns_other"), (x["owns"] & y["owns"] & (F.size(clash) > 0)).alias("conflict"))
+    return members, pairs
+
+
+def twin_summary(known: DataFrame) -> DataFrame:
+    """For each record with twins: agree (the first ids of groups that agree with it), conflicts (other, clash: the first ids of those that do not, both being the
+    providers' own pages), n_agree, n_conflict and official_twin (smallest id of a twin that is the provider's own page)."""
+    members, pairs = twin_groups(known)
+    same = F.col("gid") == F.col("other")
+    found = pairs.filter(~same | (F.col("n") > 1)).groupBy("gid").agg(
+        F.sort_array(F.collect_list(F.when(F.col("agrees") & ~same, F.col("first")))).alias("others"),
+        F.sort_array(F.collect_list(F.when(F.col("conflict"), F.struct(F.col("first").alias("other"), "clash")))).alias("conflicts"),
+        F.sum(F.when(F.col("agrees"), F.col("n") - same.cast("long")).otherwise(0)).alias("n_agree"),
+        F.sum(F.when(F.col("conflict"), F.col("n")).otherwise(0)).alias("n_conflict"),
+        F.min(F.when(F.col("owns_other") & ~same, F.col("first"))).alias("official"),
+        F.max(F.when(same, F.struct("first", "second", "owns_other"))).alias("own"),
+    )
+    own = F.when(F.col("own.first") == F.col("id"), F.col("own.second")).otherwise(F.col("own.first"))
+    agree = F.sort_array(F.array_compact(F.array_append("others", own)))
+    return members.select("id", "gid").join(found, "gid").select("id", agree.alias("agree"), "conflicts", "n_agree", "n_conflict", F.least("official", F.when(F.col("own.owns_other"), own)).alias("official_twin"))
+
+
+def score(records: DataFrame, evidence: DataFrame, sources: DataFrame, texts: DataFrame, profile: Profile, as_of: Column) -> DataFrame:
     """confidence, checks (check, points, max, reason), owns_source, official_twin and conflicts for each record, from eleven checks.
 
-    texts: (url, text, runs), the latest text of a page and the number of runs that confirmed it; pairs: (id, other), both ways, of records of one scheme.
+    texts: (url, text, runs), the latest text of a page and the number of runs that confirmed it.  Twins are records whose name keys are alike; reasons name
+    the first record of each group of twins with the same values.
     """
     known = facts(records, evidence, sources)
-    twins = twin_agreement(known, pairs).groupBy("id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("agrees"), F.col("other")))).alias("agree"),
-        F.sort_array(F.collect_list(F.when(F.col("conflict"), F.struct("other", "clash")))).alias("conflicts"),
-        F.min(F.when(F.col("owns_other"), F.col("other"))).alias("official_twin"),
-    )
+    twins = twin_summary(known)
     x = known.join(texts.select(F.col("url").alias("official_url"), F.coalesce("text", F.lit("")).alias("page"), "runs"), "official_url", "left").join(twins, "id", "left")
     x = x.withColumn("page", F.coalesce("page", F.lit("")))
     g, owned = F.col("g"), F.col("own.owns")
@@ -338,10 +387,10 @@ def score(records: DataFrame, evidence: DataFrame, sources: DataFrame, texts: Da
 
 
 def same_key_pairs(records: DataFrame) -> DataFrame:
-    """(id, other), both ways: records whose name keys have equal sorted tokens or are twins by evidence.twins; name keys are paired, not rows of a group of equal names."""
+    """(id, other), both ways: records whose name keys have equal or alike sorted tokens.  All pairs of a group: for single schemes; twin_summary does without."""
     from .evidence import twins
 
-    keyed = records.select("id", T.name_key(F.col("name")).alias("key")).withColumn("key", F.array_join(F.array_sort(F.split("key", " ")), " ")).filter("key <> ''")
+    keyed = records.select("id", twin_key(F.col("name")).alias("key")).filter("key <> ''")
     near = twins(keyed, TWIN_FLOOR).select("a", "b")
     links = near.union(near.select("b", "a")).union(keyed.select("key", "key").distinct().toDF("a", "b"))
     other = keyed.select(F.col("key").alias("b"), F.col("id").alias("other"))

@@ -21,8 +21,7 @@ def test_score_of_a_whole_record(spark):
     evidence = spark.createDataFrame(rows, "id long, field string, value string, quote string, source_url string, grounded boolean, raw_value string")
     sources = spark.createDataFrame([("https://aid.gov.in/s", "government", 200, 0), ("https://list.example.com/s", "aggregator", 200, 1)], "url string, source_type string, http_status int, fail_count int")
     texts = spark.createDataFrame([("https://aid.gov.in/s", "", 2)], "url string, text string, runs int")
-    pairs = spark.createDataFrame([(1, 2), (2, 1)], "id long, other long").limit(0)
-    got = {r.id: r for r in V.score(records, evidence, sources, texts, pairs, PROFILE, F.lit("2026-10-02").cast("date")).collect()}
+    got = {r.id: r for r in V.score(records, evidence, sources, texts, PROFILE, F.lit("2026-10-02").cast("date")).collect()}
     assert got[1].confidence == 100.0 and got[1].verification_status == "VERIFIED" and got[1].owns_source and len(got[1].checks) == 9
     assert got[2].confidence == 0.0 and [c.check for c in got[2].checks if c.points < 0] == ["aggregator_only"]
     reasons = {c.check: c.reason for c in got[2].checks}
