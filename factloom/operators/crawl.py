@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import text as T
 from ..sources import files
+from . import evidence as E
 from . import records as O
 from . import verification as V
 from .ordering import placed
 
+#: What fits the synthetic pages.
+PROFILE = V.Profile(third_party=tuple(E.PROFILE["aggregator"]), government=tuple(E.PROFILE["government"]), university=tuple(E.PROFILE["university"]), known={}, portals=())
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -112,3 +117,33 @@ def crawl(seeds: DataFrame, pages: DataFrame, rules: Rules) -> DataFrame:
     if out is None:
         return spark.createDataFrame([], "place long, url string, level int, via string, state string, kind string, official boolean, relevant boolean, duplicate_of string")
     return out
+
+
+def frontier_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crawl of all pages in the order of their ids and of what their html links to."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    rules = Rules(PROFILE, O.KEYWORDS, "(?i)that|with|from", "[a-z]", depth=2, budget=100_000_000, per_page=O.PER_PAGE)
+    return crawl(pages.select(F.col("page_id").alias("pos"), "url"), pages, rules)
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {"frontier_whole": frontier_whole}
+
+
+# The links of the given pages lead to no other page and are fewer than a page may give, so a crawl has two levels.
+_WHOLE = f"""WITH p AS (SELECT page_id, {O._NORMAL} AS url, html FROM (SELECT page_id, html, regexp_replace(trim(url), '#.*$', '') AS h FROM pages) a),
+  u AS (SELECT url, min(page_id) AS pos, arg_min(page_id, html) AS page_id, min(html) AS html FROM p GROUP BY url),
+  t AS MATERIALIZED (SELECT *, {E._HOST} AS h FROM ({E.page_text_sql("SELECT * FROM u")}) b),
+  g AS (SELECT *, {O._PROSE.replace("split(t,", "split(text,")} AS prose FROM t),
+  j AS (SELECT url, page_id, h, text, row_number() OVER (ORDER BY pos) - 1 AS place, CASE WHEN {E._KIND.split("CASE WHEN ", 1)[1].split(" WHEN contains", 1)[0]} ELSE 'unknown' END AS kind,
+    len(regexp_extract_all(text, '(?i)the|and')) >= 2 AND regexp_matches(prose, '(?i)the|and') AND len(list_distinct(list_transform(regexp_extract_all(prose, '(?i)that|with|from'), lambda x: lower(x)))) >= 2 AND regexp_matches(text, '[a-z]') AS relevant FROM g),
+  f AS (SELECT *, first_value(place) OVER w AS first, first_value(url) OVER w AS twin, kind IN ('government', 'university') AS official FROM j WINDOW w AS (PARTITION BY text ORDER BY place)),
+  s AS MATERIALIZED (SELECT *, CASE WHEN first <> place THEN 'duplicate' WHEN kind = 'aggregator' THEN 'listing' WHEN relevant AND official THEN 'kept' ELSE 'seen' END AS state FROM f),
+  l AS (SELECT s.place, s.url AS via, l.pos, l.href FROM s JOIN {O._LINKS} l ON l.page_id = s.page_id WHERE s.state IN ('kept', 'seen') AND {O._RELEVANT} AND {O._HOST.format("l.href")} = s.h AND l.href NOT IN (SELECT url FROM s)),
+  o AS (SELECT DISTINCT ON (href) href, place, via, pos FROM l ORDER BY href, place, pos)
+  SELECT place, url, 0 AS level, NULL AS via, state, kind, official, relevant, CASE WHEN first <> place THEN twin END AS duplicate_of FROM s
+  UNION ALL SELECT (SELECT count(*) FROM s) + row_number() OVER (ORDER BY place, pos) - 1, href, 1, via, 'failed', NULL, NULL, NULL, NULL FROM o"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {"frontier_whole": _WHOLE}

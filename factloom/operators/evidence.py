@@ -138,6 +138,19 @@ _CLEAN = r"""SELECT doc_id, sha256(coalesce(array_to_string(list_transform(list_
   FROM (SELECT doc_id, list_transform(string_split(regexp_replace(replace(replace(replace(replace(replace(coalesce(text, ''), chr(160), ' '), chr(8203), ''), chr(8204), ''), chr(8205), ''), chr(65279), ''), '\r\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))) AS ls FROM documents) t"""
 
 
+_GONE = "(?is)<!--.*?-->|" + "|".join(rf"<{t}\b.*?</{t}\s*>" for t in ("script", "style", "noscript", "svg", "iframe", "form", "nav", "footer", "header", "title"))
+_DECODED = "regexp_replace(regexp_replace(coalesce(html, ''), '" + _GONE + "', ' ', 'g'), '(?s)<[^>]*>', chr(10), 'g')"
+for _ref, _char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")):
+    _DECODED = f"replace({_DECODED}, '{_ref}', '{_char}')"
+
+
+def page_text_sql(pages: str) -> str:
+    """SELECT of all columns of pages (with html) and text, the visible lines of a page."""
+    lines = rf"list_transform(string_split(regexp_replace(replace(replace(replace(replace(replace({_DECODED}, chr(160), ' '), chr(8203), ''), chr(8204), ''), chr(8205), ''), chr(65279), ''), '\r\n?', chr(10), 'g'), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g')))"
+    kept = "list_transform(list_filter(list_zip(ls, list_concat([NULL], ls[:-2])), lambda x: x[1] <> '' AND x[1] IS DISTINCT FROM x[2]), lambda x: x[1])"
+    return f"SELECT * EXCLUDE (ls), coalesce(array_to_string({kept}, chr(10)), '') AS text FROM (SELECT *, {lines} AS ls FROM ({pages}) p0) p1"
+
+
 def alike_sql(keys: str, floor: int) -> str:
     """CTEs that end in alike (a, b, score): pairs of the distinct key of keys whose longest common subsequence, by bits of sums in HUGEINT, reaches floor; keys of up to 120 characters."""
     return f"""ks AS MATERIALIZED (SELECT DISTINCT key, length(key) AS n FROM ({keys}) k0 WHERE key <> ''),
@@ -165,6 +178,8 @@ def oracle_sql() -> dict[str, str]:
         "numbers_in": "SELECT o_orderkey, list_sort(list_distinct([CAST(floor(o_totalprice) AS BIGINT), CAST(o_orderkey % 9 + 1 AS BIGINT), CAST((o_orderkey % 9 + 1.5) * 100000 AS BIGINT)])) AS found FROM orders",
         "find_dates": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS due, CAST(1 AS BIGINT) AS n FROM orders",
         "name_key": r"SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key FROM part",
+        "source_report": f"""SELECT kind, count(*) AS urls, count(*) FILTER (words >= 50) AS relevant, count(*) FILTER (kind IN ('government', 'university')) AS official FROM (
+            SELECT {_KIND} AS kind, words FROM (SELECT url, {_HOST} AS h, len(regexp_extract_all(lower(text), '[a-z]+')) AS words FROM ({page_text_sql("SELECT * FROM pages")}) t QUALIFY row_number() OVER (PARTITION BY text ORDER BY page_id) = 1) u) v GROUP BY kind""",
         "fuzzy_twins": f"""WITH RECURSIVE {alike_sql("SELECT array_to_string(list_sort(string_split(trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')), ' ')), ' ') AS key FROM part", 90)} SELECT a, b, round(score, 6) AS score FROM alike""",
         "prose_lines": r"SELECT doc_id, CAST(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: len(list_filter(string_split(x, ' '), lambda w: w <> '')) >= 6)) AS BIGINT) AS n FROM documents",
         "keyword_counts": "SELECT doc_id, CAST(len(regexp_extract_all(lower(text), 'license|token|the')) AS BIGINT) AS hits, CAST(len(list_distinct(regexp_extract_all(lower(text), 'license|token|the'))) AS BIGINT) AS kinds FROM documents",
