@@ -13,6 +13,7 @@ from ..plans.relational import run
 from ..sources import files
 from . import record_queries as Q
 from . import verification as V
+from .ordering import placed
 
 # Fields that enrichment seeks, links of a record, patterns of links.
 TARGETS, LINKS = ["close_date", "application_url", "amount"], 3
@@ -316,12 +317,9 @@ def source_updates(spark, sf_dir):
 def new_record_ids(spark, sf_dir):
     """Ids for new records: after the largest one known, in the order of their keys; known keys are ignored."""
     known, found = run(spark, sf_dir, "SELECT c_custkey AS k FROM customer WHERE c_custkey % 2 = 0"), run(spark, sf_dir, "SELECT DISTINCT o_custkey AS k FROM orders")
-    new = found.join(known, "k", "left_anti").repartitionByRange("k").withColumn("p", F.spark_partition_id())
-    # Numbers inside a partition, and where each partition starts: no task sees all rows.
-    counts = new.groupBy("p").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    new = placed(found.join(known, "k", "left_anti"), [F.col("k").asc()], "place")
     top = F.broadcast(known.agg(F.coalesce(F.max("k"), F.lit(0)).alias("top")))
-    numbered = new.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("k"))).join(F.broadcast(counts.select("p", "start")), "p").join(top)
-    return numbered.select("k", (F.col("top") + F.col("start") + F.col("r")).cast("long").alias("id"))
+    return new.join(top).select("k", (F.col("top") + F.col("place") + 1).cast("long").alias("id"))
 
 
 def field_map(spark, sf_dir):

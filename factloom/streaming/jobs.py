@@ -2,19 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
-
-def _sink(stream: DataFrame, mode: str) -> DataFrame:
-    spark, name = stream.sparkSession, f"sink_{uuid.uuid4().hex}"
-    stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+from ..operators.ordering import runs
+from ..sources import files
+from . import durable
 
 
 def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,31 +18,48 @@ def _stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Distinct kinds of events per user as they arrive."""
-    return _sink(_stream(spark, sf_dir, "events").select("user_id", "event_type").dropDuplicates(), "append")
+    """Distinct kinds of events per user as they arrive, appended to files; the sink's log makes each batch count once."""
+    root = files.work_dir(spark)
+    stream = _stream(spark, sf_dir, "events").select("user_id", "event_type").dropDuplicates()
+    stream.writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start(f"{root}/out", format="parquet").awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{root}/out")
+
+
+def daily_counts(rows: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Events per day and kind, those counted before included."""
+    now = rows.groupBy(F.col("ts").cast("date").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
+    if before is None:
+        return now
+    return now.unionByName(before).groupBy("day", "event_type").agg(F.sum("n").alias("n"))
 
 
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per day and kind, kept complete."""
-    days = _stream(spark, sf_dir, "events").groupBy(F.col("ts").cast("date").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"))
-    return _sink(days, "complete")
+    """Events per day and kind, kept as a state of its own from batch to batch."""
+    return durable.advance(_stream(spark, sf_dir, "events").select("ts", "event_type"), daily_counts, files.work_dir(spark))
+
 
+def failures(rows: DataFrame, before: DataFrame | None) -> DataFrame:
+    """Failures in a row at the end of each user's events: those of the batch, and those before it where the batch had nothing else.
 
-def _count_failures(key, batches, state):
-    """Consecutive failures of a key: rows of each batch in order of time; a success ends the run."""
-    failures = state.get[0] if state.exists else 0
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for failed in rows["failed"]:
-        failures = failures + 1 if failed else 0
-    state.update((failures,))
-    yield pd.DataFrame({"user_id": [key[0]], "version": [int(rows["event_id"].max())], "failures": [failures]})
+    Batches come in order of time; inside a batch rows go by (ts, event_id), and a user of any size is spread over partitions.
+    """
+    told = runs(rows, ["user_id"], [F.col("ts").asc(), F.col("event_id").asc()], F.col("failed"), "n")
+    now = told.groupBy("user_id").agg(F.max_by("n", F.struct("ts", "event_id")).alias("now"), F.every("failed").alias("all"))
+    if before is None:
+        return now.select("user_id", F.col("now").alias("failures"))
+    both = now.join(before.withColumnRenamed("user_id", "u"), F.col("user_id").eqNullSafe(F.col("u")), "full")
+    seen = F.col("now").isNotNull()
+    count = F.when(seen, F.col("now") + F.when(F.col("all"), F.coalesce("failures", F.lit(0))).otherwise(0)).otherwise(F.col("failures"))
+    return both.select(F.when(seen, F.col("user_id")).otherwise(F.col("u")).alias("user_id"), count.alias("failures"))
 
 
 def stream_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Failures in a row at the end of each user's events, kept as state from batch to batch; the latest count of each user."""
-    events = _stream(spark, sf_dir, "events").select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"))
-    told = events.groupBy("user_id").applyInPandasWithState(_count_failures, "user_id long, version long, failures long", "failures long", "append", GroupStateTimeout.NoTimeout)
-    return _sink(told, "append").groupBy("user_id").agg(F.max_by("failures", "version").alias("failures"))
+    """Failures in a row at the end of each user's events, in six batches or more; the run is stopped in the second one and started again."""
+    root = files.work_dir(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", "ts", (F.col("event_type") == "error").alias("failed"))
+    stream = durable.in_pieces(events, root, 2_000_000, 6, "ts", "event_id")
+    durable.advance(stream, failures, root, stop_after=2)
+    return durable.advance(stream, failures, root)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
