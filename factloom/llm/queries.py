@@ -166,8 +166,8 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 
 _OP11 = """
 WITH docs AS (SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents),
-places AS (SELECT row, h, n_bytes, unnest(range(n_bytes)) AS i FROM docs),
-windows AS (SELECT row, i, CASE WHEN i + 400 <= n_bytes THEN md5_number(substr(h, 2 * i + 1, 800)) END AS w, substr(h, 2 * i + 1, 2) AS byte FROM places),
+stretches AS (SELECT row, n_bytes, j, substr(h, 800 * j + 1, 1600) AS c FROM (SELECT *, unnest(range((n_bytes + 399) // 400)) AS j FROM docs)),
+windows AS (SELECT row, 400 * j + k AS i, CASE WHEN 400 * j + k + 400 <= n_bytes THEN md5_number(substr(c, 2 * k + 1, 800)) END AS w, substr(c, 2 * k + 1, 2) AS byte FROM stretches, range(400) r(k) WHERE 400 * j + k < n_bytes),
 twice AS (SELECT w FROM windows WHERE w IS NOT NULL GROUP BY w HAVING count(*) > 1),
 hit AS (SELECT v.row, v.i, v.byte, CASE WHEN t.w IS NOT NULL THEN v.i END AS start FROM windows v LEFT JOIN twice t ON t.w = v.w),
 covered AS (SELECT row, i, byte, max(start) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM hit),
