@@ -129,18 +129,22 @@ def structured(claims: Column, g: Column, quotes: Column) -> Column:
 
 
 def archive_changes(old: DataFrame, now: DataFrame, pages: DataFrame) -> DataFrame:
-    """(id, field, old_value, new_value): facts of an archived copy that the same page states otherwise today.
+    """(id, field, old_value, new_value, old_quote, new_quote): facts of an archived copy that the same page states otherwise today.
 
-    old: (id, field, value, quote), grounded facts of the copy; now: (id, field, value, source_url, grounded); pages: (id, url, text).
+    old: (id, field, value, quote), grounded facts of the copy; now: (id, field, value, quote, source_url, grounded); pages: (id, url, text).
     Dates differ by value; others by numbers, and only if the old quotes are gone from the page.
     """
-    both = old.join(now.filter("grounded").select("id", "field", F.col("value").alias("new_value"), "source_url"), ["id", "field"]).join(pages, "id").filter("source_url = url")
-    parts = F.split("quote", f"\\Q{R.QUOTE_JOIN}\\E")
-    gone = F.lit(True)
+    both = old.join(now.filter("grounded").select("id", "field", F.col("value").alias("new_value"), F.col("quote").alias("new_quote"), "source_url"), ["id", "field"]).join(pages, "id").filter("source_url = url")
+    dated = F.col("field").endswith("_date")
+    both = both.filter(F.when(dated, F.col("value") != F.col("new_value")).otherwise(T.numbers_in(F.col("value")) != T.numbers_in(F.col("new_value"))))
+    # aligning quotes costs far more than moving the few rows left, so they are spread over all cores; dates ask for no quote
+    conf = both.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    both = both.repartition(max(int(conf), 4 * both.sparkSession.sparkContext.defaultParallelism))
+    parts = F.split(F.when(~dated, F.col("quote")), f"\\Q{R.QUOTE_JOIN}\\E")
+    other = F.lit(True)
     for i in range(R.QUOTES):
-        gone = gone & F.coalesce(R.quote_in_page(F.get(parts, i), F.col("text")) < R.QUOTE_FLOOR, F.lit(True))
-    other = F.when(F.col("field").endswith("_date"), F.col("value") != F.col("new_value")).otherwise(gone & (T.numbers_in(F.col("value")) != T.numbers_in(F.col("new_value"))))
-    return both.filter(other).select("id", "field", F.col("value").alias("old_value"), "new_value")
+        other = other & F.coalesce(R.quote_in_page(F.get(parts, i), F.col("text")) < R.QUOTE_FLOOR, F.lit(True))
+    return both.filter(other).select("id", "field", F.col("value").alias("old_value"), "new_value", F.col("quote").alias("old_quote"), "new_quote")
 
 
 def recheck(sources: DataFrame, fetched: DataFrame) -> DataFrame:
@@ -233,8 +237,8 @@ def archive_comparison(spark, sf_dir):
     x = run(spark, sf_dir, Q.CHANGES).filter("old_value is not null and new_value is not null")
     key = F.concat_ws("/", "id", "field").alias("id")
     old = x.select(key, "field", F.col("old_value").alias("value"), F.lit("the old words of the page").alias("quote"))
-    now = x.select(key, "field", F.col("new_value").alias("value"), F.col("url").alias("source_url"), (F.col("id") % 7 != 0).alias("grounded"))
-    return archive_changes(old, now, x.select(key, "url", "text"))
+    now = x.select(key, "field", F.col("new_value").alias("value"), F.lit(None).cast("string").alias("quote"), F.col("url").alias("source_url"), (F.col("id") % 7 != 0).alias("grounded"))
+    return archive_changes(old, now, x.select(key, "url", "text")).drop("old_quote", "new_quote")
 
 
 def archive_candidates(spark, sf_dir):
