@@ -164,7 +164,7 @@ def ground_field(name: Column, value: Column, quotes: Column, page: Column, link
     """A claim as (value, quote, grounded, score, reason, raw_value): each of its first quotes must be on the page, and together they must support it."""
     v = F.trim(value)
     absent = value.isNull() | value.isin(R.NOT_STATED) | F.lower(v).isin("not specified", "n/a", "na")
-    said = F.slice(F.filter(F.transform(F.coalesce(quotes, F.array().cast("array<string>")), F.trim), lambda q: q.isNotNull() & (q != "")), 1, R.QUOTES)
+    said = F.slice(F.filter(F.transform(F.coalesce(quotes, F.array().cast("array<string>")), lambda q: F.trim(q)), lambda q: q.isNotNull() & (q != "")), 1, R.QUOTES)
     is_url = name == "application_url"
     scores = [F.when(F.get(said, i).isNotNull() & ~is_url & ~absent, R.quote_in_page(F.get(said, i), page)) for i in range(R.QUOTES)]
     weakest = F.least(*scores)
