@@ -62,17 +62,31 @@ def is_funding(name: Column, amount_grounded: Column) -> Column:
     return name.rlike(FUNDING) | (name.rlike(r"(?i)\bscheme\b") & F.coalesce(amount_grounded, F.lit(False)))
 
 
+def resolve(href: Column, url: Column) -> Column:
+    """The address that href names on the page at url; steps . and .. are taken in the path of one that names no host."""
+    page, base = F.regexp_replace(url, "[?#].*$", ""), F.regexp_extract(url, r"^([a-z]+://[^/?#]+)", 1)
+    whole = F.when(href.startswith("//"), F.concat(F.regexp_extract(url, "^([a-z]+:)", 1), href)).when(href.startswith("/"), F.concat(base, href)).when(href.startswith("?"), F.concat(page, href))
+    whole = whole.when(href.rlike("(?i)^[a-z][a-z0-9+.-]*:"), href).otherwise(F.concat(F.regexp_replace(page, "([^/:])/[^/]*$", "$1"), F.lit("/"), href))
+    head, tail = F.regexp_extract(whole, "^([^:/?#]+://[^/?#]*)", 1), F.regexp_extract(whole, r"([?#].*)$", 1)
+    path = F.regexp_extract(whole, "^[^:/?#]+://[^/?#]*([^?#]*)", 1)
+    steps = F.split(F.regexp_replace(path, r"(/\.{1,2})$", "$1/"), "/")
+    taken = F.aggregate(steps, F.array().cast("array<string>"), lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(1)))).when(s == ".", done).otherwise(F.array_append(done, s)))
+    return F.when(~href.rlike("(?i)^([a-z][a-z0-9+.-]*:|//)") & path.rlike(r"/\.{1,2}(/|$)"), F.concat(head, F.array_join(taken, "/"), tail)).otherwise(whole)
+
+
+# Attributes in double, single or no quotes.
+_HREF = r"""(?:[^>]*?\s)?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+
+
 def link_parts(html: Column, url: Column) -> Column:
     """Links of a page in order as (pos, href, anchor): absolute by the page's address, without fragments, http only."""
-    base = F.regexp_extract(url, r"^([a-z]+://[^/?#]+)", 1)
-    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r'(?is)<a\s[^>]*href="[^"]*"[^>]*>.*?</a>'), F.lit(0))
+    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(rf"(?is)<a\s{_HREF}[^>]*>.*?</a>"), F.lit(0))
 
     def one(tag: Column) -> Column:
-        href = F.regexp_extract(tag, r'(?is)href="([^"]*)"', 1)
-        whole = F.when(href.startswith("//"), F.concat(F.lit("http:"), href)).when(href.startswith("/"), F.concat(base, href))
-        whole = whole.when(href.rlike("(?i)^[a-z][a-z0-9+.-]*:"), href).otherwise(F.concat(F.regexp_replace(F.regexp_replace(url, "[?#].*$", ""), "([^/:])/[^/]*$", "$1"), F.lit("/"), href))
+        href = F.concat(*[F.regexp_extract(tag, rf"(?is)^<a\s{_HREF}", i) for i in (1, 2, 3)])
+        href = F.replace(F.regexp_replace(href, r"^\s+|\s+$", ""), F.lit("&amp;"), F.lit("&"))
         anchor = F.trim(F.regexp_replace(F.regexp_replace(tag, r"(?s)<[^>]*>", " "), r"\s+", " "))
-        return F.struct(href.alias("raw"), T.normalize_url(whole).alias("href"), F.substring(anchor, 1, 200).alias("anchor"))
+        return F.struct(href.alias("raw"), T.normalize_url(resolve(href, url)).alias("href"), F.substring(anchor, 1, 200).alias("anchor"))
 
     kept = F.filter(F.transform(tags, one), lambda x: ~x.raw.rlike("(?i)^(mailto:|tel:|javascript:|#)") & (x.raw != "") & x.href.startswith("http"))
     return F.transform(kept, lambda x, i: F.struct((i + 1).cast("long").alias("pos"), x.href.alias("href"), x.anchor.alias("anchor")))
@@ -127,7 +141,7 @@ def ground(value: Column, quotes: Column, page: Column) -> Column:
     """A free-text claim as (value, grounded, score): each of its first quotes must be on the page, and together they must support it."""
     v = F.trim(value)
     absent = value.isNull() | value.isin(NOT_STATED) | F.lower(v).isin("not specified", "n/a", "na")
-    said = F.slice(F.filter(F.transform(F.coalesce(quotes, F.array().cast("array<string>")), F.trim), lambda q: q.isNotNull() & (q != "")), 1, QUOTES)
+    said = F.slice(F.filter(F.transform(F.coalesce(quotes, F.array().cast("array<string>")), lambda q: F.trim(q)), lambda q: q.isNotNull() & (q != "")), 1, QUOTES)
     scores = [F.when(F.get(said, i).isNotNull(), quote_in_page(F.get(said, i), page)) for i in range(QUOTES)]
     weakest = F.coalesce(F.least(*scores), F.lit(0.0))
     ok = ~absent & (F.size(said) > 0) & (weakest >= QUOTE_FLOOR) & value_supported(v, F.array_join(said, "\n"))
