@@ -152,20 +152,22 @@ _PICKED = f"""v AS MATERIALIZED ({_VERSIONS}), s AS MATERIALIZED ({_SCHEMES}), f
   aged AS (SELECT url, pos, stamp, abs(datediff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}') - {TARGET_AGE}) AS gap FROM v WHERE datediff('day', CAST(o_orderdate AS DATE), DATE '{AS_OF}') BETWEEN {MIN_AGE} AND {MAX_AGE}),
   near AS (SELECT a.url, a.stamp FROM aged a WHERE a.url IN (SELECT url FROM cand) AND a.url NOT IN (SELECT url FROM past) QUALIFY row_number() OVER (PARTITION BY a.url ORDER BY a.gap, a.pos) = 1),
   got AS (SELECT n.url, n.stamp, (SELECT bool_and(ok) FROM v WHERE v.url = n.url AND v.stamp = n.stamp) AS ok FROM near n)"""
-_WORDS = "SELECT p_name AS key FROM part UNION SELECT concat(string_split(p_name, ' ')[2], ' ', string_split(p_name, ' ')[1]) FROM part UNION SELECT unnest(string_split(p_name, ' ')) FROM part"
-
-
-def oracle_sql() -> dict[str, str]:
-    return {
-        "archive_run_pages": f"WITH {_PICKED} SELECT c.url, c.n, g.stamp, CASE WHEN p.url IS NOT NULL THEN 'compared before' WHEN g.stamp IS NULL THEN 'no version' WHEN g.ok THEN 'compared' ELSE 'not fetched' END AS outcome FROM cand c LEFT JOIN past p ON p.url = c.url LEFT JOIN got g ON g.url = c.url",
-        "archive_run_changes": f"""WITH RECURSIVE {alike_sql(_WORDS, 80)}, {_PICKED},
-  sim AS (SELECT a, b, score FROM alike UNION ALL SELECT b, a, score FROM alike UNION ALL SELECT key, key, 100.0 FROM ks),
+NAME_WORDS = "SELECT p_name AS key FROM part UNION SELECT concat(string_split(p_name, ' ')[2], ' ', string_split(p_name, ' ')[1]) FROM part UNION SELECT unnest(string_split(p_name, ' ')) FROM part"
+#: CTEs after alike_sql(NAME_WORDS, 80) that end in scored (a, b, score): every two distinct names of part.
+SCORED_SQL = """sim AS (SELECT a, b, score FROM alike UNION ALL SELECT b, a, score FROM alike UNION ALL SELECT key, key, 100.0 FROM ks),
   two AS (SELECT DISTINCT p_name AS name, list_sort(string_split(p_name, ' ')) AS w FROM part),
   both_ AS (SELECT x.name AS a, y.name AS b, x.w AS p, y.w AS q, list_intersect(x.w, y.w) AS c FROM two x CROSS JOIN two y),
   arranged AS (SELECT a, b, p, q, c[1] AS c, CASE WHEN p[1] = c[1] THEN p[2] ELSE p[1] END AS x, CASE WHEN q[1] = c[1] THEN q[2] ELSE q[1] END AS y, len(c) AS k FROM both_),
   scored AS (SELECT a, b, greatest(CASE WHEN len(list_filter(p, lambda t: length(t) >= 4 AND contains(b, t))) > 0 THEN 85.0 ELSE 0.0 END, CASE k WHEN 2 THEN 100.0
       WHEN 1 THEN greatest(coalesce((SELECT max(score) FROM sim z WHERE z.a = concat(m.c, ' ', m.x) AND z.b = concat(m.c, ' ', m.y)), 0), coalesce((SELECT max(score) FROM sim z WHERE z.a = m.c AND z.b IN (concat(m.c, ' ', m.x), concat(m.c, ' ', m.y))), 0))
-      ELSE coalesce((SELECT max(score) FROM sim z WHERE z.a = concat(m.p[1], ' ', m.p[2]) AND z.b = concat(m.q[1], ' ', m.q[2])), 0) END) AS score FROM arranged m),
+      ELSE coalesce((SELECT max(score) FROM sim z WHERE z.a = concat(m.p[1], ' ', m.p[2]) AND z.b = concat(m.q[1], ' ', m.q[2])), 0) END) AS score FROM arranged m),"""
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        "archive_run_pages": f"WITH {_PICKED} SELECT c.url, c.n, g.stamp, CASE WHEN p.url IS NOT NULL THEN 'compared before' WHEN g.stamp IS NULL THEN 'no version' WHEN g.ok THEN 'compared' ELSE 'not fetched' END AS outcome FROM cand c LEFT JOIN past p ON p.url = c.url LEFT JOIN got g ON g.url = c.url",
+        "archive_run_changes": f"""WITH RECURSIVE {alike_sql(NAME_WORDS, 80)}, {_PICKED},
+  {SCORED_SQL}
   paired AS (SELECT r.id, r.official_url AS url, s.stamp, s.pos FROM r JOIN got g ON g.url = r.official_url AND g.ok JOIN s ON s.url = g.url AND s.stamp = g.stamp JOIN scored c ON c.a = r.name AND c.b = s.name WHERE c.score >= 80
     QUALIFY row_number() OVER (PARTITION BY r.id ORDER BY c.score DESC, s.pos) = 1),
   quoted AS (SELECT r.official_url AS url, e.quote FROM e JOIN r USING (id)),
