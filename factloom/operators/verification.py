@@ -207,20 +207,26 @@ def diff_field(name: Column, old: Column, new: Column, page: Column, before: Col
     )
 
 
+def compared(old: DataFrame, new: DataFrame, pages: DataFrame, *kept: str) -> DataFrame:
+    """One row per (id, field) of evidence old or new with both as structs (kept: further columns of them), the page's columns, note and changed; inputs as apply_changes has them."""
+    parts = ["value", "quote", "grounded", "source_url", *kept]
+    a = old.filter("field <> 'name'").select("id", "field", F.struct(*parts).alias("old"))
+    b = new.filter("field <> 'name'").select("id", "field", F.struct(*parts).alias("new"))
+    both = a.join(b, ["id", "field"], "full").join(pages, "id")
+    both = both.withColumn("note", diff_field(F.col("field"), F.col("old"), F.col("new"), F.col("text"), F.col("before")))
+    was, now = F.when(F.col("old.grounded"), F.col("old.value")), F.when(F.col("new.grounded"), F.col("new.value"))
+    foreign = F.coalesce(F.col("old.source_url") != F.col("url"), F.lit(False)) & was.isNotNull() & now.isNull()
+    return both.withColumn("changed", F.col("note").isNotNull() & ~foreign)
+
+
 def apply_changes(old: DataFrame, new: DataFrame, pages: DataFrame) -> DataFrame:
     """One row per (id, field) of evidence old or new: note, logged, old_value, new_value, evidence (the quote to log), kept value.
 
     old and new: (id, field, value, quote, grounded, source_url); pages: (id, url, text, before), the records' own pages.  Names are not
     compared.  A value that came from another page is not lost because this one lacks it; late fills change the record but aren't logged.
     """
-    parts = ["value", "quote", "grounded", "source_url"]
-    a = old.filter("field <> 'name'").select("id", "field", F.struct(*parts).alias("old"))
-    b = new.filter("field <> 'name'").select("id", "field", F.struct(*parts).alias("new"))
-    both = a.join(b, ["id", "field"], "full").join(pages, "id")
-    both = both.withColumn("note", diff_field(F.col("field"), F.col("old"), F.col("new"), F.col("text"), F.col("before")))
     was, now = F.when(F.col("old.grounded"), F.col("old.value")), F.when(F.col("new.grounded"), F.col("new.value"))
-    foreign = F.coalesce(F.col("old.source_url") != F.col("url"), F.lit(False)) & was.isNotNull() & now.isNull()
-    changed = F.col("note").isNotNull() & ~foreign
+    both, changed = compared(old, new, pages), F.col("changed")
     logged = changed & (F.col("note") != "LATE_FILL")
     return both.select("id", "field", F.when(changed, F.col("note")).alias("note"), F.coalesce(logged, F.lit(False)).alias("logged"), was.alias("old_value"), now.alias("new_value"), F.when(now.isNotNull(), F.col("new.quote")).otherwise(F.col("old.quote")).alias("evidence"), F.when(changed, now).otherwise(was).alias("kept"))
 
