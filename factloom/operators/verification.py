@@ -213,6 +213,9 @@ def compared(old: DataFrame, new: DataFrame, pages: DataFrame, *kept: str) -> Da
     a = old.filter("field <> 'name'").select("id", "field", F.struct(*parts).alias("old"))
     b = new.filter("field <> 'name'").select("id", "field", F.struct(*parts).alias("new"))
     both = a.join(b, ["id", "field"], "full").join(pages, "id")
+    # aligning quotes costs far more than moving these rows, so they are spread over all cores
+    conf = both.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    both = both.repartition(max(int(conf), 4 * both.sparkSession.sparkContext.defaultParallelism))
     both = both.withColumn("note", diff_field(F.col("field"), F.col("old"), F.col("new"), F.col("text"), F.col("before")))
     was, now = F.when(F.col("old.grounded"), F.col("old.value")), F.when(F.col("new.grounded"), F.col("new.value"))
     foreign = F.coalesce(F.col("old.source_url") != F.col("url"), F.lit(False)) & was.isNotNull() & now.isNull()
