@@ -72,8 +72,7 @@ def provider_owns(spark, sf_dir):
 
 def twin_agreement(spark, sf_dir):
     """Do twins agree on their deadlines, amounts and limits."""
-    records, evidence, sources, _ = _records(spark, sf_dir)
-    told = V.twin_agreement(V.facts(records, evidence, sources), run(spark, sf_dir, PAIRS))
+    told = V.agreement_by(_known(spark, sf_dir), "topic")
     return told.select("id", "other", "agrees", F.array_join("clash", ",").alias("clash"), "conflict")
 
 

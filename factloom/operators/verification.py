@@ -273,15 +273,41 @@ def facts(records: DataFrame, evidence: DataFrame, sources: DataFrame) -> DataFr
     return out.withColumn("own", owns(F.col("g")["provider"], F.col("kind"), F.col("official_url"), F.col("name")))
 
 
+def stated(g: Column) -> Column:
+    """The values by which twins agree, read out of a record's grounded ones once: dates as text, others as sorted distinct numbers."""
+    return F.struct(*[(g[f] if f in DATE_FIELDS else F.array_sort(F.array_distinct(T.numbers_in(g[f])))).alias(f) for f in COMPARED])
+
+
+def clashing(x: Column, y: Column) -> Column:
+    """Fields in which two structs of stated values disagree, as same_values has it; one of eight constant lists, so no list is built for a pair."""
+    sized = lambda f: (F.size(x[f]) > 0) & (F.size(y[f]) > 0)
+    clash = [F.coalesce(x[f] != y[f] if f in DATE_FIELDS else sized(f) & ~F.arrays_overlap(x[f], y[f]), F.lit(False)) for f in COMPARED]
+
+    def lists(i: int, found: list[str]) -> Column:
+        if i == len(COMPARED):
+            return F.array(*[F.lit(f) for f in found]).cast("array<string>")
+        return F.when(clash[i], lists(i + 1, [*found, COMPARED[i]])).otherwise(lists(i + 1, found))
+
+    return lists(0, [])
+
+
+def _judged(pairs: DataFrame, *kept: str) -> DataFrame:
+    """kept of pairs (x, y: stated values; owns_id, owns_other) with agrees, clash, owns_other and conflict."""
+    pairs = pairs.withColumn("clash", clashing(F.col("x"), F.col("y")))
+    agrees = F.size("clash") == 0
+    return pairs.select(*kept, agrees.alias("agrees"), "clash", "owns_other", (F.col("owns_id") & F.col("owns_other") & ~agrees).alias("conflict"))
+
+
 def twin_agreement(known: DataFrame, pairs: DataFrame) -> DataFrame:
     """For each pair (id, other) of records that describe one scheme: agrees, fields in conflict, and whether both are the providers' own pages."""
-    sides = [known.select(F.col("id").alias(i), F.col("g").alias(f"g_{i}"), F.col("own.owns").alias(f"owns_{i}")) for i in ("id", "other")]
-    both = pairs.join(sides[0], "id").join(sides[1], "other")
-    told = [same_values(f, F.col("g_id")[f], F.col("g_other")[f]) for f in COMPARED]
-    clash = F.filter(F.array(*[F.when(~c, F.lit(f)) for f, c in zip(COMPARED, told, strict=True)]), lambda x: x.isNotNull())
-    some, none = told[0] | told[1] | told[2], told[0].isNull() & told[1].isNull() & told[2].isNull()
-    agrees = (F.size(clash) == 0) & (F.coalesce(some, F.lit(False)) | none)
-    return both.select("id", "other", agrees.alias("agrees"), clash.alias("clash"), F.col("owns_other"), (F.col("owns_id") & F.col("owns_other") & (F.size(clash) > 0)).alias("conflict"))
+    sides = known.select("id", stated(F.col("g")).alias("x"), F.col("own.owns").alias("owns_id"))
+    return _judged(pairs.join(sides, "id").join(sides.toDF("other", "y", "owns_other"), "other"), "id", "other")
+
+
+def agreement_by(known: DataFrame, key: str) -> DataFrame:
+    """twin_agreement of all pairs, both ways, of records equal in a column of known.  Records move once, by that column; pairs never do."""
+    sides = known.select(F.col(key).alias("k"), "id", stated(F.col("g")).alias("x"), F.col("own.owns").alias("owns_id"))
+    return _judged(sides.join(sides.toDF("k", "other", "y", "owns_other"), "k").filter("id <> other"), "id", "other")
 
 
 def twin_key(name: Column) -> Column:
