@@ -37,7 +37,9 @@ def similar_keys(keys: DataFrame, floor: float = 90.0) -> DataFrame:
         raise ValueError("a floor from 75 to 100")
     part = 1 - floor / 100
     spark = keys.sparkSession
-    distinct = keys.filter("key IS NOT NULL AND key <> ''").select("key").distinct().withColumns({"n": F.char_length("key"), "letters": _letters(F.col("key"))})
+    # few keys give many candidates, so the small table of keys is spread over all cores
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    distinct = keys.filter("key IS NOT NULL AND key <> ''").select("key").distinct().repartition(tasks).withColumns({"n": F.char_length("key"), "letters": _letters(F.col("key"))})
     m, n, i = F.col("m"), F.col("n"), F.col("i")
 
     def characters(of: Column) -> Column:
@@ -58,6 +60,6 @@ def similar_keys(keys: DataFrame, floor: float = 90.0) -> DataFrame:
     asked = asked.select("b", "n", "letters", "m", "d", "i", F.expr("b").substr(start + F.col("s") + 1, length).alias("segment"))
     met = held.join(asked, ["m", "i", "segment"]).filter((F.col("m") < F.col("n")) | (F.col("a") < F.col("b")))
     met = met.filter(F.bit_count(F.col("has").bitwiseXOR(F.col("letters"))) <= F.col("d")).select("a", "b").distinct()
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    aligned = met.repartition(tasks, "a", "b").withColumn("score", fuzzy.plain(F.col("a"), F.col("b"))).filter(F.col("score") >= floor)
+    # a deterministic ratio would be moved below distinct and be reckoned for every equal segment
+    aligned = met.withColumn("score", fuzzy.plain_once(F.col("a"), F.col("b"))).filter(F.col("score") >= floor)
     return aligned.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "score")
