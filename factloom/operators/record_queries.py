@@ -78,16 +78,14 @@ def twin_agreement(spark, sf_dir):
 
 def twin_groups(spark, sf_dir):
     """Twins by alike names, as groups of equal values: the first records of each pair of groups and how many the other one has."""
-    members, pairs = V.twin_groups(_known(spark, sf_dir))
-    first = members.groupBy("gid").agg(F.min("id").alias("id"))
-    return pairs.join(first, "gid").select("id", F.col("first").alias("other"), "n", "agrees", F.array_join("clash", ",").alias("clash"), "conflict")
+    return V.twin_groups(_known(spark, sf_dir)).select("id", "other", "n", "agrees", F.array_join("clash", ",").alias("clash"), "conflict")
 
 
 def confidence_score(spark, sf_dir):
     """All eleven checks of every record."""
     records, evidence, sources, texts = _records(spark, sf_dir)
     told = V.score(records, evidence, sources, texts, PROFILE, F.lit(AS_OF).cast("date"))
-    points = F.array_join(F.transform("checks", lambda c: F.concat(c["check"], F.lit("="), c["points"].cast("string"))), ";")
+    points = F.array_join(F.transform("points", lambda c: F.concat(c["check"], F.lit("="), c["points"].cast("string"))), ";")
     return told.select("id", "confidence", "verification_status", "owns_source", "official_twin", points.alias("points"))
 
 

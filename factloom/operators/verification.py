@@ -315,55 +315,61 @@ def twin_key(name: Column) -> Column:
     return F.array_join(F.array_sort(F.split(T.name_key(F.coalesce(name, F.lit(""))), " ")), " ")
 
 
-def twin_groups(known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members, pairs): records by name key and the values by which twins agree, and pairs of such groups whose keys are equal or alike.
-
-    members: id, gid, group (a struct of key, close_date, amounts, incomes, owns); pairs, both ways and of each group with itself: group, other, agrees, clash, conflict and of the
-    other group n, first and second (its smallest ids).  Work goes with the different values stated for a scheme, not with the square of its records.
-    """
+def _alike_groups(known: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(members, groups, links): members (id, key, gid, owns) of groups with equal name keys, stated values and owns; groups (gid, key, x, owns, n, first, second) with
+    their two smallest ids; links (a, b), both ways, of keys that are alike, and of each key with itself.  Records without a key are in no link."""
     from .similarity import similar_keys
 
-    g = F.col("g")
-    numbers = lambda f: F.array_sort(F.array_distinct(T.numbers_in(g[f])))
-    group = F.struct(twin_key(F.col("name")).alias("key"), g["close_date"].alias("close_date"), numbers("amount").alias("amount"), numbers("income_limit").alias("income_limit"), F.col("own.owns").alias("owns"))
-    members = known.select("id", group.alias("group")).withColumn("gid", F.md5(F.to_json("group")))
+    group = F.struct(twin_key(F.col("name")).alias("key"), stated(F.col("g")).alias("x"), F.col("own.owns").alias("owns"))
+    members = known.select("id", group.alias("group")).withColumn("gid", F.md5(F.to_json("group"))).select("id", "gid", "group.*")
     rank = F.row_number().over(Window.partitionBy("gid").orderBy("id"))
     least = members.select("gid", "id").withColumn("r", rank).filter("r <= 2").groupBy("gid").agg(F.min("id").alias("first"), F.max(F.when(F.col("r") == 2, F.col("id"))).alias("second"))
-    groups = members.groupBy("gid").agg(F.first("group").alias("group"), F.count(F.lit(1)).alias("n")).join(least, "gid")
-    keys = groups.select(F.col("group.key").alias("key")).filter("key <> ''").distinct()
+    groups = members.groupBy("gid").agg(F.first(F.struct("key", "x", "owns")).alias("group"), F.count(F.lit(1)).alias("n")).select("gid", "group.*", "n").join(least, "gid")
+    keys = members.select("key").filter("key <> ''").distinct()
     near = similar_keys(keys, TWIN_FLOOR).select("a", "b")
-    links = near.union(near.select("b", "a")).union(keys.select("key", "key").toDF("a", "b"))
-    one = groups.select(F.col("group.key").alias("a"), "gid", F.col("group").alias("g1"))
-    two = groups.select(F.col("group.key").alias("b"), F.col("gid").alias("other"), F.col("group").alias("g2"), "n", "first", "second")
-    both = one.join(links, "a").join(two, "b")
-    x, y = F.col("g1"), F.col("g2")
-    sized = lambda f: (F.size(x[f]) > 0) & (F.size(y[f]) > 0)
-    told = [x["close_date"] == y["close_date"], *[F.when(sized(f), F.arrays_overlap(x[f], y[f])) for f in ("amount", "income_limit")]]
-    clash = F.array_compact(F.array(*[F.when(~t, F.lit(f)) for f, t in zip(COMPARED, told, strict=True)]))
-    pairs = both.select("gid", "other", "n", "first", "second", (F.size(clash) == 0).alias("agrees"), clash.alias("clash"), y["owns"].alias("owns_other"), (x["owns"] & y["owns"] & (F.size(clash) > 0)).alias("conflict"))
-    return members, pairs
+    return members.select("id", "key", "gid", "owns"), groups, near.union(near.select("b", "a")).union(keys.select("key", "key").toDF("a", "b"))
+
+
+def twin_groups(known: DataFrame) -> DataFrame:
+    """Pairs (id, other: the smallest ids of two groups of records, both ways and of each group with itself) whose name keys are equal or alike, with n and second of the
+    other group, agrees, clash, owns_other and conflict.  A group is moved once for each key that is alike; pairs of groups are never moved."""
+    _, groups, links = _alike_groups(known)
+    one = groups.select(F.col("key").alias("a"), F.col("first").alias("id"), "x", F.col("owns").alias("owns_id"))
+    two = groups.select(F.col("key").alias("b"), F.col("first").alias("other"), F.col("x").alias("y"), F.col("owns").alias("owns_other"), "n", "second")
+    return _judged(one.join(links, "a").drop("a").join(two, "b"), "id", "other", "n", "second")
 
 
 def twin_summary(known: DataFrame) -> DataFrame:
     """For each record with twins: agree (the first ids of groups that agree with it), conflicts (other, clash: the first ids of those that do not, both being the
-    providers' own pages), n_agree, n_conflict and official_twin (smallest id of a twin that is the provider's own page)."""
-    members, pairs = twin_groups(known)
-    same = F.col("gid") == F.col("other")
-    found = pairs.filter(~same | (F.col("n") > 1)).groupBy("gid").agg(
-        F.sort_array(F.collect_list(F.when(F.col("agrees") & ~same, F.col("first")))).alias("others"),
-        F.sort_array(F.collect_list(F.when(F.col("conflict"), F.struct(F.col("first").alias("other"), "clash")))).alias("conflicts"),
-        F.sum(F.when(F.col("agrees"), F.col("n") - same.cast("long")).otherwise(0)).alias("n_agree"),
+    providers' own pages), n_agree, n_conflict and official_twin (smallest id of a twin that is the provider's own page).
+
+    The groups of all keys alike to a key are first put together by their values; a group then meets each set of values once, so work goes with
+    the different values stated for a scheme and names like it.  The lists are as long as the groups they name; counts do without them.
+    """
+    members, groups, links = _alike_groups(known)
+    around = groups.select(F.col("key").alias("b"), "x", "owns", "n", "first").join(links, "b").groupBy("a", F.col("x").alias("y"), F.col("owns").alias("owns_other"))
+    around = around.agg(F.sum("n").alias("n"), F.collect_list("first").alias("firsts"))
+    met = _judged(groups.select(F.col("key").alias("a"), "gid", "x", F.col("owns").alias("owns_id")).join(around, "a"), "gid", "n", "firsts")
+    found = met.groupBy("gid").agg(
+        F.flatten(F.collect_list(F.when(F.col("agrees"), F.col("firsts")))).alias("others"),
+        F.sort_array(F.flatten(F.collect_list(F.when(F.col("conflict"), F.transform("firsts", lambda f: F.struct(f.alias("other"), F.col("clash").alias("clash"))))))).alias("conflicts"),
+        (F.sum(F.when(F.col("agrees"), F.col("n")).otherwise(0)) - 1).alias("n_agree"),  # all but the record itself
         F.sum(F.when(F.col("conflict"), F.col("n")).otherwise(0)).alias("n_conflict"),
-        F.min(F.when(F.col("owns_other") & ~same, F.col("first"))).alias("official"),
-        F.max(F.when(same, F.struct("first", "second", "owns_other"))).alias("own"),
+        F.sum("n").alias("all"),
     )
-    own = F.when(F.col("own.first") == F.col("id"), F.col("own.second")).otherwise(F.col("own.first"))
-    agree = F.sort_array(F.array_compact(F.array_append("others", own)))
-    return members.select("id", "gid").join(found, "gid").select("id", agree.alias("agree"), "conflicts", "n_agree", "n_conflict", F.least("official", F.when(F.col("own.owns_other"), own)).alias("official_twin"))
+    # of a key the two smallest ids of providers' own pages are enough: one of them is not the record
+    two = lambda rows, key: rows.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy("id"))).filter("r <= 2").select(key, "id")
+    best = two(two(members.filter("owns").select("key", "id"), "key").join(links.withColumnRenamed("b", "key"), "key").select("a", "id"), "a")
+    best = best.groupBy(F.col("a").alias("key")).agg(F.min("id").alias("o1"), F.max("id").alias("o2"))
+    x = members.join(groups.select("gid", "first", "second").join(found.filter(F.col("all") > 1), "gid"), "gid").join(best, "key", "left")
+    own = F.when(F.col("first") == F.col("id"), F.col("second")).otherwise(F.col("first"))
+    agree = F.sort_array(F.array_compact(F.array_append(F.array_remove("others", F.col("first")), own)))
+    official = F.nullif(F.when(F.col("o1") == F.col("id"), F.col("o2")).otherwise(F.col("o1")), F.col("id"))
+    return x.select("id", agree.alias("agree"), "conflicts", "n_agree", "n_conflict", official.alias("official_twin"))
 
 
 def score(records: DataFrame, evidence: DataFrame, sources: DataFrame, texts: DataFrame, profile: Profile, as_of: Column) -> DataFrame:
-    """confidence, checks (check, points, max, reason), owns_source, official_twin and conflicts for each record, from eleven checks.
+    """confidence, checks (check, points, max, reason), points (check, points), owns_source, official_twin and conflicts for each record, from eleven checks.
 
     texts: (url, text, runs), the latest text of a page and the number of runs that confirmed it.  Twins are records whose name keys are alike; reasons name
     the first record of each group of twins with the same values.
@@ -388,15 +394,17 @@ def score(records: DataFrame, evidence: DataFrame, sources: DataFrame, texts: Da
     first_year = F.regexp_extract(F.coalesce("name", F.lit("")), r"\b(20\d{2})(?:\s*[-–]\s*\d{2,4})?\b", 1)
     stale = (first_year != "") & (first_year.try_cast("int") < F.substring(F.get(years, 0), 1, 4).cast("int"))
     said = F.coalesce("said", F.lit(""))
-    agree, conflicts = F.coalesce("agree", F.array().cast("array<bigint>")), F.size(F.coalesce("conflicts", F.array().cast("array<struct<other:bigint,clash:array<string>>>")))
+    agree, agreed, conflicts = F.col("agree"), F.coalesce("n_agree", F.lit(0)) > 0, F.coalesce("n_conflict", F.lit(0))
     runs, claimed, traced = F.coalesce("runs", F.lit(0)), F.coalesce("claimed", F.lit(0)), F.coalesce("traced", F.lit(0))
     rolling = F.col("page").rlike(ROLLING)
     n = F.size(eligible)
     half = F.lit(0.5)
 
-    def check(key: str, share: Column, reason: Column) -> Column:
+    def check(key: str, share: Column, reason: Column, given: Column | None = None) -> tuple[Column, Column]:
         most = POINTS.get(key, 0.0)
-        return F.struct(F.lit(key).alias("check"), F.round(share * F.lit(POINTS.get(key, PENALTIES.get(key))), 2).alias("points"), F.lit(most).alias("max"), reason.alias("reason"))
+        points = F.round(share * F.lit(POINTS.get(key, PENALTIES.get(key))), 2).alias("points")
+        both = F.struct(F.lit(key).alias("check"), points), F.struct(F.lit(key).alias("check"), points, F.lit(most).alias("max"), reason.alias("reason"))
+        return both if given is None else tuple(F.when(given, c) for c in both)
 
     def yes(condition: Column) -> Column:
         return F.when(condition, 1.0).otherwise(0.0)
@@ -411,13 +419,15 @@ def score(records: DataFrame, evidence: DataFrame, sources: DataFrame, texts: Da
         check("deadline_grounded", yes(g["close_date"].isNotNull() | rolling), F.when(g["close_date"].isNotNull(), F.concat(F.lit("closing date "), g["close_date"], F.lit(" quoted from page"))).when(rolling, "page states applications are open throughout / rolling").otherwise("no closing date stated on the page")),
         check("amount_grounded", yes(g["amount"].isNotNull()), F.when(g["amount"].isNotNull(), "benefit amount quoted from page").otherwise("benefit amount not stated")),
         check("freshness", fresh, F.when(stale, F.concat(F.lit("scheme is named for an old year ("), first_year, F.lit(")"))).when(fresh == 1.0, "scheme's own evidence has a current date/academic year").when(fresh == 0.5, "only the page (not the scheme text) shows a current date/year").otherwise("no current date or academic year found")),
-        check("extraction_consistency", yes((F.size(agree) > 0) | (runs >= 2)), F.when(F.size(agree) > 0, F.concat(F.lit("same scheme also found in record(s) ["), F.array_join(F.transform(agree, lambda i: i.cast("string")), ", "), F.lit("] with no conflicting key values"))).when(runs >= 2, F.concat(F.lit("same page content re-confirmed in "), runs.cast("string"), F.lit(" crawl runs"))).otherwise("seen in one source and one run so far - not yet corroborated")),
+        check("extraction_consistency", yes(agreed | (runs >= 2)), F.when(agreed, F.concat(F.lit("same scheme also found in record(s) ["), F.array_join(F.transform(agree, lambda i: i.cast("string")), ", "), F.lit("] with no conflicting key values"))).when(runs >= 2, F.concat(F.lit("same page content re-confirmed in "), runs.cast("string"), F.lit(" crawl runs"))).otherwise("seen in one source and one run so far - not yet corroborated")),
         check("field_traceability", F.when(claimed > 0, traced / claimed).otherwise(0.0), F.concat(traced.cast("string"), F.lit("/"), claimed.cast("string"), F.lit(" extracted values traced to quotes"))),
-        F.when(conflicts > 0, check("conflicting_official_source", F.lit(1.0), F.concat(F.lit("another official source disagrees: "), F.array_join(F.transform("conflicts", lambda c: F.concat(F.lit("#"), c["other"].cast("string"), F.lit(" on "), F.array_join(c["clash"], ", "))), "; ")))),
-        F.when(~owned, check("aggregator_only", F.lit(1.0), F.concat(F.lit("evidence comes only from a third-party page"), F.when(F.col("official_twin").isNotNull(), F.concat(F.lit("; official record is #"), F.col("official_twin").cast("string"))).otherwise("; no official provider page found yet")))),
+        check("conflicting_official_source", F.lit(1.0), F.concat(F.lit("another official source disagrees: "), F.array_join(F.transform("conflicts", lambda c: F.concat(F.lit("#"), c["other"].cast("string"), F.lit(" on "), F.array_join(c["clash"], ", "))), "; ")), conflicts > 0),
+        check("aggregator_only", F.lit(1.0), F.concat(F.lit("evidence comes only from a third-party page"), F.when(F.col("official_twin").isNotNull(), F.concat(F.lit("; official record is #"), F.col("official_twin").cast("string"))).otherwise("; no official provider page found yet")), ~owned),
     ]
-    x = x.select("id", F.array_compact(F.array(*checks)).alias("checks"), owned.alias("owns_source"), "official_twin", "conflicts")
-    total = F.aggregate("checks", F.lit(0.0), lambda s, c: s + c["points"])
+    # points stand by themselves, so that whoever asks for no reasons has no lists of twins built
+    points, whole = ([c[i] for c in checks] for i in (0, 1))
+    x = x.select("id", F.array_compact(F.array(*whole)).alias("checks"), F.array_compact(F.array(*points)).alias("points"), owned.alias("owns_source"), "official_twin", "conflicts")
+    total = F.aggregate("points", F.lit(0.0), lambda s, c: s + c["points"])
     return x.withColumn("confidence", F.round(F.greatest(F.lit(0.0), F.least(F.lit(100.0), total)), 1)).withColumn("verification_status", F.when(F.col("confidence") >= VERIFIED_FROM, "VERIFIED").otherwise("REVIEW_REQUIRED"))
 
 
