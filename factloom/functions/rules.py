@@ -106,6 +106,14 @@ def quote_in_page(quote: Column, page: Column) -> Column:
     return F.when(F.length(q) < 4, 0.0).when(literal, 100.0).when(residue, fuzzy_score).otherwise(0.0)
 
 
+def quote_reaches(quote: Column, page: Column) -> Column:
+    """Whether quote_in_page reaches QUOTE_FLOOR; stretches of the page without enough of the quote's trigrams aren't aligned."""
+    q, p = T.norm(quote), T.norm(page)
+    literal = F.contains(p, q)
+    residue = ~literal & F.length(q).between(4, 600)
+    return F.when(F.length(q) < 4, False).when(literal, True).when(residue, fuzzy.reaches(F.when(residue, q), F.when(residue, p), QUOTE_FLOOR)).otherwise(False)
+
+
 def quote_still_there(parts: list[Column], page: Column) -> Column:
     """Whether every part of a quote reaches the floor on a page; false without parts."""
     ok = F.lit(bool(parts))

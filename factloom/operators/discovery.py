@@ -25,21 +25,37 @@ CATEGORIES = {"SC": ["scheduled caste", "sc"], "ST": ["scheduled tribe", "st"],
 LEVELS = ["SCHOOL", "CLASS_11_12", "DIPLOMA", "UG", "PG", "PHD", "POSTDOC"]
 
 
+def lacks(g: Column) -> Column:
+    """The fields that enrichment seeks for a record whose grounded values are the map g."""
+    eligible = F.size(F.filter(F.array(*[F.when(g[f].isNotNull(), F.lit(f)) for f in V.ELIGIBILITY]), lambda f: f.isNotNull()))
+    return F.array_compact(F.array(*[F.when(g[f].isNull(), F.lit(f)) for f in TARGETS], F.when(eligible < 3, F.lit("eligibility"))))
+
+
 def lacking(known: DataFrame) -> DataFrame:
     """id and the fields that enrichment seeks for it (known: as verification.facts gives it); records that lack nothing are left out."""
-    g = F.col("g")
-    eligible = F.size(F.filter(F.array(*[F.when(g[f].isNotNull(), F.lit(f)) for f in V.ELIGIBILITY]), lambda f: f.isNotNull()))
-    fields = F.array_compact(F.array(*[F.when(g[f].isNull(), F.lit(f)) for f in TARGETS], F.when(eligible < 3, F.lit("eligibility"))))
-    return known.select("id", fields.alias("lacking")).filter(F.size("lacking") > 0)
+    return known.select("id", lacks(F.col("g")).alias("lacking")).filter(F.size("lacking") > 0)
 
 
 def link_allowed(href: Column, url: Column, provider: Column, profile: V.Profile) -> Column:
     """Whether a link stays with the provider: the same site, an official site of the same kind, or a domain with the provider's name."""
     d, own = T.domain(href), T.domain(url)
-    there, here = V.classify(href, F.lit(None).cast("string"), profile), V.classify(url, F.lit(None).cast("string"), profile)
-    tokens = F.array_append(V._tokens(provider, 4, V.GENERIC_PROVIDER), F.split_part(T.url_root(own), F.lit("."), F.lit(1)))
-    site = F.translate(d, ".-", "")
-    return (T.url_root(d) == T.url_root(own)) | (there["official"] & (there["kind"] == here["kind"])) | F.exists(tokens, lambda t: (F.length(t) >= 4) & F.contains(site, t))
+    return _stays(_place(href, d, profile), _place(url, own, profile), _site_tokens(provider, own))
+
+
+def _place(url: Column, host: Column, profile: V.Profile) -> Column:
+    """What link_allowed asks of one address: (root, site, kind, official)."""
+    told = V.classify(url, F.lit(None).cast("string"), profile, host)
+    return F.struct(T.url_root(host).alias("root"), F.translate(host, ".-", "").alias("site"), told["kind"].alias("kind"), told["official"].alias("official"))
+
+
+def _site_tokens(provider: Column, host: Column) -> Column:
+    """Words by which a domain shows that it is the provider's; host: the provider's own."""
+    tokens = F.array_append(V._tokens(provider, 4, V.GENERIC_PROVIDER), F.split_part(T.url_root(host), F.lit("."), F.lit(1)))
+    return F.filter(tokens, lambda t: F.length(t) >= 4)
+
+
+def _stays(there: Column, here: Column, tokens: Column) -> Column:
+    return (there["root"] == here["root"]) | (there["official"] & (there["kind"] == here["kind"])) | F.exists(tokens, lambda t: F.contains(there["site"], t))
 
 
 def candidate_links(records: DataFrame, links: DataFrame, profile: V.Profile) -> DataFrame:
@@ -48,17 +64,19 @@ def candidate_links(records: DataFrame, links: DataFrame, profile: V.Profile) ->
     links: (url, pos, href, anchor) of source pages.  A stated application link comes first, then links that name the scheme, useful ones
     before others; a page with a single scheme may also give explicit guideline or application links.  Ties go by place on the page.
     """
-    x = records.join(links, F.col("official_url") == F.col("url"))
-    x = x.filter(T.normalize_url(F.col("href")) != T.normalize_url(F.col("official_url")))
+    # a page's records meet all its links, so all that depends on one side alone is told before they meet
     path = F.regexp_replace("href", "^https?://[^/]+", "")
     hay = F.translate(F.replace(F.lower(F.concat_ws(" ", path, F.coalesce("anchor", F.lit("")))), F.lit("%20"), F.lit(" ")), "_-", "  ")
-    site = F.translate(T.domain(F.col("official_url")), ".-", "  ")
-    tokens = F.filter(R.distinctive_tokens(F.col("name")), lambda t: ~T.has_word(t, site))
-    x = x.withColumn("hay", hay).withColumn("tokens", tokens)
-    named = F.exists("tokens", lambda t: T.has_word(t, F.col("hay")))
-    points = F.when(named, 2 + F.col("hay").rlike(USEFUL_LINK).cast("int")).when(F.col("single") & F.col("hay").rlike(SINGLE_LINK), 1)
-    fit = ~F.col("hay").rlike(SKIP_LINK) & ~F.col("hay").rlike(OLD_YEAR) & link_allowed(F.col("href"), F.col("official_url"), F.col("provider"), profile)
-    found = x.filter(fit).withColumn("points", points).filter("points is not null").select("id", "points", "pos", "href", "anchor")
+    there = links.withColumn("hay", hay).filter(~F.col("hay").rlike(SKIP_LINK) & ~F.col("hay").rlike(OLD_YEAR)).withColumn("host", T.domain(F.col("href")))
+    there = there.select("url", "pos", "href", "anchor", "hay", T.normalize_url(F.col("href")).alias("goes"), F.col("hay").rlike(USEFUL_LINK).cast("int").alias("useful"), F.col("hay").rlike(SINGLE_LINK).alias("explicit"), _place(F.col("href"), F.col("host"), profile).alias("there"))
+    asked = records.withColumn("host", T.domain(F.col("official_url"))).withColumn("site", F.translate("host", ".-", "  "))
+    tokens = F.filter(R.distinctive_tokens(F.col("name")), lambda t: ~(F.contains("site", t) & T.has_word(t, F.col("site"))))
+    asked = asked.select("id", "official_url", "single", T.normalize_url(F.col("official_url")).alias("stands"), tokens.alias("tokens"), _place(F.col("official_url"), F.col("host"), profile).alias("here"), _site_tokens(F.col("provider"), F.col("host")).alias("said"))
+    # the letters are looked for before the word: patterns that differ from row to row are made anew for each
+    named = F.exists("tokens", lambda t: F.contains("hay", t) & T.has_word(t, F.col("hay")))
+    x = asked.join(there, F.col("official_url") == F.col("url")).filter((F.col("goes") != F.col("stands")) & (named | F.col("single") & F.col("explicit")))
+    points = F.when(named, 2 + F.col("useful")).when(F.col("single") & F.col("explicit"), 1)
+    found = x.filter(_stays(F.col("there"), F.col("here"), F.col("said"))).select("id", points.alias("points"), "pos", "href", "anchor")
     app = F.col("app_url")
     stated = records.filter(app.isNotNull() & link_allowed(app, F.col("official_url"), F.col("provider"), profile))
     stated = stated.select("id", F.lit(9).alias("points"), F.lit(0).cast("long").alias("pos"), F.when(app.contains("://"), app).otherwise(F.concat(F.lit("https://"), app)).alias("href"), F.lit("application link stated on the source page").alias("anchor"))
@@ -143,7 +161,7 @@ def archive_changes(old: DataFrame, now: DataFrame, pages: DataFrame) -> DataFra
     parts = F.split(F.when(~dated, F.col("quote")), f"\\Q{R.QUOTE_JOIN}\\E")
     other = F.lit(True)
     for i in range(R.QUOTES):
-        other = other & F.coalesce(R.quote_in_page(F.get(parts, i), F.col("text")) < R.QUOTE_FLOOR, F.lit(True))
+        other = other & F.coalesce(~R.quote_reaches(F.get(parts, i), F.col("text")), F.lit(True))
     return both.filter(other).select("id", "field", F.col("value").alias("old_value"), "new_value", F.col("quote").alias("old_quote"), "new_quote")
 
 
@@ -160,7 +178,8 @@ def recheck(sources: DataFrame, fetched: DataFrame) -> DataFrame:
 def route(records: DataFrame, seen: DataFrame) -> DataFrame:
     """records (id, name, quote, text, missing_runs) after their page was read: found in seen (id), quoted on the page still, or missing once more."""
     x = records.join(seen.select("id", F.lit(True).alias("here")).distinct(), "id", "left")
-    kept = F.col("here") | (R.quote_in_page(F.coalesce("quote", "name"), F.col("text")) >= R.QUOTE_FLOOR)
+    asked = F.when(F.col("here").isNull(), F.coalesce("quote", "name"))
+    kept = F.col("here") | R.quote_reaches(asked, F.col("text"))
     way = F.when(F.col("here"), "extracted").when(kept, "still named").otherwise("missing")
     return x.select("id", way.alias("way"), F.when(way == "missing", F.col("missing_runs") + 1).otherwise(0).cast("int").alias("missing_runs"))
 

@@ -37,11 +37,11 @@ def wanted(records_: DataFrame, evidence: DataFrame) -> DataFrame:
 
     evidence: (id, field, value, grounded).  Of repeated grounded values the least counts.  Records of any owner count for single.
     """
-    told = evidence.filter("grounded").groupBy("id", "field").agg(F.min("value").alias("value"))
+    told = evidence.filter("grounded").repartition("id").groupBy("id", "field").agg(F.min("value").alias("value"))
     maps = told.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("g"))  # a field each at most
     known = records_.filter("owned").join(maps, "id", "left").withColumn("g", F.coalesce("g", F.create_map().cast("map<string,string>")))
     alone = records_.groupBy("official_url").agg((F.count(F.lit(1)) == 1).alias("single"))
-    needy = known.join(discovery.lacking(known).select("id"), "id", "left_semi").join(alone, "official_url", "left")
+    needy = known.filter(F.size(discovery.lacks(F.col("g"))) > 0).join(alone, "official_url", "left")
     return needy.select("id", "name", "official_url", "provider", F.coalesce("single", F.lit(False)).alias("single"), F.col("g")["application_url"].alias("app_url"))
 
 
@@ -72,6 +72,14 @@ def filled_first(offers: DataFrame, known: DataFrame, by: str, *carried: str) ->
     return new.groupBy("id", by).agg(F.min(F.struct("place", *carried)).alias("o")).select("id", by, "o.*")
 
 
+def called(records_: DataFrame, evidence: DataFrame, home: DataFrame, links: DataFrame, answers: DataFrame, log: DataFrame, profile: V.Profile, quota: int) -> tuple[DataFrame, DataFrame]:
+    """(need, calls): the records that lack fields, and every link of theirs with its outcome; inputs as enrichment_run has them."""
+    need = _kept(wanted(records_, evidence))
+    up = home.filter("ok").select("url").distinct()
+    asked = need.join(up.withColumnRenamed("url", "official_url"), "official_url", "left_semi")
+    return need, _kept(due_calls(discovery.candidate_links(asked, links.join(up, "url", "left_semi"), profile), answers, log, quota))
+
+
 def enrichment_run(records_: DataFrame, evidence: DataFrame, criteria: DataFrame, home: DataFrame, links: DataFrame, answers: DataFrame, schemes: DataFrame, facts: DataFrame, offered: DataFrame, log: DataFrame, profile: V.Profile, quota: int) -> EnrichmentRun:
     """Fill what owned records lack from the pages that their own page links to.
 
@@ -82,11 +90,7 @@ def enrichment_run(records_: DataFrame, evidence: DataFrame, criteria: DataFrame
     missing keys, and of several pages the first wins.  A record ended by a busy reader or by the quota keeps what it got and isn't counted as filled;
     records behind the quota aren't counted.  Empty tables give empty results and counts of zero; nulls in ok, owned or grounded count as false.
     """
-    need = _kept(wanted(records_, evidence))
-    reachable = links.join(home.filter("ok").select("url").distinct(), "url", "left_semi")
-    asked = need.join(home.filter("ok").select(F.col("url").alias("official_url")).distinct(), "official_url", "left_semi")
-    calls = _kept(due_calls(discovery.candidate_links(asked, reachable, profile), answers, log, quota))
-
+    need, calls = called(records_, evidence, home, links, answers, log, profile, quota)
     read = calls.filter("outcome = 'read'").join(need.select("id", "name"), "id")
     found_on = _kept(read.select(F.col("href").alias("url")).distinct())
     here = _kept(schemes.join(found_on, "url", "left_semi"))
@@ -142,17 +146,25 @@ _LOG = f"SELECT id, concat(site, '/', split_part(name, ' ', 1), '_guideline') AS
 _QUOTA = "SELECT 4 * count(*) AS n FROM customer"
 
 
-def _run(spark: SparkSession, sf_dir: str) -> EnrichmentRun:
+def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """All tables of a run, derived from links and records, which are made once."""
     links, mine = _kept(run(spark, sf_dir, _LINKS)), _kept(run(spark, sf_dir, _RECORDS))
-    evidence, answers, schemes, facts, offered, criteria, log = (run(spark, sf_dir, q) for q in (_EVIDENCE, _ANSWERS, _SCHEMES, _FACTS, _OFFERED, _CRITERIA, _LOG))
+    rest = dict(evidence=_EVIDENCE, answers=_ANSWERS, schemes=_SCHEMES, facts=_FACTS, offered=_OFFERED, criteria=_CRITERIA, log=_LOG)
+    out = {name: run(spark, sf_dir, sql, {_LINKS: links, _RECORDS: mine}) for name, sql in rest.items()}
     home = mine.select(F.col("official_url").alias("url"), (F.substring("official_url", 9, 1) != "m").alias("ok")).distinct()
-    quota = run(spark, sf_dir, _QUOTA).first()[0]
-    return enrichment_run(mine, _kept(evidence), criteria, home, links.select("url", "pos", "href", "anchor"), _kept(answers), schemes, facts, offered, log, Q.PROFILE, quota)
+    return out | dict(answers=_kept(out["answers"]), records_=mine, home=home, links=links.select("url", "pos", "href", "anchor"))
+
+
+def _run(spark: SparkSession, sf_dir: str) -> EnrichmentRun:
+    return enrichment_run(**_tables(spark, sf_dir), profile=Q.PROFILE, quota=run(spark, sf_dir, _QUOTA).first()[0])
 
 
 def enrichment_run_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every link of records that lack fields: whether it is read within a quota of four readings for each customer."""
-    return _run(spark, sf_dir).calls.select("id", "place", F.col("href").alias("url"), "call", "outcome")
+    t = _tables(spark, sf_dir)
+    asked = {name: t[name] for name in ("records_", "evidence", "home", "links", "answers", "log")}
+    _, calls = called(**asked, profile=Q.PROFILE, quota=run(spark, sf_dir, _QUOTA).first()[0])
+    return calls.select("id", "place", F.col("href").alias("url"), "call", "outcome")
 
 
 def enrichment_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:

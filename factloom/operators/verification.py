@@ -72,9 +72,10 @@ def names_itself(host: Column, text: Column) -> Column:
     return (F.length(core) >= 4) & F.contains(said, core)
 
 
-def classify(url: Column, text: Column, profile: Profile) -> Column:
-    """(kind, official, reason) of a source, first rule that holds; the page must name its site for rules that go by words."""
-    host, named = T.domain(url), names_itself(T.domain(url), text)
+def classify(url: Column, text: Column, profile: Profile, host: Column | None = None) -> Column:
+    """(kind, official, reason) of a source, first rule that holds; the page must name its site for rules that go by words.  host: the address's domain, where it is told already."""
+    host = T.domain(url) if host is None else host
+    named = names_itself(host, text)
     told = F.lit("unknown"), F.lit("could not be confirmed as an official provider")
     kinds = F.lit(None).cast("string")
     for d, kind in sorted(profile.known.items(), key=lambda x: -len(x[0])):
@@ -182,8 +183,8 @@ def ground_field(name: Column, value: Column, quotes: Column, page: Column, link
 def quote_there(quote: Column, page: Column) -> Column:
     """Whether every part of a joined quote reaches the floor on a page; false without a quote."""
     parts = F.split(quote, f"\\Q{R.QUOTE_JOIN}\\E")
-    scores = [F.when(F.get(parts, i).isNotNull(), R.quote_in_page(F.get(parts, i), page) >= R.QUOTE_FLOOR) for i in range(R.QUOTES)]
-    return F.coalesce(F.when(F.coalesce(quote, F.lit("")) != "", F.least(*scores)), F.lit(False))
+    there = [F.when(F.get(parts, i).isNotNull(), R.quote_reaches(F.get(parts, i), page)) for i in range(R.QUOTES)]
+    return F.coalesce(F.when(F.coalesce(quote, F.lit("")) != "", F.least(*there)), F.lit(False))
 
 
 def diff_field(name: Column, old: Column, new: Column, page: Column, before: Column) -> Column:

@@ -89,11 +89,16 @@ def _spell(sql: str, changes: dict[str, str]) -> str:
     return sql
 
 
-def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, sql: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The rows of sql.  made: subqueries (their text, without brackets) whose rows are there already and aren't derived again wherever sql nests them."""
+    views = {}
+    for i, (text, rows) in enumerate((made or {}).items()):
+        if f"({text})" in sql:
+            sql, views[f"made_{i}"] = sql.replace(f"({text})", f"{{made_{i}}}"), rows
     for name in _TABLES:
         if f" {name}" in sql:
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return spark.sql(_spell(sql, _SPARK))
+    return spark.sql(_spell(sql, _SPARK), **views)
 
 
 #: The plain names read every row, too.
