@@ -108,7 +108,12 @@ def quote_in_page(quote: Column, page: Column) -> Column:
 
 def quote_reaches(quote: Column, page: Column) -> Column:
     """Whether quote_in_page reaches QUOTE_FLOOR; stretches of the page without enough of the quote's trigrams aren't aligned."""
-    q, p = T.norm(quote), T.norm(page)
+    return quote_in_norm(quote, T.norm(page))
+
+
+def quote_in_norm(quote: Column, p: Column) -> Column:
+    """quote_reaches for a page that is in normal form (T.norm) already, as where many quotes meet one page."""
+    q = T.norm(quote)
     literal = F.contains(p, q)
     residue = ~literal & F.length(q).between(4, 600)
     return F.when(F.length(q) < 4, False).when(literal, True).when(residue, fuzzy.reaches(F.when(residue, q), F.when(residue, p), QUOTE_FLOOR)).otherwise(False)

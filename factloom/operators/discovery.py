@@ -152,7 +152,8 @@ def archive_changes(old: DataFrame, now: DataFrame, pages: DataFrame) -> DataFra
     old: (id, field, value, quote), grounded facts of the copy; now: (id, field, value, quote, source_url, grounded); pages: (id, url, text).
     Dates differ by value; others by numbers, and only if the old quotes are gone from the page.
     """
-    both = old.join(now.filter("grounded").select("id", "field", F.col("value").alias("new_value"), F.col("quote").alias("new_quote"), "source_url"), ["id", "field"]).join(pages, "id").filter("source_url = url")
+    both = old.join(now.filter("grounded").select("id", "field", F.col("value").alias("new_value"), F.col("quote").alias("new_quote"), "source_url"), ["id", "field"])
+    both = both.join(pages.withColumn("text", T.norm(F.col("text"))), "id").filter("source_url = url")
     dated = F.col("field").endswith("_date")
     both = both.filter(F.when(dated, F.col("value") != F.col("new_value")).otherwise(T.numbers_in(F.col("value")) != T.numbers_in(F.col("new_value"))))
     # aligning quotes costs far more than moving the few rows left, so they are spread over all cores; dates ask for no quote
@@ -161,7 +162,7 @@ def archive_changes(old: DataFrame, now: DataFrame, pages: DataFrame) -> DataFra
     parts = F.split(F.when(~dated, F.col("quote")), f"\\Q{R.QUOTE_JOIN}\\E")
     other = F.lit(True)
     for i in range(R.QUOTES):
-        other = other & F.coalesce(~R.quote_reaches(F.get(parts, i), F.col("text")), F.lit(True))
+        other = other & F.coalesce(~R.quote_in_norm(F.get(parts, i), F.col("text")), F.lit(True))
     return both.filter(other).select("id", "field", F.col("value").alias("old_value"), "new_value", F.col("quote").alias("old_quote"), "new_quote")
 
 

@@ -83,8 +83,8 @@ def refresh(records: DataFrame, evidence: DataFrame, pages: DataFrame, schemes:
     own = offers.filter("way = 'own'").select("id", "url", "snapshot")
     at = own.join(pages.select("url", F.coalesce("text", F.lit("")).alias("text"), "before"), "url").withColumnRenamed("snapshot", "shot")
     said = told.filter("way = 'own'").withColumn("source_url", F.col("url")).select(*EVIDENCE)
-    diff = V.compared(before.join(own.select("id"), "id", "left_semi"), said, at, "snapshot").withColumn("gone", ~V.quote_there(F.col("old.quote"), F.col("text")))
-    diff = _kept(diff.drop("text", "before"))
+    diff = V.compared(before.join(own.select("id"), "id", "left_semi"), said, at, "snapshot").withColumn("gone", ~F.col("still"))
+    diff = _kept(diff.drop("still"))
     was, now = F.when(F.col("old.grounded"), F.col("old.value")), F.when(F.col("new.grounded"), F.col("new.value"))
     proof = F.when(now.isNotNull(), F.col("new.quote")).otherwise(F.col("old.quote"))
     log = diff.filter("changed AND note <> 'LATE_FILL'").select("id", "field", was.alias("old_value"), now.alias("new_value"), F.col("url").alias("source_url"), proof.alias("evidence"), "note")
@@ -130,19 +130,32 @@ _STANDS = f"SELECT DISTINCT url, quote FROM ({_STATED}) f WHERE NOT past AND gro
 _STOOD = f"SELECT DISTINCT url, quote FROM ({_STATED}) f WHERE past AND grounded"
 
 
+def _everything(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every scheme, made once, and those that pages state now."""
+    everything = _kept(run(spark, sf_dir, _ALL))
+    return everything, everything.filter("NOT past")
+
+
+def _schemes(now: DataFrame) -> DataFrame:
+    return now.select("url", "pos", "name", F.lit(None).cast("string").alias("open_date"), F.lit(None).cast("string").alias("close_date"))
+
+
 def _run(spark: SparkSession, sf_dir: str) -> Refresh:
-    everything, stated = _kept(run(spark, sf_dir, _ALL)), _kept(run(spark, sf_dir, _STATED))
-    mine, evidence = _kept(run(spark, sf_dir, _RECORDS)), _kept(run(spark, sf_dir, _EVIDENCE))
-    lines = lambda sql, name: run(spark, sf_dir, sql).groupBy("url").agg(F.array_join(F.array_sort(F.collect_list("quote")), "\n").alias(name))
-    now = everything.filter("NOT past")
+    everything, now = _everything(spark, sf_dir)
+    mine = _kept(run(spark, sf_dir, _RECORDS, {_ALL: everything}))
+    stated = run(spark, sf_dir, _STATED, {_ALL: everything})
+    evidence = _kept(run(spark, sf_dir, _EVIDENCE, {_STATED: stated, _RECORDS: mine}))
+    lines = lambda sql, name: run(spark, sf_dir, sql, {_STATED: stated}).groupBy("url").agg(F.array_join(F.array_sort(F.collect_list("quote")), "\n").alias(name))
     pages = now.select("place", "url").distinct().join(lines(_STANDS, "text"), "url", "left").join(lines(_STOOD, "before"), "url", "left").withColumn("snapshot", F.col("place"))
-    schemes = now.select("url", "pos", "name", F.lit(None).cast("string").alias("open_date"), F.lit(None).cast("string").alias("close_date"))
-    return refresh(mine, evidence, _kept(pages), schemes, stated.filter("NOT past").select("url", "pos", "field", "value", "quote", "grounded"))
+    return refresh(mine, evidence, _kept(pages), _schemes(now), stated.filter("NOT past").select("url", "pos", "field", "value", "quote", "grounded"))
 
 
 def refresh_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each page's schemes are to the records: new, of this page, or known from elsewhere."""
-    return _run(spark, sf_dir).offers.select("id", "place", "pos", "name", "way")
+    everything, now = _everything(spark, sf_dir)
+    mine = _kept(run(spark, sf_dir, _RECORDS, {_ALL: everything}))
+    pages = now.select("place", "url", F.col("place").alias("snapshot")).distinct()
+    return offered(mine, pages, _schemes(now)).select("id", "place", "pos", "name", "way")
 
 
 def refresh_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,20 +181,19 @@ def ground_field(name: Column, value: Column, quotes: Column, page: Column, link
 
 
 def quote_there(quote: Column, page: Column) -> Column:
-    """Whether every part of a joined quote reaches the floor on a page; false without a quote."""
+    """Whether every part of a joined quote reaches the floor on a page, given in normal form (T.norm); false without a quote."""
     parts = F.split(quote, f"\\Q{R.QUOTE_JOIN}\\E")
-    there = [F.when(F.get(parts, i).isNotNull(), R.quote_reaches(F.get(parts, i), page)) for i in range(R.QUOTES)]
+    there = [F.when(F.get(parts, i).isNotNull(), R.quote_in_norm(F.get(parts, i), page)) for i in range(R.QUOTES)]
     return F.coalesce(F.when(F.coalesce(quote, F.lit("")) != "", F.least(*there)), F.lit(False))
 
 
-def diff_field(name: Column, old: Column, new: Column, page: Column, before: Column) -> Column:
+def diff_field(name: Column, old: Column, new: Column, still: Column, before: Column) -> Column:
     """What became of a field: a note, LATE_FILL for a value that the page had before too, or null for no change.
 
-    old and new are structs (value, quote, grounded); page and before are the page's text now and at the earlier snapshot (null: none).
+    old and new are structs (value, quote, grounded); still: whether the old quote is on the page; before: the page's text at the earlier snapshot, in normal form (null: none).
     A change needs changed evidence: while the old quote is still on the page, other words for it are no change.
     """
     old_value, new_value = F.when(old["grounded"], old["value"]), F.when(new["grounded"], new["value"])
-    still = quote_there(old["quote"], page)
     numbers = T.numbers_in(old_value) == T.numbers_in(new_value)
     alike = fuzzy.token_set(T.norm(old_value), T.norm(new_value)) >= 90
     return (
@@ -209,15 +208,18 @@ def diff_field(name: Column, old: Column, new: Column, page: Column, before: Col
 
 
 def compared(old: DataFrame, new: DataFrame, pages: DataFrame, *kept: str) -> DataFrame:
-    """One row per (id, field) of evidence old or new with both as structs (kept: further columns of them), the page's columns, note and changed; inputs as apply_changes has them."""
+    """One row per (id, field) of evidence old or new with both as structs (kept: further columns of them), still (the old quote is on the page), note and changed, and the page's columns but for its texts; inputs as apply_changes has them."""
     parts = ["value", "quote", "grounded", "source_url", *kept]
     a = old.filter("field <> 'name'").select("id", "field", F.struct(*parts).alias("old"))
     b = new.filter("field <> 'name'").select("id", "field", F.struct(*parts).alias("new"))
-    both = a.join(b, ["id", "field"], "full").join(pages, "id")
+    # texts are brought into normal form once a page, not for every quote that is looked up
+    read = pages.withColumns({"text": T.norm(F.col("text")), "before": T.norm(F.col("before"))})
+    both = a.join(b, ["id", "field"], "full").join(read, "id")
     # aligning quotes costs far more than moving these rows, so they are spread over all cores
     conf = both.sparkSession.conf.get("spark.sql.shuffle.partitions")
     both = both.repartition(max(int(conf), 4 * both.sparkSession.sparkContext.defaultParallelism))
-    both = both.withColumn("note", diff_field(F.col("field"), F.col("old"), F.col("new"), F.col("text"), F.col("before")))
+    both = both.withColumn("still", quote_there(F.col("old.quote"), F.col("text")))
+    both = both.withColumn("note", diff_field(F.col("field"), F.col("old"), F.col("new"), F.col("still"), F.col("before"))).drop("text", "before")
     was, now = F.when(F.col("old.grounded"), F.col("old.value")), F.when(F.col("new.grounded"), F.col("new.value"))
     foreign = F.coalesce(F.col("old.source_url") != F.col("url"), F.lit(False)) & was.isNotNull() & now.isNull()
     return both.withColumn("changed", F.col("note").isNotNull() & ~foreign)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from factloom.functions import rules as R
 from factloom.operators import archive, discovery, enrichment, refresh
+from factloom.operators import verification as V
 from factloom.operators.record_queries import PROFILE
 
 SF = "/root/testdata/sf0.001"
@@ -49,3 +50,11 @@ def test_reaching_the_floor_is_what_the_ratio_says(spark):
     told = spark.createDataFrame(rows, "q string, p string").select(R.quote_reaches(F.col("q"), F.col("p")).alias("got"), (R.quote_in_page(F.col("q"), F.col("p")) >= R.QUOTE_FLOOR).alias("want"))
     rows = told.collect()
     assert [r.got for r in rows] == [r.want for r in rows] and len({r.want for r in rows}) == 2
+
+
+def test_pages_are_brought_into_normal_form_once(spark):
+    side = spark.createDataFrame([(1, "amount", "Rs. 5", "five rupees a month", True, "u")], "id long, field string, value string, quote string, grounded boolean, source_url string")
+    pages = spark.createDataFrame([(1, "u", "Five  Rupees a month", None)], "id long, url string, text string, before string")
+    got = V.compared(side, side.withColumn("value", F.lit("Rs. 6")), pages)
+    assert [(r.still, r.note) for r in got.collect()] == [(True, None)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("coalesce(text#") == 1
