@@ -63,6 +63,16 @@ def _kept(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
+def outcomes(records_: DataFrame, evidence: DataFrame, versions: DataFrame, copies: DataFrame, snapshots: DataFrame, as_of: Column, most: int | None = None) -> DataFrame:
+    """(url, n, stamp, outcome) of every candidate; inputs as archive_run has them."""
+    wanted = candidates(records_, evidence, most)
+    done = compared_before(snapshots).withColumn("done", F.lit(True))
+    new = _kept(wanted.join(done, "url", "left"))
+    picked = nearest_versions(new.filter("done IS NULL"), versions, as_of).join(copies.select("url", "stamp", "ok"), ["url", "stamp"], "left")
+    outcome = F.when(F.col("done"), "compared before").when(F.col("stamp").isNull(), "no version").when(F.coalesce("ok", F.lit(False)), "compared").otherwise("not fetched")
+    return new.join(picked, "url", "left").select("url", "n", "stamp", outcome.alias("outcome"))
+
+
 def archive_run(records_: DataFrame, evidence: DataFrame, texts: DataFrame, versions: DataFrame, copies: DataFrame, schemes: DataFrame, facts: DataFrame, snapshots: DataFrame, log: DataFrame, as_of: Column, most: int | None = None) -> ArchiveRun:
     """Compare today's records with the nearest archived copy of their own page.
 
@@ -72,13 +82,7 @@ def archive_run(records_: DataFrame, evidence: DataFrame, texts: DataFrame, vers
     once for each page.  Rows of changes: id, field, old_value, new_value, source_url, evidence, note.  What a baseline has logged is not logged again.
     A copy that was not fetched, and a page without a fit version, give nothing; a page without a text today has lost all old quotes.
     """
-    wanted = candidates(records_, evidence, most)
-    done = compared_before(snapshots).withColumn("done", F.lit(True))
-    new = wanted.join(done, "url", "left")
-    picked = nearest_versions(new.filter("done IS NULL"), versions, as_of).join(copies.select("url", "stamp", "ok"), ["url", "stamp"], "left")
-    outcome = F.when(F.col("done"), "compared before").when(F.col("stamp").isNull(), "no version").when(F.coalesce("ok", F.lit(False)), "compared").otherwise("not fetched")
-    pages = _kept(new.join(picked, "url", "left").select("url", "n", "stamp", outcome.alias("outcome")))
-
+    pages = _kept(outcomes(records_, evidence, versions, copies, snapshots, as_of, most))
     fetched = pages.filter("outcome = 'compared'").select("url", "stamp")
     mine = records_.select("id", "name", F.col("official_url").alias("url"))
     offers = _kept(schemes.join(fetched, ["url", "stamp"]).groupBy("url", "stamp", F.col("name").alias("offer")).agg(F.min("pos").alias("pos")))
@@ -118,17 +122,27 @@ _SNAPSHOTS = f"SELECT concat('{ARCHIVE}20000101000000id_/', {_URL}) AS url, CASE
 _LOG = f"SELECT n.pos AS id, n.field, o.value AS old_value, n.value AS new_value, CASE WHEN n.elsewhere THEN 'crawl' ELSE 'baseline: earlier' END AS note FROM ({_FACTS}) n JOIN ({_TODAY}) t ON t.version = n.version JOIN ({_FACTS}) o ON o.url = n.url AND o.name = n.name AND o.field = n.field WHERE o.pos <> n.pos AND n.field = 'amount'"
 
 
-def _run(spark: SparkSession, sf_dir: str) -> ArchiveRun:
-    versions, facts, today, snapshots = _kept(run(spark, sf_dir, _VERSIONS)), _kept(run(spark, sf_dir, _FACTS)), run(spark, sf_dir, _TODAY), run(spark, sf_dir, _SNAPSHOTS)
-    schemes = run(spark, sf_dir, _SCHEMES)
-    mine = schemes.join(today.select("version"), "version").select(F.col("pos").alias("id"), "name", F.col("url").alias("official_url"), (F.col("balance") < 9000).alias("owned"))
-    now = _kept(facts.join(today.select("version"), "version").withColumn("id", F.col("pos")))
+def _today(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """(versions, schemes, now, mine, evidence, copies, snapshots): now are the facts of the pages' last versions, schemes those of every version; both engines' tables, each made from one kept table."""
+    versions = _kept(run(spark, sf_dir, _VERSIONS))
+    today, snapshots = run(spark, sf_dir, _TODAY, {_VERSIONS: versions}), run(spark, sf_dir, _SNAPSHOTS)
+    schemes = run(spark, sf_dir, _SCHEMES, {_VERSIONS: versions})
+    last = _kept(run(spark, sf_dir, _SCHEMES, {_VERSIONS: versions.join(today.select(F.col("version").alias("pos")), "pos", "left_semi")}))
+    mine = last.select(F.col("pos").alias("id"), "name", F.col("url").alias("official_url"), (F.col("balance") < 9000).alias("owned"))
+    now = run(spark, sf_dir, _FACTS, {_SCHEMES: last}).withColumn("id", F.col("pos"))
     evidence = now.select("id", "field", "value", "quote", F.when(F.col("elsewhere"), "https://other.example.org").otherwise(F.col("url")).alias("source_url"), "grounded")
+    copies = versions.groupBy("url", "stamp").agg(F.bool_and("ok").alias("ok"))
+    return versions, schemes, now, mine, evidence, copies, snapshots
+
+
+def _run(spark: SparkSession, sf_dir: str) -> ArchiveRun:
+    versions, schemes, now, mine, evidence, copies, snapshots = _today(spark, sf_dir)
+    schemes = _kept(schemes)
+    facts = run(spark, sf_dir, _FACTS, {_SCHEMES: schemes})
     texts = now.groupBy("url").agg(F.array_join(F.array_sort(F.collect_list("quote")), "\n").alias("text"))
     amounts = facts.filter("field = 'amount'").select("url", "name", F.col("pos").alias("other"), F.col("value").alias("old_value"))
     log = now.filter("field = 'amount'").join(amounts, ["url", "name"]).filter("other <> pos").select("id", "field", "old_value", F.col("value").alias("new_value"), F.when(F.col("elsewhere"), "crawl").otherwise("baseline: earlier").alias("note"))
-    copies = versions.groupBy("url", "stamp").agg(F.bool_and("ok").alias("ok"))
-    return archive_run(_kept(mine), evidence, texts, versions, copies, schemes, facts, snapshots, log, F.lit(AS_OF).cast("date"))
+    return archive_run(mine, evidence, texts, versions, copies, schemes, facts, snapshots, log, F.lit(AS_OF).cast("date"))
 
 
 def archive_run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,7 +150,8 @@ def archive_run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def archive_run_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _run(spark, sf_dir).pages
+    versions, _, _, mine, evidence, copies, snapshots = _today(spark, sf_dir)
+    return outcomes(mine, evidence, versions, copies, snapshots, F.lit(AS_OF).cast("date"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
