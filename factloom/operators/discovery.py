@@ -178,7 +178,7 @@ def recheck(sources: DataFrame, fetched: DataFrame) -> DataFrame:
 
 def route(records: DataFrame, seen: DataFrame) -> DataFrame:
     """records (id, name, quote, text, missing_runs) after their page was read: found in seen (id), quoted on the page still, or missing once more."""
-    x = records.join(seen.select("id", F.lit(True).alias("here")).distinct(), "id", "left")
+    x = V.spread(records.join(seen.select("id", F.lit(True).alias("here")).distinct(), "id", "left"))
     asked = F.when(F.col("here").isNull(), F.coalesce("quote", "name"))
     kept = F.col("here") | R.quote_reaches(asked, F.col("text"))
     way = F.when(F.col("here"), "extracted").when(kept, "still named").otherwise("missing")

@@ -95,7 +95,7 @@ def verification_counts(spark, sf_dir):
 
 def ground_field(spark, sf_dir):
     """Claims of every kind of field, grounded in a page."""
-    claims = run(spark, sf_dir, CLAIMS)
+    claims = V.spread(run(spark, sf_dir, CLAIMS))
     quotes = F.when(F.col("quote").isNotNull(), F.array("quote"))
     told = claims.select("id", V.ground_field(F.col("field"), F.col("value"), quotes, F.col("page"), F.array().cast("array<string>")).alias("g"))
     return told.select("id", "g.value", "g.grounded", "g.reason", "g.raw_value")

@@ -207,6 +207,12 @@ def diff_field(name: Column, old: Column, new: Column, still: Column, before: Co
     )
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt over all cores: aligning quotes costs far more than moving them, and a table may come in few pieces."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+
+
 def compared(old: DataFrame, new: DataFrame, pages: DataFrame, *kept: str) -> DataFrame:
     """One row per (id, field) of evidence old or new with both as structs (kept: further columns of them), still (the old quote is on the page), note and changed, and the page's columns but for its texts; inputs as apply_changes has them."""
     parts = ["value", "quote", "grounded", "source_url", *kept]
@@ -215,10 +221,7 @@ def compared(old: DataFrame, new: DataFrame, pages: DataFrame, *kept: str) -> Da
     # texts are brought into normal form once a page, not for every quote that is looked up
     read = pages.withColumns({"text": T.norm(F.col("text")), "before": T.norm(F.col("before"))})
     both = a.join(b, ["id", "field"], "full").join(read, "id")
-    # aligning quotes costs far more than moving these rows, so they are spread over all cores
-    conf = both.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    both = both.repartition(max(int(conf), 4 * both.sparkSession.sparkContext.defaultParallelism))
-    both = both.withColumn("still", quote_there(F.col("old.quote"), F.col("text")))
+    both = spread(both).withColumn("still", quote_there(F.col("old.quote"), F.col("text")))
     both = both.withColumn("note", diff_field(F.col("field"), F.col("old"), F.col("new"), F.col("still"), F.col("before"))).drop("text", "before")
     was, now = F.when(F.col("old.grounded"), F.col("old.value")), F.when(F.col("new.grounded"), F.col("new.value"))
     foreign = F.coalesce(F.col("old.source_url") != F.col("url"), F.lit(False)) & was.isNotNull() & now.isNull()

@@ -58,3 +58,9 @@ def test_pages_are_brought_into_normal_form_once(spark):
     got = V.compared(side, side.withColumn("value", F.lit("Rs. 6")), pages)
     assert [(r.still, r.note) for r in got.collect()] == [(True, None)]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("coalesce(text#") == 1
+
+
+def test_quotes_of_one_piece_are_looked_up_by_all_cores(spark):
+    x = spark.createDataFrame([(k, "A name", "A name that is not there", "a page", 0) for k in range(64)], "id long, name string, quote string, text string, missing_runs int").coalesce(1)
+    got = discovery.route(x, x.select("id").limit(0))
+    assert {r.way for r in got.collect()} == {"missing"} and got.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
