@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import functools
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from .evidence import _KIND, PROFILE, classify
 KEYWORDS, CONTEXT_CHARS, PER_PAGE, AS_OF = "(?i)the|and", 2000, 25, "1998-06-30"
 #: Quotes that are looked up together in one reading of a text.
 QUOTE_GROUP = 256
+#: Letters of texts that meet a group of quotes together.
+BUNDLE = 1 << 18
 #: Letters by which a quote of few words is looked up; bytes of quotes up to which they are broadcast.
 RUN_LETTERS, LIGHT = 6, 32 << 20
 
@@ -135,15 +140,38 @@ def numbers_supported(spark, sf_dir):
 def quotes_in_texts(quotes: DataFrame, docs: DataFrame, floor: float = R.QUOTE_FLOOR) -> DataFrame:
     """item_id, doc_id and score for all of quotes (item_id, text) and docs (doc_id, text) whose quote reaches floor somewhere in the whole text.
 
-    Quotes go in groups of QUOTE_GROUP, so that each text is read once for a group.
+    Quotes go in groups of QUOTE_GROUP and meet bundles of texts of BUNDLE letters or so, so that a group is moved once for a bundle and indexed
+    once, and each text is read once for a group.
     """
     groups = max(1, -(-quotes.count() // QUOTE_GROUP))
-    asked = quotes.select(F.struct("item_id", T.norm(F.col("text")).alias("q")).alias("ask"), (F.monotonically_increasing_id() % groups).alias("group"))
-    asked = asked.groupBy("group").agg(F.collect_list("ask").alias("asks"))
+    asked = quotes.select("item_id", T.norm(F.col("text")).alias("q"), (F.monotonically_increasing_id() % groups).alias("group"))
+    asked = asked.groupBy("group").agg(F.collect_list(F.struct("item_id", "q")).alias("asks")).select("asks")
+    light = (quotes.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) <= LIGHT
     spread = docs.repartition(4 * docs.sparkSession.sparkContext.defaultParallelism)  # aligning costs far more than reading
-    pairs = spread.select("doc_id", T.norm(F.col("text")).alias("t")).filter("t <> ''").crossJoin(asked)
-    hits = pairs.select("doc_id", "asks", F.explode(fuzzy.found(F.transform("asks", lambda x: x.q), F.col("t"), floor)).alias("hit"))
-    return hits.select(F.get("asks", F.col("hit.i")).item_id.alias("item_id"), "doc_id", F.col("hit.score").alias("score"))
+    texts = spread.select("doc_id", T.norm(F.col("text")).alias("t")).filter("t <> ''")
+    doc_id, item_id = (df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (quotes, "item_id")))
+
+    def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = np.cumsum(pc.utf8_length(batch["t"]).to_numpy()) // BUNDLE
+            starts = np.flatnonzero(np.concatenate(([True], cuts[1:] != cuts[:-1]))) if len(batch) else np.zeros(0, int)
+            rows = pa.StructArray.from_arrays([batch["doc_id"], batch["t"]], names=["doc_id", "t"])
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([*starts, len(batch)], pa.int32()), rows)], names=["docs"])
+
+    def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = None
+        for batch in batches:
+            kinds = kinds or [batch[c].type.value_type.field(0).type for c in ("asks", "docs")]
+            for many, asks in zip(batch["docs"], batch["asks"], strict=True):
+                items, quoted = (asks.values.field(i).to_pylist() for i in (0, 1))
+                ids, found = many.values.field(0).to_pylist(), []
+                for doc, text in zip(ids, many.values.field(1).to_pylist(), strict=True):
+                    found += [(items[i], doc, score) for i, score in fuzzy.quotes_found(quoted, text, floor)]
+                cols = list(zip(*found, strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, [*kinds, pa.float64()], strict=True)], names=["item_id", "doc_id", "score"])
+
+    bundles = texts.mapInArrow(bundled, f"docs array<struct<doc_id: {doc_id}, t: string>>")
+    return bundles.crossJoin(F.broadcast(asked) if light else asked).mapInArrow(looked_up, f"item_id {item_id}, doc_id {doc_id}, score double")
 
 
 def _runs(units: Column, width: int) -> Column:

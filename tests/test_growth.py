@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from factloom.functions import fuzzy
 from factloom.functions import rules as R
 from factloom.operators import archive, discovery, enrichment, refresh
 from factloom.operators import verification as V
@@ -64,3 +65,32 @@ def test_quotes_of_one_piece_are_looked_up_by_all_cores(spark):
     x = spark.createDataFrame([(k, "A name", "A name that is not there", "a page", 0) for k in range(64)], "id long, name string, quote string, text string, missing_runs int").coalesce(1)
     got = discovery.route(x, x.select("id").limit(0))
     assert {r.way for r in got.collect()} == {"missing"} and got.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def _few_syllables(seed):
+    """Texts and quotes of few syllables, so that their short stretches are everywhere; each quote is an altered part of one text."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice(["th", "er", "on", "an", "re", "he", "in", "ed", "nd", "ha", "at", "en"]) for _ in range(rng.randint(1, 3)))
+    texts = [" ".join(word() for _ in range(300)) for _ in range(30)]
+    parts = [rng.choice(texts).split() for _ in range(20)]
+    return texts, [" ".join(w if i % 20 else "zq" for i, w in enumerate(p[a : a + 45])) for p in parts for a in [rng.randrange(200)]]
+
+
+def test_quotes_are_aligned_only_where_they_may_stand(monkeypatch):
+    texts, quotes = _few_syllables(3)
+    aligned, plain = [], fuzzy.partial_ratio
+    monkeypatch.setattr(fuzzy, "partial_ratio", lambda q, t, *a: aligned.append(q) or plain(q, t, *a))
+    found = [(i, j) for j, t in enumerate(texts) for i, _ in fuzzy.quotes_found(quotes, t, 90.0)]
+    assert {i for i, _ in found} == set(range(len(quotes))) and len(aligned) < len(quotes) * len(texts) // 5
+
+
+def test_a_quote_still_there_takes_few_alignments(spark, monkeypatch):
+    texts, quotes = _few_syllables(4)
+    steps, plain = [], fuzzy._lcs
+    monkeypatch.setattr(fuzzy, "_lcs", lambda *a: steps.append(1) or plain(*a))
+    there = [[bool(fuzzy.quotes_found([q], t, 90.0, True)) for q in quotes] for t in texts]
+    assert there == [[fuzzy.partial_ratio(q, t) >= 90 for q in quotes] for t in texts] and any(map(any, there))
+    steps.clear()
+    assert [fuzzy.quotes_found([q], t, 90.0, True) for q in quotes for t in texts if q.split()[1] in t] and len(steps) < 12 * len(quotes) * len(texts)
+    row = spark.range(1).select(R.quote_still_there([F.lit(quotes[0]), F.lit(None).cast("string")], F.lit(texts[0])).alias("a"), R.quote_still_there([], F.lit("x")).alias("b"))
+    assert tuple(row.first()) == (False, False)
