@@ -107,7 +107,7 @@ def quote_in_page(quote: Column, page: Column) -> Column:
 
 
 def quote_reaches(quote: Column, page: Column) -> Column:
-    """Whether quote_in_page reaches QUOTE_FLOOR; stretches of the page without enough of the quote's trigrams aren't aligned."""
+    """Whether quote_in_page reaches QUOTE_FLOOR; stretches of the page that keep too little of the quote aren't aligned."""
     return quote_in_norm(quote, T.norm(page))
 
 
@@ -121,11 +121,7 @@ def quote_in_norm(quote: Column, p: Column) -> Column:
 
 def quote_still_there(parts: list[Column], page: Column) -> Column:
     """Whether every part of a quote reaches the floor on a page; false without parts."""
-    ok = F.lit(bool(parts))
-    for part in parts:
-        hits = fuzzy.found(F.array(T.norm(part)), T.norm(page), QUOTE_FLOOR)
-        ok = ok & (F.size(hits) > 0)
-    return ok
+    return fuzzy.all_reach(F.array(*[T.norm(part) for part in parts]), T.norm(page), QUOTE_FLOOR) if parts else F.lit(False)
 
 
 def overlap(value: Column, quote: Column) -> Column:
