@@ -18,18 +18,28 @@ from pyspark.sql import functions as F
 #: chain itself is fitted on, and the largest of them in bytes; hashed weights; passes; threshold.
 SAMPLE, SAMPLE_CLEAN, CHAIN, SAMPLE_BYTES, WEIGHTS, PASSES, THRESHOLD = 1500, 3500, (2400, 800), 8192, 1 << 18, 24, 0.7
 #: Documents scored side by side hold about so many tokens; words whose odds are kept.
-TOKENS, KEPT = 100_000, 250_000
+TOKENS, KEPT = 200_000, 250_000
 
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
+_SIGNS = ".,;:!?\"'()-"
+#: Checksums of the names that features begin with; the rest of a name goes on from them.
+_W, _S3, _BEGUN = zlib.crc32(b"w="), zlib.crc32(b"s3="), [(k, zlib.crc32(b"p%d=" % k)) for k in (3, 4, 5, 6)]
 
 
 def _features(word: str) -> list[int]:
     """Hashed features of a token: itself, its beginnings and its end, without case and without signs around it."""
-    w = _EDGE.sub("", word.lower())
+    w = word.lower()
+    if not w.isalpha() and not (w := w.strip(_SIGNS)).isalpha():
+        w = _EDGE.sub("", w)
     if not w:
         return [zlib.crc32(b"none") % WEIGHTS]
-    names = [f"w={w}", f"s3={w[-3:]}", *[f"p{k}={w[:k]}" for k in (3, 4, 5, 6) if len(w) >= k]]
-    return [zlib.crc32(n.encode()) % WEIGHTS for n in names]
+    crc, n = zlib.crc32, len(w)
+    out = [crc(w.encode(), _W) % WEIGHTS, crc(w[-3:].encode(), _S3) % WEIGHTS]
+    for k, begun in _BEGUN:
+        if n < k:
+            break
+        out.append(crc(w[:k].encode(), begun) % WEIGHTS)
+    return out
 
 
 @dataclass
@@ -43,7 +53,10 @@ class Chain:
 
     def odds(self, word: str) -> float:
         """exp of the unary score of label 1 against label 0."""
-        return math.exp(max(-12.0, min(12.0, self.bias + float(self.weights[_features(word)].sum()))))
+        weights, total = memoryview(self.weights), 0.0
+        for i in _features(word):
+            total += weights[i]
+        return math.exp(max(-12.0, min(12.0, self.bias + total)))
 
     def score(self, peak: np.ndarray, mass: np.ndarray) -> np.ndarray:
         a, b, c = self.scale
@@ -57,28 +70,43 @@ def marginals(odds: np.ndarray, lengths: np.ndarray, moves: np.ndarray, pairs: b
     """
     starts = np.cumsum(lengths) - lengths
     order = np.argsort(-lengths, kind="stable")
-    s, n = starts[order], lengths[order]
-    m = np.exp(moves)
+    n = lengths[order]
+    (m00, m01), (m10, m11) = np.exp(moves).tolist()
     steps = int(n[0]) if len(n) else 0
+    # Tokens by step, longest sequences first: what a step takes lies side by side.
     active = np.searchsorted(-n, -np.arange(1, steps + 1), side="right")
-    fwd, bwd = np.empty(len(odds)), np.empty(len(odds))
+    begun = np.concatenate(([0], np.cumsum(active)))
+    at = starts[order][np.arange(len(odds)) - np.repeat(begun[:-1], active)] + np.repeat(np.arange(steps), active)
+    x, low, high = odds[at], 1e-12, 1e12
+    ahead, back = np.empty(len(odds)), np.empty(len(odds))
+    bounds = begun.tolist()
     u = np.zeros(0)
     for t in range(steps):
-        k = active[t]
-        at = s[:k] + t
-        u = odds[at] if t == 0 else odds[at] * (m[0, 1] + u[:k] * m[1, 1]) / (m[0, 0] + u[:k] * m[1, 0])
-        u = np.clip(u, 1e-12, 1e12)
-        fwd[at] = u
+        lo, hi = bounds[t], bounds[t + 1]
+        now = ahead[lo:hi]
+        if t:
+            u = u[: hi - lo]
+            np.multiply(x[lo:hi], m01 + u * m11, out=now)
+            now /= m00 + u * m10
+        else:
+            now[:] = x[lo:hi]
+        np.maximum(now, low, out=now)
+        u = np.minimum(now, high, out=now)
     v = np.zeros(0)
     for t in range(steps - 1, -1, -1):
-        k = active[t]
-        w = np.ones(k)
-        if t + 1 < steps and active[t + 1]:
-            j = active[t + 1]
-            x = odds[s[:j] + t + 1] * v
-            w[:j] = np.clip((m[1, 0] + m[1, 1] * x) / (m[0, 0] + m[0, 1] * x), 1e-12, 1e12)
-        v = w
-        bwd[s[:k] + t] = v
+        lo, hi = bounds[t], bounds[t + 1]
+        now = back[lo:hi]
+        j = len(v)
+        now[j:] = 1
+        if j:
+            y = x[hi : hi + j] * v
+            part = np.divide(m10 + m11 * y, m00 + m01 * y, out=now[:j])
+            np.maximum(part, low, out=part)
+            np.minimum(part, high, out=part)
+        v = now
+    m = np.exp(moves)
+    fwd, bwd = np.empty(len(odds)), np.empty(len(odds))
+    fwd[at], bwd[at] = ahead, back
     z = fwd * bwd
     p = z / (1 + z)
     if not pairs:
@@ -260,6 +288,10 @@ class _Odds(dict):
         return v
 
 
+#: The odds of the model that a worker used last, kept from task to task.
+_KNOWN: list[_Odds] = []
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_clean: int = SAMPLE_CLEAN, sample_bytes: int = SAMPLE_BYTES) -> Chain:
     """Fit on labelled documents whose crc32(doc_id as text) mod 3 is not 1: the sample toxic and sample_clean clean ones of least
     id hash, among texts of sample_bytes bytes at most (these bounds hold for fitting alone).
@@ -294,7 +326,9 @@ def score(docs: DataFrame, model: Chain, threshold: float = THRESHOLD) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        odds = _Odds(m)
+        if not _KNOWN or _KNOWN[0].model is not m:
+            _KNOWN[:] = [_Odds(m)]
+        odds = _KNOWN[0]
         for batch in batches:
             size = np.array([0, *np.cumsum([len(t) // 6 + 1 if (t := x.as_py()) else 1 for x in batch["text"]])])
             lo = 0

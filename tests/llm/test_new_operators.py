@@ -261,3 +261,24 @@ def test_row_ids_do_not_move(spark, tmp_path):
 
 def test_queries_registered():
     assert {"op11_suffix_dedup", "op12_conversation_repair", "op13_collocations"} <= set(queries.queries()) & set(queries.oracle_sql())
+
+
+def test_odds_of_words_need_no_pattern_for_usual_signs(monkeypatch):
+    import zlib
+
+    import numpy as np
+
+    from factloom.llm import toxicity
+
+    def named(word):
+        w = toxicity._EDGE.sub("", word.lower())
+        names = [f"w={w}", f"s3={w[-3:]}", *[f"p{k}={w[:k]}" for k in (3, 4, 5, 6) if len(w) >= k]] if w else ["none"]
+        return [zlib.crc32(n.encode()) % toxicity.WEIGHTS for n in names]
+
+    words = ["Plain", "(sign);", "\"It's,", "12a", "_x9", "--", "Élan…", "日本", "ab"]
+    want = [named(w) for w in words]
+    assert [toxicity._features(w) for w in words] == want
+    model = toxicity.Chain(np.random.default_rng(1).normal(size=toxicity.WEIGHTS), -1.0, np.zeros((2, 2)), (0.0, 1.0, 1.0))
+    assert np.allclose([model.odds(w) for w in words], [np.exp(np.clip(-1.0 + model.weights[f].sum(), -12, 12)) for f in want])
+    monkeypatch.setattr(toxicity, "_EDGE", None)
+    assert [toxicity._features(w) for w in words[:2]] == want[:2]
