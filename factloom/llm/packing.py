@@ -21,7 +21,7 @@ from .common import cut, running_totals
 CAPACITY, END_ID, LARGE_FROM, GROUPS = 2048, 0, 1 / 8, 512
 
 #: Characters of texts that are encoded together; words whose ids are kept, and the longest of them; new words that are encoded as one text.
-TOGETHER, KEPT, LONGEST, JOINED = 1 << 20, 300_000, 64, 256
+TOGETHER, KEPT, LONGEST, JOINED = 1 << 20, 500_000, 64, 256
 
 _TOKENIZERS: dict[str, tuple[object, bool, np.ndarray]] = {}
 _WORDS = re.compile(r"(?= \S)")
@@ -54,17 +54,20 @@ class Encoder:
 
     def __init__(self, path: str):
         self.library, self.by_words, self.n_bytes = _tokenizer(path)
-        self.kept: dict[str, bytes] = {}
+        self.kept: dict[str, bytes] = {}  # words used since the last turn, and those of the turn before
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_words:
             return self._ids(texts)
         parts = [_WORDS.split(t) for t in texts]
         used = set(itertools.chain.from_iterable(parts))
-        if len(self.kept) > KEPT:
-            self.kept = {w: self.kept[w] for w in used & self.kept.keys()}
-        known = self.kept
-        new = list(used - known.keys())
+        if 2 * len(self.kept) > KEPT:
+            self.kept, self.older = {}, self.kept
+        known, older = self.kept, self.older
+        unseen = used - known.keys()
+        known.update((w, older.pop(w)) for w in unseen & older.keys())
+        new = list(unseen - known.keys())
         known.update(zip(new, self._words(new), strict=True))
         out = [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4") for p in parts]
         for w in new:
@@ -95,6 +98,10 @@ class Encoder:
         return list(out.values())
 
 
+#: Encoders by tokenizer file, kept from task to task.
+_ENCODERS: dict[str, Encoder] = {}
+
+
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
     """Tokenize whole texts and cut them: (__rid, doc_id, piece, start, length, ids_crc32 and, if asked for, ids).
 
@@ -107,7 +114,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *[pa.list_(pa.int32())] * with_ids]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        if tokenizer not in _ENCODERS:
+            _ENCODERS[tokenizer] = Encoder(tokenizer)
+        encoder = _ENCODERS[tokenizer]
         for batch in batches:
             size = np.cumsum([len(x) if (x := t.as_py()) else 0 for t in batch["text"]])
             lo = 0

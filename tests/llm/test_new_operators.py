@@ -282,3 +282,17 @@ def test_odds_of_words_need_no_pattern_for_usual_signs(monkeypatch):
     assert np.allclose([model.odds(w) for w in words], [np.exp(np.clip(-1.0 + model.weights[f].sum(), -12, 12)) for f in want])
     monkeypatch.setattr(toxicity, "_EDGE", None)
     assert [toxicity._features(w) for w in words[:2]] == want[:2]
+
+
+def test_words_outlast_a_chunk_that_lacks_them(monkeypatch):
+    from factloom.llm import packing
+    from factloom.llm.queries import tokenizer_path
+
+    monkeypatch.setattr(packing, "KEPT", 12)
+    encoder = packing.Encoder(tokenizer_path())
+    texts = ["one two three four five six seven", "other", "one two three four"]
+    asked, plain = [], encoder._words
+    monkeypatch.setattr(encoder, "_words", lambda words: asked.append(sorted(words)) or plain(words))
+    got = [encoder.encode([t])[0].tolist() for t in texts]
+    assert got == [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert asked[1:] == [["other"], []]
