@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,18 +21,23 @@ from .common import cut, running_totals
 #: Sequence capacity in tokens; id that ends a document; part of the capacity from which a piece is large; groups of large pieces.
 CAPACITY, END_ID, LARGE_FROM, GROUPS = 2048, 0, 1 / 8, 512
 
-#: Characters of texts that are encoded together; words whose ids are kept, and the longest of them; new words that are encoded as one text.
-TOGETHER, KEPT, LONGEST, JOINED = 1 << 20, 500_000, 64, 256
+#: Characters of texts that are encoded together; words whose ids are kept, and the longest of them; new words that are encoded as one text;
+#: words whose ids are laid out at once.
+TOGETHER, KEPT, LONGEST, JOINED, BLOCK = 1 << 22, 500_000, 64, 256, 1 << 17
 
-_TOKENIZERS: dict[str, tuple[object, bool, np.ndarray]] = {}
+_TOKENIZERS: dict[str, tuple[object, bool, np.ndarray, bool]] = {}
 _WORDS = re.compile(r"(?= \S)")
+#: Words whose pieces before the model are sure: letters and the signs behind them, perhaps with another line's first letters and signs (for Arrow).
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ɏ", r"!-&(-/:;=>?@\[-`{}~"
+_PIECES = f"^(?P<a> ?[{_LETTERS}]+)(?P<b>[{_SIGNS}]+)(?:(?P<c>\n)(?P<d>[{_LETTERS}]+)(?P<e>[{_SIGNS}]*))?$"
 
 
-def _tokenizer(path: str) -> tuple[object, bool, np.ndarray]:
-    """The tokenizer of a tokenizers JSON file, whether a text's ids are those of its words one after the other, and how many bytes each id stands for.
+def _tokenizer(path: str) -> tuple[object, bool, np.ndarray, bool]:
+    """The tokenizer of a tokenizers JSON file, whether a text's ids are those of its words one after the other, how many bytes each id stands for,
+    and whether those of a word are those of its pieces by _PIECES.
 
     They are where byte-level pre-tokenizing by its usual rule is all that comes before the model: that rule always starts a new piece
-    at a space that a character other than white space follows.
+    at a space that a character other than white space follows, and between letters and signs; no word of _PIECES has the signs < and | of an added token.
     """
     if path not in _TOKENIZERS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs as many tasks as there are cores
@@ -42,60 +48,151 @@ def _tokenizer(path: str) -> tuple[object, bool, np.ndarray]:
         pre = spec["pre_tokenizer"] or {}
         plain = spec["normalizer"] is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
         whole = all(" " not in t["content"] and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in spec["added_tokens"])
+        apart = all("<" in t["content"] or "|" in t["content"] for t in spec["added_tokens"])
         sizes = {i: len(t) for t, i in library.get_vocab().items()} | {t["id"]: len(t["content"].encode()) for t in spec["added_tokens"]}
         n_bytes = np.zeros(max(sizes, default=0) + 1, np.int64)
         n_bytes[list(sizes)] = list(sizes.values())  # a byte is one character of the alphabet that byte-level tokens are written in
-        _TOKENIZERS[path] = library, bool(plain and whole), n_bytes
+        _TOKENIZERS[path] = library, bool(plain and whole), n_bytes, bool(plain and whole and apart)
     return _TOKENIZERS[path]
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, without special tokens around them; distinct words are encoded once, together."""
+    """Ids of texts by the tokenizers library, without special tokens around them; distinct words, or pieces of them, are encoded once, together.
+
+    Words stay Arrow columns and their ids arrays: only words not seen lately become Python strings, for the library.
+    """
 
     def __init__(self, path: str):
-        self.library, self.by_words, self.n_bytes = _tokenizer(path)
-        self.kept: dict[str, bytes] = {}  # words used since the last turn, and those of the turn before
-        self.older: dict[str, bytes] = {}
+        self.library, self.by_words, self.n_bytes, self.by_pieces = _tokenizer(path)
+        self.kept = self.older = _Told()  # words used since the last turn, and those of the turn before
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_words:
             return self._ids(texts)
-        parts = [_WORDS.split(t) for t in texts]
-        used = set(itertools.chain.from_iterable(parts))
-        if 2 * len(self.kept) > KEPT:
-            self.kept, self.older = {}, self.kept
-        known, older = self.kept, self.older
-        unseen = used - known.keys()
-        known.update((w, older.pop(w)) for w in unseen & older.keys())
-        new = list(unseen - known.keys())
-        known.update(zip(new, self._words(new), strict=True))
-        out = [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4") for p in parts]
-        for w in new:
-            if len(w) > LONGEST:
-                del known[w]
-        return out
+        words, places, ends = _split(texts)
+        if self.by_pieces:
+            pieces, parts, n_parts = _pieces(words)
+            told = self._known(pieces)
+            many = np.bincount(np.repeat(np.arange(len(n_parts)), n_parts), told.many[parts], len(n_parts)).astype(np.int64)
+            told = _Told(words, told.of(parts), many)
+        else:
+            told = self._known(words)
+        ids = told.of(places)
+        stops = np.concatenate(([0], np.cumsum(told.many[places])))[ends].tolist()
+        return [ids[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+
+    def _known(self, words: pa.Array) -> _Told:
+        """Distinct words with their ids, which come from those kept or else from the library."""
+        if 2 * len(self.kept.words) > KEPT:
+            self.kept, self.older = _Told(), self.kept
+        parts, at, n = [self.kept, self.older], np.full(len(words), -1), 0
+        for had in parts:
+            found = pc.index_in(had.words, words).fill_null(-1).to_numpy()
+            own = np.flatnonzero(found >= 0)
+            at[found[own]] = own + n
+            n += len(found)
+        new = np.flatnonzero(at < 0)
+        at[new] = np.arange(len(new)) + n
+        parts.append(_Told(None, *self._words(words.take(pa.array(new)).to_pylist())))
+        every = _Told(None, np.concatenate([x.ids for x in parts]), np.concatenate([x.many for x in parts]))
+        add = np.flatnonzero((at >= len(self.kept.words)) & (pc.utf8_length(words).to_numpy() <= LONGEST))
+        self.kept = _Told(pa.concat_arrays([self.kept.words, words.take(pa.array(add))]), np.concatenate([self.kept.ids, every.of(at[add])]), np.concatenate([self.kept.many, every.many[at[add]]]))
+        return _Told(words, every.of(at), every.many[at])
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of each word.  Those that start at a space before a character go to the library many as one text, whose ids are told apart by the bytes they stand for."""
-        out = dict.fromkeys(words, b"")
-        spaced, singly = [], []
-        for w in words:
-            (spaced if _WORDS.match(w) else singly).append(w)
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and how many each has.
+
+        Words that start at a space before a character go to the library many as one text, whose ids are told apart by the bytes they stand for.
+        """
+        spaced = [i for i, w in enumerate(words) if w[:1] == " " and w[1:2] and not w[1].isspace()]
+        singly = np.ones(len(words), bool)
+        singly[spaced] = False
+        order, ids, many = [], [], []
         runs = [spaced[lo : lo + JOINED] for lo in range(0, len(spaced), JOINED)]
-        for run, ids in zip(runs, self._ids(["".join(run) for run in runs]), strict=True):
-            ends = np.cumsum(self.n_bytes[ids])
-            want = np.cumsum([len(w.encode()) for w in run])
+        for run, told in zip(runs, self._ids(["".join([words[i] for i in run]) for run in runs]), strict=True):
+            ends = np.cumsum(self.n_bytes[told])
+            want = np.cumsum(pc.binary_length(pa.array([words[i] for i in run])).to_numpy())
             last = np.searchsorted(ends, want)
             if ends[-1] != want[-1] or (ends[last] != want).any():
-                singly += run
+                singly[run] = True
                 continue
-            flat, stops = ids.tobytes(), (4 * (last + 1)).tolist()
-            out.update(zip(run, (flat[a:b] for a, b in zip([0, *stops], stops, strict=False)), strict=True))
-        out.update(zip(singly, (x.tobytes() for x in self._ids(singly)), strict=True))
-        return list(out.values())
+            order += run
+            ids.append(told)
+            many.append(np.diff(last, prepend=-1))
+        rest = np.flatnonzero(singly).tolist()
+        alone = self._ids([words[i] for i in rest])
+        many = np.concatenate([*many, np.array([len(x) for x in alone], np.int64)])
+        told = _Told(None, np.concatenate([np.zeros(0, "<u4"), *ids, *alone]), many)
+        back = np.argsort(np.array([*order, *rest], np.int64))
+        return told.of(back), many[back]
+
+
+class _Told:
+    """Words, the ids of all of them one after the other, and how many each has."""
+
+    def __init__(self, words: pa.Array | None = None, ids: np.ndarray | None = None, many: np.ndarray | None = None):
+        self.words = pa.array([], pa.large_string()) if words is None else words
+        self.ids = np.zeros(0, "<u4") if ids is None else ids
+        self.many = np.zeros(0, np.int64) if many is None else many
+
+    def of(self, number: np.ndarray) -> np.ndarray:
+        """The ids of the words of these numbers, one after the other."""
+        starts, out = np.cumsum(self.many) - self.many, []
+        for lo in range(0, len(number), BLOCK):
+            some = number[lo : lo + BLOCK]
+            n = self.many[some]
+            after = np.cumsum(n)
+            out.append(self.ids[np.repeat(starts[some] - after + n, n) + np.arange(after[-1])])
+        return np.concatenate(out) if out else self.ids[:0]
+
+
+def _split(texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of texts, the number of the word at each place of all texts, and the place after each text's last.
+
+    A word starts at a text's start and at each space that a character other than white space follows.
+    """
+    split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+    coded = split.flatten().dictionary_encode()
+    bare, number, many = coded.dictionary, coded.indices.to_numpy().astype(np.int64), pc.list_value_length(split).to_numpy()
+    first = np.cumsum(many) - many
+    # No word starts at a space that ends a text or stands before white space: texts that have such are split once more, by the rule itself.
+    begin = pc.utf8_slice_codeunits(bare, 0, 1).dictionary_encode()
+    none = np.array([not c or c.isspace() for c in begin.dictionary.to_pylist()], bool)[begin.indices.to_numpy()]
+    wrong = none[number]
+    wrong[first] = False
+    again = np.logical_or.reduceat(wrong, first) if len(texts) else np.zeros(0, bool)
+    # A text's first word has no space before it.
+    begun = np.unique(number[first])
+    number[first] = len(bare) + np.searchsorted(begun, number[first])
+    words = pa.concat_arrays([pc.binary_join_element_wise(pa.scalar(" ", pa.large_string()), bare, pa.scalar("", pa.large_string())), bare.take(pa.array(begun))])
+    if again.any():
+        own = [_WORDS.split(texts[t]) for t in np.flatnonzero(again).tolist()]
+        coded = pa.concat_arrays([words, pa.array(itertools.chain.from_iterable(own), pa.large_string())]).dictionary_encode()
+        code, left = coded.indices.to_numpy().astype(np.int64), number[np.repeat(~again, many)]
+        many = many.copy()
+        many[again] = [len(x) for x in own]
+        here = np.repeat(again, many)
+        number = np.empty(len(here), np.int64)
+        number[here], number[~here] = code[len(words) :], code[left]
+        words = coded.dictionary
+    used = np.bincount(number, minlength=len(words)) > 0
+    return words.filter(pa.array(used)), (np.cumsum(used) - 1)[number], np.cumsum(many)
+
+
+def _pieces(words: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct pieces of words, the numbers of the pieces of all words one after the other, and how many each word has."""
+    apart = pc.extract_regex(words, _PIECES)
+    whole = apart.is_null()
+    columns = [pc.if_else(whole, words, apart.field(0)), *(apart.field(i) for i in range(1, apart.type.num_fields))]
+    columns[1:] = [pc.if_else(whole, pa.scalar("", pa.large_string()), c) for c in columns[1:]]
+    coded = pa.concat_arrays(columns).dictionary_encode()
+    empty = pc.equal(coded.dictionary, "").to_numpy(zero_copy_only=False)
+    number = coded.indices.to_numpy().astype(np.int64).reshape(len(columns), len(words)).T
+    held = ~empty[number]
+    return coded.dictionary, number[held], held.sum(1)
 
 
 #: Encoders by tokenizer file, kept from task to task.

@@ -296,3 +296,23 @@ def test_words_outlast_a_chunk_that_lacks_them(monkeypatch):
     got = [encoder.encode([t])[0].tolist() for t in texts]
     assert got == [encoder.library.encode(t, add_special_tokens=False).ids for t in texts]
     assert asked[1:] == [["other"], []]
+
+
+def test_words_are_put_together_from_pieces(monkeypatch):
+    """Signs behind letters cost no new word; texts with runs of white space, added tokens and other scripts give the library's ids."""
+    from factloom.llm import packing
+    from factloom.llm.queries import tokenizer_path
+
+    encoder = packing.Encoder(tokenizer_path())
+    asked, plain = [], encoder._words
+    monkeypatch.setattr(encoder, "_words", lambda words: asked.append(sorted(words)) or plain(words))
+    texts = ["one two three.\nFour", " two, three*** four.\nFour", "two  three.\n\nFour \n it's ", "a<|endoftext|>. <|endoftext|>two.", "", " ", "²x. ǅe! ɐ.\nɏ? 中文. _a_ x'll."]
+    for t in texts:
+        assert encoder.encode([t])[0].tolist() == encoder.library.encode(t, add_special_tokens=False).ids
+    assert asked[0] == sorted(["", "one", " two", " three", ".", "\n", "Four"]) and asked[1] == sorted([",", "***", " four"])
+    monkeypatch.setattr(packing, "BLOCK", 3)
+    rng = np.random.default_rng(5)
+    parts = ["one", "Two", " ", " ", "  ", "\n", ".", ",", "'s", "$$", "é", "ß", "12", "<|endoftext|>", "|", " ", "\x1c", "中"]
+    many = ["".join(rng.choice(parts, rng.integers(0, 25))) for _ in range(2000)]
+    assert [x.tolist() for x in encoder.encode(many)] == [e.ids for e in encoder.library.encode_batch(many, add_special_tokens=False)]
+    assert encoder.encode([]) == []
