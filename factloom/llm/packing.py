@@ -23,7 +23,7 @@ CAPACITY, END_ID, LARGE_FROM, GROUPS = 2048, 0, 1 / 8, 512
 
 #: Characters of texts that are encoded together; words whose ids are kept, and the longest of them; new words that are encoded as one text;
 #: words whose ids are laid out at once.
-TOGETHER, KEPT, LONGEST, JOINED, BLOCK = 1 << 22, 500_000, 64, 256, 1 << 17
+TOGETHER, KEPT, LONGEST, JOINED, BLOCK = 1 << 20, 250_000, 64, 256, 1 << 17
 
 _TOKENIZERS: dict[str, tuple[object, bool, np.ndarray, bool]] = {}
 _WORDS = re.compile(r"(?= \S)")
@@ -221,6 +221,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 hi = max(lo + 1, int(np.searchsorted(size, (size[lo - 1] if lo else 0) + TOGETHER, side="right")))
                 yield _cut_up(batch.slice(lo, hi - lo), encoder)
                 lo = hi
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     def _cut_up(part: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
         out: list[list] = [[] for _ in names]

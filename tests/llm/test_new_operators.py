@@ -316,3 +316,23 @@ def test_words_are_put_together_from_pieces(monkeypatch):
     many = ["".join(rng.choice(parts, rng.integers(0, 25))) for _ in range(2000)]
     assert [x.tolist() for x in encoder.encode(many)] == [e.ids for e in encoder.library.encode_batch(many, add_special_tokens=False)]
     assert encoder.encode([]) == []
+
+
+def test_kept_words_are_small():
+    """Words that a worker keeps from task to task take a few bytes each beside their letters and ids."""
+    import tracemalloc
+
+    from factloom.llm import packing
+    from factloom.llm.queries import tokenizer_path
+
+    encoder = packing.Encoder(tokenizer_path())
+    encoder.encode(["warm up"])
+    text = " ".join(f"{a}{b}{c}{d}" for a in "bcdfghkl" for b in "aeiou" for c in "mnprstvz" for d in ["ba", "do", "li", "ne", "pu", "ra", "so", "ti", "ve", "wu"])
+    n = len(set(text.split()))
+    tracemalloc.start()
+    try:
+        encoder.encode([text])
+        held = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert held + getattr(getattr(encoder.kept, "words", None), "nbytes", 0) < 80 * n
