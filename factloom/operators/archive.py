@@ -19,6 +19,8 @@ WORTH = ["close_date", "amount", "income_limit"]
 COMPARED = ["close_date", "open_date", "amount", "income_limit", "academic_req", "age_limit"]
 ARCHIVE, LABEL, QUOTED = "https://web.archive.org/web/", "baseline:", 300
 
+_kept = files.kept
+
 
 class ArchiveRun(NamedTuple):
     """pages: (url, n, stamp, outcome) of every candidate; changes: the rows to append to the change log."""
@@ -56,13 +58,6 @@ def nearest_versions(wanted: DataFrame, versions: DataFrame, as_of: Column) -> D
     return best.join(wanted.select("url").distinct(), "url", "left_semi").select("url", "b.stamp")
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """rows written once and read back, so that what is used in several places is made once."""
-    path = files.work_dir(rows.sparkSession)
-    rows.write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
-
-
 def outcomes(records_: DataFrame, evidence: DataFrame, versions: DataFrame, copies: DataFrame, snapshots: DataFrame, as_of: Column, most: int | None = None) -> DataFrame:
     """(url, n, stamp, outcome) of every candidate; inputs as archive_run has them."""
     wanted = candidates(records_, evidence, most)

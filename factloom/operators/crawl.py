@@ -33,10 +33,7 @@ class Rules:
     per_page: int = 25
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    path = files.work_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+_kept = files.kept
 
 
 def read_pages(pages: DataFrame, rules: Rules) -> DataFrame:

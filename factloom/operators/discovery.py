@@ -80,7 +80,7 @@ def candidate_links(records: DataFrame, links: DataFrame, profile: V.Profile) ->
     app = F.col("app_url")
     stated = records.filter(app.isNotNull() & link_allowed(app, F.col("official_url"), F.col("provider"), profile))
     stated = stated.select("id", F.lit(9).alias("points"), F.lit(0).cast("long").alias("pos"), F.when(app.contains("://"), app).otherwise(F.concat(F.lit("https://"), app)).alias("href"), F.lit("application link stated on the source page").alias("anchor"))
-    best = stated.unionByName(found).groupBy("id", "href").agg(F.max(F.struct("points", -F.col("pos"), "anchor")).alias("b"))
+    best = stated.unionByName(found).repartition("id").groupBy("id", "href").agg(F.max(F.struct("points", -F.col("pos"), "anchor")).alias("b"))
     order = Window.partitionBy("id").orderBy(F.col("b.points").desc(), F.col("b.col2").desc(), "href")
     return best.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= LINKS).select("id", "place", "href", "b.anchor")
 

@@ -37,12 +37,13 @@ def wanted(records_: DataFrame, evidence: DataFrame) -> DataFrame:
 
     evidence: (id, field, value, grounded).  Of repeated grounded values the least counts.  Records of any owner count for single.
     """
-    told = evidence.filter("grounded").repartition("id").groupBy("id", "field").agg(F.min("value").alias("value"))
-    maps = told.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("g"))  # a field each at most
-    known = records_.filter("owned").join(maps, "id", "left").withColumn("g", F.coalesce("g", F.create_map().cast("map<string,string>")))
+    app = F.when(F.col("field") == "application_url", F.col("value")).alias("app_url")  # of the other fields it counts only that they are there
+    told = evidence.filter("grounded AND value IS NOT NULL").select("id", "field", app).groupBy("id").agg(F.collect_set("field").alias("has"), F.min("app_url").alias("app_url"))
+    known = records_.filter("owned").join(told, "id", "left")
+    has = F.coalesce("has", F.array().cast("array<string>"))
     alone = records_.groupBy("official_url").agg((F.count(F.lit(1)) == 1).alias("single"))
-    needy = known.filter(F.size(discovery.lacks(F.col("g"))) > 0).join(alone, "official_url", "left")
-    return needy.select("id", "name", "official_url", "provider", F.coalesce("single", F.lit(False)).alias("single"), F.col("g")["application_url"].alias("app_url"))
+    needy = known.filter(F.size(discovery.lacks(F.map_from_arrays(has, has))) > 0).join(alone, "official_url", "left")
+    return needy.select("id", "name", "official_url", "provider", F.coalesce("single", F.lit(False)).alias("single"), "app_url")
 
 
 def due_calls(links: DataFrame, answers: DataFrame, log: DataFrame, quota: int) -> DataFrame:
@@ -52,18 +53,22 @@ def due_calls(links: DataFrame, answers: DataFrame, log: DataFrame, quota: int)
     (same content for the same record), or due.  A due page whose reader is busy ends its record; quota due pages are read in this run, the next
     one stops it.  call is the number of a due page over all records, so the quota cuts the same prefix however rows are spread.
     """
+    past = log.dropna().groupBy("id").agg(F.collect_set(F.struct("url", "hash")).alias("past"))
+    seen = F.transform(F.filter("past", lambda x: x["url"] == F.col("href")), lambda x: x["hash"])
+    asked = _kept(links.join(past, "id", "left").withColumn("seen", seen).drop("past"))
     got = answers.groupBy(F.col("url").alias("href")).agg(F.min_by(F.struct("ok", "hash", "busy"), "hash").alias("a"))
-    past = log.select("id", F.col("url").alias("href"), "hash").distinct().withColumn("past", F.lit(True))
-    x = links.join(got, "href", "left").select("id", "place", "href", "anchor", F.coalesce("a.ok", F.lit(False)).alias("ok"), "a.hash", F.coalesce("a.busy", F.lit(False)).alias("busy"))
-    x = x.join(past, ["id", "href", "hash"], "left").withColumn("due", F.col("ok") & F.col("past").isNull())
+    x = asked.join(got, "href", "left").select("id", "place", "href", "anchor", "seen", F.coalesce("a.ok", F.lit(False)).alias("ok"), "a.hash", F.coalesce("a.busy", F.lit(False)).alias("busy"))
+    x = _kept(x.withColumn("due", F.col("ok") & ~F.coalesce(F.array_contains("seen", F.col("hash")), F.lit(False))).drop("seen"))
+    # places are found without the addresses, which meet them once
     end = F.min(F.when(F.col("due") & F.col("busy"), F.col("place"))).over(Window.partitionBy("id"))  # discovery.LINKS rows at most
-    x = _kept(x.withColumn("end", end).withColumn("beyond", F.coalesce(F.col("place") > F.col("end"), F.lit(False))))
+    steps = x.select("id", "place", "due", "busy").withColumn("end", end).select("id", "place", "due", F.coalesce(F.col("place") > F.col("end"), F.lit(False)).alias("beyond"))
     order = [F.col("id"), F.col("place")]
-    numbered = _kept(placed(x.filter("due AND NOT beyond").select("id", "place"), order, "call"))
+    numbered = _kept(placed(steps.filter("due AND NOT beyond").select("id", "place"), order, "call"))
     stop = numbered.filter(F.col("call") == quota).first()
     after = F.lit(False) if stop is None else (F.col("id") > stop["id"]) | (F.col("id") == stop["id"]) & (F.col("place") > stop["place"])
     outcome = F.when(F.col("beyond") | after, "not reached").when(~F.col("ok"), "not fetched").when(~F.col("due"), "done before").when(F.col("call") == quota, "quota").when(F.col("busy"), "busy").otherwise("read")
-    return x.join(numbered, ["id", "place"], "left").select("id", "place", "href", "anchor", "hash", F.when(outcome != "not reached", F.col("call")).alias("call"), outcome.alias("outcome"))
+    steps = steps.select("id", "place", "beyond").join(numbered, ["id", "place"], "left")
+    return x.join(steps, ["id", "place"]).select("id", "place", "href", "anchor", "hash", F.when(outcome != "not reached", F.col("call")).alias("call"), outcome.alias("outcome"))
 
 
 def filled_first(offers: DataFrame, known: DataFrame, by: str, *carried: str) -> DataFrame:
@@ -77,7 +82,7 @@ def called(records_: DataFrame, evidence: DataFrame, home: DataFrame, links: Dat
     need = _kept(wanted(records_, evidence))
     up = home.filter("ok").select("url").distinct()
     asked = need.join(up.withColumnRenamed("url", "official_url"), "official_url", "left_semi")
-    return need, _kept(due_calls(discovery.candidate_links(asked, links.join(up, "url", "left_semi"), profile), answers, log, quota))
+    return need, due_calls(discovery.candidate_links(asked, links.join(up, "url", "left_semi"), profile), answers, log, quota)
 
 
 def enrichment_run(records_: DataFrame, evidence: DataFrame, criteria: DataFrame, home: DataFrame, links: DataFrame, answers: DataFrame, schemes: DataFrame, facts: DataFrame, offered: DataFrame, log: DataFrame, profile: V.Profile, quota: int) -> EnrichmentRun:
@@ -91,9 +96,18 @@ def enrichment_run(records_: DataFrame, evidence: DataFrame, criteria: DataFrame
     records behind the quota aren't counted.  Empty tables give empty results and counts of zero; nulls in ok, owned or grounded count as false.
     """
     need, calls = called(records_, evidence, home, links, answers, log, profile, quota)
-    read = calls.filter("outcome = 'read'").join(need.select("id", "name"), "id")
-    found_on = _kept(read.select(F.col("href").alias("url")).distinct())
-    here = _kept(schemes.join(found_on, "url", "left_semi"))
+    return filled(need, calls, reached(need, calls), evidence, criteria, answers, schemes, facts, offered, profile)
+
+
+def reached(need: DataFrame, calls: DataFrame) -> DataFrame:
+    """Those of calls that the run came to and whose pages answered (quota and a row at most), with name and official_url of the record."""
+    return _kept(calls.filter("outcome IN ('read', 'busy', 'quota')").join(need.select("id", "name", "official_url"), "id"))
+
+
+def filled(need: DataFrame, calls: DataFrame, ran: DataFrame, evidence: DataFrame, criteria: DataFrame, answers: DataFrame, schemes: DataFrame, facts: DataFrame, offered: DataFrame, profile: V.Profile) -> EnrichmentRun:
+    """What calls fill in; need and calls are those of called, ran those of reached.  Of schemes, facts and offered only rows of pages that ran read count, so others may be left out."""
+    read = ran.filter("outcome = 'read'").drop("official_url")
+    here = _kept(schemes.join(read.select(F.col("href").alias("url")).distinct(), "url", "left_semi"))
     offers = here.groupBy("url", F.col("name").alias("offer")).agg(F.min("pos").alias("pos"))
     names = read.select(F.struct("href", "name").alias("id"), "name").distinct()
     met = names.withColumn("url", F.col("id.href")).join(offers, "url").select("id", "pos", "offer")
@@ -112,14 +126,13 @@ def enrichment_run(records_: DataFrame, evidence: DataFrame, criteria: DataFrame
     note = F.concat(F.lit("anchor '"), F.substring(F.coalesce("anchor", F.lit("")), 1, ANCHOR), F.lit("'; "), said)
     rows = x.select("id", F.col("href").alias("url"), "hash", F.coalesce("filled", F.lit("[]")).alias("filled"), note.alias("note"))
 
-    touched = calls.filter("outcome IN ('read', 'busy', 'quota')").join(need.select("id", "official_url"), "id")
-    first = touched.groupBy(F.col("href").alias("url")).agg(F.min_by("official_url", "call").alias("by")).join(answers.groupBy("url").agg(F.min_by("text", "hash").alias("text")), "url")
+    first = ran.groupBy(F.col("href").alias("url")).agg(F.min_by("official_url", "call").alias("by")).join(answers.groupBy("url").agg(F.min_by("text", "hash").alias("text")), "url")
     kind = V.classify(F.col("url"), F.col("text"), profile)
     sources = first.select("url", T.domain(F.col("url")).alias("domain"), kind["kind"].alias("kind"), kind["official"].alias("official"), F.concat(F.lit("enrich:"), "by").alias("via"), F.lit(1).alias("depth"))
 
-    stop = calls.filter("outcome = 'quota'").select("id").first()  # one row at most
+    stop = ran.filter("outcome = 'quota'").select("id").first()  # one row at most
     within = F.lit(True) if stop is None else F.col("id") <= stop["id"]
-    ended = calls.filter("outcome IN ('busy', 'quota')").select("id").distinct()
+    ended = ran.filter("outcome IN ('busy', 'quota')").select("id").distinct()
     whole = fields.join(ended, "id", "left_anti").agg(F.countDistinct("id").alias("filled_records"), F.count(F.lit(1)).alias("fields_filled"))
     counts = need.filter(within).agg(F.count(F.lit(1)).alias("records")).join(F.broadcast(whole)).withColumn("stopped", F.lit(stop is not None))
     return EnrichmentRun(calls, fields.select("id", "field", "value", "quote", F.col("href").alias("source_url")), filled_keys, rows, sources, counts)
@@ -128,15 +141,21 @@ def enrichment_run(records_: DataFrame, evidence: DataFrame, criteria: DataFrame
 # Tables of the queries, in SQL that both engines read: a customer's site has a page of its orders' schemes (named after their first part) and links a page for each line.
 _SITE = "concat('https://', lower(c_mktsegment), CAST(c_custkey AS VARCHAR(20)), '.example.com')"
 _LINES = "SELECT l_orderkey AS orderkey, l_linenumber AS line, min(l_partkey) AS partkey, max(l_shipdate) AS day, max(l_extendedprice) AS price, max(l_quantity) AS quantity, max(l_discount) AS discount, max(l_tax) AS tax, min(l_returnflag) AS flag, min(l_linestatus) AS status FROM lineitem GROUP BY l_orderkey, l_linenumber"
-_LINKS = f"""SELECT concat({_SITE}, '/aid') AS url, orderkey * 100 + line AS pos, concat(CASE WHEN tax > 0.075 THEN 'https://nowhere.net' ELSE {_SITE} END, '/', split_part(p_name, ' ', 1), CASE p_size % 5 WHEN 0 THEN '/apply' WHEN 1 THEN '_guideline' WHEN 2 THEN '/result' WHEN 3 THEN '%20details' ELSE '/notice' END,
+_LINK = f"""SELECT concat({_SITE}, '/aid') AS url, orderkey * 100 + line AS pos, concat(CASE WHEN tax > 0.075 THEN 'https://nowhere.net' ELSE {_SITE} END, '/', split_part(p_name, ' ', 1), CASE p_size % 5 WHEN 0 THEN '/apply' WHEN 1 THEN '_guideline' WHEN 2 THEN '/result' WHEN 3 THEN '%20details' ELSE '/notice' END,
     CASE WHEN flag = 'A' THEN concat('-', CAST(year(day) + 25 AS VARCHAR(20))) ELSE '' END) AS href, split_part(p_name, ' ', 2) AS anchor, p_name, p_brand, p_size, day, price, quantity, discount, flag, status
-    FROM ({_LINES}) l JOIN part ON p_partkey = partkey JOIN orders ON o_orderkey = orderkey JOIN customer ON c_custkey = o_custkey"""
+    FROM"""
+_LINKS = f"{_LINK} ({_LINES}) l JOIN part ON p_partkey = partkey JOIN orders ON o_orderkey = orderkey JOIN customer ON c_custkey = o_custkey"
+#: The same rows; orders find their customers first, so that lines are moved twice.
+_LINKS_DEALT = f"{_LINK} ({_LINES}) l JOIN (orders JOIN customer ON c_custkey = o_custkey) ON o_orderkey = orderkey JOIN part ON p_partkey = partkey"
 _RECORDS = f"""SELECT o_orderkey AS id, p_name AS name, concat({_SITE}, '/aid') AS official_url, o_orderstatus <> 'P' AS owned, c_name AS provider, o_totalprice AS price, o_orderpriority AS priority, o_orderstatus AS status, CAST(CAST(o_orderdate AS DATE) AS VARCHAR(20)) AS day, {_SITE} AS site
     FROM (SELECT l_orderkey, min(l_partkey) AS partkey FROM lineitem GROUP BY l_orderkey) l JOIN part ON p_partkey = partkey JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey"""
 _EVIDENCE = f"""SELECT id, 'close_date' AS field, day AS value, priority = '5-LOW' AS grounded FROM ({_RECORDS}) a UNION ALL SELECT id, 'amount', CAST(CAST(floor(price) AS BIGINT) AS VARCHAR(20)), price > 250000 FROM ({_RECORDS}) b
     UNION ALL SELECT id, 'application_url', concat(site, '/apply'), priority IN ('1-URGENT', '5-LOW') FROM ({_RECORDS}) c UNION ALL SELECT id, 'income_limit', '2.5 lakh', status = 'F' FROM ({_RECORDS}) d
     UNION ALL SELECT id, 'age_limit', '25 years', price > 150000 FROM ({_RECORDS}) e UNION ALL SELECT id, 'category', 'SC', priority <> '2-HIGH' FROM ({_RECORDS}) f"""
-_ANSWERS = f"SELECT href AS url, min(discount) < 0.08 AS ok, md5(href) AS hash, max(quantity) > 49 AS busy, 'Read on' AS text FROM ({_LINKS}) l GROUP BY href UNION ALL SELECT DISTINCT concat(site, '/apply'), true, md5(concat(site, '/apply')), false, 'Apply here' FROM ({_RECORDS}) r"
+_ANSWERED = f"SELECT href AS url, min(discount) < 0.08 AS ok, md5(href) AS hash, max(quantity) > 49 AS busy, 'Read on' AS text FROM ({_LINKS}) l GROUP BY href UNION ALL"
+_ANSWERS = f"{_ANSWERED} SELECT DISTINCT concat(site, '/apply'), true, md5(concat(site, '/apply')), false, 'Apply here' FROM ({_RECORDS}) r"
+#: The same rows, both parts dealt by address.
+_ANSWERS_DEALT = f"{_ANSWERED} SELECT url, true, md5(url), false, 'Apply here' FROM (SELECT DISTINCT concat(site, '/apply') AS url FROM ({_RECORDS}) r) d"
 _SCHEMES = f"SELECT href AS url, pos, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE p_name END AS name FROM ({_LINKS}) l"
 _FACTS = f"""SELECT url, pos, field, value, concat('It says ', value) AS quote, grounded FROM (SELECT href AS url, pos, 'close_date' AS field, CAST(CAST(day AS DATE) AS VARCHAR(20)) AS value, flag <> 'R' AS grounded FROM ({_LINKS}) a UNION ALL SELECT href, pos, 'amount', CAST(CAST(floor(price) AS BIGINT) AS VARCHAR(20)), quantity > 20 FROM ({_LINKS}) b
     UNION ALL SELECT href, pos, 'income_limit', concat(CAST(CAST(quantity AS BIGINT) AS VARCHAR(20)), ' lakh'), status = 'O' FROM ({_LINKS}) c UNION ALL SELECT href, pos, 'name', p_name, true FROM ({_LINKS}) d) f"""
@@ -146,24 +165,54 @@ _LOG = f"SELECT id, concat(site, '/', split_part(name, ' ', 1), '_guideline') AS
 _QUOTA = "SELECT 4 * count(*) AS n FROM customer"
 
 
-def _tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of _LINES, dealt by order, as the orders that they meet are."""
+    dealt = spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition("l_orderkey").groupBy(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").alias("line"))
+    most = dict(day="l_shipdate", price="l_extendedprice", quantity="l_quantity", discount="l_discount", tax="l_tax")
+    least = dict(partkey="l_partkey", flag="l_returnflag", status="l_linestatus")
+    return dealt.agg(*[F.max(c).alias(k) for k, c in most.items()], *[F.min(c).alias(k) for k, c in least.items()])
+
+
+def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(links, records), from which all tables of a run are derived."""
+    mine = _kept(run(spark, sf_dir, _RECORDS))
+    return _kept(run(spark, sf_dir, _LINKS_DEALT, {_LINES: _lines(spark, sf_dir)})), mine
+
+
+#: What is derived from links and records.
+_DERIVED = dict(evidence=_EVIDENCE, answers=_ANSWERS_DEALT, schemes=_SCHEMES, facts=_FACTS, offered=_OFFERED, criteria=_CRITERIA, log=_LOG)
+
+
+def _derived(spark: SparkSession, sf_dir: str, links: DataFrame, mine: DataFrame, *names: str) -> dict[str, DataFrame]:
+    return {name: run(spark, sf_dir, _DERIVED[name], {_LINKS: links, _RECORDS: mine}) for name in names}
+
+
+def _tables(spark: SparkSession, sf_dir: str, base: tuple[DataFrame, DataFrame] | None = None) -> dict[str, DataFrame]:
     """All tables of a run, derived from links and records, which are made once."""
-    links, mine = _kept(run(spark, sf_dir, _LINKS)), _kept(run(spark, sf_dir, _RECORDS))
-    rest = dict(evidence=_EVIDENCE, answers=_ANSWERS, schemes=_SCHEMES, facts=_FACTS, offered=_OFFERED, criteria=_CRITERIA, log=_LOG)
-    out = {name: run(spark, sf_dir, sql, {_LINKS: links, _RECORDS: mine}) for name, sql in rest.items()}
+    links, mine = base or _base(spark, sf_dir)
     home = mine.select(F.col("official_url").alias("url"), (F.substring("official_url", 9, 1) != "m").alias("ok")).distinct()
-    return out | dict(answers=_kept(out["answers"]), records_=mine, home=home, links=links.select("url", "pos", "href", "anchor"))
+    return _derived(spark, sf_dir, links, mine, *_DERIVED) | dict(records_=mine, home=home, links=links.select("url", "pos", "href", "anchor"))
+
+
+def _called(spark: SparkSession, sf_dir: str, t: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
+    asked = {name: t[name] for name in ("records_", "evidence", "home", "links", "answers", "log")}
+    return called(**asked, profile=Q.PROFILE, quota=run(spark, sf_dir, _QUOTA).first()[0])
 
 
 def _run(spark: SparkSession, sf_dir: str) -> EnrichmentRun:
-    return enrichment_run(**_tables(spark, sf_dir), profile=Q.PROFILE, quota=run(spark, sf_dir, _QUOTA).first()[0])
+    """The steps of enrichment_run; what pages give is derived for those alone that are read."""
+    links, mine = _base(spark, sf_dir)
+    t = _tables(spark, sf_dir, (links, mine))
+    need, calls = _called(spark, sf_dir, t)
+    ran = reached(need, calls)
+    here = _kept(links.drop("url", "anchor").join(ran.filter("outcome = 'read'").select("href").distinct(), "href", "left_semi"))
+    t |= _derived(spark, sf_dir, here, mine, "schemes", "facts", "offered")
+    return filled(need, calls, ran, t["evidence"], t["criteria"], t["answers"], t["schemes"], t["facts"], t["offered"], Q.PROFILE)
 
 
 def enrichment_run_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every link of records that lack fields: whether it is read within a quota of four readings for each customer."""
-    t = _tables(spark, sf_dir)
-    asked = {name: t[name] for name in ("records_", "evidence", "home", "links", "answers", "log")}
-    _, calls = called(**asked, profile=Q.PROFILE, quota=run(spark, sf_dir, _QUOTA).first()[0])
+    _, calls = _called(spark, sf_dir, _tables(spark, sf_dir))
     return calls.select("id", "place", F.col("href").alias("url"), "call", "outcome")
 
 

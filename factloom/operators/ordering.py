@@ -16,9 +16,7 @@ def placed(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     Rows are dealt by ranges of the order and written once, so that partition numbers stay; each partition starts after the counts of
     those before it, and a window numbers rows inside a partition alone.
     """
-    spark, path = rows.sparkSession, files.work_dir(rows.sparkSession)
-    rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()).write.parquet(path)
-    held = spark.read.parquet(path)
+    held = files.kept(rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
     before = F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = held.groupBy("__p").agg(F.count(F.lit(1)).alias("n")).select("__p", before.alias("__start"))  # a row for each partition
     inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order)) - 1
@@ -32,11 +30,10 @@ def runs(rows: DataFrame, key: list[str], order: list[Column], hit: Column, name
     with and whether anything broke the run; a window over these few rows carries the counts on.  A partition goes on with one key at most, so the
     carried counts are no more than the partitions and are broadcast.
     """
-    spark, path = rows.sparkSession, files.work_dir(rows.sparkSession)
     by = [F.col(k).asc_nulls_first() for k in key]
-    rows.withColumn("__h", F.coalesce(hit, F.lit(False))).repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()).write.parquet(path)
+    dealt = files.kept(rows.withColumn("__h", F.coalesce(hit, F.lit(False))).repartitionByRange(*by, *order).withColumn("__p", F.spark_partition_id()))
     here = Window.partitionBy("__p", *key).orderBy(*order)
-    held = spark.read.parquet(path).withColumns({"__b": F.sum((~F.col("__h")).cast("long")).over(here.rowsBetween(Window.unboundedPreceding, 0)), "__i": F.row_number().over(here)})
+    held = dealt.withColumns({"__b": F.sum((~F.col("__h")).cast("long")).over(here.rowsBetween(Window.unboundedPreceding, 0)), "__i": F.row_number().over(here)})
     counted = held.withColumn("__c", F.when(F.col("__h"), F.sum(F.col("__h").cast("long")).over(Window.partitionBy("__p", *key, "__b").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0))).otherwise(0))
     ends = counted.groupBy("__p", *key).agg(F.max_by("__c", "__i").alias("end"), (F.max("__b") > 0).alias("broke"))
     parts = Window.partitionBy(*key).orderBy("__p")

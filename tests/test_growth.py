@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import glob
+import os
 import random
+import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import fuzzy
 from factloom.functions import rules as R
-from factloom.operators import archive, discovery, enrichment, refresh
+from factloom.operators import archive, crawl, discovery, enrichment, refresh
 from factloom.operators import verification as V
 from factloom.operators.record_queries import PROFILE
 
@@ -40,6 +44,46 @@ def test_tables_of_a_run_are_derived_once(spark):
         assert "l_orderkey" not in plan and "o_orderkey" not in plan, name
 
 
+@pytest.mark.parametrize("keep", [crawl._kept, archive._kept])
+def test_rows_that_are_kept_leave_no_shuffle_files(spark, keep):
+    top = os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get("spark.local.dir", tempfile.gettempdir())
+    there = lambda: set(glob.glob(f"{top}/blockmgr-*/*/shuffle_*"))
+    before, made, until = there(), keep(spark.range(999).groupBy((F.col("id") % 5).alias("k")).count()), time.time() + 20
+    while there() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not there() - before
+    made.groupBy("count").count().collect()
+    assert there() - before  # elsewhere the setting is as it was
+
+
+def test_lines_are_moved_twice_for_links(spark, monkeypatch):
+    """By order, where they meet orders that know their customers, and by part."""
+    monkeypatch.setattr(enrichment, "_kept", lambda df: df)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links, _ = enrichment._base(spark, SF)
+        plan = links._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    moved = [line for line in plan if "Exchange hashpartitioning" in line]
+    assert len(moved) == 6 and sum("partkey" in line for line in moved) == 2 and sum("l_orderkey" in line for line in moved) == 1
+
+
+def test_answers_are_moved_once(spark):
+    links = enrichment._tables(spark, SF)["answers"].groupBy("url").agg(F.min("hash"))
+    assert links._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+def test_facts_are_derived_for_pages_that_are_read(spark, monkeypatch):
+    met, plain = [], enrichment.filled
+    monkeypatch.setattr(enrichment, "filled", lambda need, calls, ran, *a: met.append((ran, a[3:6])) or plain(need, calls, ran, *a))
+    assert enrichment.enrichment_run_fields(spark, SF).count()
+    read = {r.href for r in met[0][0].filter("outcome = 'read'").collect()}
+    for given in met[0][1]:
+        assert {r.url for r in given.select("url").collect()} <= read
+
+
 def test_reaching_the_floor_is_what_the_ratio_says(spark):
     rng = random.Random(3)
     rows = [(None, "a page"), ("a quote", None), ("abc", "abc"), ("", "")]
