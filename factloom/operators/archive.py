@@ -78,6 +78,11 @@ def archive_run(records_: DataFrame, evidence: DataFrame, texts: DataFrame, vers
     A copy that was not fetched, and a page without a fit version, give nothing; a page without a text today has lost all old quotes.
     """
     pages = _kept(outcomes(records_, evidence, versions, copies, snapshots, as_of, most))
+    return compare(pages, records_, evidence, texts, schemes, facts, log)
+
+
+def compare(pages: DataFrame, records_: DataFrame, evidence: DataFrame, texts: DataFrame, schemes: DataFrame, facts: DataFrame, log: DataFrame) -> ArchiveRun:
+    """What pages, the rows of outcomes, lead to.  Only copies that were compared count of schemes and facts, and of log only old values that these copies state, so other rows may be left out."""
     fetched = pages.filter("outcome = 'compared'").select("url", "stamp")
     mine = records_.select("id", "name", F.col("official_url").alias("url"))
     offers = _kept(schemes.join(fetched, ["url", "stamp"]).groupBy("url", "stamp", F.col("name").alias("offer")).agg(F.min("pos").alias("pos")))
@@ -118,26 +123,43 @@ _LOG = f"SELECT n.pos AS id, n.field, o.value AS old_value, n.value AS new_value
 
 
 def _today(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
-    """(versions, schemes, now, mine, evidence, copies, snapshots): now are the facts of the pages' last versions, schemes those of every version; both engines' tables, each made from one kept table."""
+    """(versions, now, mine, evidence, copies, snapshots): now are the facts of the pages' last versions; both engines' tables, each made from one kept table."""
     versions = _kept(run(spark, sf_dir, _VERSIONS))
     today, snapshots = run(spark, sf_dir, _TODAY, {_VERSIONS: versions}), run(spark, sf_dir, _SNAPSHOTS)
-    schemes = run(spark, sf_dir, _SCHEMES, {_VERSIONS: versions})
     last = _kept(run(spark, sf_dir, _SCHEMES, {_VERSIONS: versions.join(today.select(F.col("version").alias("pos")), "pos", "left_semi")}))
     mine = last.select(F.col("pos").alias("id"), "name", F.col("url").alias("official_url"), (F.col("balance") < 9000).alias("owned"))
     now = run(spark, sf_dir, _FACTS, {_SCHEMES: last}).withColumn("id", F.col("pos"))
     evidence = now.select("id", "field", "value", "quote", F.when(F.col("elsewhere"), "https://other.example.org").otherwise(F.col("url")).alias("source_url"), "grounded")
     copies = versions.groupBy("url", "stamp").agg(F.bool_and("ok").alias("ok"))
-    return versions, schemes, now, mine, evidence, copies, snapshots
+    return versions, now, mine, evidence, copies, snapshots
+
+
+def _amounts(spark: SparkSession, sf_dir: str, versions: DataFrame, stated: DataFrame) -> DataFrame:
+    """(url, name, other, old_value): of the amounts of all versions those that stated (url, value) has for their page; lines are dealt by order and looked through there."""
+    asked = stated.groupBy("url").agg(F.collect_set("value").alias("asked"))  # a copy's amounts
+    at = versions.join(asked, "url").select(F.col("pos").alias("l_orderkey"), "url", "asked")
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition("l_orderkey").groupBy("l_orderkey", "l_partkey").agg(F.floor(F.max("l_extendedprice")).cast("long").alias("price"))
+    met = lines.withColumn("old_value", F.concat(F.lit("Rs. "), F.col("price").cast("string"))).join(at, "l_orderkey").filter(F.array_contains("asked", F.col("old_value")))
+    named = met.join(spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name")), "l_partkey")
+    return named.select("url", "name", (F.col("l_orderkey") * 10000000 + F.col("l_partkey")).alias("other"), "old_value")
+
+
+def _logged(now: DataFrame, amounts: DataFrame) -> DataFrame:
+    """The rows of _LOG that amounts (url, name, other, old_value) lead to."""
+    log = now.filter("field = 'amount'").join(amounts, ["url", "name"]).filter("other <> pos")
+    return log.select("id", "field", "old_value", F.col("value").alias("new_value"), F.when(F.col("elsewhere"), "crawl").otherwise("baseline: earlier").alias("note"))
 
 
 def _run(spark: SparkSession, sf_dir: str) -> ArchiveRun:
-    versions, schemes, now, mine, evidence, copies, snapshots = _today(spark, sf_dir)
-    schemes = _kept(schemes)
+    """The steps of archive_run; what copies state is derived for those alone that are compared, and so is the log for what they state."""
+    versions, now, mine, evidence, copies, snapshots = _today(spark, sf_dir)
+    pages = _kept(outcomes(mine, evidence, versions, copies, snapshots, F.lit(AS_OF).cast("date")))
+    fetched = pages.filter("outcome = 'compared'").select("url", "stamp")
+    schemes = _kept(run(spark, sf_dir, _SCHEMES, {_VERSIONS: versions.join(fetched, ["url", "stamp"], "left_semi")}))
     facts = run(spark, sf_dir, _FACTS, {_SCHEMES: schemes})
     texts = now.groupBy("url").agg(F.array_join(F.array_sort(F.collect_list("quote")), "\n").alias("text"))
-    amounts = facts.filter("field = 'amount'").select("url", "name", F.col("pos").alias("other"), F.col("value").alias("old_value"))
-    log = now.filter("field = 'amount'").join(amounts, ["url", "name"]).filter("other <> pos").select("id", "field", "old_value", F.col("value").alias("new_value"), F.when(F.col("elsewhere"), "crawl").otherwise("baseline: earlier").alias("note"))
-    return archive_run(mine, evidence, texts, versions, copies, schemes, facts, snapshots, log, F.lit(AS_OF).cast("date"))
+    log = _kept(_logged(now, _amounts(spark, sf_dir, versions, facts.filter("field = 'amount'").select("url", "value"))))
+    return compare(pages, mine, evidence, texts, schemes, facts, log)
 
 
 def archive_run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +167,7 @@ def archive_run_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def archive_run_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    versions, _, _, mine, evidence, copies, snapshots = _today(spark, sf_dir)
+    versions, _, mine, evidence, copies, snapshots = _today(spark, sf_dir)
     return outcomes(mine, evidence, versions, copies, snapshots, F.lit(AS_OF).cast("date"))
 
 

@@ -16,6 +16,7 @@ from factloom.functions import rules as R
 from factloom.operators import archive, crawl, discovery, enrichment, refresh
 from factloom.operators import verification as V
 from factloom.operators.record_queries import PROFILE
+from factloom.plans import relational
 
 SF = "/root/testdata/sf0.001"
 
@@ -84,6 +85,19 @@ def test_facts_are_derived_for_pages_that_are_read(spark, monkeypatch):
         assert {r.url for r in given.select("url").collect()} <= read
 
 
+def test_copies_and_their_log_are_derived_for_pages_compared(spark, monkeypatch):
+    met, plain = [], archive.compare
+    monkeypatch.setattr(archive, "compare", lambda *a: met.append(a) or plain(*a))
+    assert archive.archive_run_changes(spark, SF).count()
+    pages, mine, _, _, schemes, facts, log = met[0]
+    fetched = {(r.url, r.stamp) for r in pages.filter("outcome = 'compared'").collect()}
+    assert {(r.url, r.stamp) for r in schemes.collect()} <= fetched
+    stated, page = {(r.url, r.value) for r in facts.filter("field = 'amount'").collect()}, {r.id: r.official_url for r in mine.collect()}
+    whole = [tuple(r) for r in relational.run(spark, SF, archive._LOG).collect()]
+    want = {r for r in whole if (page.get(r[0]), r[2]) in stated}
+    assert {tuple(r) for r in log.collect()} == want and 0 < len(want) < len(whole)
+
+
 def test_reaching_the_floor_is_what_the_ratio_says(spark):
     rng = random.Random(3)
     rows = [(None, "a page"), ("a quote", None), ("abc", "abc"), ("", "")]
