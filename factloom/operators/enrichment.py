@@ -175,8 +175,8 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(links, records), from which all tables of a run are derived."""
-    mine = _kept(run(spark, sf_dir, _RECORDS))
-    return _kept(run(spark, sf_dir, _LINKS_DEALT, {_LINES: _lines(spark, sf_dir)})), mine
+    links = _kept(run(spark, sf_dir, _LINKS_DEALT, {_LINES: _lines(spark, sf_dir)}))  # takes most disk, so nothing is kept before
+    return links, _kept(run(spark, sf_dir, _RECORDS))
 
 
 #: What is derived from links and records.

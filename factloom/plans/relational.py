@@ -96,7 +96,7 @@ def run(spark: SparkSession, sf_dir: str, sql: str, made: dict[str, DataFrame] |
         if f"({text})" in sql:
             sql, views[f"made_{i}"] = sql.replace(f"({text})", f"{{made_{i}}}"), rows
     for name in _TABLES:
-        if f" {name}" in sql:
+        if f" {name}" in sql or f"({name}" in sql:
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
     return spark.sql(_spell(sql, _SPARK), **views)
 

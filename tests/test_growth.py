@@ -60,6 +60,8 @@ def test_rows_that_are_kept_leave_no_shuffle_files(spark, keep):
 def test_lines_are_moved_twice_for_links(spark, monkeypatch):
     """By order, where they meet orders that know their customers, and by part."""
     monkeypatch.setattr(enrichment, "_kept", lambda df: df)
+    for name in ("orders", "customer", "part"):  # tables of another folder
+        spark.catalog.dropTempView(name)
     threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
